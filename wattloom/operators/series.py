@@ -13,6 +13,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
+from ..functions.expr import all_of
+
 SLICE, HALO, HOT, ALL = "__slice", "__halo", "__hot", "__all"
 MAX_SLICES = 65536
 _TIMES = ("timestamp", "timestamp_ntz", "date")
@@ -21,7 +23,7 @@ _TIMES = ("timestamp", "timestamp_ntz", "date")
 def plan_bytes(df: DataFrame) -> int | None:
     """Catalyst's size estimate of the frame, or None where it cannot be asked."""
     try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     except Exception:
         return None
 
@@ -71,30 +73,32 @@ def slice_series(df: DataFrame, keys: list[str], order: list[str], back: int = 0
     """
     if fits_one_task(sized_by if sized_by is not None else df):
         return Sliced(df, list(keys), list(order), False)
-    if not keys:
-        df, keys = df.withColumn(ALL, F.lit(0)), [ALL]
-    keys, order = list(keys), list(order)
+    keys, order = list(keys) or [ALL], list(order)
     pos = _position(df, order[0])
     limit = split_rows(df)
-    # at most rows / limit series pass the filter: that bound makes the broadcast safe
     parts = F.least(F.ceil(F.col("__n") / F.lit(limit)) * 16, F.lit(MAX_SLICES))
-    hot = (
-        df.groupBy(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)])
-        .agg(F.count(F.lit(1)).alias("__n"), F.min(pos).alias("__lo"), F.max(pos).alias("__hi"))
-        .filter(F.col("__n") > limit)
-        .withColumn("__width", F.greatest((F.col("__hi") - F.col("__lo")) / parts, F.lit(1e-12)))
-    )
-    match = None
-    for i, k in enumerate(keys):
-        cond = F.col(k).eqNullSafe(F.col(f"__k{i}"))
-        match = cond if match is None else match & cond
+    extent = [F.count(F.lit(1)).alias("__n"), F.min(pos).alias("__lo"), F.max(pos).alias("__hi")]
+    width = F.greatest((F.col("__hi") - F.col("__lo")) / parts, F.lit(1e-12))
+    if keys == [ALL]:
+        whole = df.agg(*extent).withColumn("__width", F.when(F.col("__n") > limit, width)).select(F.struct("__n", "__lo", "__width"))
+        joined = df.withColumn(ALL, F.lit(0)).withColumn("__x", whole.scalar()).select("*", "__x.*").drop("__x")
+    else:
+        # at most rows / limit series pass the filter: that bound makes the broadcast safe
+        hot = (
+            df.groupBy(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)])
+            .agg(*extent)
+            .filter(F.col("__n") > limit)
+            .withColumn("__width", width)
+            .drop("__hi")
+        )
+        match = all_of([F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)])
+        joined = df.join(F.broadcast(hot), match, "left").drop(*[f"__k{i}" for i in range(len(keys))])
     slice_no = F.coalesce(F.floor((pos - F.col("__lo")) / F.col("__width")).cast("long"), F.lit(0).cast("long"))
     frame = (
-        df.join(F.broadcast(hot), match, "left")
-        .withColumn(SLICE, slice_no)
+        joined.withColumn(SLICE, slice_no)
         .withColumn(HALO, F.lit(False))
         .withColumn(HOT, F.col("__width").isNotNull())
-        .drop("__lo", "__hi", "__width", *[f"__k{i}" for i in range(len(keys))])
+        .drop("__lo", "__width")
     )
     out = frame
     if back:
