@@ -59,3 +59,27 @@ def with_scalars(df: DataFrame, one_row: DataFrame, prefix: str = "") -> DataFra
     names = one_row.columns
     pack = one_row.select(F.struct(*names).alias("s")).scalar()
     return df.withColumn("__s", pack).select(*df.columns, *[F.col("__s")[n].alias(prefix + n) for n in names])
+
+
+def many_percentiles(df: DataFrame, column: str, ps: list[float]) -> DataFrame:
+    """One row with the array ``q`` of the percentiles ``ps`` (some hundreds) of a column."""
+    if fits_one_task(df):
+        return df.agg(F.percentile(column, F.array(*[F.lit(p) for p in ps])).alias("q"))
+    counted = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
+    run = add_running(slice_series(counted, [], ["__v"]), {"__cum": F.col("__c")}).done()
+    total = counted.agg(F.sum("__c"))
+    ranks = F.transform(F.array(*[F.lit(p) for p in ps]), lambda p: (F.col("__total") - 1) * p)
+    wanted = F.array_distinct(F.flatten(F.array(F.transform(ranks, lambda k: F.floor(k)),
+                                                F.transform(ranks, lambda k: F.least(F.floor(k) + 1, F.col("__total") - 1)))))
+    run = run.withColumn("__total", total.scalar()).withColumn("__wanted", wanted)
+    hits = run.select("__total", "__v", F.explode(F.filter(
+        "__wanted", lambda i: (F.col("__cum") - F.col("__c") <= i) & (i < F.col("__cum")))).alias("__i"))
+    # two order statistics per percentile at most
+    table = hits.groupBy("__total").agg(F.map_from_entries(F.collect_list(F.struct("__i", "__v"))).alias("__m"))
+
+    def at(k):
+        lo, hi = F.floor(k), F.least(F.floor(k) + 1, F.col("__total") - 1)
+        a, b = F.element_at("__m", lo), F.element_at("__m", hi)
+        return a + (b - a) * (k - lo)
+
+    return table.select(F.transform(ranks, at).alias("q"))

@@ -111,6 +111,9 @@ def slice_series(df: DataFrame, keys: list[str], order: list[str], back: int = 0
 def _position(df: DataFrame, column: str) -> Column:
     if dict(df.dtypes)[column] in _TIMES:
         return F.unix_micros(F.col(column).cast("timestamp")).cast("double")
+    if dict(df.dtypes)[column] == "string":
+        # the first eight bytes as a number: follows the string order, ties allowed
+        return F.conv(F.rpad(F.substring(F.hex(F.col(column)), 1, 16), 16, "0"), 16, 10).cast("double")
     return F.col(column).cast("double")
 
 
@@ -148,29 +151,33 @@ def over_series(df: DataFrame, keys: list[str], order: list[str], columns: Calla
     return s.with_frame(s.frame.withColumns(columns(s.window))).done()
 
 
-def add_running(s: Sliced, sums: dict[str, Column]) -> Sliced:
-    """Add running totals (current row included) over the whole series."""
+def add_running(s: Sliced, sums: dict[str, Column], how: str = "sum", exclusive: bool = False) -> Sliced:
+    """Add running totals (or maxima) over the whole series, with or without the current row."""
     s = s.core()
-    upto = s.window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    frame = s.frame.withColumns({name: F.sum(expr).over(upto) for name, expr in sums.items()})
+    agg, join = (F.sum, lambda a, b: a + b) if how == "sum" else (F.max, lambda a, b: F.greatest(a, b))
+    upto = s.window.rowsBetween(Window.unboundedPreceding, -1 if exclusive else Window.currentRow)
+    frame = s.frame.withColumns({name: agg(expr).over(upto) for name, expr in sums.items()})
     if not s.split:
         return s.with_frame(frame)
     earlier = Window.partitionBy(*s.keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         s.frame.filter(F.col(HOT))
         .groupBy(*s.keys, SLICE)
-        .agg(*[F.sum(expr).alias(f"__t_{name}") for name, expr in sums.items()])
-        .select(*s.keys, SLICE, *[F.sum(f"__t_{name}").over(earlier).alias(f"__o_{name}") for name in sums])
-    )
-    frame = frame.join(offsets, [*s.keys, SLICE], "left").withColumns(
-        {name: F.when(F.col(f"__o_{name}").isNull(), F.col(name)).otherwise(F.col(name) + F.col(f"__o_{name}")) for name in sums}
+        .agg(*[agg(expr).alias(f"__t_{name}") for name, expr in sums.items()])
+        .select(*s.keys, SLICE, *[agg(f"__t_{name}").over(earlier).alias(f"__o_{name}") for name in sums])
     )
+
+    def both(name: str) -> Column:
+        here, before = F.col(name), F.col(f"__o_{name}")
+        return F.when(before.isNull(), here).when(here.isNull(), before).otherwise(join(here, before))
+
+    frame = frame.join(offsets, [*s.keys, SLICE], "left").withColumns({name: both(name) for name in sums})
     return s.with_frame(frame.drop(*[f"__o_{name}" for name in sums]))
 
 
 def running(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, Column],
-            sized_by: DataFrame | None = None) -> DataFrame:
-    return add_running(slice_series(df, keys, order, sized_by=sized_by), sums).done()
+            sized_by: DataFrame | None = None, how: str = "sum", exclusive: bool = False) -> DataFrame:
+    return add_running(slice_series(df, keys, order, sized_by=sized_by), sums, how, exclusive).done()
 
 
 def ordinal(df: DataFrame, keys: list[str], order: list[str], rn: str = "rn", n: str | None = None,
