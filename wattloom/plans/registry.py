@@ -11,6 +11,7 @@ from ..sources.readings import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+BODIES: dict[str, str] = {}  # the statements without the views in front
 
 # The views of the test tables, as DuckDB common table expressions in dependency order.
 VIEWS: dict[str, str] = {
@@ -87,7 +88,7 @@ def query(name: str, sql: str | None = None):
             raise ValueError(f"query {name} registered twice")
         QUERIES[name] = lambda spark, folder: fn(Tables(spark, folder))
         if sql is not None:
-            ORACLES[name] = with_views(sql)
+            BODIES[name], ORACLES[name] = sql, with_views(sql)
         return fn
 
     return register
