@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from ..functions.expr import div0, first_max_name, micros
 from .features import METER, ORDER, diff, pct_change, scaler_stats, temporal
-from .folds import LastEmitted, emit_with_cooldown, ordered_fold
+from .folds import Arrays, LastEmitted, emit_with_cooldown, ordered_fold
 from .profile import baseline_stats
 from .quantiles import percentiles, with_scalars
 from .series import ALL, HALO, SLICE, fits_one_task, islands, ordinal, over_series, slice_series
@@ -205,29 +205,36 @@ class ThresholdState:
 
     def __init__(self) -> None:
         self.scores: deque[float] = deque(maxlen=self.HISTORY)
+        self.known: np.ndarray | None = None  # the same scores as an array, until the next normal one
+
+    def threshold(self, fallback: float) -> float:
+        if len(self.scores) < self.MIN_SAMPLES:
+            return fallback
+        if self.known is None:
+            self.known = np.fromiter(self.scores, dtype=float, count=len(self.scores))
+        mean = self.known.sum() / len(self.known)
+        gap = self.known - mean
+        return float(mean + self.K_SIGMA * np.sqrt(gap.dot(gap) / len(gap)))
 
     def decide(self, score: float, fallback: float) -> tuple[float, bool]:
         """Threshold before this score, and whether it is reached; a normal score joins the history."""
-        threshold = fallback
-        if len(self.scores) >= self.MIN_SAMPLES:
-            known = np.fromiter(self.scores, dtype=float)
-            threshold = float(known.mean() + self.K_SIGMA * known.std())
+        threshold = self.threshold(fallback)
         hit = score >= threshold
         if not hit:
             self.scores.append(score)
+            self.known = None
         return threshold, hit
 
 
 ADAPTIVE_SCHEMA = "meter_id string, event_id long, score double, threshold double, is_anomaly boolean, confidence double"
 
 
-def decide_rows(state: ThresholdState, rows: pd.DataFrame, fallback: float) -> pd.DataFrame:
-    decided = [state.decide(s, fallback) for s in rows["score"].to_numpy()]
+def decide_rows(state: ThresholdState, rows: Arrays, fallback: float) -> Arrays:
+    scores = rows["score"]
+    decided = [state.decide(float(x), fallback) for x in scores]
     thr = np.array([d[0] for d in decided])
-    return pd.DataFrame({
-        "meter_id": rows["meter_id"].to_numpy(), "event_id": rows["event_id"].to_numpy(), "score": rows["score"].to_numpy(),
-        "threshold": thr, "is_anomaly": [d[1] for d in decided],
-        "confidence": np.minimum(1.0, rows["score"].to_numpy() / np.maximum(thr, 1e-9))})
+    return {"meter_id": rows["meter_id"], "event_id": rows["event_id"], "score": scores, "threshold": thr,
+            "is_anomaly": np.array([d[1] for d in decided]), "confidence": np.minimum(1.0, scores / np.maximum(thr, 1e-9))}
 
 
 def adaptive_threshold(df: DataFrame, fallback: float) -> DataFrame:
@@ -237,7 +244,7 @@ def adaptive_threshold(df: DataFrame, fallback: float) -> DataFrame:
     500 numbers, its rows stream through, and the meters run in parallel.
     """
     rows = df.select("meter_id", "event_id", "ts", F.col("score").cast("double").alias("score"))
-    return ordered_fold(rows, METER, ORDER, ThresholdState, lambda s, pdf: decide_rows(s, pdf, fallback), ADAPTIVE_SCHEMA)
+    return ordered_fold(rows, METER, ORDER, ThresholdState, lambda s, rows: decide_rows(s, rows, fallback), ADAPTIVE_SCHEMA)
 
 
 def global_threshold(df: DataFrame, bootstrap: float, pool: int = 5000, least: int = 200, every: int = 50, p: float = 98.0) -> DataFrame:
@@ -307,9 +314,8 @@ def alert_cooldown(alerts: DataFrame, key: str, ts: str, ident: str, cooldown_s:
     runs = islands(timed, [key], [ts, ident], lambda w: F.col("us") - F.lag("us").over(w) >= step, out="run")
     kind = dict(alerts.dtypes)
 
-    def fold(state: LastEmitted, rows: pd.DataFrame) -> pd.DataFrame:
-        emitted = emit_with_cooldown(state, rows["us"].to_numpy(), step)
-        return pd.DataFrame({key: rows[key].to_numpy(), ident: rows[ident].to_numpy(), "emitted": emitted})
+    def fold(state: LastEmitted, rows: Arrays) -> Arrays:
+        return {key: rows[key], ident: rows[ident], "emitted": emit_with_cooldown(state, rows["us"], step)}
 
     return ordered_fold(runs.select(key, "run", "us", ident), [key, "run"], ["us", ident], LastEmitted, fold,
                         f"{key} {kind[key]}, {ident} {kind[ident]}, emitted boolean")
@@ -339,22 +345,26 @@ def rate_violations(df: DataFrame, client: str, ts: str, ident: str, window_s: i
 
 
 def rate_limit_exact(df: DataFrame, client: str, ts: str, ident: str, window_s: int, limit: int) -> DataFrame:
-    """The limiter itself: rejected requests do not count against the client."""
+    """The limiter itself: rejected requests do not count against the client.
+
+    A pause longer than the window empties it, so the runs between such pauses are independent.
+    """
     span = window_s * 1_000_000
     kind = dict(df.dtypes)
 
-    def fold(hits: deque, rows: pd.DataFrame) -> pd.DataFrame:
-        allowed = np.zeros(len(rows), dtype=bool)
-        for i, now in enumerate(rows["us"].to_numpy()):
+    def fold(hits: deque, rows: Arrays) -> Arrays:
+        allowed = np.zeros(len(rows["us"]), dtype=bool)
+        for i, now in enumerate(rows["us"].tolist()):
             while hits and now - hits[0] > span:
                 hits.popleft()
             if len(hits) < limit:
                 hits.append(now)
                 allowed[i] = True
-        return pd.DataFrame({client: rows[client].to_numpy(), ident: rows[ident].to_numpy(), "allowed": allowed})
+        return {client: rows[client], ident: rows[ident], "allowed": allowed}
 
-    rows = df.select(client, ident, micros(ts).alias("us"))
-    return ordered_fold(rows, [client], ["us", ident], deque, fold, f"{client} {kind[client]}, {ident} {kind[ident]}, allowed boolean")
+    rows = df.select(client, ident, ts, micros(ts).alias("us"))
+    runs = islands(rows, [client], [ts, ident], lambda w: F.col("us") - F.lag("us").over(w) > span, out="run").drop(ts)
+    return ordered_fold(runs, [client, "run"], ["us", ident], deque, fold, f"{client} {kind[client]}, {ident} {kind[ident]}, allowed boolean")
 
 
 # ---- explanations ----------------------------------------------------------

@@ -147,20 +147,25 @@ def zone_mean(df: DataFrame, bucket: Column, by: list[str] = ["zone"], value: st
     return out.withColumn("meter_vs_zone_consumption", F.col(value) - F.col("zone_consumption_mean"))
 
 
+def millionths(value: str) -> Column:
+    return F.round(F.col(value) * 1e6).cast("long")
+
+
 def zone_asof_mean(df: DataFrame, zone: str = "zone", meter: str = "meter_id", order: list[str] = ORDER,
                    value: str = "consommation_kw") -> DataFrame:
     """Mean over the zone's meters of each meter's latest value so far.
 
     Each reading changes the zone sum by its step against the meter's previous reading, so running sums
-    of the steps and of the first appearances give the mean without any join.
+    of the steps and of the first appearances give the mean without any join. The sums run in millionths,
+    as integers: they stay exact over any number of steps and do not depend on the slicing.
     """
     def steps(w: WindowSpec) -> dict[str, Column]:
-        prev = F.lag(value).over(w)
-        return {"__step": F.col(value) - F.coalesce(prev, F.lit(0.0)), "__first": prev.isNull().cast("long")}
+        prev = F.lag(millionths(value)).over(w)
+        return {"__step": millionths(value) - F.coalesce(prev, F.lit(0).cast("long")), "__first": prev.isNull().cast("long")}
 
     stepped = over_series(df, [zone, meter], order, steps, back=1)
     out = running(stepped, [zone], order, {"__sum": F.col("__step"), "zone_meters": F.col("__first")}, sized_by=df)
-    return out.withColumn("zone_asof_mean", F.col("__sum") / F.col("zone_meters")).drop("__sum", "__step", "__first")
+    return out.withColumn("zone_asof_mean", F.col("__sum") / 1e6 / F.col("zone_meters")).drop("__sum", "__step", "__first")
 
 
 def autocorrelation(df: DataFrame, value: str, max_lag: int, min_rows: int = 12, min_std: float = 1e-9) -> DataFrame:

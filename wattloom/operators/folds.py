@@ -8,13 +8,16 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+Arrays = dict[str, np.ndarray]
+
 
 def ordered_fold(df: DataFrame, keys: list[str], order: list[str], start: Callable[[], object],
-                 step: Callable[[object, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """Run ``step(state, rows)`` over each series in order.
+                 step: Callable[[object, Arrays], Arrays], schema: str) -> DataFrame:
+    """Run ``step(state, columns)`` over each series in order.
 
     The rows arrive in Arrow batches; ``state`` is what ``start()`` made for the series and is changed in
-    place, so a series of any length needs the memory of one batch only. Series run in parallel.
+    place, so a series of any length needs the memory of one batch only. Series run in parallel. The
+    columns of a piece are array views and the results of a batch are put together once.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -22,14 +25,18 @@ def ordered_fold(df: DataFrame, keys: list[str], order: list[str], start: Callab
         for batch in batches:
             if batch.empty:
                 continue
-            ids = list(zip(*[batch[k].to_numpy() for k in keys]))
-            cuts = [0] + [i for i in range(1, len(ids)) if ids[i] != ids[i - 1]] + [len(ids)]
+            cols = {c: batch[c].to_numpy() for c in batch.columns}
+            change = np.zeros(len(batch), dtype=bool)
+            for k in keys:
+                change[1:] |= cols[k][1:] != cols[k][:-1]
+            cuts = [0, *np.flatnonzero(change).tolist(), len(batch)]
+            parts = []
             for a, b in zip(cuts[:-1], cuts[1:]):
-                if state is None or ids[a] != current:
-                    current, state = ids[a], start()
-                out = step(state, batch.iloc[a:b])
-                if len(out):
-                    yield out
+                key = tuple(cols[k][a] for k in keys)
+                if state is None or key != current:
+                    current, state = key, start()
+                parts.append(step(state, {c: v[a:b] for c, v in cols.items()}))
+            yield pd.DataFrame({c: np.concatenate([p[c] for p in parts]) for c in parts[0]})
 
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
 
@@ -48,5 +55,5 @@ def emit_with_cooldown(state: LastEmitted, times: np.ndarray, cooldown: int) ->
     while i < len(times):
         keep[i] = True
         state.at = int(times[i])
-        i = int(np.searchsorted(times, state.at + cooldown, side="left"))
+        i += 1 + int(np.searchsorted(times[i + 1:], state.at + cooldown, side="left"))
     return keep

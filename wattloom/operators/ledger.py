@@ -5,10 +5,10 @@ from __future__ import annotations
 import hashlib
 import json
 
-import pandas as pd
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .folds import ordered_fold
+from .folds import Arrays, ordered_fold
 from .series import ordinal, over_series, running
 
 ZERO_HASH = "0" * 64
@@ -67,16 +67,21 @@ class ChainTail:
         self.hash = genesis(authorities)["block_hash"]
 
 
-def link(tail: ChainTail, blocks: pd.DataFrame, chain: str, source: str) -> pd.DataFrame:
+def link(tail: ChainTail, blocks: Arrays, chain: str, source: str) -> Arrays:
     """Hash the headers of consecutive blocks onto the tail."""
-    out = []
-    for b in blocks.to_dict("records"):
-        head = {"index": int(b["block_index"]), "timestamp": b["timestamp"], "previous_hash": tail.hash, "proposer": b["proposer"],
-                "transaction_root": b["transaction_root"], "transaction_count": int(b["transaction_count"]), "alert_count": int(b["alert_count"]),
-                "normal_count": int(b["normal_count"]), "row_start": int(b["row_start"]), "row_end": int(b["row_end"]), "source_file": source}
-        tail.hash = header_hash(head)
-        out.append({chain: b[chain], **head, "block_hash": tail.hash})
-    return pd.DataFrame(out).rename(columns={"index": "block_index"})
+    numbers = ["block_index", "transaction_count", "alert_count", "normal_count", "row_start", "row_end"]
+    texts = ["timestamp", "proposer", "transaction_root"]
+    before, after = [], []
+    for row in zip(*[blocks[c].tolist() for c in (*numbers, *texts)]):
+        head = dict(zip((*numbers, *texts), row))
+        head["index"] = head.pop("block_index")
+        before.append(tail.hash)
+        tail.hash = header_hash({**head, "previous_hash": tail.hash, "source_file": source})
+        after.append(tail.hash)
+    n = len(after)
+    return {chain: blocks[chain], "block_index": blocks["block_index"], "timestamp": blocks["timestamp"], "previous_hash": np.array(before, dtype=object),
+            "proposer": blocks["proposer"], "transaction_root": blocks["transaction_root"], **{c: blocks[c] for c in numbers[1:]},
+            "source_file": np.full(n, source, dtype=object), "block_hash": np.array(after, dtype=object)}
 
 
 def chain_schema(chain: str) -> str:
@@ -86,10 +91,8 @@ def chain_schema(chain: str) -> str:
 
 def ledger_chain(blocks: DataFrame, chain: str, authorities: list[str], source: str = "readings") -> DataFrame:
     """Chain the block headers. Only headers are sequential, per chain; hashing rows and roots is parallel."""
-    schema = chain_schema(chain)
-    names = [f.split()[0] for f in schema.split(", ")]
     return ordered_fold(blocks, [chain], ["block_index"], lambda: ChainTail(authorities),
-                        lambda tail, pdf: link(tail, pdf, chain, source)[names], schema)
+                        lambda tail, rows: link(tail, rows, chain, source), chain_schema(chain))
 
 
 def genesis_rows(chains: DataFrame, chain: str, authorities: list[str]) -> DataFrame:

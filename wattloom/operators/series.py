@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from ..functions.expr import all_of
 
-SLICE, HALO, HOT, ALL = "__slice", "__halo", "__hot", "__all"
+SLICE, HALO, HOT, ALL, ROWS = "__slice", "__halo", "__hot", "__series", "__series_rows"
 MAX_SLICES = 65536
 _TIMES = ("timestamp", "timestamp_ntz", "date")
 
@@ -61,7 +61,7 @@ class Sliced:
         return self.with_frame(self.frame.filter(~F.col(HALO))) if self.split else self
 
     def done(self) -> DataFrame:
-        return self.core().frame.drop(SLICE, HALO, HOT, ALL, "__n") if self.split else self.frame
+        return self.core().frame.drop(SLICE, HALO, HOT, ALL, ROWS) if self.split else self.frame
 
 
 def slice_series(df: DataFrame, keys: list[str], order: list[str], back: int = 0, ahead: int = 0,
@@ -76,18 +76,18 @@ def slice_series(df: DataFrame, keys: list[str], order: list[str], back: int = 0
     keys, order = list(keys) or [ALL], list(order)
     pos = _position(df, order[0])
     limit = split_rows(df)
-    parts = F.least(F.ceil(F.col("__n") / F.lit(limit)) * 16, F.lit(MAX_SLICES))
-    extent = [F.count(F.lit(1)).alias("__n"), F.min(pos).alias("__lo"), F.max(pos).alias("__hi")]
+    parts = F.least(F.ceil(F.col(ROWS) / F.lit(limit)) * 16, F.lit(MAX_SLICES))
+    extent = [F.count(F.lit(1)).alias(ROWS), F.min(pos).alias("__lo"), F.max(pos).alias("__hi")]
     width = F.greatest((F.col("__hi") - F.col("__lo")) / parts, F.lit(1e-12))
     if keys == [ALL]:
-        whole = df.agg(*extent).withColumn("__width", F.when(F.col("__n") > limit, width)).select(F.struct("__n", "__lo", "__width"))
+        whole = df.agg(*extent).withColumn("__width", F.when(F.col(ROWS) > limit, width)).select(F.struct(ROWS, "__lo", "__width"))
         joined = df.withColumn(ALL, F.lit(0)).withColumn("__x", whole.scalar()).select("*", "__x.*").drop("__x")
     else:
         # at most rows / limit series pass the filter: that bound makes the broadcast safe
         hot = (
             df.groupBy(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)])
             .agg(*extent)
-            .filter(F.col("__n") > limit)
+            .filter(F.col(ROWS) > limit)
             .withColumn("__width", width)
             .drop("__hi")
         )
@@ -189,7 +189,7 @@ def ordinal(df: DataFrame, keys: list[str], order: list[str], rn: str = "rn", n:
         parts = [*s.keys, SLICE] if s.split else s.keys
         count = F.count(F.lit(1)).over(Window.partitionBy(*parts))
         if s.split:
-            count = F.when(F.col(HOT), F.col("__n")).otherwise(count)
+            count = F.when(F.col(HOT), F.col(ROWS)).otherwise(count)
         s = s.with_frame(s.frame.withColumn(n, count))
     return s.done()
 

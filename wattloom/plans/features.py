@@ -169,13 +169,13 @@ def zone_mean(t: Tables):
 
 
 @query("zone_asof_mean", f"""
-SELECT event_id, zone_meters, {R('s / zone_meters')} AS zone_asof_mean FROM (
+SELECT event_id, zone_meters, s::double / 1000000 / zone_meters AS zone_asof_mean FROM (
   SELECT event_id, sum(step) OVER z AS s, cast(sum(first) OVER z as bigint) AS zone_meters FROM (
-    SELECT *, consommation_kw - coalesce(lag(consommation_kw) OVER w, 0) AS step, cast(lag(consommation_kw) OVER w IS NULL as int) AS first
+    SELECT *, cast(round(consommation_kw * 1000000) as bigint) - coalesce(lag(cast(round(consommation_kw * 1000000) as bigint)) OVER w, 0) AS step, cast(lag(consommation_kw) OVER w IS NULL as int) AS first
     FROM readings {W}) WINDOW z AS (PARTITION BY zone ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))""")
 def zone_asof_mean(t: Tables):
     out = f.zone_asof_mean(t.readings.select("event_id", "ts", "zone", "meter_id", "consommation_kw"))
-    return out.select("event_id", "zone_meters", r("zone_asof_mean").alias("zone_asof_mean"))
+    return out.select("event_id", "zone_meters", "zone_asof_mean")
 
 
 ACF_LAGS = 10

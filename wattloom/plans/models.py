@@ -73,7 +73,9 @@ SUPERVISED = [*FEATURES, "consommation_kw_diff", "hour", "score"]
 def supervised_models(t: Tables):
     rows = t.readings.join(t.scored.select("event_id", "score"), "event_id")
     rows = f.over_series(rows, f.METER, f.ORDER, lambda w: {"consommation_kw_diff": f.diff(w, "consommation_kw")}, back=1, sized_by=t.readings)
-    rows = e.temporal_split(rows.withColumn("hour", F.hour("ts")), 0.15, 0.15)
+    path = scratch_dir(t.spark, "training-rows")  # both learners pass over these rows many times
+    e.temporal_split(rows.withColumn("hour", F.hour("ts")), 0.15, 0.15).select("event_id", "split", "is_alert", *SUPERVISED).write.parquet(path)
+    rows = t.spark.read.parquet(path)
     pred = m.supervised(rows.filter("split = 'train'"), rows.filter("split = 'test'"), SUPERVISED, "is_alert")
     quality = e.metrics(pred, ["model"], "label", "probability >= 0.5D")
     areas = e.curve_areas(pred, ["model"], "probability", "label")

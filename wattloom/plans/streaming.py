@@ -45,7 +45,7 @@ def stream_alert_cooldown(t: Tables):
 @query("stream_zone_asof", BODIES["zone_asof_mean"])
 def stream_zone_asof(t: Tables):
     out = s.drain_batches(live(t), "zone-asof", m.zone_asof_batch)
-    return t.spark.read.parquet(f"{out}/out").select("event_id", "zone_meters", r("zone_asof_mean").alias("zone_asof_mean"))
+    return t.spark.read.parquet(f"{out}/out").select("event_id", "zone_meters", "zone_asof_mean")
 
 
 WINDOWS = "SELECT event_id, meter_id, {kw} AS kw_mean, {v} AS v_min, {n} AS n_steps FROM window8 WHERE n_in = 8".format(kw=R("kw_mean"), v=R("v_min"), n=8)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import ledger as l
-from ..operators.features import ORDER
+from ..operators.features import ORDER, millionths
 from ..operators.series import over_series, running
 from .sources import write_batch
 
@@ -20,26 +20,26 @@ def _state(spark: SparkSession, folder: str, table: str, batch_id: int, schema:
     return spark.read.schema(schema).parquet(f"{folder}/{table}/batch={batch_id - 1}")
 
 
-LATEST = "zone string, meter_id string, value double"
-ZONES = "zone string, total double, meters long"
+LATEST = "zone string, meter_id string, value long"
+ZONES = "zone string, total long, meters long"
 
 
 def zone_asof_batch(batch: DataFrame, batch_id: int, folder: str) -> None:
     """Mean of the zone's latest values per reading; state: latest value per meter, sum and count per zone."""
     spark = batch.sparkSession
     latest, zones = _state(spark, folder, "latest", batch_id, LATEST), _state(spark, folder, "zones", batch_id, ZONES)
-    rows = batch.select("zone", "meter_id", "ts", "event_id", F.col("consommation_kw").alias("value"))
+    rows = batch.select("zone", "meter_id", "ts", "event_id", millionths("consommation_kw").alias("value"))
     rows = rows.join(latest.withColumnRenamed("value", "__known"), ["zone", "meter_id"], "left")
 
     def steps(w):
         prev = F.coalesce(F.lag("value").over(w), F.col("__known"))
-        return {"__step": F.col("value") - F.coalesce(prev, F.lit(0.0)), "__first": prev.isNull().cast("long")}
+        return {"__step": F.col("value") - F.coalesce(prev, F.lit(0)), "__first": prev.isNull().cast("long")}
 
     stepped = over_series(rows, ["zone", "meter_id"], ORDER, steps, back=1, sized_by=batch)
     summed = running(stepped, ["zone"], ORDER, {"__sum": F.col("__step"), "__n": F.col("__first")}, sized_by=batch)
     out = summed.join(zones, "zone", "left").withColumns({
-        "total": F.coalesce("total", F.lit(0.0)) + F.col("__sum"), "meters": F.coalesce("meters", F.lit(0).cast("long")) + F.col("__n")})
-    write_batch(out.select("event_id", "zone", F.col("meters").alias("zone_meters"), (F.col("total") / F.col("meters")).alias("zone_asof_mean")), folder, "out", batch_id)
+        "total": F.coalesce("total", F.lit(0)) + F.col("__sum"), "meters": F.coalesce("meters", F.lit(0).cast("long")) + F.col("__n")})
+    write_batch(out.select("event_id", "zone", F.col("meters").alias("zone_meters"), (F.col("total") / 1e6 / F.col("meters")).alias("zone_asof_mean")), folder, "out", batch_id)
     at = F.struct("ts", "event_id")
     now = rows.groupBy("zone", "meter_id").agg(F.max_by("value", at).alias("value"))
     kept = latest.join(now, ["zone", "meter_id"], "left_anti")
@@ -74,12 +74,11 @@ def seal_batch(batch: DataFrame, batch_id: int, folder: str, size: int, authorit
     full = blocks.filter(F.col("transaction_count") == size).join(tails.select("meter_id", "tail"), "meter_id", "left")
     full = full.withColumn("tail", F.coalesce("tail", F.lit(l.genesis(authorities)["block_hash"])))
     schema = l.chain_schema("meter_id")
-    names = [f.split()[0] for f in schema.split(", ")]
 
-    def step(tail, pdf):
+    def step(tail, rows):
         if tail.hash is None:
-            tail.hash = pdf["tail"].iloc[0]
-        return l.link(tail, pdf, "meter_id", source)[names]
+            tail.hash = rows["tail"][0]
+        return l.link(tail, rows, "meter_id", source)
 
     write_batch(l.ordered_fold(full, ["meter_id"], ["block_index"], LiveTail, step, schema), folder, "out", batch_id)
     sealed = spark.read.schema(schema).parquet(f"{folder}/out/batch={batch_id}")

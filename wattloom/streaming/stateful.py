@@ -123,7 +123,7 @@ def stream_adaptive(scored: DataFrame, fallback: float) -> DataFrame:
             known.scores.extend(state.get[0])
         pdf = in_order(rows, ["us", "event_id"])
         if len(pdf):
-            yield decide_rows(known, pdf, fallback)
+            yield pd.DataFrame(decide_rows(known, {c: pdf[c].to_numpy() for c in pdf.columns}, fallback))
             state.update(([float(x) for x in known.scores],))
 
     rows = scored.select("meter_id", "event_id", "score", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
