@@ -65,7 +65,7 @@ def stream_seeded_windows(t: Tables):
     # the history before the 20th seeds the buffers, the stream brings the rest
     seed = t.readings.filter("ts < TIMESTAMP_NTZ '2024-01-20 00:00:00'")
     rest = live(t).filter("ts >= TIMESTAMP '2024-01-20 00:00:00'")
-    return _full(s.drain_to_table(st.stream_windows(rest, 8, seed), "seeded"))
+    return _full(s.drain_to_table(st.stream_seeded_windows(rest, 8, seed), "seeded"))
 
 
 @query("stream_adaptive_threshold")

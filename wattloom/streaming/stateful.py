@@ -83,35 +83,54 @@ class RollingBuffer(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues):
         new = in_order(rows, ["us", "event_id"])
-        if new.empty:
-            return
-        new = new[["us", "event_id", "kw", "v"]]
-        old = pd.DataFrame(list(self.rows.get()) if self.rows.exists() else [], columns=["us", "event_id", "kw", "v"])
-        both = pd.concat([old, new]) if len(old) else new
-        out = pd.DataFrame({
-            "event_id": both["event_id"].astype("int64"), "meter_id": key[0],
-            "kw_mean": both["kw"].astype(float).rolling(self.length, min_periods=1).apply(np.mean, raw=True),
-            "v_min": both["v"].astype(float).rolling(self.length, min_periods=1).min()}).iloc[len(old):]
-        fill = np.minimum(np.arange(len(old) + 1, len(both) + 1), self.length).astype("int32")
-        out["n_steps"] = np.int32(self.length)
-        out["buffer_fill"] = fill
-        self._store(both)
-        yield out.reset_index(drop=True)
+        if len(new):
+            old = [tuple(x) for x in self.rows.get()] if self.rows.exists() else []
+            kept, out = roll_windows(key[0], old, new, self.length)
+            self.rows.put(kept)
+            yield out
 
     def close(self) -> None:
         pass
 
 
+def roll_windows(meter: str, old: list[tuple], new: pd.DataFrame, length: int) -> tuple[list[tuple], pd.DataFrame]:
+    """The rows to keep and one output row per new reading."""
+    cols = {c: np.concatenate([np.array([row[i] for row in old], dtype=new[c].dtype), new[c].to_numpy()]) for i, c in enumerate(("us", "event_id", "kw", "v"))}
+    kw, v = pd.Series(cols["kw"].astype(float)), pd.Series(cols["v"].astype(float))
+    n, at = len(kw), len(old)
+    out = pd.DataFrame({
+        "event_id": cols["event_id"][at:], "meter_id": meter,
+        "kw_mean": kw.rolling(length, min_periods=1).apply(np.mean, raw=True).to_numpy()[at:],
+        "v_min": v.rolling(length, min_periods=1).min().to_numpy()[at:],
+        "n_steps": np.int32(length), "buffer_fill": np.minimum(np.arange(at + 1, n + 1), length).astype("int32")})
+    first = max(n - length + 1, 0)
+    kept = list(zip(cols["us"][first:].tolist(), cols["event_id"][first:].tolist(), kw[first:].tolist(), v[first:].tolist()))
+    return kept, out
+
+
 def _buffer_rows(readings: DataFrame) -> DataFrame:
     return readings.select("meter_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "event_id",
                            F.col("consommation_kw").alias("kw"), F.col("tension_v").alias("v"))
 
 
-def stream_windows(readings: DataFrame, length: int, seed: DataFrame | None = None) -> DataFrame:
-    """Sliding windows over live readings, optionally continuing a batch of earlier readings."""
-    initial = _buffer_rows(seed).groupBy("meter_id") if seed is not None else None
+def stream_windows(readings: DataFrame, length: int) -> DataFrame:
+    """Sliding windows over live readings; the state is one array of the meter's last rows."""
+
+    def update(key, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        new = in_order(rows, ["us", "event_id"])
+        if len(new):
+            kept, out = roll_windows(key[0], [tuple(x) for x in state.get[0]] if state.exists else [], new, length)
+            state.update((kept,))
+            yield out
+
+    return _buffer_rows(readings).groupBy("meter_id").applyInPandasWithState(
+        update, WINDOW_SCHEMA, "rows array<struct<us:bigint,event_id:bigint,kw:double,v:double>>", "append", GroupStateTimeout.NoTimeout)
+
+
+def stream_seeded_windows(readings: DataFrame, length: int, seed: DataFrame) -> DataFrame:
+    """Sliding windows that continue a batch of earlier readings."""
     return _buffer_rows(readings).groupBy("meter_id").transformWithStateInPandas(
-        RollingBuffer(length), WINDOW_SCHEMA, "Append", "None", initialState=initial)
+        RollingBuffer(length), WINDOW_SCHEMA, "Append", "None", initialState=_buffer_rows(seed).groupBy("meter_id"))
 
 
 def stream_adaptive(scored: DataFrame, fallback: float) -> DataFrame:
