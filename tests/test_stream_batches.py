@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from wattloom.functions.expr import r
 from wattloom.operators import ledger as l
+from wattloom.plans.detect import rounded_adaptive
 from wattloom.plans.ledger import NODES, SIZE
 from wattloom.plans.streaming import _full
-from wattloom.sources.readings import Tables, alerts_from_readings, readings_from_events, scored_from_readings
+from wattloom.sources.readings import alerts_from_readings, readings_from_events, scored_from_readings
 from wattloom.streaming import microbatch as m, sources as s, stateful as st
 
 
@@ -58,7 +59,7 @@ def test_windows(spark, folder, files):
 
 
 def test_adaptive(spark, folder, files):
-    got = s.drain_to_table(st.stream_adaptive(scored_from_readings(live(spark, files)), 0.9), "t-adaptive").toPandas()
+    got = rounded_adaptive(s.drain_to_table(st.stream_adaptive(scored_from_readings(live(spark, files)), 0.9), "t-adaptive")).toPandas()
     assert compare(got, batch(spark, folder, "adaptive_threshold")) == []
 
 
@@ -69,7 +70,3 @@ def test_latest_per_bus(spark, folder, files):
     got = s.latest_versions(spark, out, "out", ["bus_id"]).withColumn("ts", F.col("ts").cast("timestamp_ntz")).toPandas()
     assert compare(got, batch(spark, folder, "latest_per_bus")) == []
 
-
-def test_seeded_equals_unseeded(spark, folder):
-    t = Tables(spark, folder)
-    assert t.readings.count() == 1000

@@ -52,10 +52,18 @@ def micros(ts) -> Column:
     return F.unix_micros(col(ts).cast("timestamp"))
 
 
-def mix_uniform(ident, seed: int, modulus: int = 9973) -> Column:
+MIX_MODULUS = 2_147_483_647
+
+
+def mix_factor(seed: int) -> int:
+    return 1_103_515_245 + 209_458 * seed
+
+
+def mix_uniform(ident, seed: int) -> Column:
     """Integer-mix uniform in [0, 1): depends on the row id only, never on partitioning."""
-    ident = col(ident).cast("long")
-    return ((ident * F.lit(7919 + 2 * seed) + F.lit(104729 * (seed + 1))) % F.lit(modulus)).cast("double") / F.lit(float(modulus))
+    ident = col(ident).cast("long") % F.lit(MIX_MODULUS)
+    mixed = (ident * F.lit(mix_factor(seed)) + F.lit(104_729 * (seed + 1))) % F.lit(MIX_MODULUS)
+    return mixed.cast("double") / F.lit(float(MIX_MODULUS))
 
 
 def all_of(conditions: list[Column]) -> Column:

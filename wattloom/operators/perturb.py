@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, WindowSpec, functions as F
 
-from ..functions.expr import mix_uniform
+from ..functions.expr import MIX_MODULUS, mix_uniform
 from .features import METER, ORDER
 from .quantiles import with_scalars
 from .series import carry_forward, ordinal, over_series, running
@@ -14,7 +14,7 @@ from .series import carry_forward, ordinal, over_series, running
 
 def gaussian(ident: str, seed: int) -> Column:
     """Standard normal from two id-mixed uniforms."""
-    u, v = mix_uniform(ident, seed) + 0.5 / 9973.0, mix_uniform(ident, seed + 1)
+    u, v = mix_uniform(ident, seed) + 0.5 / MIX_MODULUS, mix_uniform(ident, seed + 1)
     return F.sqrt(-2.0 * F.log(u)) * F.cos(2 * math.pi * v)
 
 

@@ -27,7 +27,8 @@ def scan_readings(t: Tables):
         r("consommation_kw").alias("consommation_kw"), r("courant_a").alias("courant_a"), "statut")
 
 
-@query("schema_dispatch")
+@query("schema_dispatch", " UNION ALL ".join(f"SELECT '{n}' AS source, '{k}' AS kind, count(*) AS n FROM {n}" for n, k in (
+    ("readings", "meter"), ("events", "generic"), ("lineitem", "generic"))))
 def schema_dispatch(t: Tables):
     kinds = [(name, files.reading_kind(df)) for name, df in (("readings", t.readings), ("events", t.events), ("lineitem", t.raw("lineitem")))]
     counts = [df.agg(F.lit(name).alias("source"), F.lit(kind).alias("kind"), F.count(F.lit(1)).alias("n"))

@@ -13,7 +13,7 @@ from ..session import scratch_dir
 from ..sources.files import wide_day_columns
 from ..sources.readings import Tables
 from .evaluate import METRIC_SQL, QGRID, counts_sql, msql, shown, sweep_sql
-from .registry import R, query, view
+from .registry import R, mix, query, view
 
 view("cells", """SELECT d.cons_no, d.flag, d.day, c.kwh FROM (SELECT cons_no, flag, cast(unnest(generate_series((SELECT min(day) FROM consumer_days)::timestamp, (SELECT max(day) FROM consumer_days)::timestamp, INTERVAL 1 DAY)) as date) AS day
   FROM (SELECT DISTINCT cons_no, flag FROM consumer_days)) d LEFT JOIN consumer_days c ON d.cons_no = c.cons_no AND d.day = c.day""")
@@ -97,8 +97,8 @@ def consumer_windows(t: Tables):
 
 
 view("cscores", "SELECT cons_no, flag AS label, round(avg(abs(filled - population)), 6) AS score FROM populated GROUP BY cons_no, flag")
-view("csplit", """SELECT *, CASE WHEN rn <= floor(len * 0.3::double) THEN 'test' WHEN rn <= floor(len * 0.3::double) + floor(len * 0.3::double) THEN 'val' ELSE 'train' END AS split FROM (
-  SELECT *, row_number() OVER (PARTITION BY label ORDER BY cast((cons_no * 8003 + 4503347) % 9973 as double) / 9973, cons_no) AS rn, count(*) OVER (PARTITION BY label) AS len FROM cscores)""")
+view("csplit", f"""SELECT *, CASE WHEN rn <= floor(len * 0.3::double) THEN 'test' WHEN rn <= floor(len * 0.3::double) + floor(len * 0.3::double) THEN 'val' ELSE 'train' END AS split FROM (
+  SELECT *, row_number() OVER (PARTITION BY label ORDER BY {mix(42, 'cons_no')}, cons_no) AS rn, count(*) OVER (PARTITION BY label) AS len FROM cscores)""")
 view("cval", "SELECT * FROM csplit WHERE split = 'val'")
 
 

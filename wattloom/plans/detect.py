@@ -168,9 +168,21 @@ def score_summary(t: Tables):
                                         r(F.stddev_pop(s)).alias("std"), r(F.max(s)).alias("max"), r(F.min(s)).alias("min"))
 
 
-@query("adaptive_threshold")
+ADAPTIVE_SQL = f"""
+WITH RECURSIVE o AS (SELECT meter_id, event_id, score, row_number() OVER (PARTITION BY meter_id ORDER BY ts, event_id) AS rn FROM scored),
+f AS (SELECT meter_id, event_id, score, rn, 0.9::double AS threshold, CASE WHEN score < 0.9::double THEN [score] ELSE []::double[] END AS known FROM o WHERE rn = 1
+  UNION ALL SELECT meter_id, event_id, score, rn, thr, CASE WHEN score < thr THEN list_append(known, score)[-500:] ELSE known END FROM (
+    SELECT o.*, f.known, CASE WHEN len(f.known) >= 30 THEN list_avg(f.known) + 3 * list_stddev_pop(f.known) ELSE 0.9::double END AS thr FROM f JOIN o ON o.meter_id = f.meter_id AND o.rn = f.rn + 1))
+SELECT meter_id, event_id, {R('score')} AS score, {R('threshold')} AS threshold, score >= threshold AS is_anomaly, {R('least(1, score / greatest(threshold, 1e-9))')} AS confidence FROM f"""
+
+
+@query("adaptive_threshold", ADAPTIVE_SQL)
 def adaptive_threshold(t: Tables):
-    return d.adaptive_threshold(t.scored, 0.9)
+    return rounded_adaptive(d.adaptive_threshold(t.scored, 0.9))
+
+
+def rounded_adaptive(df):
+    return df.select("meter_id", "event_id", "is_anomaly", *[r(c).alias(c) for c in ("score", "threshold", "confidence")])
 
 
 @query("global_threshold", f"""
@@ -310,6 +322,11 @@ def rate_window(t: Tables):
     return d.rate_violations(t.events, "user_id", "ts", "event_id", 86_400, 3)
 
 
-@query("rate_limit_exact")
+@query("rate_limit_exact", """
+WITH RECURSIVE o AS (SELECT user_id, event_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+f AS (SELECT user_id, event_id, us, rn, true AS allowed, [us] AS hits FROM o WHERE rn = 1
+  UNION ALL SELECT user_id, event_id, us, rn, len(kept) < 3, CASE WHEN len(kept) < 3 THEN list_append(kept, us) ELSE kept END FROM (
+    SELECT o.*, [h for h in f.hits if o.us - h <= 86400000000] AS kept FROM f JOIN o ON o.user_id = f.user_id AND o.rn = f.rn + 1))
+SELECT user_id, event_id, allowed FROM f""")
 def rate_limit_exact(t: Tables):
     return d.rate_limit_exact(t.events, "user_id", "ts", "event_id", 86_400, 3)

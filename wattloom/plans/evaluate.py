@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.expr import div0, mix_uniform, r
+from ..functions.expr import div0, r
 from ..operators import evaluate as e, features as f
 from ..operators.detect import over_series
 from ..operators.quantiles import percentiles, with_scalars
 from ..sources.readings import Tables
-from .registry import R, query, view
+from .registry import R, mix, query, view
 
 LABEL, HIT_A, HIT_B = "label", "score >= 0.6D", "score_b >= 0.5D"
 A, B = "score >= 0.6::double", "score_b >= 0.5::double"
@@ -62,7 +62,7 @@ def split_windows(t: Tables):
     return w.groupBy("meter_id", "split").agg(F.count(F.lit(1)).alias("windows"), F.min("event_id").alias("first_end"))
 
 
-MIX42 = "cast((event_id * 8003 + 4503347) % 9973 as double) / 9973"
+MIX42 = mix(42)
 view("strata", f"""SELECT *, CASE WHEN rn <= floor(len * 0.2::double) THEN 'test' WHEN rn <= floor(len * 0.2::double) + floor(len * 0.1::double) THEN 'val' ELSE 'train' END AS split FROM (
   SELECT *, row_number() OVER (PARTITION BY label ORDER BY u, event_id) AS rn, count(*) OVER (PARTITION BY label) AS len FROM (SELECT *, {MIX42} AS u FROM scored))""")
 
@@ -345,7 +345,7 @@ def score_overlap(t: Tables):
 
 
 FRACTIONS = [0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]
-MIX7 = "cast((event_id * 7933 + 837832) % 9973 as double) / 9973"
+MIX7 = mix(7)
 
 
 @query("learning_curve", f"SELECT fraction, {msql('precision', 'recall', 'f1')} FROM (SELECT fraction, {counts_sql(A)} FROM (SELECT *, {MIX7} AS u FROM scored) s, (SELECT unnest({FRACTIONS}::double[]) AS fraction) q WHERE u < fraction GROUP BY fraction)")

@@ -61,10 +61,14 @@ def one_hot(t: Tables):
     return t.readings.select("event_id", *[c.alias(n) for n, c in cols.items()])
 
 
-@query("feature_selection")
+NUMERIC = ["consommation_kw", "tension_v", "frequency_hz", "power_factor", "courant_a"]
+
+
+@query("feature_selection", " UNION ALL ".join(f"SELECT '{c}' AS feature, {R(f'avg({c})')} AS mean FROM readings" for c in NUMERIC))
 def feature_selection(t: Tables):
     cols = f.feature_columns(t.readings, {"is_alert", "event_id", "bus_id"})
-    return t.readings.agg(*[F.avg(c).alias(c) for c in cols]).unpivot([], cols, "feature", "mean")
+    means = t.readings.agg(*[F.avg(c).alias(c) for c in cols]).unpivot([], cols, "feature", "mean")
+    return means.select("feature", r("mean").alias("mean"))
 
 
 @query("align_features", f"""SELECT event_id, {R('consommation_kw')} AS consommation_kw, cast(0 as double) AS solar_kw, {R('tension_v')} AS tension_v,
@@ -252,6 +256,12 @@ def temporal_quarters(t: Tables):
     return out.groupBy("quarter").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
 
 
+@query("windowed_counts", """SELECT date_trunc('hour', ts) AS hour_start, zone, statut, count(*) AS n FROM readings GROUP BY 1, 2, 3""")
+def windowed_counts(t: Tables):
+    hour = F.window("ts", "1 hour")["start"].cast("timestamp_ntz").alias("hour_start")
+    return t.readings.groupBy(hour, "zone", "statut").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("stale_runs", """
 SELECT meter_id, count(*) AS run_rows, min(ts) AS start_ts, max(ts) AS end_ts, min(event_id) AS first_id FROM (
   SELECT *, sum(s) OVER (PARTITION BY meter_id ORDER BY ts, event_id) AS island FROM (

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.expr import r
+from ..functions.expr import mix_uniform, r
 from ..operators import evaluate as e, features as f, models as m
 from ..operators.detect import z_scores
 from ..session import scratch_dir
 from ..sources.files import append_log
 from ..sources.readings import Tables
-from .registry import R, query
+from .evaluate import auc_sql
+from .registry import R, mix, query, view
 
 FEATURES = ["consommation_kw", "tension_v", "courant_a", "power_factor", "frequency_hz"]
 
@@ -86,18 +87,37 @@ def squared_deviation(df):
     return z_scores(df, CELLS).withColumn("score", F.round(sum((F.pow(f"{c}_z", 2) for c in CELLS), F.lit(0.0)), 9))
 
 
-@query("permutation_importance")
+def dealt_sql(i: int, column: str) -> str:
+    """The readings with one z column dealt out again, and their deviation score."""
+    others = " + ".join(f"power({x}, 2)" for x in ZCOLS if x != column)
+    a, b = mix(100 + 2 * i), mix(101 + 2 * i)
+    return (f"(SELECT a.is_alert, round({others.replace('power(', 'power(a.')} + power(b.v, 2), 9) AS s FROM (SELECT *, row_number() OVER (ORDER BY {a}, event_id) AS k FROM zreadings) a "
+            f"JOIN (SELECT {column} AS v, row_number() OVER (ORDER BY {b}, event_id) AS k FROM zreadings) b ON a.k = b.k)")
+
+
+ZCOLS = ["kw_z", "v_z", "a_z"]
+BASE_AUC = auc_sql("(SELECT is_alert, round(power(kw_z, 2) + power(v_z, 2) + power(a_z, 2), 9) AS s FROM zreadings)", "s", "", "is_alert")
+
+
+@query("permutation_importance", " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, {R(f'(SELECT auc FROM ({BASE_AUC})) - auc', 5)} AS importance FROM ({auc_sql(dealt_sql(i, z), 's', '', 'is_alert')})"
+    for i, (c, z) in enumerate(zip(CELLS, ZCOLS))))
 def permutation_importance(t: Tables):
     rows = t.readings.select("event_id", "is_alert", *CELLS)
-    return m.permutation_importance(rows, CELLS, squared_deviation, "is_alert", "event_id", e.permute_column).select("feature", r("importance").alias("importance"))
+    return m.permutation_importance(rows, CELLS, squared_deviation, "is_alert", "event_id", e.permute_column).select("feature", r("importance", 5).alias("importance"))
+
+
+view("window_kw", f"""SELECT w.event_id, max(CASE WHEN s.event_id = w.event_id THEN s.is_alert END) AS label, list(s.consommation_kw ORDER BY s.rn) AS ordered,
+  list(s.consommation_kw ORDER BY {mix(3, 'w.event_id * 8 + s.rn - w.rn + 7')}, s.rn) AS shuffled FROM (SELECT event_id, meter_id, row_number() OVER (PARTITION BY meter_id ORDER BY ts, event_id) AS rn FROM readings) w
+  JOIN (SELECT *, row_number() OVER (PARTITION BY meter_id ORDER BY ts, event_id) AS rn FROM readings) s ON w.meter_id = s.meter_id AND s.rn BETWEEN w.rn - 7 AND w.rn WHERE w.rn >= 8 GROUP BY w.event_id""")
 
 
-@query("shuffle_test")
+@query("shuffle_test", " UNION ALL ".join(f"SELECT '{x}' AS form, {R('auc')} AS roc_auc FROM ({auc_sql(f'(SELECT label, abs({x}[8] - {x}[7]) AS s FROM window_kw)', 's')})" for x in ("ordered", "shuffled")))
 def shuffle_test(t: Tables):
     """AUC of an order-sensitive window score before and after shuffling the steps inside each window."""
     cols = ["event_id", "ts", "meter_id", "zone", "type", "is_alert", "consommation_kw"]
     w = f.sliding_windows(t.readings.select(*cols), f.METER, STEPS, ["consommation_kw"]).select("event_id", "label_last", F.transform("steps", lambda s: s["consommation_kw"]).alias("x"))
-    keyed = F.array_sort(F.transform("x", lambda v, i: F.struct(F.xxhash64("event_id", i).alias("h"), v.alias("v"))))
+    keyed = F.array_sort(F.transform("x", lambda v, i: F.struct(mix_uniform(F.col("event_id") * STEPS + i, 3).alias("h"), i.alias("i"), v.alias("v"))))
     shuffled = F.transform(keyed, lambda s: s["v"])
 
     def last_jump(x):

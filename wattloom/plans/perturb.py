@@ -4,25 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.expr import r
+from ..functions.expr import MIX_MODULUS, r
 from ..operators import features as f, perturb as p
 from ..operators.evaluate import curve_areas
 from ..operators.detect import z_scores
 from ..sources.readings import Tables
 from .evaluate import auc_sql
-from .registry import R, query, view
+from .registry import R, mix, query, view
 
 KW, V, A = "consommation_kw", "tension_v", "courant_a"
 MINI = ["event_id", "ts", "meter_id", KW, V, A]
 W = "WINDOW w AS (PARTITION BY meter_id ORDER BY ts, event_id)"
 
 
-def mix(seed: int) -> str:
-    return f"(cast((event_id * {7919 + 2 * seed} + {104729 * (seed + 1)}) % 9973 as double) / 9973)"
-
-
 def gauss(seed: int) -> str:
-    return f"(sqrt(-2 * ln({mix(seed)} + 0.5 / 9973.0::double)) * cos(2 * pi() * {mix(seed + 1)}))"
+    return f"(sqrt(-2 * ln({mix(seed)} + 0.5::double / {MIX_MODULUS})) * cos(2 * pi() * {mix(seed + 1)}))"
 
 
 @query("impute_compare", f"""
@@ -35,12 +31,12 @@ def impute_compare(t: Tables):
     return out.select("event_id", "masked", *[r(c).alias(c) for c in ("zero", "mean", "neighbours", "ffill")])
 
 
-@query("gaussian_noise", f"SELECT event_id, {R(f'{KW} + 0.05 * {gauss(11)}')} AS {KW} FROM readings")
-def gaussian_noise(t: Tables):
+@query("noise", f"SELECT event_id, {R(f'{KW} + 0.05 * {gauss(11)}')} AS {KW} FROM readings")
+def noise(t: Tables):
     return t.readings.select("event_id", r(F.col(KW) + 0.05 * p.gaussian("event_id", 11)).alias(KW))
 
 
-@query("sensor_noise", f"""SELECT event_id, {R(f'{KW} + 0.3 * (cast((cast(substr(meter_id, 4) as bigint) * 7961 + 2304038) % 9973 as double) / 9973 - 0.5)')} AS offset_kw,
+@query("sensor_noise", f"""SELECT event_id, {R(f'{KW} + 0.3 * ({mix(21, 'cast(substr(meter_id, 4) as bigint)')} - 0.5)')} AS offset_kw,
   {R(f'{V} + CASE WHEN {mix(21)} < 0.02::double THEN {gauss(23)} * 5 ELSE 0 END')} AS spike_v FROM readings""")
 def sensor_noise(t: Tables):
     # one offset per sensor, spikes on two percent of the readings

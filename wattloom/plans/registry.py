@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.expr import MIX_MODULUS, mix_factor
 from ..sources.readings import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,3 +98,8 @@ def query(name: str, sql: str | None = None):
 def R(expr: str, digits: int = 6) -> str:
     """DuckDB twin of ``functions.expr.r``."""
     return f"(round(cast({expr} as double), {digits}) + 0)"
+
+
+def mix(seed: int, ident: str = "event_id") -> str:
+    """DuckDB twin of ``functions.expr.mix_uniform``."""
+    return f"(cast((({ident}) % {MIX_MODULUS} * {mix_factor(seed)} + {104_729 * (seed + 1)}) % {MIX_MODULUS} as double) / {MIX_MODULUS})"

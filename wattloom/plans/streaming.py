@@ -8,6 +8,7 @@ from ..functions.expr import r
 from ..operators import ledger as l, perturb as p
 from ..sources.readings import Tables, alerts_from_readings, scored_from_readings
 from ..streaming import microbatch as m, sources as s, stateful as st
+from .detect import rounded_adaptive
 from .ledger import NODES, SIZE
 from .registry import BODIES, R, query
 
@@ -68,9 +69,9 @@ def stream_seeded_windows(t: Tables):
     return _full(s.drain_to_table(st.stream_seeded_windows(rest, 8, seed), "seeded"))
 
 
-@query("stream_adaptive_threshold")
+@query("stream_adaptive_threshold", BODIES["adaptive_threshold"])
 def stream_adaptive_threshold(t: Tables):
-    return s.drain_to_table(st.stream_adaptive(scored_from_readings(live(t)), 0.9), "adaptive")
+    return rounded_adaptive(s.drain_to_table(st.stream_adaptive(scored_from_readings(live(t)), 0.9), "adaptive"))
 
 
 @query("stream_attack_overlay", BODIES["attack_overlay"])
