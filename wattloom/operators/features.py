@@ -204,6 +204,19 @@ def sliding_windows(df: DataFrame, keys: list[str], length: int, features: list[
     return out.filter(F.col("rows_in") == length).drop("rows_in")
 
 
+def flat_windows(df: DataFrame, keys: list[str], length: int, features: list[str], label: str = "is_alert",
+                 order: list[str] = ORDER) -> tuple[DataFrame, list[str]]:
+    """The same windows with one column per step and feature (oldest step first), as model input."""
+    names = {f"{c}_{i}": (c, length - 1 - i) for i in range(length) for c in features}
+
+    def build(w: WindowSpec) -> dict[str, Column]:
+        cells = {n: (F.lag(c, k).over(w) if k else F.col(c)).cast("double") for n, (c, k) in names.items()}
+        return {**cells, "__full": F.lag(F.lit(1), length - 1).over(w)}
+
+    out = over_series(df, keys, order, build, back=length - 1).filter("__full = 1")
+    return out.select("event_id", F.col(label).alias("label_last"), *names), list(names)
+
+
 def window_labels(frame: WindowSpec, label: str) -> dict[str, Column]:
     return {
         "label_last": F.col(label),

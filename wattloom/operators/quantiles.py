@@ -14,11 +14,15 @@ def percentiles(df: DataFrame, keys: list[str], wanted: dict[str, tuple[str, flo
     (which also absorbs hot keys), cumulative counts give the ranks, and the two order statistics around
     each rank are picked out.
     """
-    if fits_one_task(df):
-        return df.groupBy(*keys).agg(*[F.percentile(c, F.lit(p)).alias(a) for a, (c, p) in wanted.items()])
     by_column: dict[str, dict[str, float]] = {}
     for alias, (column, p) in wanted.items():
         by_column.setdefault(column, {})[alias] = p
+    if fits_one_task(df):
+        # one pass over a column's values for all its percentiles
+        packed = df.groupBy(*keys).agg(*[F.percentile(c, F.array(*[F.lit(float(p)) for p in ps.values()])).alias(f"__p{i}")
+                                         for i, (c, ps) in enumerate(by_column.items())])
+        where = {a: F.col(f"__p{i}")[j] for i, ps in enumerate(by_column.values()) for j, a in enumerate(ps)}
+        return packed.select(*keys, *[where[a].alias(a) for a in wanted])
     out = None
     for column, ps in by_column.items():
         part = _ranked(df, keys, column, ps)

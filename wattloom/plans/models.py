@@ -27,10 +27,11 @@ STEPS, CELLS = 8, ["consommation_kw", "tension_v", "courant_a"]
 
 
 def flat_windows(t: Tables):
-    cols = ["event_id", "ts", "meter_id", "zone", "type", "is_alert", *CELLS]
-    w = f.sliding_windows(t.readings.select(*cols), f.METER, STEPS, CELLS)
-    names = [f"{c}_{i}" for i in range(STEPS) for c in CELLS]
-    return w.select("event_id", "label_last", *[F.col("steps")[i][c].alias(f"{c}_{i}") for i in range(STEPS) for c in CELLS]), names
+    w, names = f.flat_windows(t.readings.select("event_id", "ts", "meter_id", "is_alert", *CELLS), f.METER, STEPS, CELLS)
+    # the fit passes over the windows four times: they are cut once and stored
+    path = scratch_dir(t.spark, "windows")
+    w.write.parquet(path)
+    return t.spark.read.parquet(path), names
 
 
 @query("pca_recon_score")
