@@ -11,6 +11,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.expr import div0
+from .lookup import lookup_join
 from .quantiles import percentiles, with_scalars
 
 
@@ -68,7 +69,7 @@ def population_mean(filled: DataFrame) -> DataFrame:
     per_day = filled.groupBy("day").agg(F.avg("kwh").alias("population"))
     whole = filled.agg(F.avg("filled"))
     pop = per_day.select("day", F.coalesce("population", whole.scalar()).alias("population"))
-    out = filled.join(pop, "day")
+    out = lookup_join(filled, pop, ["day"])
     return out.withColumn("vs_population", F.col("filled") - F.col("population"))
 
 

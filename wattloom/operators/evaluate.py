@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.expr import div0, mix_uniform, sigmoid, total
 from .features import METER, ORDER
+from .lookup import lookup_join
 from .quantiles import many_percentiles, percentiles, with_scalars
 from .series import add_running, islands, ordinal, running, slice_series
 
@@ -54,7 +55,7 @@ def grouped_kfold(df: DataFrame, k: int, val_frac: float, seed: int = 42) -> Dat
     """Rows with the fold in which their meter is tested, and the part they play in the other folds."""
     tagged = ordinal(df, METER, ORDER, rn="__rn", n="__len")
     role = F.when(F.col("__rn") <= F.col("__len") - F.floor(F.col("__len") * val_frac), "train").otherwise("val")
-    return tagged.withColumn("role", role).drop("__rn", "__len").join(meter_folds(df, k, seed), "meter_id")
+    return tagged.withColumn("role", role).drop("__rn", "__len").transform(lambda rows: lookup_join(rows, meter_folds(df, k, seed), ["meter_id"], sized_by=df))
 
 
 # ---- confusion metrics -----------------------------------------------------
@@ -107,7 +108,7 @@ def curve_areas(df: DataFrame, keys: list[str], score: str, label: str) -> DataF
     c = counted(df, keys, score, label)
     s = add_running(slice_series(c, keys, ["score"], sized_by=df), {"cum_pos": F.col("pos"), "cum_neg": F.col("neg")}).done()
     totals = c.groupBy(*keys).agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
-    s = s.join(totals, keys) if keys else with_scalars(s, totals)
+    s = lookup_join(s, totals, keys, sized_by=df) if keys else with_scalars(s, totals)
     pos, neg = F.col("pos").cast("double"), F.col("neg").cast("double")
     tp, fp = F.col("p") - F.col("cum_pos") + pos, F.col("n") - F.col("cum_neg") + neg
     out = s.groupBy(*keys).agg(
@@ -318,7 +319,7 @@ def meter_generalisation(df: DataFrame, label: Column | str, hit: Column | str,
     """Metrics on the first meters by id (seen) and the rest (held out)."""
     dim = ordinal(df.select("meter_id").distinct(), [], ["meter_id"], rn="__rn", n="__all")
     dim = dim.select("meter_id", F.when(F.col("__rn") <= F.floor(F.col("__all") * seen_share), "seen").otherwise("held_out").alias("part"))
-    return metrics(df.join(dim, "meter_id"), ["part"], label, hit)
+    return metrics(lookup_join(df, dim, ["meter_id"]), ["part"], label, hit)
 
 
 def detection_latency(df: DataFrame, hit: Column | str) -> DataFrame:

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from ..functions.expr import clip, col, dbl, div0, total
+from .lookup import lookup_join
 from .quantiles import with_scalars
 from .series import HALO, SLICE, Sliced, add_running, islands, ordinal, over_series, running, slice_series
 
@@ -59,7 +60,7 @@ def label_codes(df: DataFrame, column: str, out: str) -> DataFrame:
     """Codes 0.. in lexicographic order of the distinct values, which are few by nature (a category)."""
     ranked = df.select(column).distinct().select(
         column, (F.dense_rank().over(Window.orderBy(column)) - 1).alias(out))
-    return df.join(ranked, column)
+    return lookup_join(df, ranked, [column])
 
 
 def one_hot(column: str, values: list[str], prefix: str) -> dict[str, Column]:
@@ -143,7 +144,7 @@ def zone_mean(df: DataFrame, bucket: Column, by: list[str] = ["zone"], value: st
     """Mean over the zone in the same time bucket, and the distance from it."""
     df = df.withColumn("bucket", bucket)
     means = df.groupBy("bucket", *by).agg(F.avg(value).alias("zone_consumption_mean"))
-    out = df.join(means, ["bucket", *by])
+    out = lookup_join(df, means, ["bucket", *by])
     return out.withColumn("meter_vs_zone_consumption", F.col(value) - F.col("zone_consumption_mean"))
 
 
@@ -172,7 +173,7 @@ def autocorrelation(df: DataFrame, value: str, max_lag: int, min_rows: int = 12,
     """Autocorrelation at lags 0..max_lag per meter, averaged over the meters long and varied enough."""
     stats = df.groupBy(*METER).agg(F.avg(value).alias("__mean"), F.stddev_pop(value).alias("__std"), F.count(F.lit(1)).alias("__len"))
     stats = stats.filter((F.col("__std") >= min_std) & (F.col("__len") >= min_rows))
-    centred = df.join(stats, METER).withColumn("__x", F.col(value) - F.col("__mean"))
+    centred = lookup_join(df, stats, METER).withColumn("__x", F.col(value) - F.col("__mean"))
     lagged = over_series(centred, METER, ORDER, lambda w: {f"__l{k}": F.lag("__x", k).over(w) for k in range(1, max_lag + 1)},
                          back=max_lag, sized_by=df)
     x = F.col("__x")

@@ -12,9 +12,9 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..session import scratch_dir
 from .detect import domain_rules
 from .evaluate import counted, curve_areas
+from .lookup import stored
 from .quantiles import percentiles, with_scalars
 
 # ---- segmented isolation forest --------------------------------------------
@@ -138,9 +138,7 @@ def segmented_detection(df: DataFrame, features: list[str], trees: int = TREES)
     """Forest alarm (top share of its segment) together with the domain rules."""
     df = segment(df)
     # the fitted forest is stored once: its trees are read by the check, the scoring and any retry
-    path = scratch_dir(df.sparkSession, "forest")
-    fit_forest(df, features, trees=trees).write.parquet(path)
-    forest = df.sparkSession.read.parquet(path)
+    forest = stored(fit_forest(df, features, trees=trees), "forest")
     scored = df.join(score_forest(df, forest, features), "event_id")
     cuts = percentiles(scored.filter("forest_score > 0"), ["segment"], {"cut": ("forest_score", 1 - CONTAMINATION)})
     out = scored.join(F.broadcast(cuts), "segment", "left")  # one row per modelled segment, bounded above

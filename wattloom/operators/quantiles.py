@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from .lookup import lookup_join
 from .series import add_running, fits_one_task, slice_series
 
 
@@ -40,7 +41,7 @@ def _ranked(df: DataFrame, keys: list[str], column: str, ps: dict[str, float]) -
     run = add_running(slice_series(counted, keys, ["__v"]), {"__cum": F.col("__c")}).done()
     totals = counted.groupBy(*keys).agg(F.sum("__c").alias("__total"))
     if keys:
-        run = run.join(totals, keys)
+        run = lookup_join(run, totals, keys, sized_by=df)
     else:
         run = run.withColumn("__total", totals.scalar())
     picks, finals = [], []

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import div0, r
 from ..operators import evaluate as e, features as f
-from ..operators.detect import over_series
+from ..operators.lookup import lookup_join
 from ..operators.quantiles import percentiles, with_scalars
 from ..sources.readings import Tables
 from .registry import R, mix, query, view
@@ -196,7 +196,7 @@ view("fold_metrics_b", f"SELECT fold, {', '.join(f'{METRIC_SQL[m]} AS {m}' for m
 @query("fold_summary", " UNION ALL ".join(
     f"SELECT '{m}' AS metric, {R(f'avg({m})')} AS mean, {R(f'stddev_pop({m})')} AS std, {R(f'CASE WHEN avg({m}) = 0 THEN 0 ELSE 100 * stddev_pop({m}) / avg({m}) END')} AS cv_pct FROM fold_metrics" for m in e.METRICS))
 def fold_summary(t: Tables):
-    rows = t.scored.join(e.meter_folds(t.scored, 5), "meter_id")
+    rows = lookup_join(t.scored, e.meter_folds(t.scored, 5), ["meter_id"])
     long = e.metrics(rows, ["fold"], LABEL, HIT_A).select("fold", *e.METRICS).unpivot(["fold"], e.METRICS, "metric", "value")
     out = long.groupBy("metric").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
     return out.select("metric", r("mean").alias("mean"), r("std").alias("std"), r(div0(100 * F.col("std"), "mean")).alias("cv_pct"))
@@ -204,7 +204,7 @@ def fold_summary(t: Tables):
 
 @query("cohens_d", f"SELECT {R('avg(a.f1 - b.f1)')} AS mean_diff, {R('avg(a.f1 - b.f1) / stddev_samp(a.f1 - b.f1)')} AS cohens_d FROM fold_metrics a JOIN fold_metrics_b b ON a.fold = b.fold")
 def cohens_d(t: Tables):
-    rows = t.scored.join(e.meter_folds(t.scored, 5), "meter_id")
+    rows = lookup_join(t.scored, e.meter_folds(t.scored, 5), ["meter_id"])
     a = e.metrics(rows, ["fold"], LABEL, HIT_A).select("fold", F.col("f1").alias("f1_a"))
     b = e.metrics(rows, ["fold"], LABEL, HIT_B).select("fold", F.col("f1").alias("f1_b"))
     return e.cohens_d(a.join(b, "fold"), "f1_a", "f1_b").select(r("mean_diff").alias("mean_diff"), r("cohens_d").alias("cohens_d"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.expr import mix_uniform, r
 from ..operators import evaluate as e, features as f, models as m
 from ..operators.detect import z_scores
+from ..operators.lookup import stored
 from ..session import scratch_dir
 from ..sources.files import append_log
 from ..sources.readings import Tables
@@ -29,9 +30,7 @@ STEPS, CELLS = 8, ["consommation_kw", "tension_v", "courant_a"]
 def flat_windows(t: Tables):
     w, names = f.flat_windows(t.readings.select("event_id", "ts", "meter_id", "is_alert", *CELLS), f.METER, STEPS, CELLS)
     # the fit passes over the windows four times: they are cut once and stored
-    path = scratch_dir(t.spark, "windows")
-    w.write.parquet(path)
-    return t.spark.read.parquet(path), names
+    return stored(w, "windows"), names
 
 
 @query("pca_recon_score")
@@ -75,9 +74,8 @@ SUPERVISED = [*FEATURES, "consommation_kw_diff", "hour", "score"]
 def supervised_models(t: Tables):
     rows = t.readings.join(t.scored.select("event_id", "score"), "event_id")
     rows = f.over_series(rows, f.METER, f.ORDER, lambda w: {"consommation_kw_diff": f.diff(w, "consommation_kw")}, back=1, sized_by=t.readings)
-    path = scratch_dir(t.spark, "training-rows")  # both learners pass over these rows many times
-    e.temporal_split(rows.withColumn("hour", F.hour("ts")), 0.15, 0.15).select("event_id", "split", "is_alert", *SUPERVISED).write.parquet(path)
-    rows = t.spark.read.parquet(path)
+    tagged = e.temporal_split(rows.withColumn("hour", F.hour("ts")), 0.15, 0.15).select("event_id", "split", "is_alert", *SUPERVISED)
+    rows = stored(tagged, "training-rows")  # both learners pass over these rows many times
     pred = m.supervised(rows.filter("split = 'train'"), rows.filter("split = 'test'"), SUPERVISED, "is_alert")
     quality = e.metrics(pred, ["model"], "label", "probability >= 0.5D")
     areas = e.curve_areas(pred, ["model"], "probability", "label")
