@@ -10,7 +10,7 @@ from wattloom.session import tune
 
 QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
 SERIES = """meter_diff rolling_mean rolling_std zone_asof_mean sliding_windows window_labels tumbling_rows temporal_quarters stale_runs alert_bursts
-autocorrelation rolling_threshold global_threshold alert_cooldown rate_window temporal_split stratified_split grouped_kfold roc_auc pr_auc pct_rank cume_rank
+autocorrelation rolling_threshold global_threshold alert_cooldown rate_window temporal_split stratified_split grouped_kfold rate_limit_exact roc_auc pr_auc pct_rank cume_rank
 f1_threshold detection_latency meter_generalisation describe latency_percentiles impute_compare packet_loss jitter_pairs attack_overlay interval_matches
 ledger_rows ledger_chain ledger_validate verified_rows anchor_audit enhanced_detection stream_zone_asof stream_ledger""".split()
 
@@ -36,6 +36,19 @@ def test_hot_meter_on_sliced_plan(spark, skewed, split_everything, name):
     assert compare(QUERIES[name](spark, out).toPandas(), con.sql(ORACLES[name]).df()) == []
 
 
+@pytest.mark.parametrize("warmup", [2000, 370])
+def test_hot_meter_adaptive_threshold(spark, skewed, split_everything, warmup):
+    """Also with a warm-up too short to reach the true state, when slices have to start again."""
+    from wattloom.operators.detect import adaptive_threshold
+    from wattloom.plans.detect import rounded_adaptive
+    from wattloom.sources.readings import Tables
+
+    out, con = skewed
+    spark.conf.set("wattloom.split.rows", "100")
+    got = rounded_adaptive(adaptive_threshold(Tables(spark, out).scored, 0.9, warmup)).toPandas()
+    assert compare(got, con.sql(ORACLES["adaptive_threshold"]).df()) == []
+
+
 def test_slices_bound_the_window_groups(spark, skewed, split_everything):
     """No window group of the hot meter holds more than a small multiple of the row limit."""
     from wattloom.sources.readings import Tables

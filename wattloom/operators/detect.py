@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 from ..functions.expr import div0, first_max_name, micros
 from .features import METER, ORDER, diff, pct_change, scaler_stats, temporal
 from .folds import Arrays, LastEmitted, emit_with_cooldown, ordered_fold
+from .lookup import stored
 from .profile import baseline_stats
 from .quantiles import percentiles, with_scalars
 from .series import ALL, HALO, SLICE, fits_one_task, islands, ordinal, over_series, slice_series
@@ -237,16 +238,95 @@ def decide_rows(state: ThresholdState, rows: Arrays, fallback: float) -> Arrays:
             "is_anomaly": np.array([d[1] for d in decided]), "confidence": np.minimum(1.0, scores / np.maximum(thr, 1e-9))}
 
 
-def adaptive_threshold(df: DataFrame, fallback: float) -> DataFrame:
+def adaptive_threshold(df: DataFrame, fallback: float, warmup: int = 4 * ThresholdState.HISTORY) -> DataFrame:
     """Per-meter threshold fed by the meter's own normal decisions.
 
-    Each decision depends on the ones before it, so a meter is one sequence by definition; its state is
-    500 numbers, its rows stream through, and the meters run in parallel.
+    Each decision depends on the ones before it. A meter's rows stream through one task with 500 numbers of
+    state; meters too large for that run as slices, see ``_sliced_adaptive``.
     """
     rows = df.select("meter_id", "event_id", "ts", F.col("score").cast("double").alias("score"))
+    if not fits_one_task(df):
+        return _sliced_adaptive(rows, fallback, warmup)
     return ordered_fold(rows, METER, ORDER, ThresholdState, lambda s, rows: decide_rows(s, rows, fallback), ADAPTIVE_SCHEMA)
 
 
+class SliceState(ThresholdState):
+    """State inside one slice: which scores it was entered with, and how many pieces were seen."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.entered: list[float] | None = None
+        self.pieces = 0
+
+
+SLICED_SCHEMA = f"{ADAPTIVE_SCHEMA}, slice long, piece int, entered array<double>, left array<double>"
+
+
+def _decide_slice(state: SliceState, rows: Arrays, fallback: float) -> Arrays:
+    """Decisions of the slice's own rows, and one more row with the state it was entered with and left in."""
+    kept, thresholds, hits, entered = [], [], [], None
+    for i, (seed, halo, score) in enumerate(zip(rows["seed"], rows[HALO].tolist(), rows["score"].tolist())):
+        if seed is not None:
+            state.scores.extend(float(x) for x in seed)
+            state.known = None
+            continue
+        if not halo and state.entered is None:
+            state.entered = entered = list(state.scores)
+        threshold, hit = state.decide(score, fallback)
+        if not halo:
+            kept.append(i)
+            thresholds.append(threshold)
+            hits.append(hit)
+    n = len(kept)
+    thr, score = np.array([*thresholds, 0.0]), np.array([*rows["score"][kept], 0.0])
+    lists = {"entered": np.full(n + 1, None, dtype=object), "left": np.full(n + 1, None, dtype=object)}
+    lists["entered"][n], lists["left"][n] = entered, list(state.scores)
+    state.pieces += 1
+    return {"meter_id": rows["meter_id"][[*kept, 0]], "event_id": np.array([*rows["event_id"][kept], 0], dtype="int64"), "score": score,
+            "threshold": thr, "is_anomaly": np.array([*hits, False]), "confidence": np.minimum(1.0, score / np.maximum(thr, 1e-9)),
+            "slice": rows[SLICE][[*kept, 0]], "piece": np.array([*([-1] * n), state.pieces], dtype="int32"), **lists}
+
+
+def _sliced_adaptive(rows: DataFrame, fallback: float, warmup: int) -> DataFrame:
+    """The same decisions with large meters cut into slices that run in parallel.
+
+    A slice first replays ``warmup`` rows before it, which normally brings it to the true state. Whether it
+    did is checked exactly: the scores it was entered with must be the ones its predecessor was left with.
+    Slices that fail start again from their predecessor's state, until all agree; the first failing slice
+    of a meter is right after every round, so the rounds end.
+    """
+    keys = ["meter_id", SLICE]
+    base = slice_series(rows, METER, ORDER, back=warmup).frame.select(
+        *keys, HALO, "ts", "event_id", "score", F.lit(None).cast("array<double>").alias("seed"))
+
+    def run(frame: DataFrame, number: int) -> DataFrame:
+        folded = ordered_fold(frame, keys, ORDER, SliceState, lambda s, part: _decide_slice(s, part, fallback), SLICED_SCHEMA)
+        return stored(folded.withColumnRenamed("slice", SLICE).withColumn("round", F.lit(number)), "adaptive")
+
+    def ends(results: DataFrame) -> DataFrame:
+        return results.filter("piece >= 0").groupBy(*keys, "round").agg(
+            F.max_by("entered", F.when(F.col("entered").isNotNull(), -F.col("piece"))).alias("entered"), F.max_by("left", "piece").alias("left"))
+
+    rounds = [run(base, 0)]
+    states = stored(ends(rounds[0]), "adaptive-states")
+    while True:
+        before = F.lag("left").over(Window.partitionBy("meter_id").orderBy(SLICE))
+        wrong = stored(states.withColumn("seed", before).filter(F.col("seed").isNotNull() & (F.col("seed") != F.col("entered"))).select(*keys, "seed"), "adaptive-wrong")
+        if wrong.isEmpty():
+            break
+        marks = wrong.select(*keys, F.lit(True).alias(HALO), F.lit(None).cast(dict(base.dtypes)["ts"]).alias("ts"),
+                             F.lit(0).cast("long").alias("event_id"), F.lit(0.0).alias("score"), "seed")
+        again = base.filter(~F.col(HALO)).join(wrong.select(*keys), keys, "left_semi").unionByName(marks)
+        rounds.append(run(again, len(rounds)))
+        states = stored(states.join(wrong, keys, "left_anti").unionByName(ends(rounds[-1])), "adaptive-states")
+    names = [c.split()[0] for c in ADAPTIVE_SCHEMA.split(", ")]
+    out = None
+    for results in rounds:
+        part = results.filter("piece < 0").join(states.select(*keys, "round"), [*keys, "round"], "left_semi").select(*names)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def global_threshold(df: DataFrame, bootstrap: float, pool: int = 5000, least: int = 200, every: int = 50, p: float = 98.0) -> DataFrame:
     """Cold-start threshold: percentile of the latest scores of all meters, refreshed as the pool fills.
 
