@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import minhash, quality
+from . import minhash, packing, quality, repeats, templates, tiling
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,3 +32,32 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
 @query("op9_quality_rules")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return quality.rules(table(spark, folder, "documents"))
+
+
+WORD = r"[^\x20\x09-\x0D]+"
+
+
+def n_words(text: str = "text"):
+    return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0))
+
+
+@query("op3_best_fit_packing")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "source", n_words().alias("n"), F.xxhash64("text").alias("copies"))
+    return packing.best_fit(docs, "doc_id", "n", "source", "copies", capacity=2048)
+
+
+@query("op5_line_dedup")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    left = templates.without_recurring(table(spark, folder, "documents"), n_lines="n_lines", n_dropped="n_dropped")
+    return left.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+@query("op7_substring_dedup")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return repeats.deduplicated(table(spark, folder, "documents"), width=35).drop("kept_text")
+
+
+@query("op8_decontamination")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return tiling.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop("__key")
