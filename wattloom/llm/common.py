@@ -41,6 +41,11 @@ def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
     return F.concat_ws(":", F.coalesce(F.col(doc_id).cast("string"), F.lit("-")), F.hex(F.xxhash64(F.col(text))))
 
 
+def n_words(text: str = "text") -> Column:
+    """Number of words; 0 for null."""
+    return F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0))
+
+
 def as_bytes(text: str = "text") -> Column:
     return F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import minhash, packing, quality, repeats, templates, tiling
-from .common import table
+from .common import n_words, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -34,13 +34,6 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
     return quality.rules(table(spark, folder, "documents"))
 
 
-WORD = r"[^\x20\x09-\x0D]+"
-
-
-def n_words(text: str = "text"):
-    return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0))
-
-
 @query("op3_best_fit_packing")
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "source", n_words().alias("n"), F.xxhash64("text").alias("copies"))
