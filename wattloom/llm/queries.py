@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import minhash, packing, quality, repeats, templates, tiling
+from . import minhash, packing, quality, repeats, templates, tiling, tokens, urls
 from .common import n_words, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,3 +54,43 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
 @query("op8_decontamination")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     return tiling.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop("__key")
+
+
+@query("op4_token_ids")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    return tokens.token_index(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+# the canonical form as in ``urls.canonical``; rules by length, the longest first
+OP6_SQL = r"""
+WITH parts AS (
+  SELECT page_id, url,
+    CASE WHEN url IS NULL THEN '' ELSE translate(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') END AS host,
+    CASE WHEN url IS NULL THEN '' ELSE regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's') END AS path,
+    array_to_string(list_sort(list_filter(string_split(coalesce(regexp_extract(url, '^.*?://[^?#]*\?([^#]*)', 1, 's'), ''), '&'),
+      lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[a-z]+|ref|fbclid|gclid)='))), '&') AS asked
+  FROM pages),
+keyed AS (
+  SELECT *, CASE WHEN contains(url, '://') THEN regexp_replace(host, '^www\.', '') || regexp_replace(path, '/+$', '')
+    || CASE WHEN asked = '' THEN '' ELSE '?' || asked END END AS canonical FROM parts),
+listed AS (SELECT canonical FROM keyed WHERE canonical IS NOT NULL GROUP BY canonical HAVING count(*) > 1),
+ruled AS (
+  SELECT *, CASE
+    WHEN (host = 'www.example.com' OR host LIKE '%.www.example.com') AND path LIKE '/en/%' THEN 'www.example.com/en/'
+    WHEN (host = 'example.com' OR host LIKE '%.example.com') AND path LIKE '/en/%' THEN 'example.com/en/'
+    WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/fr/%' THEN 'net/fr/'
+    WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/es/%' THEN 'net/es/'
+    WHEN (host = 'com' OR host LIKE '%.com') AND path LIKE '/%' THEN 'com/' END AS rule FROM keyed)
+SELECT page_id, host, path, rule, CASE
+  WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+  WHEN canonical IN (SELECT canonical FROM listed) THEN 'block' ELSE 'allow' END AS verdict
+FROM ruled"""
+
+
+@query("op6_url_filter", OP6_SQL)
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages")
+    return urls.judge(pages, urls.captured_again(pages))
