@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import minhash, packing, quality, repeats, templates, tiling, tokens, urls
+from . import minhash, packing, quality, repeats, templates, tiling, tokens, urls, warc
 from .common import n_words, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,3 +94,9 @@ FROM ruled"""
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     pages = table(spark, folder, "pages")
     return urls.judge(pages, urls.captured_again(pages))
+
+
+@query("op10_warc")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    index = warc.archived(table(spark, folder, "pages"))
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "position")
