@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import minhash, packing, quality, repeats, templates, tiling, tokens, urls, warc
+from . import minhash, packing, pii, quality, repeats, templates, tiling, tokens, urls, warc
 from .common import n_words, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,3 +100,8 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     index = warc.archived(table(spark, folder, "pages"))
     return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "position")
+
+
+@query("op1_pii")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.detect(table(spark, folder, "documents"))
