@@ -20,13 +20,19 @@ def uri(path: str) -> str:
 
 def write_file(folder: str, name: str, data: bytes) -> None:
     store, root = fs.FileSystem.from_uri(uri(folder))
-    store.create_dir(root, recursive=True)
     part = f"{root}/.{name}.{uuid.uuid4().hex}"
     with store.open_output_stream(part) as out:
         out.write(data)
     store.move(part, f"{root}/{name}")
 
 
+def make_folder(folder: str) -> str:
+    """The folder itself, so that it can be read even if no task has anything to write."""
+    store, root = fs.FileSystem.from_uri(uri(folder))
+    store.create_dir(root, recursive=True)
+    return folder
+
+
 def read_files(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
     """(path, content) of the files, one row each."""
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path", "content")

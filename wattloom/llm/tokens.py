@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import scratch_dir
 from .common import as_bytes, chunked, offsets
-from .files import read_files, write_file
+from .files import make_folder, read_files, write_file
 
 BLOCK, PERCENTILE, END = 1024, 90, 1
 FILE_IDS = 4 << 20
@@ -230,7 +230,7 @@ def file_starts(spark, folder: str) -> DataFrame:
 def token_index(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", folder: str | None = None) -> DataFrame:
     """Write the ids of ``docs`` and give one row per document read back: doc_id, start, n_tokens, ids_crc32."""
     spark = docs.sparkSession
-    folder = folder or scratch_dir(spark, "tokens")
+    folder = make_folder(folder or scratch_dir(spark, "tokens"))
     write_tokens(docs, path, folder, doc_id, text)
     return (
         read_tokens(spark, folder).join(file_starts(spark, folder), ["part", "number"])

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import scratch_dir
 from .common import chunked, stored
-from .files import FILE_BYTES, read_files, write_file
+from .files import FILE_BYTES, make_folder, read_files, write_file
 
 EPOCH = datetime(2020, 1, 1, tzinfo=timezone.utc)
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -185,6 +185,6 @@ def merged_index(entries: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
 def archived(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", folder: str | None = None) -> DataFrame:
     """Write the archives, read them back and merge their index: one row per page."""
     spark = pages.sparkSession
-    folder = folder or scratch_dir(spark, "warc")
+    folder = make_folder(folder or scratch_dir(spark, "warc"))
     write_archives(pages, folder, page_id, url, html)
     return merged_index(runs(spark, folder)).withColumnRenamed("run", "warc_file").withColumnRenamed("page_id", page_id)
