@@ -11,14 +11,12 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import scratch_dir
 
 KEY = "__key"
 CHUNK_BYTES = 4 << 20
-CACHED_WORDS = 400_000
 
 M1, M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 LEFT, RIGHT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -29,11 +27,22 @@ def table(spark, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
-    """The frame as a table in the shared folder: computed once, lineage cut, real size known to the planner."""
-    path = scratch_dir(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """The frame as a table in the shared folder: computed once, lineage cut, real size known to the planner.
+
+    Spark removes the shuffle files of this step when the table is written; nothing reads them again.
+    """
+    spark = df.sparkSession
+    path, before = scratch_dir(spark, label), spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
@@ -75,19 +84,6 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Non
     return df.mapInArrow(run, schema)
 
 
-class WordHash(dict):
-    """word -> 64-bit hash, filled on demand; emptied when large so that memory stays bounded."""
-
-    def __missing__(self, word: bytes) -> int:
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        if len(self) > CACHED_WORDS:
-            self.clear()
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser."""
     x = (x ^ (x >> S33)) * M1
@@ -95,20 +91,69 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> S33)
 
 
-def doubled(names: np.ndarray, step: int) -> np.ndarray:
-    """Names of windows made of two windows ``step`` apart: name(i), name(i + step)."""
-    if len(names) <= step:
-        return names[:0]
-    return mix(names[:-step] * LEFT + names[step:] * RIGHT + np.uint64(step))
+SPACE = np.zeros(256, bool)
+SPACE[[32, *range(9, 14)]] = True
+BYTES = mix(np.arange(1, 257, dtype=np.uint64) * RIGHT)
+BASE = 0x2545F4914F6CDD1D  # 5 mod 8
+BLOCK_BYTES = 1 << 20
+_powers: list[np.ndarray] = []
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """BASE ** i and its inverse for i below ``n``, modulo 2 ** 64; kept and grown as needed."""
+    if not _powers or len(_powers[0]) < n:
+        size = 1 << max(12, (n - 1).bit_length())
+        _powers[:] = []
+        for factor in (BASE, pow(BASE, -1, 1 << 64)):
+            steps = np.full(size, factor, np.uint64)
+            steps[0] = 1
+            _powers.append(np.multiply.accumulate(steps))
+    return _powers[0], _powers[1]
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    """64-bit hashes of the words of a text: polynomials over random values of the bytes, from one running sum."""
+    if len(text) > 2 * BLOCK_BYTES:
+        cut = max(text.rfind(s, 0, BLOCK_BYTES) for s in SPACE_BYTES)
+        if cut < 0:
+            cut = min([k for s in SPACE_BYTES if (k := text.find(s)) >= 0], default=len(text))
+        blocks, at = [], 0
+        while at < len(text):
+            blocks.append(_block_hashes(text[at: cut]))
+            at, end = cut, cut + BLOCK_BYTES
+            cut = max(text.rfind(s, at + 1, end) for s in SPACE_BYTES) if end < len(text) else len(text)
+            if cut < 0:
+                cut = min([k for s in SPACE_BYTES if (k := text.find(s, at + 1)) >= 0], default=len(text))
+        return np.concatenate(blocks)
+    return _block_hashes(text)
+
+
+SPACE_BYTES = [bytes([c]) for c in (32, *range(9, 14))]
+
+
+def _block_hashes(text: bytes) -> np.ndarray:
+    data = np.frombuffer(text, np.uint8)
+    inside = np.zeros(len(data) + 2, np.int8)
+    inside[1:-1] = ~SPACE[data]
+    edges = np.diff(inside)
+    starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+    up, down = powers(len(data) + 1)
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(BYTES[data] * up[: len(data)], out=total[1:])
+    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
 def window_names(hashes: np.ndarray, width: int) -> np.ndarray:
-    """64-bit names of all windows of ``width`` words, by doubling; the last step overlaps."""
-    names, have = hashes, 1
+    """64-bit names of all windows of ``width`` words: windows of twice the length are made of two; the last step overlaps.
+
+    Each step adds the right half times an odd factor of its own, so a name is a sum of word hashes with different factors.
+    """
+    names, have, factor = hashes, 1, LEFT
     while have < width:
         step = min(have, width - have)
-        names, have = doubled(names, step), have + step
-    return names
+        names = names[:-step] + names[step:] * factor if len(names) > step else names[:0]
+        have, factor = have + step, factor * RIGHT
+    return mix(names) if width > 1 else names
 
 
 def signed(a: np.ndarray) -> pa.Array:
