@@ -66,6 +66,71 @@ def test_small_inputs_keep_the_plain_window(spark, folder):
     assert not series.slice_series(Tables(spark, folder).readings, ["meter_id"], ["ts", "event_id"]).split
 
 
+def odd_readings(spark):
+    """A null key with most rows, null values, one far time and value, and ids that share a long prefix."""
+    return spark.range(900).select(
+        F.when(F.col("id") % 3 > 0, F.lit(None)).otherwise(F.concat(F.lit("meter-000000000000000"), F.col("id") % 4)).alias("meter_id"),
+        F.when(F.col("id") == 5, 4e12).when(F.col("id") % 11 == 0, F.lit(None)).otherwise((F.col("id") * 7919) % 13).cast("double").alias("v"),
+        F.when(F.col("id") == 17, F.lit(4102444800)).otherwise(F.lit(1700000000) + (F.col("id") * 31) % 500).cast("timestamp").alias("ts"),
+        F.concat(F.lit("event-00000000000000000"), F.format_string("%05d", (F.col("id") * 577) % 900)).alias("event_id"))
+
+
+def both_plans(spark, build):
+    plain = sorted(map(repr, build().collect()))
+    spark.conf.set("wattloom.split.bytes", "0")
+    spark.conf.set("wattloom.split.rows", "20")
+    try:
+        assert sorted(map(repr, build().collect())) == plain
+    finally:
+        spark.conf.unset("wattloom.split.bytes")
+        spark.conf.unset("wattloom.split.rows")
+    return plain
+
+
+@pytest.mark.parametrize("keys", [[], ["meter_id"]])
+@pytest.mark.parametrize("order", [["ts", "event_id"], ["event_id"], ["v", "event_id"]])
+def test_both_plans_agree_on_odd_rows(spark, keys, order):
+    tune(spark)
+    df = odd_readings(spark)
+    by_lag = lambda w: {"back": F.lag("v", 2).over(w), "ahead": F.lead("v").over(w)}
+    assert len(both_plans(spark, lambda: series.ordinal(df, keys, order, rn="rn", n="n"))) == 900
+    both_plans(spark, lambda: series.over_series(df, keys, order, by_lag, back=2, ahead=1))
+    both_plans(spark, lambda: series.running(df, keys, order, {"total": F.coalesce("v", F.lit(0.0)), "seen": F.lit(1)}))
+    both_plans(spark, lambda: series.carry_forward(df, keys, order, {"held": F.when(F.col("v") > 5, F.col("v"))}))
+    both_plans(spark, lambda: series.islands(df, keys, order, lambda w: ~F.col("v").eqNullSafe(F.lag("v").over(w))))
+
+
+@pytest.mark.parametrize("order", [["ts", "event_id"], ["event_id"], ["v", "event_id"]])
+def test_slices_stay_small_on_odd_rows(spark, split_everything, order):
+    s = series.slice_series(odd_readings(spark), ["meter_id"], order)
+    assert s.split and s.frame.groupBy("meter_id", series.SLICE).count().agg(F.max("count")).first()[0] <= 3 * 20
+
+
+def test_percentiles_keep_every_group(spark):
+    tune(spark)
+    df = odd_readings(spark).unionByName(odd_readings(spark).limit(3).withColumn("meter_id", F.lit("no values")).withColumn("v", F.lit(None).cast("double")))
+    assert len(both_plans(spark, lambda: quantiles.percentiles(df, ["meter_id"], {"q": ("v", 0.3), "m": ("v", 0.9)}))) == 6
+
+
+def test_lookups_keep_null_keys(spark):
+    from wattloom.operators.lookup import lookup_join
+
+    df = odd_readings(spark)
+    dim = df.groupBy("meter_id").agg(F.count(F.lit(1)).alias("n"))
+    assert len(both_plans(spark, lambda: lookup_join(df, dim, ["meter_id"]))) == 900
+
+
+def test_scratch_folder_needs_a_shared_place(spark):
+    from types import SimpleNamespace
+
+    from wattloom.session import scratch_dir
+
+    conf = SimpleNamespace(get=lambda key, default=None: default, set=lambda key, value: None)
+    with pytest.raises(RuntimeError):
+        scratch_dir(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://host:7077")), "x")
+    assert scratch_dir(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="local[4]")), "x")
+
+
 def test_text_order_positions(spark, split_everything):
     df = spark.range(500).select(F.format_string("m%05d", (F.col("id") * 7919) % 500).alias("k"))
     got = series.ordinal(df, [], ["k"], rn="rn").orderBy("k").toPandas()

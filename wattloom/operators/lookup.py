@@ -4,19 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from ..session import scratch_dir
-from .series import fits_one_task
-
-
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """The frame as a table in the shared scratch folder: computed once, survives lost executors, real size known."""
-    path = scratch_dir(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+from .series import fits_one_task, null_safe_join, stored
 
 
 def lookup_join(rows: DataFrame, dim: DataFrame, keys: list[str], how: str = "inner", sized_by: DataFrame | None = None) -> DataFrame:
-    """Join rows with one dimension row per key.
+    """Join rows with one dimension row per key; null keys match a null dimension key, so no row is lost.
 
     An aggregate's size is unknown to the planner, so on large inputs the dimension is stored first. Its file
     size then decides: below the broadcast threshold the rows stay where they are, above it the join is a
@@ -24,4 +16,4 @@ def lookup_join(rows: DataFrame, dim: DataFrame, keys: list[str], how: str = "in
     """
     if not fits_one_task(sized_by if sized_by is not None else rows):
         dim = stored(dim, "dimension")
-    return rows.join(dim, keys, how)
+    return null_safe_join(rows, dim, keys, how)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from .lookup import lookup_join
-from .series import add_running, fits_one_task, slice_series
+from .series import add_running, fits_one_task, null_safe_join, slice_series
 
 
 def percentiles(df: DataFrame, keys: list[str], wanted: dict[str, tuple[str, float]]) -> DataFrame:
@@ -24,15 +24,14 @@ def percentiles(df: DataFrame, keys: list[str], wanted: dict[str, tuple[str, flo
                                          for i, (c, ps) in enumerate(by_column.items())])
         where = {a: F.col(f"__p{i}")[j] for i, ps in enumerate(by_column.values()) for j, a in enumerate(ps)}
         return packed.select(*keys, *[where[a].alias(a) for a in wanted])
-    out = None
+    # every group has a row, also the null key and groups without a value
+    out = df.select(*keys).distinct() if keys else None
     for column, ps in by_column.items():
         part = _ranked(df, keys, column, ps)
-        if out is None:
-            out = part
-        elif keys:
-            out = out.join(part, keys, "full")
+        if keys:
+            out = null_safe_join(out, part, keys, "left")
         else:
-            out = out.select("*", *[part.select(a).scalar().alias(a) for a in ps])
+            out = part if out is None else out.select("*", *[part.select(a).scalar().alias(a) for a in ps])
     return out
 
 
@@ -41,7 +40,7 @@ def _ranked(df: DataFrame, keys: list[str], column: str, ps: dict[str, float]) -
     run = add_running(slice_series(counted, keys, ["__v"]), {"__cum": F.col("__c")}).done()
     totals = counted.groupBy(*keys).agg(F.sum("__c").alias("__total"))
     if keys:
-        run = lookup_join(run, totals, keys, sized_by=df)
+        run = lookup_join(run, totals, keys, sized_by=df)  # null keys match
     else:
         run = run.withColumn("__total", totals.scalar())
     picks, finals = [], []

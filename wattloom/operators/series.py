@@ -1,9 +1,10 @@
 """Ordered work inside a series (meter, zone, chain ...) that stays parallel when one series is huge.
 
 A plain window keeps a whole series in one task. Where the input may hold a series too large for
-that, the series above ``wattloom.split.rows`` are cut into slices of the order column; the few rows
-a frame needs from the neighbouring slices travel along as halo rows, and running totals get the sum
-of the earlier slices added. Small inputs, and all other series, keep the plain window.
+that, the series above ``wattloom.split.rows`` rows are dealt by ranges of their full order, so that slices
+hold equal numbers of rows whatever the values look like; the few rows a frame needs from the neighbouring
+slices travel along as halo rows, and running totals get the sum of the earlier slices added. Null keys form
+a series like any other. Small inputs, and all other series, keep the plain window, which gives the same rows.
 """
 
 from __future__ import annotations
@@ -14,10 +15,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from ..functions.expr import all_of
+from ..session import scratch_dir
 
 SLICE, HALO, HOT, ALL, ROWS = "__slice", "__halo", "__hot", "__series", "__series_rows"
-MAX_SLICES = 65536
-_TIMES = ("timestamp", "timestamp_ntz", "date")
 
 
 def plan_bytes(df: DataFrame) -> tuple[int, int] | None:
@@ -46,6 +46,21 @@ def split_rows(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("wattloom.split.rows", "1000000"))
 
 
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """The frame as a table in the shared scratch folder: computed once, survives lost executors, real size known."""
+    path = scratch_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join by keys of which nulls match each other; the keys stay once, from the left."""
+    names = {k: f"__r{i}" for i, k in enumerate(keys)}
+    right = right.withColumnsRenamed(names)
+    joined = left.join(right, all_of([F.col(k).eqNullSafe(F.col(r)) for k, r in names.items()]), how)
+    return joined if how in ("left_semi", "left_anti") else joined.drop(*names.values())
+
+
 @dataclass(frozen=True)
 class Sliced:
     """A frame with its (possibly sliced) series window."""
@@ -75,38 +90,24 @@ def slice_series(df: DataFrame, keys: list[str], order: list[str], back: int = 0
                  sized_by: DataFrame | None = None) -> Sliced:
     """Attach slices to the large series of ``df``.
 
-    ``order`` must be a total order inside a series, ascending, and start with a time or number.
+    ``order`` must be a total order inside a series, ascending.
     ``back`` / ``ahead`` are the rows a frame reaches before / after the current one.
     """
     if fits_one_task(sized_by if sized_by is not None else df):
         return Sliced(df, list(keys), list(order), False)
+    plain = Sliced(df, list(keys), list(order), False)
     keys, order = list(keys) or [ALL], list(order)
-    pos = _position(df, order[0])
     limit = split_rows(df)
-    parts = F.least(F.ceil(F.col(ROWS) / F.lit(limit)) * 16, F.lit(MAX_SLICES))
-    extent = [F.count(F.lit(1)).alias(ROWS), F.min(pos).alias("__lo"), F.max(pos).alias("__hi")]
-    width = F.greatest((F.col("__hi") - F.col("__lo")) / parts, F.lit(1e-12))
-    if keys == [ALL]:
-        whole = df.agg(*extent).withColumn("__width", F.when(F.col(ROWS) > limit, width)).select(F.struct(ROWS, "__lo", "__width"))
-        joined = df.withColumn(ALL, F.lit(0)).withColumn("__x", whole.scalar()).select("*", "__x.*").drop("__x")
-    else:
-        # at most rows / limit series pass the filter: that bound makes the broadcast safe
-        hot = (
-            df.groupBy(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)])
-            .agg(*extent)
-            .filter(F.col(ROWS) > limit)
-            .withColumn("__width", width)
-            .drop("__hi")
-        )
-        match = all_of([F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)])
-        joined = df.join(F.broadcast(hot), match, "left").drop(*[f"__k{i}" for i in range(len(keys))])
-    slice_no = F.coalesce(F.floor((pos - F.col("__lo")) / F.col("__width")).cast("long"), F.lit(0).cast("long"))
-    frame = (
-        joined.withColumn(SLICE, slice_no)
-        .withColumn(HALO, F.lit(False))
-        .withColumn(HOT, F.col("__width").isNotNull())
-        .drop("__lo", "__width")
-    )
+    df = df.withColumn(ALL, F.lit(0)) if keys == [ALL] else df
+    hot = stored(df.groupBy(*keys).agg(F.count(F.lit(1)).alias(ROWS)).filter(F.col(ROWS) > limit), "hot-series")
+    rows = hot.agg(F.sum(ROWS)).first()[0]
+    if not rows:
+        return plain
+    # the ranges come from samples, so the slices are stored: every use must see the same ones
+    dealt = null_safe_join(df, hot, keys).repartitionByRange(-(-rows // limit) + 1, *keys, *order)
+    large = stored(dealt.withColumn(SLICE, F.spark_partition_id().cast("long")), "slices").withColumn(HOT, F.lit(True))
+    rest = null_safe_join(df, hot, keys, "left_anti").withColumns({ROWS: F.lit(None).cast("long"), SLICE: F.lit(0).cast("long"), HOT: F.lit(False)})
+    frame = large.unionByName(rest).withColumn(HALO, F.lit(False))
     out = frame
     if back:
         out = out.unionByName(_halo(frame, keys, order, back, forward=True))
@@ -115,15 +116,6 @@ def slice_series(df: DataFrame, keys: list[str], order: list[str], back: int = 0
     return Sliced(out, keys, order, True)
 
 
-def _position(df: DataFrame, column: str) -> Column:
-    if dict(df.dtypes)[column] in _TIMES:
-        return F.unix_micros(F.col(column).cast("timestamp")).cast("double")
-    if dict(df.dtypes)[column] == "string":
-        # the first eight bytes as a number: follows the string order, ties allowed
-        return F.conv(F.rpad(F.substring(F.hex(F.col(column)), 1, 16), 16, "0"), 16, 10).cast("double")
-    return F.col(column).cast("double")
-
-
 def _halo(frame: DataFrame, keys: list[str], order: list[str], reach: int, forward: bool) -> DataFrame:
     """The last ``reach`` rows before each slice (or the first after it), tagged with that slice."""
     near = [F.col(c).desc() if forward else F.col(c).asc() for c in order]
@@ -143,8 +135,7 @@ def _halo(frame: DataFrame, keys: list[str], order: list[str], reach: int, forwa
                 F.explode(F.sequence(F.greatest(F.lit(1), F.col("__p0") - reach), F.col("__p0") - 1)).alias("__p"))
     )
     return (
-        edge.drop(SLICE)
-        .join(wanted, [*keys, "__p"])
+        null_safe_join(edge.drop(SLICE), wanted, [*keys, "__p"])
         .withColumn(HALO, F.lit(True))
         .withColumnRenamed("__target", SLICE)
         .drop("__p")
@@ -178,7 +169,7 @@ def add_running(s: Sliced, sums: dict[str, Column], how: str = "sum", exclusive:
         here, before = F.col(name), F.col(f"__o_{name}")
         return F.when(before.isNull(), here).when(here.isNull(), before).otherwise(join(here, before))
 
-    frame = frame.join(offsets, [*s.keys, SLICE], "left").withColumns({name: both(name) for name in sums})
+    frame = null_safe_join(frame, offsets, [*s.keys, SLICE], "left").withColumns({name: both(name) for name in sums})
     return s.with_frame(frame.drop(*[f"__o_{name}" for name in sums]))
 
 
@@ -217,7 +208,7 @@ def carry_forward(df: DataFrame, keys: list[str], order: list[str], values: dict
         .agg(*[F.max_by(expr, F.when(expr.isNotNull(), at)).alias(f"__t_{name}") for name, expr in values.items()])
         .select(*s.keys, SLICE, *[F.last(f"__t_{name}", ignorenulls=True).over(earlier).alias(f"__o_{name}") for name in values])
     )
-    frame = frame.join(offsets, [*s.keys, SLICE], "left").withColumns(
+    frame = null_safe_join(frame, offsets, [*s.keys, SLICE], "left").withColumns(
         {name: F.coalesce(F.col(name), F.col(f"__o_{name}")) for name in values}
     )
     return s.with_frame(frame.drop(*[f"__o_{name}" for name in values])).done()
