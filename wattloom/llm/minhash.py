@@ -8,9 +8,9 @@ an empty set, which links with nothing. Documents with equal sets form a class;
    probability 5e-6.
 2. Within a bucket the member with most bucket mates leads, and all others are paired with it: a bucket of n gives n - 1
    pairs. Pairs whose signatures (8 bits of each minimum) agree well enough are confirmed on the full sets.
-3. Buckets whose members still lie in different components have their remaining members compared by signature, in blocks;
-   pairs of one component are not looked at again. Confirmed pairs join the graph, so no link between
-   components is lost.
+3. Buckets whose members still lie in different components are gone through in blocks: pairs of different components whose signatures
+   agree are confirmed inside the task, each pair in the first band it shares. A task gives out only links that join
+   something, fewer than its members, so no link between components is lost and no list of pairs arises.
 
 Rows with a null id take no part (component null, kept). Repeated ids are one node: the links of either row count. Texts of any
 length, empty tables and extra columns are fine; each task holds one batch of documents or one block of signatures.
@@ -23,7 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import LEFT, RIGHT, WordHash, as_bytes, doubled, map_arrow, mix, offsets, signed, stored
+from .common import LEFT, RIGHT, as_bytes, map_arrow, mix, offsets, stored, word_hashes
 from .components import components
 
 BANDS, ROWS, BLOCK, CHUNK = 40, 6, 2048, 1 << 19
@@ -31,9 +31,9 @@ MARGIN = 0.14  # five standard deviations of the estimate from 240 minima at 0.8
 NO_WORDS = np.zeros(0, np.uint64)
 
 
-def shingle_set(text: bytes, hashes: WordHash, width: int) -> np.ndarray:
+def shingle_set(text: bytes, width: int) -> np.ndarray:
     """Sorted distinct shingle hashes of one text."""
-    words = hashes.of(text.lower().split())
+    words = word_hashes(text.lower())
     if not len(words):
         return NO_WORDS
     size = min(width, len(words))
@@ -70,12 +70,8 @@ def minima(sets: list[np.ndarray], size: int) -> np.ndarray:
 
 def signatures(docs: DataFrame, doc_id: str, text: str, width: int, bands: int, rows: int) -> DataFrame:
     """One row per document: id, set size, class, 8 bits of every minimum, band keys (empty sets: nulls)."""
-    hashes = None
-
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        nonlocal hashes
-        hashes = hashes if hashes is not None else WordHash()
-        sets = [shingle_set(t, hashes, width) for t in batch.column(1).to_pylist()]
+        sets = [shingle_set(t, width) for t in batch.column(1).to_pylist()]
         filled = [i for i, s in enumerate(sets) if len(s)]
         cls, sig, keys = ([None] * len(sets) for _ in range(3))
         if filled:
@@ -103,35 +99,35 @@ def agreeing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def similar_signatures(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """The pairs of classes (x, y) whose sizes allow and whose signatures suggest the similarity."""
+    """The pairs of nodes (x, y) whose sizes allow and whose signatures suggest the similarity."""
     least = percent / 100 - MARGIN
-    side = lambda c: reps.select(F.col("cls").alias(c), F.col("sig").alias(f"{c}_sig"), F.col("n_shingles").alias(f"{c}_n"))
+    side = lambda c: reps.select(F.col("node").alias(c), F.col("sig").alias(f"{c}_sig"), F.col("n_shingles").alias(f"{c}_n"))
     both = pairs.join(side("x"), "x").join(side("y"), "y").filter(F.least("x_n", "y_n") * 100 >= F.greatest("x_n", "y_n") * percent)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("x_sig", "y_sig"))
+        a, b = (byte_rows(batch.column(c).to_pylist()) for c in ("x_sig", "y_sig"))
         return batch.select(["x", "y"]).filter(pa.array(agreeing(a, b) >= least))
 
-    return map_arrow(both.select("x", "y", "x_sig", "y_sig"), run, "x binary, y binary", "x_sig")
+    return map_arrow(both.select("x", "y", "x_sig", "y_sig"), run, "x long, y long", "x_sig")
+
 
+def byte_rows(values: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(values), np.uint8).reshape(len(values), -1)
 
-def full_sets(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
-    """(cls, shingles as bytes) of the documents whose ids are wanted."""
-    hashes = None
 
+def full_sets(docs: DataFrame, nodes: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
+    """(node, shingles as bytes) of the documents with these ids. The ids are stored: their size decides whether texts are shuffled."""
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        nonlocal hashes
-        hashes = hashes if hashes is not None else WordHash()
-        sets = [shingle_set(t, hashes, width) for t in batch.column(0).to_pylist()]
-        return pa.RecordBatch.from_arrays([pa.array([class_of(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["cls", "shingles"])
+        sets = [shingle_set(t, width).tobytes() for t in batch.column(1).to_pylist()]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["node", "shingles"])
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("id"), as_bytes(text).alias("t"))
-    return map_arrow(rows.join(wanted.select("id").distinct(), "id", "left_semi").select("t"), run, "cls binary, shingles binary", "t").dropDuplicates(["cls"])
+    rows = docs.select(F.col(doc_id).cast("long").alias("node"), as_bytes(text).alias("t"))
+    return map_arrow(rows.join(stored(nodes.distinct(), "nodes"), "node", "left_semi"), run, "node long, shingles binary", "t").distinct()
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs whose full sets reach the similarity."""
-    side = lambda c: sets.select(F.col("cls").alias(c), F.col("shingles").alias(f"{c}_set"))
+    side = lambda c: sets.select(F.col("node").alias(c), F.col("shingles").alias(f"{c}_set"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         hit = []
@@ -142,58 +138,103 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         return batch.select(["x", "y"]).filter(pa.array(hit, pa.bool_()))
 
     both = pairs.join(side("x"), "x").join(side("y"), "y").select("x", "y", "x_set", "y_set")
-    return map_arrow(both, run, "x binary, y binary", "x_set")
-
+    return map_arrow(both, run, "x long, y long", "x_set")
 
-def unresolved_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs (x, y) of different components within a bucket whose signatures agree.
 
-    ``members``: band, cls, component, n_shingles, sig of the buckets to look at. A bucket is cut into blocks of
-    about ``BLOCK`` members; every pair of blocks is one group, so a group never holds more than some 4,000 signatures.
+def in_blocks(members: DataFrame) -> DataFrame:
+    """Members of buckets dealt to groups (band, i, j) of two blocks of about ``BLOCK`` members each, sorted by group."""
+    sizes = members.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("n_blocks"))
+    dealt = members.join(sizes, "band").withColumn("block", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))).drop("n_blocks")
+    dealt = dealt.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other")
+    return dealt.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
+
+
+def by_group(batches, keys: tuple[str, ...]):
+    """The rows of each group as a table, from batches sorted by group; a group may span batches."""
+    held: pa.Table | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = pa.Table.from_batches([batch])
+        rows = rows if held is None else pa.concat_tables([held, rows])
+        at = np.stack([rows.column(c).to_numpy().astype(np.int64) for c in keys])
+        cuts = [0, *(np.flatnonzero((at[:, 1:] != at[:, :-1]).any(axis=0)) + 1).tolist()]
+        for a, b in zip(cuts, cuts[1:]):
+            yield rows.slice(a, b - a)
+        held = rows.slice(cuts[-1]).combine_chunks()
+    if held is not None:
+        yield held
+
+
+def alike(rows: pa.Table, component: np.ndarray, percent: int):
+    """For each member of a group in turn: (its place, the later places of other components with agreeing signatures).
+
+    A pair counts in the first band its members share only, and in groups of two blocks only across them.
     """
     least = percent / 100 - MARGIN
-    sizes = members.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("n_blocks"))
-    dealt = members.join(sizes, "band").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("n_blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-    dealt = dealt.select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "cls", "component", "n_shingles", "sig")
-
-    def compare(rows: pa.Table) -> tuple[list, list]:
-        cls, n = rows.column("cls").to_pylist(), rows.column("n_shingles").to_numpy()
-        comp = rows.column("component").to_numpy()
-        sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), np.uint8).reshape(len(cls), -1)
-        x, y = [], []
-        for k in range(len(cls) - 1):
-            rest = np.flatnonzero(comp[k + 1:] != comp[k]) + k + 1
-            rest = rest[100 * np.minimum(n[rest], n[k]) >= percent * np.maximum(n[rest], n[k])]
-            for m in rest[agreeing(sig[rest], sig[k]) >= least]:
-                x.append(min(cls[k], cls[m]))
-                y.append(max(cls[k], cls[m]))
-        return x, y
+    n, block = rows.column("n_shingles").to_numpy(), rows.column("block").to_numpy()
+    sig = byte_rows(rows.column("sig").to_pylist())
+    bands = np.array(rows.column("bands").to_pylist(), np.int64)
+    here = rows.column("band")[0].as_py()
+    apart = rows.column("i")[0].as_py() != rows.column("j")[0].as_py()
+    for k in range(len(n) - 1):
+        rest = np.flatnonzero(component[k + 1:] != component[k]) + k + 1
+        rest = rest[100 * np.minimum(n[rest], n[k]) >= percent * np.maximum(n[rest], n[k])]
+        if apart:
+            rest = rest[block[rest] != block[k]]
+        rest = rest[agreeing(sig[rest], sig[k]) >= least] if len(rest) else rest
+        if len(rest):
+            first = np.argmax(bands[rest] == bands[k], axis=1)
+            rest = rest[bands[k][first] == here]
+        if len(rest):
+            yield k, rest
+
+
+GROUP = ("band", "i", "j")
+
+
+def open_members(dealt: DataFrame, percent: int) -> DataFrame:
+    """(band, i, j, node) of the members that have a partner to be confirmed."""
 
     def run(batches):
-        held = None
-        out = pa.schema([("x", pa.binary()), ("y", pa.binary())])
-
-        def groups(rows: pa.Table, last: bool):
-            nonlocal held
-            keys = np.stack([rows.column(c).to_numpy().astype(np.int64) for c in ("band", "i", "j")])
-            cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), rows.num_rows]
-            whole = len(cuts) - 1 - (not last)
-            held = None if last else rows.slice(cuts[-2]).combine_chunks()
-            for a, b in zip(cuts[:whole], cuts[1: whole + 1]):
-                if b - a > 1:
-                    x, y = compare(rows.slice(a, b - a))
-                    if x:
-                        yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), pa.array(y, pa.binary())], schema=out)
-
-        for batch in batches:
-            if batch.num_rows:
-                rows = pa.Table.from_batches([batch])
-                yield from groups(rows if held is None else pa.concat_tables([held, rows]), False)
-        if held is not None:
-            yield from groups(held, True)
-
-    return dealt.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").mapInArrow(run, "x binary, y binary").distinct()
+        for rows in by_group(batches, GROUP):
+            if rows.num_rows > 1:
+                component, marked = rows.column("component").to_numpy(), np.zeros(rows.num_rows, bool)
+                for k, rest in alike(rows, component, percent):
+                    marked[k] = marked[rest] = True
+                if marked.any():
+                    yield from rows.select([*GROUP, "node"]).filter(pa.array(marked)).to_batches()
+
+    return dealt.mapInArrow(run, "band long, i int, j int, node long")
+
+
+def joining_links(dealt: DataFrame, percent: int) -> DataFrame:
+    """Confirmed pairs (x, y) that join components, a spanning set for each group."""
+
+    def run(batches):
+        for rows in by_group(batches, GROUP):
+            component = rows.column("component").to_numpy().copy()
+            sets = [np.frombuffer(s, np.uint64) for s in rows.column("shingles").to_pylist()]
+            node, x, y = rows.column("node").to_numpy(), [], []
+            for k, rest in alike(rows, component, percent):
+                rest = rest[component[rest] != component[k]]
+                if not len(rest):
+                    continue
+                flat = np.concatenate([sets[m] for m in rest])
+                own = sets[k]
+                at = np.minimum(np.searchsorted(own, flat), len(own) - 1)
+                size = np.array([len(sets[m]) for m in rest])
+                both = np.add.reduceat((own[at] == flat).astype(np.int64), offsets(size)[:-1])
+                for m in rest[100 * both >= percent * (size + len(own) - both)]:
+                    if component[m] != component[k]:
+                        component[component == component[m]] = component[k]
+                        x.append(int(node[k]))
+                        y.append(int(node[m]))
+            if x:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["x", "y"])
+
+    return dealt.mapInArrow(run, "x long, y long")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80,
@@ -201,39 +242,37 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """One row per document: id, n_shingles, cls (documents with equal sets share it), component_id, kept."""
     s = stored(signatures(docs, doc_id, text, width, bands, rows), "signatures")
     in_graph = s.filter("id is not null and cls is not null")
+    # a class is known by its smallest id, the node
     reps = stored(
-        in_graph.groupBy("cls").agg(F.min("id").alias("rep"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands")), "classes"
+        in_graph.groupBy("cls").agg(F.min("id").alias("node"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands")), "classes"
     )
-    keyed = reps.select("cls", F.explode("bands").alias("band"))
+    keyed = reps.select(F.explode("bands").alias("band"), "node")
     shared = keyed.groupBy("band").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     buckets = stored(keyed.join(shared, "band"), "buckets")
 
-    mates = buckets.groupBy("cls").agg(F.sum("size").alias("mates"))
-    ranked = buckets.join(mates, "cls")
-    leaders = ranked.groupBy("band").agg(F.max(F.struct("mates", "cls")).alias("top")).select("band", F.col("top.cls").alias("leader"))
-    led = buckets.join(leaders, "band").filter("cls <> leader")
-    pairs = led.select(F.least("leader", "cls").alias("x"), F.greatest("leader", "cls").alias("y")).distinct()
-
-    def links(candidates: DataFrame) -> DataFrame:
-        likely = stored(similar_signatures(candidates, reps, percent), "pairs")
-        ids = likely.select(F.col("x").alias("cls")).unionAll(likely.select("y")).distinct().join(reps.select("cls", F.col("rep").alias("id")), "cls")
-        sure = confirmed(likely, full_sets(docs, ids, doc_id, text, width), percent)
-        rep = lambda c: reps.select(F.col("cls").alias(c), F.col("rep").alias(f"{c}_rep"))
-        return stored(sure.join(rep("x"), "x").join(rep("y"), "y").select(F.col("x_rep").alias("u"), F.col("y_rep").alias("v")), "links")
-
-    copies = in_graph.join(reps.select("cls", "rep"), "cls").filter("id <> rep").select(F.col("id").alias("u"), F.col("rep").alias("v"))
-    edges = links(pairs).unionAll(copies)
+    mates = buckets.groupBy("node").agg(F.sum("size").alias("mates"))
+    leaders = buckets.join(mates, "node").groupBy("band").agg(F.max(F.struct("mates", "node")).alias("top")).select("band", F.col("top.node").alias("leader"))
+    led = buckets.join(leaders, "band").filter("node <> leader").select("band", "node", "leader")
+    pairs = led.select(F.least("leader", "node").alias("x"), F.greatest("leader", "node").alias("y")).distinct()
+    likely = stored(similar_signatures(pairs, reps, percent), "pairs")
+    ends = likely.select(F.col("x").alias("node")).unionAll(likely.select("y"))
+    links = stored(confirmed(likely, full_sets(docs, ends, doc_id, text, width), percent), "links")
+
+    copies = in_graph.select("cls", "id").join(reps.select("cls", "node"), "cls").filter("id <> node").select(F.col("id").alias("u"), F.col("node").alias("v"))
+    edges = links.select(F.col("x").alias("u"), F.col("y").alias("v")).unionAll(copies)
     found = components(edges)
 
     # buckets whose members, the leader aside, still lie in different components
-    placed = led.join(reps.select("cls", "rep", "sig", "n_shingles"), "cls").join(found.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "band", "cls", "sig", "n_shingles", F.coalesce("component", "rep").alias("component"))
+    placed = led.select("band", "node").join(found, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
     mixed = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("band")
-    more = stored(unresolved_pairs(placed.join(mixed, "band"), percent).join(pairs, ["x", "y"], "left_anti"), "more")
-    if not more.isEmpty():
-        extra = links(more)
-        if not extra.isEmpty():
-            found = components(edges.unionAll(extra))
+    members = placed.join(mixed, "band").join(reps.select("node", "sig", "n_shingles", "bands"), "node")
+    waiting = stored(open_members(in_blocks(members), percent), "open")
+    if not waiting.isEmpty():
+        sets = full_sets(docs, waiting.select("node"), doc_id, text, width)
+        again = waiting.select("band", "node").distinct().join(placed, ["band", "node"]).join(reps.select("node", "sig", "n_shingles", "bands"), "node").join(sets, "node")
+        more = stored(joining_links(in_blocks(again), percent), "links")
+        if not more.isEmpty():
+            found = components(edges.unionAll(more.select(F.col("x").alias("u"), F.col("y").alias("v"))))
     return (
         s.join(found.withColumnRenamed("node", "id"), "id", "left")
         .select(F.col("id").alias(doc_id), "n_shingles", "cls", F.coalesce("component", "id").alias("component_id"))
