@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import WordHash, as_bytes, covered, map_arrow, window_names
+from .common import as_bytes, covered, map_arrow, window_names, word_hashes
 
 MIN_WORDS, REPEAT_WINDOW, MAX_REPEAT_PERCENT = 10, 5, 20
 
@@ -70,7 +70,7 @@ def one_word_rules(words: list[bytes]) -> bool:
     return any(2 * words.count(w) > len(words) for w in {*words[:2], *(a for a, b in zip(words, words[1:]) if a == b)})
 
 
-def judge(text: bytes, hashes: WordHash, max_lost: float) -> tuple:
+def judge(text: bytes, max_lost: float) -> tuple:
     words = text.split()
     n = len(words)
     checks = LineRules(text, words)
@@ -88,7 +88,7 @@ def judge(text: bytes, hashes: WordHash, max_lost: float) -> tuple:
             lost += len(own)
     repeats = 0
     if n >= REPEAT_WINDOW:
-        names = window_names(hashes.of(words), REPEAT_WINDOW)
+        names = window_names(word_hashes(text), REPEAT_WINDOW)
         values, where, counts = np.unique(names, return_inverse=True, return_counts=True)
         if len(values) < len(names):
             repeats = int(covered(n, np.flatnonzero(counts[where] > 1), REPEAT_WINDOW).sum())
@@ -101,12 +101,8 @@ def rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_lost:
     """One row per document: ``doc_id``, the base counts, bad lines, lost words and the verdict ``kept``."""
     names = [x.split()[0] for x in OUT.split(", ")]
     schema = T.StructType([docs.schema[c] for c in (doc_id, *carry)] + T.StructType.fromDDL(OUT).fields)
-    hashes: WordHash | None = None
-
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        nonlocal hashes
-        hashes = WordHash() if hashes is None else hashes
-        judged = list(zip(*[judge(x, hashes, max_lost) for x in batch.column("__bytes").to_pylist()]))
+        judged = list(zip(*[judge(x, max_lost) for x in batch.column("__bytes").to_pylist()]))
         own = [batch.column(c) for c in (doc_id, *carry)]
         kinds_out = [pa.bool_() if x in ("base_failed", "kept") else pa.int64() for x in names]
         return pa.RecordBatch.from_arrays([*own, *[pa.array(v, k) for v, k in zip(judged, kinds_out)]], names=[doc_id, *carry, *names])

@@ -17,14 +17,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import KEY, LEFT, RIGHT, WordHash, as_bytes, covered, map_arrow, mix, row_key, signed, stored, window_names
+from .common import KEY, LEFT, RIGHT, as_bytes, covered, map_arrow, mix, row_key, signed, stored, window_names, word_hashes
 
 BITS, BLOCK = 1 << 27, 1 << 16  # the bitmap is 16 MB whatever the benchmark's size
 MIN_MATCH, PERCENT = 5, 60
 
 
-def words_of(text: bytes, hashes: WordHash) -> np.ndarray:
-    return hashes.of(text.lower().split())
+def words_of(text: bytes) -> np.ndarray:
+    return word_hashes(text.lower())
 
 
 def seeds_of(words: np.ndarray, width: int) -> np.ndarray:
@@ -35,9 +35,9 @@ def item_seeds(bench: DataFrame, item_id: str, text: str, min_match: int) -> Dat
     """(seed, item, width, words) for every seed place of the items; ``width`` is below ``min_match`` for short items."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        hashes, items, seeds, widths, lengths = WordHash(), [], [], [], []
+        items, seeds, widths, lengths = [], [], [], []
         for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            words = words_of(text, hashes)
+            words = words_of(text)
             width = min(min_match, len(words))
             if width:
                 own = seeds_of(words, width)
@@ -144,14 +144,10 @@ def leaks(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id", text: str =
     bits = docs.sparkSession.sparkContext.broadcast(bitmap(places))
     widths = sorted(r[0] for r in places.select("width").distinct().collect())  # min_match values at most
 
-    hashes: WordHash | None = None
-
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        nonlocal hashes
-        hashes = hashes if hashes is not None else WordHash()
         kept, found = [], []
         for i, t in enumerate(batch.column(1).to_pylist()):
-            words = words_of(t, hashes)
+            words = words_of(t)
             own = [s[possible(s, bits.value)] for s in (seeds_of(words, w) for w in widths if len(words) >= w)]
             if any(map(len, own)):
                 kept.append(i)
@@ -177,11 +173,9 @@ def leaks(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id", text: str =
     texts = pairs.join(items, "item").join(likely.drop("seeds"), KEY)
 
     def judge(batch: pa.RecordBatch) -> pa.RecordBatch:
-        nonlocal hashes
-        hashes = hashes if hashes is not None else WordHash()
         n, got = [], []
         for d, b in zip(batch.column("t").to_pylist(), batch.column("item_text").to_pylist()):
-            doc, item = words_of(d, hashes), words_of(b, hashes)
+            doc, item = words_of(d), words_of(b)
             n.append(len(item))
             got.append(int(tile(near_parts(doc, item, min(min_match, len(item))), item, min_match).sum()))
         own = batch.select([KEY, "id", "item_id"])
