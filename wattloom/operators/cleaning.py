@@ -172,9 +172,13 @@ def insert_ignore(target: DataFrame, batch: DataFrame, key: str, order: list[str
     return target.unionByName(first.join(target.select(key), key, "left_anti"))
 
 
-def upsert(target: DataFrame, batch: DataFrame, key: str) -> DataFrame:
-    """Update by key where the batch has a value, keep the old one where it is null, insert new keys."""
+def upsert(target: DataFrame, batch: DataFrame, key: str, order: list[str] | None = None) -> DataFrame:
+    """Update by key where the batch has a value, keep the old one where it is null, insert new keys.
+
+    Of repeated keys in the batch the last row in ``order`` wins (without one, the largest by its values).
+    """
     values = [c for c in target.columns if c != key]
+    batch = batch.groupBy(key).agg(F.max_by(F.struct(*values), F.struct(*(order or values))).alias("r")).select(key, "r.*")
     new = batch.select(key, *[F.col(c).alias(f"__new_{c}") for c in values])
     joined = target.join(new, key, "full")
     return joined.select(key, *[F.coalesce(f"__new_{c}", c).alias(c) for c in values])

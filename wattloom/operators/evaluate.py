@@ -52,9 +52,12 @@ def meter_folds(df: DataFrame, k: int, seed: int = 42) -> DataFrame:
 
 
 def grouped_kfold(df: DataFrame, k: int, val_frac: float, seed: int = 42) -> DataFrame:
-    """Rows with the fold in which their meter is tested, and the part they play in the other folds."""
+    """Rows with the fold in which their meter is tested, and the part they play in the other folds.
+
+    At least one row of a meter is for validation.
+    """
     tagged = ordinal(df, METER, ORDER, rn="__rn", n="__len")
-    role = F.when(F.col("__rn") <= F.col("__len") - F.floor(F.col("__len") * val_frac), "train").otherwise("val")
+    role = F.when(F.col("__rn") <= F.col("__len") - F.greatest(F.lit(1), F.floor(F.col("__len") * val_frac)), "train").otherwise("val")
     return tagged.withColumn("role", role).drop("__rn", "__len").transform(lambda rows: lookup_join(rows, meter_folds(df, k, seed), ["meter_id"], sized_by=df))
 
 
@@ -121,21 +124,24 @@ def curve_areas(df: DataFrame, keys: list[str], score: str, label: str) -> DataF
 
 
 def percent_rank_by_order(df: DataFrame, score: str, ident: str) -> DataFrame:
-    """rank / n with ties ranked by row id: rows below the score plus the place among its ties."""
-    c = df.groupBy(score).agg(F.count(F.lit(1)).alias("__c"))
+    """rank / n with ties ranked by row id: rows below the score plus the place among its ties.
+
+    Rows without a score keep a null rank and do not count.
+    """
+    c = df.filter(F.col(score).isNotNull()).groupBy(score).agg(F.count(F.lit(1)).alias("__c"))
     below = running(c, [], [score], {"__cum": F.col("__c")}, sized_by=df)
     n = c.agg(F.sum("__c"))
     placed = ordinal(df, [score], [ident], rn="__tie")
-    out = placed.join(below, score)
+    out = placed.join(below, score, "left")
     return out.withColumn("pct_rank", (F.col("__cum") - F.col("__c") + F.col("__tie")) / n.scalar()).drop("__c", "__cum", "__tie")
 
 
 def cumulative_rank(df: DataFrame, score: str) -> DataFrame:
-    """Share of rows with a score not above this one."""
-    c = df.groupBy(score).agg(F.count(F.lit(1)).alias("__c"))
+    """Share of rows with a score not above this one; null for rows without a score, which do not count."""
+    c = df.filter(F.col(score).isNotNull()).groupBy(score).agg(F.count(F.lit(1)).alias("__c"))
     below = running(c, [], [score], {"__cum": F.col("__c")}, sized_by=df)
     n = c.agg(F.sum("__c"))
-    return df.join(below.select(score, (F.col("__cum") / n.scalar()).alias("cume_rank")), score)
+    return df.join(below.select(score, (F.col("__cum") / n.scalar()).alias("cume_rank")), score, "left")
 
 
 # ---- threshold search: bucketed scores and suffix sums ---------------------
@@ -344,7 +350,7 @@ def feature_auc(df: DataFrame, columns: list[str], label: str) -> DataFrame:
 def champion_fold(versions: DataFrame, family: str, order: str, value: str, delta: float) -> DataFrame:
     """Status of each version of a model family at its registration.
 
-    A version becomes champion if it is within ``delta`` of the champion before it. The versions of one
+    A version becomes champion if it is within ``delta`` of the champion before it, which is then retired. The versions of one
     family are few (registrations, not readings), so they fold inside one array.
     """
     state = F.struct(F.lit(None).cast("double").alias("best"), F.array().cast(f"array<struct<{order}:string,{value}:double,status:string>>").alias("log"))
@@ -355,7 +361,9 @@ def champion_fold(versions: DataFrame, family: str, order: str, value: str, delt
         return F.struct(F.when(wins, v["v"]).otherwise(acc["best"]).alias("best"), F.array_append(acc["log"], entry).alias("log"))
 
     listed = versions.groupBy(family).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).alias("v")))).alias("vs"))
-    return listed.select(family, F.inline(F.aggregate("vs", state, step, lambda acc: acc["log"])))
+    log = listed.select(family, F.inline(F.aggregate("vs", state, step, lambda acc: acc["log"])))
+    last = F.max(F.when(F.col("status") == "champion", F.col(order))).over(Window.partitionBy(family))
+    return log.withColumn("status", F.when((F.col("status") == "champion") & (F.col(order) < last), "retired").otherwise(F.col("status")))
 
 
 def permute_column(df: DataFrame, column: str, ident: str, seed: int) -> DataFrame:

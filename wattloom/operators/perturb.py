@@ -158,7 +158,8 @@ SIGNATURES = {
 
 
 def signature_overlay(readings: DataFrame, schedule: DataFrame, seed: int = 3) -> DataFrame:
-    """Apply the electrical signature of the attack scheduled for (ts, meter)."""
+    """Apply the electrical signature of the attack scheduled for (ts, meter); of several the first by name."""
+    schedule = schedule.groupBy("ts", "meter_id").agg(F.min("attack").alias("attack"))
     out = readings.join(schedule, ["ts", "meter_id"], "left")
     u = mix_uniform("event_id", seed)
     columns = sorted({c for sig in SIGNATURES.values() for c in sig})

@@ -80,7 +80,7 @@ def stratified_sample(t: Tables):
 view("folds", "SELECT meter_id, cast((row_number() OVER (ORDER BY md5(concat('42:', meter_id)), meter_id) - 1) % 5 as int) AS fold FROM (SELECT DISTINCT meter_id FROM scored)")
 
 
-@query("grouped_kfold", """SELECT s.event_id, s.meter_id, f.fold, CASE WHEN rn <= len - floor(len * 0.15::double) THEN 'train' ELSE 'val' END AS role FROM splits s JOIN folds f ON s.meter_id = f.meter_id""")
+@query("grouped_kfold", """SELECT s.event_id, s.meter_id, f.fold, CASE WHEN rn <= len - greatest(1, floor(len * 0.15::double)) THEN 'train' ELSE 'val' END AS role FROM splits s JOIN folds f ON s.meter_id = f.meter_id""")
 def grouped_kfold(t: Tables):
     return e.grouped_kfold(t.scored, 5, 0.15).select("event_id", "meter_id", "fold", "role")
 
@@ -461,7 +461,8 @@ view("versions", f"SELECT zone, day, round(auc, 6) AS auc, row_number() OVER (PA
 
 @query("champion_fold", f"""WITH RECURSIVE f AS (SELECT zone, day, auc, rn, auc AS best, 'champion' AS status FROM versions WHERE rn = 1
   UNION ALL SELECT v.zone, v.day, v.auc, v.rn, CASE WHEN v.auc >= f.best - 0.02::double THEN v.auc ELSE f.best END, CASE WHEN v.auc >= f.best - 0.02::double THEN 'champion' ELSE 'rolled_back' END FROM f JOIN versions v ON v.zone = f.zone AND v.rn = f.rn + 1)
-SELECT zone, cast(day as varchar) AS day, {R('auc')} AS auc, status FROM f""")
+SELECT zone, cast(day as varchar) AS day, {R('auc')} AS auc,
+  CASE WHEN status = 'champion' AND rn < max(CASE WHEN status = 'champion' THEN rn END) OVER (PARTITION BY zone) THEN 'retired' ELSE status END AS status FROM f""")
 def champion_fold(t: Tables):
     rows = t.scored.withColumn("day", F.col("ts").cast("date"))
     versions = e.curve_areas(rows, ["zone", "day"], "score", "label").select("zone", "day", F.round("roc_auc", 6).alias("auc"))

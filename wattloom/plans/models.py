@@ -67,13 +67,12 @@ def isotonic_fit(t: Tables):
     return m.isotonic_fit(t.scored, "score", "label")
 
 
-SUPERVISED = [*FEATURES, "consommation_kw_diff", "hour", "score"]
+SUPERVISED = [*FEATURES, "consommation_kw_diff", "hour"]  # nothing that is derived from the label
 
 
 @query("supervised_models")
 def supervised_models(t: Tables):
-    rows = t.readings.join(t.scored.select("event_id", "score"), "event_id")
-    rows = f.over_series(rows, f.METER, f.ORDER, lambda w: {"consommation_kw_diff": f.diff(w, "consommation_kw")}, back=1, sized_by=t.readings)
+    rows = f.over_series(t.readings, f.METER, f.ORDER, lambda w: {"consommation_kw_diff": f.diff(w, "consommation_kw")}, back=1, sized_by=t.readings)
     tagged = e.temporal_split(rows.withColumn("hour", F.hour("ts")), 0.15, 0.15).select("event_id", "split", "is_alert", *SUPERVISED)
     rows = stored(tagged, "training-rows")  # both learners pass over these rows many times
     pred = m.supervised(rows.filter("split = 'train'"), rows.filter("split = 'test'"), SUPERVISED, "is_alert")

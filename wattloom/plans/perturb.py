@@ -140,7 +140,7 @@ def interval_matches(t: Tables):
 SIG_U = mix(3)
 
 
-@query("signature_overlay", f"""WITH s AS (SELECT ts, meter_id, anomalies AS attack FROM readings WHERE is_alert = 1 AND attack_type = 'fdia'),
+@query("signature_overlay", f"""WITH s AS (SELECT ts, meter_id, min(anomalies) AS attack FROM readings WHERE is_alert = 1 AND attack_type = 'fdia' GROUP BY ts, meter_id),
 j AS (SELECT r.*, s.attack, {SIG_U} AS u FROM readings r LEFT JOIN s ON r.ts = s.ts AND r.meter_id = s.meter_id),
 k AS (SELECT *, CASE attack WHEN 'Surcharge' THEN {V} - (3 + 7 * u) WHEN 'Tension hors norme' THEN CASE WHEN u < 0.5::double THEN 185 + 20 * u * 2 ELSE 248 + 17 * (u * 2 - 1) END ELSE {V} END AS v2 FROM j)
 SELECT event_id, {R('v2')} AS {V}, {R(f"CASE attack WHEN 'Surcharge' THEN {KW} * (1.6 + (2.6::double - 1.6::double) * u) WHEN 'Pic soudain' THEN {KW} * (2 + 2 * u) WHEN 'Fraude' THEN {KW} * (0.2::double + (0.55::double - 0.2::double) * u) WHEN 'Consommation nulle suspecte' THEN 0.12 * u ELSE {KW} END")} AS {KW},
