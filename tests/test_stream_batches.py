@@ -40,6 +40,20 @@ def test_zone_asof(spark, folder, files):
     assert compare(got, batch(spark, folder, "zone_asof_mean")) == []
 
 
+def test_late_readings_leave_the_zone_state_alone(spark, tmp_path):
+    rows = lambda *v: spark.createDataFrame(list(v), "zone string, meter_id string, ts timestamp, event_id long, consommation_kw double")
+    from datetime import datetime as d
+
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    folder = str(tmp_path)
+    m.zone_asof_batch(rows(("Z", "a", d(2024, 1, 10), 1, 5.0), ("Z", "b", d(2024, 1, 10), 2, 3.0)), 0, folder)
+    m.zone_asof_batch(rows(("Z", "a", d(2024, 1, 5), 3, 1.0)), 1, folder)
+    m.zone_asof_batch(rows(("Z", "b", d(2024, 1, 11), 4, 7.0)), 2, folder)
+    out = {r.event_id: (r.zone_meters, r.zone_asof_mean) for r in spark.read.parquet(f"{folder}/out").collect()}
+    assert out == {1: (1, 5.0), 2: (2, 4.0), 4: (2, 6.0)}
+    assert [r.event_id for r in spark.read.parquet(f"{folder}/late").collect()] == [3]
+
+
 def test_ledger(spark, folder, files):
     payload = {"event_id": F.col("event_id"), "meter_id": l.text("meter_id"), "statut": l.text("statut"), "anomalies": l.text("anomalies"),
                "milli_kw": F.round(F.col("consommation_kw") * 1000).cast("long")}

@@ -15,7 +15,7 @@ from .features import METER, ORDER, diff, pct_change, scaler_stats, temporal
 from .folds import Arrays, LastEmitted, emit_with_cooldown, ordered_fold
 from .profile import baseline_stats
 from .quantiles import percentiles, with_scalars
-from .series import ALL, HALO, SLICE, fits_one_task, islands, null_safe_join, ordinal, over_series, slice_series, stored
+from .series import ALL, HALO, SLICE, fits_one_task, islands, null_safe_join, ordinal, over_series, running, slice_series, stored
 
 # fixed values: electrical limits
 V_NOMINAL, V_MIN, V_MAX, V_CRIT_MIN, V_CRIT_MAX = 230.0, 207.0, 253.0, 200.0, 260.0
@@ -407,12 +407,12 @@ def rate_violations(df: DataFrame, client: str, ts: str, ident: str, window_s: i
     if fits_one_task(df):
         w = Window.partitionBy(client).orderBy("us").rangeBetween(-span, 0)
         return rows.withColumn("recent", F.count(F.lit(1)).over(w)).filter(F.col("recent") > limit).drop("us")
-    # each row also visits the next window-long bucket, so a bucket knows its whole trailing window
-    b = F.floor(F.col("us") / span)
-    visits = rows.withColumn("__b", F.explode(F.array(b, b + 1)))
-    w = Window.partitionBy(client, "__b").orderBy("us").rangeBetween(-span, 0)
-    counted = visits.withColumn("recent", F.count(F.lit(1)).over(w)).filter(F.col("__b") == b)
-    return counted.filter(F.col("recent") > limit).drop("us", "__b")
+    # requests in force: counts that come in at their instant and go out a window later, as running sums
+    counted = rows.groupBy(client, "us").agg(F.count(F.lit(1)).alias("c"))
+    points = counted.select(client, "us", F.lit(0).alias("kind"), "c").unionByName(
+        counted.select(client, (F.col("us") + span).alias("us"), F.lit(1).alias("kind"), (-F.col("c")).alias("c")))
+    in_force = running(points, [client], ["us", "kind"], {"recent": F.col("c")}, sized_by=df).filter("kind = 0").select(client, "us", "recent")
+    return null_safe_join(rows, in_force, [client, "us"]).filter(F.col("recent") > limit).drop("us")
 
 
 def rate_limit_exact(df: DataFrame, client: str, ts: str, ident: str, window_s: int, limit: int) -> DataFrame:

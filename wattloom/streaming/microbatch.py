@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import ledger as l
 from ..operators.features import ORDER, millionths
-from ..operators.series import over_series, running
+from ..operators.series import null_safe_join, over_series, running
 from .sources import write_batch
 
 
@@ -20,16 +20,23 @@ def _state(spark: SparkSession, folder: str, table: str, batch_id: int, schema:
     return spark.read.schema(schema).parquet(f"{folder}/{table}/batch={batch_id - 1}")
 
 
-LATEST = "zone string, meter_id string, value long"
+LATEST = "zone string, meter_id string, ts timestamp, event_id long, value long"
 ZONES = "zone string, total long, meters long"
 
 
 def zone_asof_batch(batch: DataFrame, batch_id: int, folder: str) -> None:
-    """Mean of the zone's latest values per reading; state: latest value per meter, sum and count per zone."""
+    """Mean of the zone's latest values per reading; state: latest value per meter with its time, sum and count per zone.
+
+    A reading older than what its meter has sent in an earlier batch changes nothing any more; it goes to the table ``late``.
+    """
     spark = batch.sparkSession
     latest, zones = _state(spark, folder, "latest", batch_id, LATEST), _state(spark, folder, "zones", batch_id, ZONES)
     rows = batch.select("zone", "meter_id", "ts", "event_id", millionths("consommation_kw").alias("value"))
-    rows = rows.join(latest.withColumnRenamed("value", "__known"), ["zone", "meter_id"], "left")
+    known = latest.withColumnsRenamed({"value": "__known", "ts": "__ts", "event_id": "__id"})
+    rows = null_safe_join(rows, known, ["zone", "meter_id"], "left")
+    old = F.coalesce(F.struct("ts", "event_id") < F.struct(F.col("__ts").alias("ts"), F.col("__id").alias("event_id")), F.lit(False)) & F.col("__ts").isNotNull()
+    write_batch(rows.filter(old).select("zone", "meter_id", "ts", "event_id", "value"), folder, "late", batch_id)
+    rows = rows.filter(~old).drop("__ts", "__id")
 
     def steps(w):
         prev = F.coalesce(F.lag("value").over(w), F.col("__known"))
@@ -37,12 +44,12 @@ def zone_asof_batch(batch: DataFrame, batch_id: int, folder: str) -> None:
 
     stepped = over_series(rows, ["zone", "meter_id"], ORDER, steps, back=1, sized_by=batch)
     summed = running(stepped, ["zone"], ORDER, {"__sum": F.col("__step"), "__n": F.col("__first")}, sized_by=batch)
-    out = summed.join(zones, "zone", "left").withColumns({
+    out = null_safe_join(summed, zones, ["zone"], "left").withColumns({
         "total": F.coalesce("total", F.lit(0)) + F.col("__sum"), "meters": F.coalesce("meters", F.lit(0).cast("long")) + F.col("__n")})
     write_batch(out.select("event_id", "zone", F.col("meters").alias("zone_meters"), (F.col("total") / 1e6 / F.col("meters")).alias("zone_asof_mean")), folder, "out", batch_id)
     at = F.struct("ts", "event_id")
-    now = rows.groupBy("zone", "meter_id").agg(F.max_by("value", at).alias("value"))
-    kept = latest.join(now, ["zone", "meter_id"], "left_anti")
+    now = rows.groupBy("zone", "meter_id").agg(F.max(F.struct(at.alias("at"), "value")).alias("m")).select("zone", "meter_id", "m.at.ts", "m.at.event_id", "m.value")
+    kept = null_safe_join(latest, now.select("zone", "meter_id"), ["zone", "meter_id"], "left_anti")
     write_batch(kept.unionByName(now), folder, "latest", batch_id)
     new = stepped.groupBy("zone").agg(F.sum("__step").alias("total"), F.sum("__first").alias("meters"))
     write_batch(zones.unionByName(new).groupBy("zone").agg(F.sum("total").alias("total"), F.sum("meters").alias("meters")), folder, "zones", batch_id)
