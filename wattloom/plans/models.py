@@ -20,7 +20,7 @@ FEATURES = ["consommation_kw", "tension_v", "courant_a", "power_factor", "freque
 @query("isolation_forest")
 def isolation_forest(t: Tables):
     rows = t.readings.select("event_id", "zone", "type", *FEATURES)
-    out = m.segmented_detection(rows, FEATURES, trees=50)
+    out = m.segmented_detection(rows, FEATURES)
     return out.select("event_id", "segment", r("forest_score").alias("forest_score"), F.array_join("anomalies_found", ",").alias("anomalies"), "is_anomaly")
 
 
