@@ -120,6 +120,18 @@ def test_lookups_keep_null_keys(spark):
     assert len(both_plans(spark, lambda: lookup_join(df, dim, ["meter_id"]))) == 900
 
 
+def test_null_categories_and_scores_keep_their_rows(spark):
+    from wattloom.operators import cleaning, evaluate, features
+
+    df = spark.createDataFrame([(1, "b", 0.5), (2, None, None), (3, "a", 0.2), (4, "b", 0.5), (5, None, 0.9)], "event_id long, kind string, score double")
+    assert {r.event_id: r.code for r in features.label_codes(df, "kind", "code").collect()} == {1: 1, 2: None, 3: 0, 4: 1, 5: None}
+    assert {r.event_id: r.pct_rank for r in evaluate.percent_rank_by_order(df, "score", "event_id").collect()} == {1: 0.5, 2: None, 3: 0.25, 4: 0.75, 5: 1.0}
+    assert {r.event_id: r.cume_rank for r in evaluate.cumulative_rank(df, "score").collect()} == {1: 0.75, 2: None, 3: 0.25, 4: 0.75, 5: 1.0}
+    batch = spark.createDataFrame([(1, "x", None), (1, "y", 0.1), (9, "z", 0.3)], "event_id long, kind string, score double")
+    got = {r.event_id: (r.kind, r.score) for r in cleaning.upsert(df, batch, "event_id").collect()}
+    assert got == {1: ("y", 0.1), 2: (None, None), 3: ("a", 0.2), 4: ("b", 0.5), 5: (None, 0.9), 9: ("z", 0.3)}
+
+
 def test_scratch_folder_needs_a_shared_place(spark):
     from types import SimpleNamespace
 

@@ -57,10 +57,10 @@ def electrical() -> dict[str, Column]:
 
 
 def label_codes(df: DataFrame, column: str, out: str) -> DataFrame:
-    """Codes 0.. in lexicographic order of the distinct values, which are few by nature (a category)."""
-    ranked = df.select(column).distinct().select(
+    """Codes 0.. in lexicographic order of the distinct values, which are few by nature (a category); null has none."""
+    ranked = df.select(column).distinct().filter(F.col(column).isNotNull()).select(
         column, (F.dense_rank().over(Window.orderBy(column)) - 1).alias(out))
-    return lookup_join(df, ranked, [column])
+    return lookup_join(df, ranked, [column], "left")
 
 
 def one_hot(column: str, values: list[str], prefix: str) -> dict[str, Column]:

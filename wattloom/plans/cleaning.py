@@ -21,9 +21,9 @@ def scan_readings(t: Tables):
     line = F.concat_ws(",", *[F.col(x).cast("string") for x in (
         "event_id", "ts", "meter_id", "zone", "type", "consommation_kw", "tension_v", "courant_a", "statut")])
     t.readings.select(F.when(F.col("attack_type") == "dos", F.concat(line, F.lit(",x,y"))).otherwise(line).alias("value")).write.text(path)
-    df = t.spark.read.schema(files.READING_SCHEMA).option("mode", "DROPMALFORMED").option("columnPruning", "false").csv(path)
+    df = files.scan_readings_csv(t.spark, path, header=False)
     return df.select(
-        "event_id", F.col("Timestamp").cast("timestamp_ntz").alias("timestamp"), "meter_id",
+        "event_id", F.col("timestamp").cast("timestamp_ntz").alias("timestamp"), "meter_id",
         r("consommation_kw").alias("consommation_kw"), r("courant_a").alias("courant_a"), "statut")
 
 

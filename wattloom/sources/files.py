@@ -18,11 +18,11 @@ READING_SCHEMA = T.StructType([
 METER_COLUMNS = {"consommation_kw", "tension_v", "courant_a"}
 
 
-def scan_readings_csv(spark: SparkSession, path: str, schema: T.StructType = READING_SCHEMA) -> DataFrame:
+def scan_readings_csv(spark: SparkSession, path: str, schema: T.StructType = READING_SCHEMA, header: bool = True) -> DataFrame:
     """Declared-schema CSV scan: malformed lines are skipped, ``Timestamp`` is renamed."""
     df = (
         spark.read.schema(schema)
-        .option("header", "true")
+        .option("header", str(header).lower())
         .option("mode", "DROPMALFORMED")
         .option("columnPruning", "false")
         .csv(path)
@@ -65,8 +65,3 @@ def write_by_status(df: DataFrame, path: str) -> None:
 
 def append_log(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
-
-
-def export_ranked(df: DataFrame, path: str, by: str) -> None:
-    """A ranked comparison table as one CSV; the input has one row per compared variant."""
-    df.orderBy(F.desc(by)).coalesce(1).write.mode("overwrite").option("header", "true").csv(path)
