@@ -97,3 +97,35 @@ def tiled(doc, item, least=5):
             if not any(mb[p:p + k]) and not any(md[q:q + k]):
                 mb[p:p + k] = md[q:q + k] = [True] * k
     return sum(mb)
+
+
+def recurring_lines(texts, least=10):
+    """For each text the numbers of the lines to drop."""
+    digit = lambda w: any(c in "0123456789" for c in w)
+    leaf = lambda w: (len(w), *w[:3])
+    lines = []
+    for n, t in enumerate(texts):
+        own = [(k, [("<*>" if digit(w) else w) for w in words(x)]) for k, x in enumerate((t or "").split("\n"))]
+        own = [(k, w) for k, w in own if w]
+        for p, (k, w) in enumerate(own):
+            if len(w) >= 3:
+                lines.append((n, k, w, (leaf(own[p - 1][1]) if p else 0, leaf(own[p + 1][1]) if p + 1 < len(own) else 0)))
+    leaves = defaultdict(list)
+    for line in lines:
+        leaves[leaf(line[2])].append(line)
+    found = defaultdict(list)
+    for own in leaves.values():
+        if len(own) < least or len({a for *_, a in own}) < least:
+            continue
+        counts = Counter(place for _, _, w, _ in own for place in enumerate(w))
+        for n, k, w, a in own:
+            shown = [x if x != "<*>" and counts[p, x] >= least else "<*>" for p, x in enumerate(w)]
+            if 2 * sum(x != "<*>" for x in shown) >= len(w):
+                found[" ".join(shown)].append((n, k, a))
+    out = [set() for _ in texts]
+    for own in found.values():
+        n_docs, spots = len({n for n, _, _ in own}), len({a for *_, a in own})
+        if n_docs >= least and spots >= least and spots * 5 >= n_docs:
+            for n, k, _ in own:
+                out[n].add(k)
+    return out

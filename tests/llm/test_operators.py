@@ -202,36 +202,7 @@ def test_rare_lines_stay(frame, odd_rows):
 def test_line_templates_by_brute_force(spark, folder):
     """Counts made again in plain Python from the lines, for the small table."""
     docs, least = docs_of(spark, folder), 5
-    digit = lambda w: any(c in "0123456789" for c in w)
-    leaf = lambda w: (len(w), *w[:3])
-    lines = []
-    for n, (i, t) in enumerate(docs):
-        own = [(k, [("<*>" if digit(w) else w) for w in brute.words(x)]) for k, x in enumerate((t or "").split("\n"))]
-        own = [(k, w) for k, w in own if w]
-        for p, (k, w) in enumerate(own):
-            if len(w) >= 3:
-                lines.append((n, k, w, (leaf(own[p - 1][1]) if p else 0, leaf(own[p + 1][1]) if p + 1 < len(own) else 0)))
-    leaves = {}
-    for n, k, w, a in lines:
-        leaves.setdefault(leaf(w), []).append((n, k, w, a))
-    found = {}
-    for own in leaves.values():
-        if len(own) < least or len({a for *_, a in own}) < least:
-            continue
-        counts = {}
-        for _, _, w, _ in own:
-            for place in enumerate(w):
-                counts[place] = counts.get(place, 0) + 1
-        for n, k, w, a in own:
-            shown = [x if x != "<*>" and counts[p, x] >= least else "<*>" for p, x in enumerate(w)]
-            if 2 * sum(x != "<*>" for x in shown) >= len(w):
-                found.setdefault(" ".join(shown), []).append((n, k, a))
-    expected = {i: 0 for i, _ in docs}
-    for own in found.values():
-        n_docs, spots = len({n for n, _, _ in own}), len({a for *_, a in own})
-        if n_docs >= least and spots >= least and spots * 5 >= n_docs:
-            for n, _, _ in own:
-                expected[docs[n][0]] += 1
+    expected = {i: len(gone) for (i, _), gone in zip(docs, brute.recurring_lines([t for _, t in docs], least))}
     got = templates.without_recurring(spark.read.parquet(f"{folder}/documents.parquet"), n_dropped="gone", min_docs=least)
     assert {r.doc_id: r.gone for r in got.collect()} == expected and sum(expected.values()) > 0
 

@@ -152,7 +152,7 @@ def window_names(hashes: np.ndarray, width: int) -> np.ndarray:
     while have < width:
         step = min(have, width - have)
         names = names[:-step] + names[step:] * factor if len(names) > step else names[:0]
-        have, factor = have + step, factor * RIGHT
+        have, factor = have + step, np.uint64(int(factor) * int(RIGHT) % (1 << 64))
     return mix(names) if width > 1 else names
 
 
