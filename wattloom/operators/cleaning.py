@@ -150,7 +150,7 @@ def zone_event_state(df: DataFrame) -> DataFrame:
 
 def complete_domain(df: DataFrame, domain: DataFrame, key: str, defaults: dict[str, Column]) -> DataFrame:
     """Every key of the small domain table appears; missing ones carry the defaults."""
-    joined = F.broadcast(domain).join(df, key, "left")
+    joined = domain.join(df, key, "left")
     return joined.withColumns({c: F.coalesce(F.col(c), d) for c, d in defaults.items()})
 
 

@@ -1,7 +1,7 @@
 """Micro-batch operators that reuse the batch operators and keep their state in versioned tables.
 
 Each batch reads the state its predecessor wrote and writes its own version, so a retried batch starts
-from the same state. Large keys are handled by the batch operators' slicing.
+from the same state; older versions are removed. The batch itself is kept while it is worked on. Large keys are handled by the batch operators' slicing.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..operators import ledger as l
 from ..operators.features import ORDER, millionths
 from ..operators.series import null_safe_join, over_series, running
-from .sources import write_batch
+from .sources import drop_version, write_batch
 
 
 def _state(spark: SparkSession, folder: str, table: str, batch_id: int, schema: str) -> DataFrame:
@@ -29,7 +29,7 @@ def zone_asof_batch(batch: DataFrame, batch_id: int, folder: str) -> None:
 
     A reading older than what its meter has sent in an earlier batch changes nothing any more; it goes to the table ``late``.
     """
-    spark = batch.sparkSession
+    spark, batch = batch.sparkSession, batch.persist()
     latest, zones = _state(spark, folder, "latest", batch_id, LATEST), _state(spark, folder, "zones", batch_id, ZONES)
     rows = batch.select("zone", "meter_id", "ts", "event_id", millionths("consommation_kw").alias("value"))
     known = latest.withColumnsRenamed({"value": "__known", "ts": "__ts", "event_id": "__id"})
@@ -53,6 +53,9 @@ def zone_asof_batch(batch: DataFrame, batch_id: int, folder: str) -> None:
     write_batch(kept.unionByName(now), folder, "latest", batch_id)
     new = stepped.groupBy("zone").agg(F.sum("__step").alias("total"), F.sum("__first").alias("meters"))
     write_batch(zones.unionByName(new).groupBy("zone").agg(F.sum("total").alias("total"), F.sum("meters").alias("meters")), folder, "zones", batch_id)
+    for table in ("latest", "zones"):
+        drop_version(spark, folder, table, batch_id - 2)
+    batch.unpersist()
 
 
 PENDING = "meter_id string, ts timestamp, event_id long, statut string, row_index long, row_hash string"
@@ -68,7 +71,7 @@ class LiveTail(l.ChainTail):
 
 def seal_batch(batch: DataFrame, batch_id: int, folder: str, size: int, authorities: list[str], source: str, payload) -> None:
     """Seal every full block; rows of the open block wait in the state with their hashes."""
-    spark = batch.sparkSession
+    spark, batch = batch.sparkSession, batch.persist()
     pending, tails = _state(spark, folder, "pending", batch_id, PENDING), _state(spark, folder, "tails", batch_id, TAILS)
     waiting = pending.groupBy("meter_id").agg(F.max("row_index").alias("__last"))
     start = tails.join(waiting, "meter_id", "left").select("meter_id", F.coalesce("__last", "rows_sealed").alias("__seen")) if batch_id else None
@@ -97,3 +100,6 @@ def seal_batch(batch: DataFrame, batch_id: int, folder: str, size: int, authorit
     unsealed = unsealed.select("meter_id", F.coalesce("rows_sealed", F.lit(0)).alias("rows_sealed"), F.coalesce("tail", F.lit(first)).alias("tail"))
     silent = tails.join(rows.select("meter_id").distinct(), "meter_id", "left_anti")
     write_batch(ends.unionByName(unsealed).unionByName(silent), folder, "tails", batch_id)
+    for table in ("pending", "tails"):
+        drop_version(spark, folder, table, batch_id - 2)
+    batch.unpersist()

@@ -13,12 +13,12 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 LATENESS = "1 day"
 
 
-def stream_table(spark: SparkSession, folder: str, name: str, files_per_trigger: int = 64) -> DataFrame:
-    """A table as a stream of files; the trigger size bounds what one micro-batch can hold."""
+def stream_table(spark: SparkSession, folder: str, name: str, bytes_per_trigger: int = 1 << 30) -> DataFrame:
+    """A table as a stream of files; a micro-batch takes files up to the given size (one file at least)."""
     schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
     return (
         spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
-        .option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
+        .option("maxBytesPerTrigger", bytes_per_trigger).parquet(folder)
     )
 
 
@@ -58,6 +58,13 @@ def write_batch(df: DataFrame, folder: str, table: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(f"{folder}/{table}/batch={batch_id}")
 
 
+def drop_version(spark: SparkSession, folder: str, table: str, batch_id: int) -> None:
+    """Remove a state version that no retry can ask for any more."""
+    if batch_id >= 0:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{table}/batch={batch_id}")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def latest_versions(spark: SparkSession, folder: str, table: str, keys: list[str]) -> DataFrame:
     """The last written version of every key of an update-mode sink."""
     df = spark.read.parquet(f"{folder}/{table}")
