@@ -12,6 +12,7 @@ has the end id only. One document longer than a file's worth gets a file of its
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import zlib
@@ -107,55 +108,36 @@ class Reader:
 
 
 class Encoder:
-    """Whole texts to ids with a ``tokenizers`` file; what it gives for a word is kept for the next time.
+    """Whole texts to ids with a ``tokenizers`` file; what it gives for a piece of text is kept for the next time.
 
-    The vocabulary drops white space and never joins across it, so a text's ids are those of its words, and those of a
-    word made of plain letters and signs are those of its runs of letters and of signs.
+    The vocabulary drops white space, lower-cases, and never joins across white space or between letters and signs. So a text's
+    ids are those of its pieces: runs of plain letters, runs of plain signs, and whole words that hold anything else. Texts with
+    what may be a special token are encoded in one go.
     """
 
-    LETTERS = "a-zß-öø-ÿ"
-    PIECE = re.compile(f"[{LETTERS}]+|[!-&(-/:-@\\[-`{{-~]+")
-    PLAIN = re.compile(f"(?:[{LETTERS}]+|[!-&(-/:-@\\[-`{{-~]+)+")
-    CACHED = 300_000
+    PLAIN, SIGNS = "a-zÀ-ÖØ-öø-ÿ", "!-&(-/:-@\\[-`{-~"
+    PIECE = re.compile(f"[{PLAIN}{SIGNS}]*+[^{PLAIN}{SIGNS}\\x20\\x09-\\x0D][^\\x20\\x09-\\x0D]*|[{PLAIN}]+|[{SIGNS}]+")
+    CACHED = 500_000
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.whole: dict[bytes, list[int]] = {}
-        self.pieces: dict[str, list[int]] = {}
-
-    def _learn(self, words: set[bytes]) -> None:
-        cut, new = {}, set()
-        for w in words:
-            s = w.decode()
-            low = s.lower()
-            parts = self.PIECE.findall(low) if "<|" not in s and self.PLAIN.fullmatch(low) else [s]
-            cut[w] = parts
-            new.update(p for p in parts if p not in self.pieces)
-        todo = list(new)
-        for i in range(0, len(todo), 4096):
-            batch = todo[i: i + 4096]
-            for p, e in zip(batch, self.tokenizer.encode_batch(batch, add_special_tokens=False)):
-                self.pieces[p] = e.ids
-        for w, parts in cut.items():
-            self.whole[w] = self.pieces[parts[0]] if len(parts) == 1 else [i for p in parts for i in self.pieces[p]]
-
-    def encode(self, texts: list[bytes]) -> list[list[int]]:
-        if len(self.whole) > self.CACHED:
-            self.whole.clear()
-        if len(self.pieces) > self.CACHED:
-            self.pieces.clear()
-        split = [t.split() for t in texts]
-        missing = set().union(*split).difference(self.whole)
-        if missing:
-            self._learn(missing)
-        out = []
-        for words in split:
-            ids: list[int] = []
-            for more in map(self.whole.__getitem__, words):
-                ids += more
-            out.append(ids)
+        self.known: dict[str, bytes] = {}  # ids as little-endian unsigned 32-bit integers
+
+    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        """The ids of whole texts."""
+        cut = [[t.decode()] if b"<|" in t else self.PIECE.findall(t.lower().decode()) for t in texts]
+        new = list(set().union(*cut).difference(self.known))
+        for i in range(0, len(new), 4096):
+            batch = new[i: i + 4096]
+            for p, e in zip(batch, self.tokenizer.encode_batch_fast(batch, add_special_tokens=False)):
+                self.known[p] = struct.pack(f"<{len(ids := e.ids)}I", *ids)
+        out = [np.frombuffer(b"".join(map(self.known.__getitem__, pieces)), "<u4") for pieces in cut]
+        if len(self.known) > self.CACHED:  # what came first is met most often and stays
+            for p in new:
+                del self.known[p]
         return out
 
 
@@ -176,13 +158,13 @@ def write_tokens(docs: DataFrame, path: str, folder: str, doc_id: str = "doc_id"
             names, counts, ids, held, number = [], [], [], 0, number + 1
             return done
 
-        for batch in chunked(batches, "t"):
+        for batch in chunked(batches, "t", 1 << 20):
             for name, own in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist())):
                 if held and held + len(own) >= FILE_IDS:
                     yield flush()
                 names.append(name)
                 counts.append(len(own) + 1)
-                ids.append(np.array([*own, end_id], np.uint32))
+                ids.append(np.append(own, np.uint32(end_id)))
                 held += len(own) + 1
         if held:
             yield flush()
