@@ -424,8 +424,12 @@ OUT = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, s
 
 def training_windows(docs: DataFrame, doc_id: str, text: str, sample_docs: int, sample_windows: int) -> list[str]:
     """Texts of at most ``sample_windows`` windows of the ``sample_docs`` documents with the least hash."""
-    mark = F.xxhash64(F.col(doc_id), F.col(text))
-    picked = docs.filter(F.col(text).rlike("[0-9@]")).select(F.col(text).cast("binary").alias("t"), mark.alias("h")).orderBy("h", "t").limit(sample_docs)
+    marked = docs.filter(F.col(text).rlike("[0-9@]")).select(F.col(text).cast("binary").alias("t"), F.xxhash64(F.col(doc_id), F.col(text)).alias("h"))
+    # only hashes are sorted; the texts below the last of them are read where they are
+    last = marked.select("h").orderBy("h").limit(sample_docs).agg(F.max("h")).first()[0]
+    if last is None:
+        return []
+    picked = marked.filter(F.col("h") <= last)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         found, marks = [], []
