@@ -11,12 +11,13 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..session import scratch_dir
 
 KEY = "__key"
 CHUNK_BYTES = 4 << 20
+ARROW_ROWS = 1000
 
 M1, M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 LEFT, RIGHT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -50,11 +51,6 @@ def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
     return F.concat_ws(":", F.coalesce(F.col(doc_id).cast("string"), F.lit("-")), F.hex(F.xxhash64(F.col(text))))
 
 
-def n_words(text: str = "text") -> Column:
-    """Number of words; 0 for null."""
-    return F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0))
-
-
 def as_bytes(text: str = "text") -> Column:
     return F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")
 
@@ -72,8 +68,15 @@ def chunked(batches: Iterator[pa.RecordBatch], by: str, limit: int = CHUNK_BYTES
             at = to
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """Texts may be long: the session's Arrow batches are held at ``ARROW_ROWS`` rows."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    return df
+
+
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema, by: str, limit: int = CHUNK_BYTES) -> DataFrame:
     """``mapInArrow`` over small batches; ``fn`` may return None for no rows."""
+    small_batches(df)
 
     def run(batches):
         for chunk in chunked(batches, by, limit):
@@ -84,6 +87,18 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Non
     return df.mapInArrow(run, schema)
 
 
+def with_word_counts(df: DataFrame, text: str, out: str) -> DataFrame:
+    """``df`` with the number of words of ``text`` (0 for null) in place of ``text``."""
+    others = [c for c in df.columns if c != text]
+    schema = T.StructType([*[df.schema[c] for c in others], T.StructField(out, T.LongType())])
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        counts = [len(t.split()) for t in batch.column(0).to_pylist()]
+        return pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(counts, pa.int64())], names=[*others, out])
+
+    return map_arrow(df.select(as_bytes(text).alias("__bytes"), *others), run, schema, "__bytes")
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser."""
     x = (x ^ (x >> S33)) * M1

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import minhash, packing, pii, quality, repeats, templates, tiling, tokens, urls, warc
-from .common import n_words, table
+from .common import table, with_word_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -36,8 +36,8 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op3_best_fit_packing")
 def op3(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents").select("doc_id", "source", n_words().alias("n"), F.xxhash64("text").alias("copies"))
-    return packing.best_fit(docs, "doc_id", "n", "source", "copies", capacity=2048)
+    docs = table(spark, folder, "documents").select("doc_id", "source", "text", F.xxhash64("text").alias("copies"))
+    return packing.best_fit(with_word_counts(docs, "text", "n"), "doc_id", "n", "source", "copies", capacity=2048)
 
 
 @query("op5_line_dedup")

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import scratch_dir
-from .common import chunked, stored
+from .common import chunked, small_batches, stored
 from .files import FILE_BYTES, make_folder, read_files, write_file
 
 EPOCH = datetime(2020, 1, 1, tzinfo=timezone.utc)
@@ -138,7 +138,7 @@ def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url:
         if held:
             yield flush()
 
-    ruled.mapInArrow(run, "n long").write.format("noop").mode("overwrite").save()
+    small_batches(ruled).mapInArrow(run, "n long").write.format("noop").mode("overwrite").save()
 
 
 def runs(spark, folder: str) -> DataFrame:
