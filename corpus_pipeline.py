@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from wattloom.llm import minhash, packing, quality, templates, tiling
-from wattloom.llm.common import n_words, stored, table
+from wattloom.llm.common import stored, table, with_word_counts
 
 CAPACITY = 2048
 
@@ -39,8 +39,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents packed into sequences of ``CAPACITY`` words, no source or equal text twice in one."""
-    items = docs.select("doc_id", "source", n_words().alias("n"), F.xxhash64("text").alias("copies"))
-    return packing.best_fit(items, "doc_id", "n", "source", "copies", capacity=CAPACITY)
+    items = docs.select("doc_id", "source", "text", F.xxhash64("text").alias("copies"))
+    return packing.best_fit(with_word_counts(items, "text", "n"), "doc_id", "n", "source", "copies", capacity=CAPACITY)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
