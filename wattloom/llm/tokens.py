@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import scratch_dir
-from .common import as_bytes, chunked, offsets
+from .common import as_bytes, chunked, offsets, small_batches
 from .files import make_folder, read_files, write_file
 
 BLOCK, PERCENTILE, END = 1024, 90, 1
@@ -34,17 +34,14 @@ BLOCK_HEAD = struct.Struct("<IHBBH")  # minimum, ids, bits, high bytes, exceptio
 
 def pack_bits(values: np.ndarray, bits: int) -> bytes:
     """Little-endian bit packing of unsigned 32-bit values."""
-    if not bits:
-        return b""
-    spread = (values[:, None] >> np.arange(bits, dtype=np.uint32)) & np.uint32(1)
-    return np.packbits(spread.astype(np.uint8), bitorder="little").tobytes()
+    spread = np.unpackbits(values.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, count=bits, bitorder="little")
+    return np.packbits(spread, bitorder="little").tobytes()
 
 
 def unpack_bits(data: bytes, count: int, bits: int) -> np.ndarray:
-    if not bits:
-        return np.zeros(count, np.uint32)
-    flat = np.unpackbits(np.frombuffer(data, np.uint8), count=count * bits, bitorder="little").reshape(count, bits)
-    return flat.astype(np.uint32) @ (np.uint32(1) << np.arange(bits, dtype=np.uint32))
+    spread = np.zeros((count, 32), np.uint8)
+    spread[:, :bits] = np.unpackbits(np.frombuffer(data, np.uint8), count=count * bits, bitorder="little").reshape(count, bits)
+    return np.packbits(spread, axis=1, bitorder="little").view("<u4").reshape(-1)
 
 
 def encode_block(ids: np.ndarray) -> bytes:
@@ -116,8 +113,10 @@ class Encoder:
     """
 
     PLAIN, SIGNS = "a-zÀ-ÖØ-öø-ÿ", "!-&(-/:-@\\[-`{-~"
-    PIECE = re.compile(f"[{PLAIN}{SIGNS}]*+[^{PLAIN}{SIGNS}\\x20\\x09-\\x0D][^\\x20\\x09-\\x0D]*|[{PLAIN}]+|[{SIGNS}]+")
-    CACHED = 500_000
+    RUN = re.compile(f"[{PLAIN}]+|[{SIGNS}]+")
+    OTHER = re.compile(f"[^{PLAIN}{SIGNS}\\x20\\x09-\\x0D]")
+    PIECE = re.compile(f"[{PLAIN}{SIGNS}]*+{OTHER.pattern}[^\\x20\\x09-\\x0D]*|{RUN.pattern}")
+    CACHED = 800_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -126,9 +125,15 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}  # ids as little-endian unsigned 32-bit integers
 
+    def pieces(self, text: bytes) -> list[str]:
+        if b"<|" in text:
+            return [text.decode()]
+        low = text.lower().decode()
+        return (self.PIECE if self.OTHER.search(low) else self.RUN).findall(low)
+
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """The ids of whole texts."""
-        cut = [[t.decode()] if b"<|" in t else self.PIECE.findall(t.lower().decode()) for t in texts]
+        cut = list(map(self.pieces, texts))
         new = list(set().union(*cut).difference(self.known))
         for i in range(0, len(new), 4096):
             batch = new[i: i + 4096]
@@ -169,7 +174,7 @@ def write_tokens(docs: DataFrame, path: str, folder: str, doc_id: str = "doc_id"
         if held:
             yield flush()
 
-    ordered.mapInArrow(run, "n long").write.format("noop").mode("overwrite").save()
+    small_batches(ordered).mapInArrow(run, "n long").write.format("noop").mode("overwrite").save()
 
 
 def read_tokens(spark, folder: str) -> DataFrame:
