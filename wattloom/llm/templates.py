@@ -5,13 +5,13 @@ a leaf holds the lines that agree on these. Inside a leaf a word is constant if
 at least, and variable otherwise: the line with its variable words replaced is its template. This needs counts only, so the
 result does not depend on the order of lines, and no task ever holds a leaf.
 
-A template recurs, and all its lines are dropped, if it has ``min_docs`` documents, at least half of its words are
-constant, and it stands in ``min_docs`` different surroundings, which also make up a fifth of its documents: in copies of one
-document a line always has the same neighbours, and such copies are left to document dedup. Surroundings are the leaves of the
-previous and the next line.
+A template recurs, and all its lines are dropped, if at least half of its words are constant and it stands in ``min_docs``
+classes of documents. A class is a group of near-duplicates of whole texts (``minhash.near_duplicates``, similarity 0.8 on shingles
+of five words), so copies and near copies of one document count once, however many there are, and are left to document dedup.
+Only texts that hold a template of ``min_docs`` different texts are compared for this.
 
 Lines of fewer than ``min_words`` words stay. Null texts stay null, empty ones empty; a text without recurring lines stays
-byte for byte. Repeated rows count as documents each. Other columns, whatever their names, are carried along unread.
+byte for byte. Other columns, whatever their names, are carried along unread.
 """
 
 from __future__ import annotations
@@ -22,11 +22,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from . import minhash
 from .common import KEY, as_bytes, map_arrow, row_key, stored
 
 VARIABLE = "<*>"
 DIGIT = re.compile(rb"[0-9]")
-MIN_DOCS, MIN_WORDS, DEPTH, MIN_SPREAD = 10, 3, 3, 5
+MIN_DOCS, MIN_WORDS, DEPTH = 10, 3, 3
+CLASS_WIDTH, CLASS_PERCENT = 5, 80
 
 
 def masked(line: bytes) -> list[bytes]:
@@ -38,34 +40,44 @@ def leaf_of(words: list[bytes], depth: int) -> int:
 
 
 def tree_lines(docs: DataFrame, depth: int, min_words: int, with_words: bool) -> DataFrame:
-    """One row for each line of ``min_words`` or more: key, line number, leaf, surroundings, and the masked words."""
+    """One row for each line of ``min_words`` or more: key, hash of the text, line number, leaf, and the masked words."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         cols: tuple[list, ...] = ([], [], [], [], [])
-        for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            kept = [(i, w) for i, w in enumerate(map(masked, text.split(b"\n"))) if w]
-            leaves = [leaf_of(w, depth) for _, w in kept]
-            for k, (i, words) in enumerate(kept):
-                if len(words) >= min_words:
-                    around = xxhash.xxh3_64_intdigest(b"%d %d" % (leaves[k - 1] if k else 0, leaves[k + 1] if k + 1 < len(kept) else 0))
-                    for col, v in zip(cols, (key, i, leaves[k], around - (1 << 63), b" ".join(words) if with_words else None)):
+        for key, doc, text in zip(*(batch.column(c).to_pylist() for c in (KEY, "doc", "t"))):
+            for i, words in enumerate(map(masked, text.split(b"\n"))):
+                if words and len(words) >= min_words:
+                    for col, v in zip(cols, (key, doc, i, leaf_of(words, depth), b" ".join(words) if with_words else None)):
                         col.append(v)
-        kinds = (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
-        names = [KEY, "line", "leaf", "around", "words"]
+        kinds = (pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
+        names = [KEY, "doc", "line", "leaf", "words"]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)][: 4 + with_words], names=names[: 4 + with_words])
 
-    schema = f"{KEY} string, line int, leaf long, around long" + ", words binary" * with_words
+    schema = f"{KEY} string, doc long, line int, leaf long" + ", words binary" * with_words
     return map_arrow(docs, run, schema, "t")
 
 
+def in_classes(held: DataFrame, rows: DataFrame, least: int) -> DataFrame:
+    """(template) of those that stand in ``least`` classes of documents; ``held`` has distinct (template, doc)."""
+    wide = held.groupBy("template").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least).select("template")
+    held = stored(held.join(wide, "template", "left_semi"), "held")
+    # the texts' stored hashes decide whether texts are shuffled for this
+    texts = stored(held.select("doc").distinct(), "texts")
+    near = minhash.near_duplicates(rows.join(texts, "doc", "left_semi").select("doc", F.col("t").cast("string").alias("t")), "doc", "t", CLASS_WIDTH, CLASS_PERCENT)
+    classes = stored(near.groupBy("doc").agg(F.min("component_id").alias("class")), "text_classes")
+    return (
+        held.join(classes, "doc").groupBy("template", "class").agg(F.count(F.lit(1)).alias("n"))
+        .groupBy("template").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least).select("template")
+    )
+
+
 def recurring_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS,
                     depth: int = DEPTH, min_words: int = MIN_WORDS) -> DataFrame:
     """(key, line, template) of the lines whose template recurs; the key is ``row_key`` of id and text."""
-    rows = docs.select(row_key(doc_id, text).alias(KEY), as_bytes(text).alias("t"))
+    rows = docs.select(row_key(doc_id, text).alias(KEY), F.xxhash64(text).alias("doc"), as_bytes(text).alias("t"))
     seen = tree_lines(rows, depth, min_words, with_words=False)
-    spots = seen.groupBy("leaf", "around").agg(F.count(F.lit(1)).alias("n"))
     leaves = stored(
-        spots.groupBy("leaf").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("spots")).filter((F.col("n") >= min_docs) & (F.col("spots") >= min_docs)).select("leaf"), "leaves"
+        seen.groupBy("leaf", "doc").agg(F.count(F.lit(1)).alias("n")).groupBy("leaf").agg(F.count(F.lit(1)).alias("texts")).filter(F.col("texts") >= min_docs).select("leaf"), "leaves"
     )
     # the leaves' stored size decides whether the lines are shuffled for this
     lines = tree_lines(rows, depth, min_words, with_words=True).join(leaves, "leaf", "left_semi")
@@ -83,13 +95,9 @@ def recurring_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         .filter(F.col("fixed") * 2 >= F.col("size"))
         .select("leaf", "form", "template")
     )
-    placed = stored(lines.select(KEY, "line", "leaf", "form", "around").join(templates, ["leaf", "form"]).select(KEY, "line", "around", "template"), "templates")
-    counts = placed.groupBy("template", KEY).agg(F.count(F.lit(1)).alias("n")).groupBy("template").agg(F.count(F.lit(1)).alias("n_docs"))
-    spread = placed.groupBy("template", "around").agg(F.count(F.lit(1)).alias("n")).groupBy("template").agg(F.count(F.lit(1)).alias("n_spots"))
-    recurring = counts.join(spread, "template").filter(
-        (F.col("n_docs") >= min_docs) & (F.col("n_spots") >= min_docs) & (F.col("n_spots") * MIN_SPREAD >= F.col("n_docs"))
-    )
-    return placed.join(recurring.select("template"), "template", "left_semi").select(KEY, "line", "template")
+    placed = stored(lines.select(KEY, "doc", "line", "leaf", "form").join(templates, ["leaf", "form"]).select(KEY, "doc", "line", "template"), "templates")
+    recurring = in_classes(placed.select("template", "doc").distinct(), rows, min_docs)
+    return placed.join(recurring, "template", "left_semi").select(KEY, "line", "template")
 
 
 def without_recurring(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_lines: str | None = None, n_dropped: str | None = None,
