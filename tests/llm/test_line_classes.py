@@ -36,3 +36,11 @@ def test_near_copies_alone_keep_their_lines(frame):
         words[rng.randrange(len(words) - 1)] = f"other{'x' * i}"
         docs.append((i, " ".join(words)))
     assert left_of(frame, docs) == dict(docs)
+
+
+def test_inner_lines_of_a_repeated_block_go(frame):
+    rng = random.Random(5)
+    footer = ["Terms of use and imprint of the site.", "Contact us by letter or by phone.", "Privacy notice for all our readers here.", "Back to the top of this page."]
+    plain = {i: own_lines(rng) for i in range(40)}
+    got = left_of(frame, [(i, "\n".join([*x, *footer])) for i, x in plain.items()])
+    assert got == {i: "\n".join(x) for i, x in plain.items()}
