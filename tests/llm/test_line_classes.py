@@ -44,3 +44,23 @@ def test_inner_lines_of_a_repeated_block_go(frame):
     plain = {i: own_lines(rng) for i in range(40)}
     got = left_of(frame, [(i, "\n".join([*x, *footer])) for i, x in plain.items()])
     assert got == {i: "\n".join(x) for i, x in plain.items()}
+
+
+def test_template_of_repeated_values_goes_at_any_size(frame):
+    """Two fields of thirty values: three lines a value, then fifty."""
+    for size in (100, 1500):
+        rng = random.Random(size)
+        name = lambda: "name" + rng.choice("abcdefghijklmnopqrstuvwxyzäöüß")
+        plain = {i: own_lines(rng) for i in range(size)}
+        docs = [(i, "\n".join([x[0], f"Posted here today by {name()} writing from {name()} for our readers.", x[1]])) for i, x in plain.items()]
+        assert left_of(frame, docs) == {i: "\n".join(x) for i, x in plain.items()}, size
+
+
+def test_rare_line_in_a_hot_leaf_goes(frame):
+    """Twelve documents share a line; hundreds of others begin a line of the same length with the same words."""
+    rng, docs = random.Random(6), []
+    for i in range(400):
+        docs.append((i, "\n".join([*own_lines(rng), "This is the " + " ".join("".join(rng.choice("abcdefgh") for _ in range(7)) for _ in range(9))])))
+    plain = {1000 + i: "\n".join(own_lines(rng)) for i in range(12)}
+    docs += [(i, x + "\nThis is the footer that all pages of the old site carry.") for i, x in plain.items()]
+    assert left_of(frame, docs) == dict(docs) | plain

@@ -1,11 +1,13 @@
 """Line dedup by a log-template tree of fixed depth.
 
 A line's words holding digits are variable at once. Tree levels are the number of words and the leading ``depth`` words;
-a leaf holds the lines that agree on these. Inside a leaf a word is constant if it stands at its place in ``min_docs`` lines
-at least, and variable otherwise: the line with its variable words replaced is its template. This needs counts only, so the
-result does not depend on the order of lines, and no task ever holds a leaf.
+a leaf holds the lines that agree on these. Inside a leaf a word is constant at a level if it stands at its place in as many lines
+as the level asks: ``min_docs``, twice, four times as many, and so on. The line with its variable words replaced is its template
+at that level. However often the values of a field repeat in a large leaf, some level lies between them and the words of
+the template, and the first level finds rare lines in hot leaves. This needs counts only, so the result does not depend on
+the order of lines, and no task ever holds a leaf.
 
-A template recurs, and all its lines are dropped, if at least half of its words are constant and it stands in ``min_docs``
+A template of any level recurs, and all its lines are dropped, if at least half of its words are constant and it stands in ``min_docs``
 classes of documents. A class is a group of near-duplicates of whole texts (``minhash.near_duplicates``, similarity 0.8 on shingles
 of five words), so copies and near copies of one document count once, however many there are, and are left to document dedup.
 Only texts that hold a template of ``min_docs`` different texts are compared for this.
@@ -20,7 +22,7 @@ import re
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from . import minhash
 from .common import KEY, as_bytes, map_arrow, row_key, stored
@@ -57,6 +59,19 @@ def tree_lines(docs: DataFrame, depth: int, min_words: int, with_words: bool) ->
     return map_arrow(docs, run, schema, "t")
 
 
+def levels(words: Column, least: int) -> Column:
+    """The distinct templates of a line, from its words with their counts: one for each level that leaves half of the words constant."""
+    top = F.greatest(F.array_max(F.transform(words, lambda w: w["lines"])), F.lit(least))
+    doublings = F.sequence(F.lit(0), F.floor(F.log2(top / least)).cast("int"))
+
+    def at(k: Column) -> Column:
+        need = F.lit(least) * F.pow(F.lit(2.0), k)
+        shown = F.transform(words, lambda w: F.when(w["lines"] >= need, w["word"]).otherwise(F.lit(VARIABLE)))
+        return F.when(F.size(F.filter(words, lambda w: w["lines"] >= need)) * 2 >= F.size(words), F.array_join(shown, " "))
+
+    return F.array_distinct(F.filter(F.transform(doublings, at), lambda t: t.isNotNull()))
+
+
 def in_classes(held: DataFrame, rows: DataFrame, least: int) -> DataFrame:
     """(template) of those that stand in ``least`` classes of documents; ``held`` has distinct (template, doc)."""
     wide = held.groupBy("template").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least).select("template")
@@ -73,7 +88,7 @@ def in_classes(held: DataFrame, rows: DataFrame, least: int) -> DataFrame:
 
 def recurring_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS,
                     depth: int = DEPTH, min_words: int = MIN_WORDS) -> DataFrame:
-    """(key, line, template) of the lines whose template recurs; the key is ``row_key`` of id and text."""
+    """(key, line, template) of the lines with a template that recurs, each once; the key is ``row_key`` of id and text."""
     rows = docs.select(row_key(doc_id, text).alias(KEY), F.xxhash64(text).alias("doc"), as_bytes(text).alias("t"))
     seen = tree_lines(rows, depth, min_words, with_words=False)
     leaves = stored(
@@ -86,18 +101,15 @@ def recurring_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     forms = lines.groupBy("leaf", "form").agg(F.first("words").alias("words"), F.count(F.lit(1)).alias("n"))
     places = forms.select("leaf", "form", "n", F.posexplode(F.split("words", " ")).alias("place", "word"))
     constant = places.filter(F.col("word") != VARIABLE).groupBy("leaf", "place", "word").agg(F.sum("n").alias("lines")).filter(F.col("lines") >= min_docs)
-    general = F.transform(F.array_sort(F.collect_list(F.struct("place", "shown"))), lambda p: p["shown"])
     templates = (
         places.join(constant, ["leaf", "place", "word"], "left")
-        .withColumn("shown", F.when(F.col("lines").isNotNull(), F.col("word")).otherwise(F.lit(VARIABLE)))
         .groupBy("leaf", "form")
-        .agg(F.array_join(general, " ").alias("template"), F.count("lines").alias("fixed"), F.count(F.lit(1)).alias("size"))
-        .filter(F.col("fixed") * 2 >= F.col("size"))
-        .select("leaf", "form", "template")
+        .agg(F.array_sort(F.collect_list(F.struct("place", "word", F.coalesce("lines", F.lit(0)).alias("lines")))).alias("words"))
+        .select("leaf", "form", F.explode(levels(F.col("words"), min_docs)).alias("template"))
     )
     placed = stored(lines.select(KEY, "doc", "line", "leaf", "form").join(templates, ["leaf", "form"]).select(KEY, "doc", "line", "template"), "templates")
     recurring = in_classes(placed.select("template", "doc").distinct(), rows, min_docs)
-    return placed.join(recurring, "template", "left_semi").select(KEY, "line", "template")
+    return placed.join(recurring, "template", "left_semi").groupBy(KEY, "line").agg(F.min("template").alias("template"))
 
 
 def without_recurring(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_lines: str | None = None, n_dropped: str | None = None,
