@@ -124,3 +124,15 @@ def test_held_out_rewriting(field):
 def test_plain_text_gets_nothing(field):
     for text in ("It cost 12,345.67 in 2024-05-17.", "from 1999 to 2005 at noon", "version 3.14 of the book", "chapter 12, verse 7 at the end"):
         assert pii.added_spans(text, [], field) == []
+
+
+LONG_ENTITIES = [("jane.doe [at] mail [dot] example [dot] com", 0), ("6304 - 0000 - 0000 - 0000 - 000", 2)]
+
+
+@pytest.mark.parametrize("entity,kind", LONG_ENTITIES)
+def test_long_entities_are_candidates_and_training_examples(entity, kind):
+    text = f"please write to {entity} before the end."
+    a = text.index(entity)
+    assert any(x <= a and a + len(entity) <= y for x, y in pii.windows(text))
+    one = pii.example(text, [(a, kind, a + len(entity))])
+    assert one and len(one[2]) == 1

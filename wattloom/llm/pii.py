@@ -4,8 +4,8 @@ Base: four patterns with their checks, leftmost non-overlapping for each kind. T
 addresses, phone numbers without a plus sign, cards and addresses with other separators.
 
 The field works on windows: stretches of text with digits or an at sign, in pieces (runs of letters, runs of digits, single other
-signs). A segmentation cuts a window into segments of at most ``MAX_PIECES`` pieces (the bound of an entity), each with a kind or, for one piece,
-none. A segment is scored by features of the whole span (digits, groups, check sum, octets, shape, words before it) and
+signs). A segmentation cuts a window into segments of at most ``MAX_UNITS`` pieces besides blanks and brackets, ``MAX_PIECES`` with them (the
+bound of an entity), each with a kind or, for one piece, none. A segment is scored by features of the whole span (digits, groups, check sum, octets, shape, words before it) and
 the kind of the segment before. Dynamic programming over pieces, lengths and kinds finds the best segmentation, so boundaries and kinds
 are chosen together; the same sums give the gradient of the likelihood in training.
 
@@ -31,7 +31,8 @@ from .common import map_arrow
 
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE_DOCS, SAMPLE_WINDOWS, STEPS = 1000, 120, 40
-MAX_PIECES, WINDOW_PIECES = 15, 60
+MAX_UNITS, MAX_PIECES, WINDOW_PIECES = 15, 40, 120
+NOT_UNITS = frozenset("[](){}<>")
 
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]*\Z")
@@ -95,7 +96,7 @@ def base_spans(text: str) -> list[Span]:
 
 PIECE = re.compile(r"[0-9]+|[^\W\d_]+|[^\s]|\s+")
 # a stretch with some digits, or an at sign, plain or written out; the words on both sides give context
-SEEN = re.compile(r"\S*[@＠]\S*|\S+[ ]?[\[({<][ ]?(?:at|AT)[ ]?[\])}>][ ]?\S+|[+(]?[0-9][0-9 ()./\[\]_-]{5,}[0-9]|[0-9]+(?:\[?\.\]?[0-9]+){3}")
+SEEN = re.compile(r"\S*[@＠]\S*|\S+[ ]?[\[({<][ ]?(?:at|AT)[ ]?[\])}>][ ]?\S+(?:[ ]?[\[({<][ ]?(?:dot|DOT)[ ]?[\])}>][ ]?[^\s\[({<]+)*|[+(]?[0-9][0-9 ()./\[\]_-]{5,}[0-9]|[0-9]+(?:\[?\.\]?[0-9]+){3}")
 
 
 def windows(text: str) -> list[tuple[int, int]]:
@@ -129,27 +130,30 @@ class Window:
         self.words = [text[a:b] for a, b in found]
 
     def segments(self) -> list[tuple[int, int, list[int]]]:
-        """(first piece, pieces, features) of the spans that may be an entity: no space at the ends; seven digits, an at sign or four numbers inside."""
+        """(first piece, pieces, features) of the spans that may be an entity: no space at the ends, no date; seven digits, an at sign or four numbers inside."""
         out = []
         n = len(self.words)
         for i in range(n):
             if self.words[i].isspace():
                 continue
-            digits = numbers = 0
+            digits = numbers = units = 0
             at = False
             for j in range(i, min(n, i + MAX_PIECES)):
                 w = self.words[j]
-                if "\n" in w:
+                units += not w.isspace() and w not in NOT_UNITS
+                if "\n" in w or units > MAX_UNITS:
                     break
                 if w[0].isdigit():
                     digits, numbers = digits + len(w), numbers + 1
                 at = at or w in "@＠" or w.lower() == "at"
-                if (digits >= 7 or numbers == 4 or at and j > i + 1) and not w.isspace():
+                if (digits >= 7 or numbers == 4 or at and j > i + 1) and not w.isspace() and not DATE.fullmatch(self.text, self.at[i][0], self.at[j][1]):
                     out.append((i, j - i + 1, span_features(self.text, self.at[i][0], self.at[j][1], self.words[i: j + 1])))
         return out
 
 
 FEATURES = 96
+DOT_AFTER = re.compile(r"\s?[\[({<]\s?(?:dot|DOT)\s?[\])}>]")
+DATE = re.compile(r"(?:19|20)[0-9]{2}([-/.])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1,2}([-/.])[0-9]{1,2}\2(?:19|20)[0-9]{2}")
 CUES = {"tel": 0, "phone": 0, "call": 0, "mobile": 0, "fax": 0, "mail": 1, "email": 1, "contact": 1, "ip": 2, "host": 2, "server": 2, "card": 3, "visa": 3, "payment": 3}
 
 
@@ -226,6 +230,8 @@ def span_features(text: str, a: int, b: int, words: list[str]) -> list[int]:
         out.append(74)
     if plain and re.fullmatch(r"[0-9]{1,3}(?:(?:\.|\[\.\]| \. )[0-9]{1,3}){3}", span):
         out.append(75)
+    if DOT_AFTER.match(text, b):
+        out.append(76)
     return out
 
 
@@ -327,7 +333,7 @@ def rewritten(text: str, spans: list[Span], seed: int) -> tuple[str, list[Span]]
     for start, kind, end in spans:
         old = text[start:end]
         if kind == 0:
-            new = [old.replace("@", "[at]"), old.replace("@", " [at] ").replace(".", "[dot]"), old.replace("@", " (at) "), old.replace("@", "＠")][seed % 4]
+            new = [old.replace("@", "[at]"), old.replace("@", " [at] ").replace(".", "[dot]"), old.replace("@", " (at) "), old.replace("@", "＠"), old.replace("@", " [at] ").replace(".", " [dot] ")][seed % 5]
         elif kind == 1:
             new = [old.replace(".", "[.]"), old.replace(".", " . "), old, old.replace(".", "[.]", 1)][seed % 4]
         elif kind == 2:
@@ -345,7 +351,7 @@ def rewritten(text: str, spans: list[Span], seed: int) -> tuple[str, list[Span]]
 def example(text: str, spans: list[Span]) -> tuple[int, list, list] | None:
     """(pieces, segments, gold entities), or None if an entity is no candidate segment (its borders cut a piece)."""
     w = Window(text)
-    if not w.words or len(w.words) > 2 * WINDOW_PIECES:
+    if not w.words or len(w.words) > WINDOW_PIECES:
         return None
     segments = w.segments()
     starts, ends = {a: i for i, (a, _) in enumerate(w.at)}, {b: i + 1 for i, (_, b) in enumerate(w.at)}
