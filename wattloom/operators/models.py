@@ -211,6 +211,10 @@ def isotonic_fit(df: DataFrame, score: str, label: str) -> DataFrame:
 
 # ---- supervised models -----------------------------------------------------
 
+# the reference's sizes; its forest has no bound of depth, and 30 is the deepest that Spark grows
+FOREST_TREES, FOREST_DEPTH, ROUNDS, ROUND_DEPTH, RATE, BOOST_SAMPLE = 200, 30, 300, 6, 0.1, 0.9
+
+
 def class_weight(df: DataFrame, label: str) -> DataFrame:
     """Weight rows so that both classes count the same."""
     p = df.agg(F.avg(label))
@@ -218,14 +222,15 @@ def class_weight(df: DataFrame, label: str) -> DataFrame:
     return df.withColumn("__p", p.scalar()).withColumn("weight", F.coalesce(F.try_divide(F.lit(0.5), share), F.lit(1.0))).drop("__p")
 
 
-def supervised(train: DataFrame, test: DataFrame, features: list[str], label: str, ident: str = "event_id") -> DataFrame:
+def supervised(train: DataFrame, test: DataFrame, features: list[str], label: str, ident: str = "event_id", forest_trees: int = FOREST_TREES,
+               forest_depth: int = FOREST_DEPTH, rounds: int = ROUNDS, round_depth: int = ROUND_DEPTH, rate: float = RATE, sample: float = BOOST_SAMPLE) -> DataFrame:
     """Test probabilities of a random forest and of boosted trees."""
     assemble = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep")
     fit = assemble.transform(class_weight(train, label).withColumn("label", F.col(label).cast("double")))
     ready = assemble.transform(test)
     makers = {
-        "random_forest": RandomForestClassifier(numTrees=20, maxDepth=6, weightCol="weight", seed=42),
-        "boosted_trees": GBTClassifier(maxIter=10, maxDepth=4, weightCol="weight", seed=42),
+        "random_forest": RandomForestClassifier(numTrees=forest_trees, maxDepth=forest_depth, weightCol="weight", seed=42),
+        "boosted_trees": GBTClassifier(maxIter=rounds, maxDepth=round_depth, stepSize=rate, subsamplingRate=sample, featureSubsetStrategy=str(sample), weightCol="weight", seed=42),
     }
     out = None
     for name, maker in makers.items():
