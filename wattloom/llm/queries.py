@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import minhash, packing, pii, quality, repeats, templates, tiling, tokens, urls, warc
+from . import interactions, minhash, packing, pii, quality, repeats, templates, tiling, tokens, urls, warc
 from .common import table, with_word_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -105,3 +105,48 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
 @query("op1_pii")
 def op1(spark: SparkSession, folder: str) -> DataFrame:
     return pii.detect(table(spark, folder, "documents"))
+
+
+# failed filters as bits of a mask; every order is a tuple of different letters
+OP12_SQL = r"""
+WITH texts AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+cut AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM texts),
+judged AS (
+  SELECT doc_id, part, CASE WHEN len(words) < 200 THEN 1 ELSE 0 END
+    + CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 2 ELSE 0 END
+    + CASE WHEN 100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 3 * length(text) THEN 4 ELSE 0 END
+    + CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 8 ELSE 0 END
+    + CASE WHEN min(doc_id) OVER (PARTITION BY text) < doc_id THEN 16 ELSE 0 END AS fails
+  FROM cut),
+known AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic
+  FROM labels GROUP BY doc_id),
+counted AS (
+  SELECT part, fails, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic
+  FROM judged LEFT JOIN known USING (doc_id) GROUP BY part, fails),
+f(letter, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+orders AS (
+  SELECT a.letter || b.letter || c.letter || d.letter || e.letter AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+  FROM f a JOIN f b ON a.bit <> b.bit JOIN f c ON c.bit NOT IN (a.bit, b.bit) JOIN f d ON d.bit NOT IN (a.bit, b.bit, c.bit)
+    JOIN f e ON e.bit NOT IN (a.bit, b.bit, c.bit, d.bit)),
+steps AS (
+  SELECT filter_order, CAST(i AS INTEGER) AS step, bits[i] AS bit, coalesce(list_sum(bits[1:i - 1]), 0)::INTEGER AS earlier
+  FROM orders, range(1, 6) AS r(i)),
+told AS (
+  SELECT part, filter_order, step, bit,
+    sum(CASE WHEN fails & (earlier | bit) = 0 THEN n ELSE 0 END) AS kept,
+    sum(CASE WHEN fails & bit <> 0 AND fails & earlier = 0 THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN fails & bit <> 0 AND fails & earlier <> 0 THEN n ELSE 0 END) AS redundant,
+    sum(CASE WHEN fails = bit THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN fails & bit <> 0 AND fails & earlier = 0 THEN good ELSE 0 END) AS good_lost,
+    sum(CASE WHEN fails & bit <> 0 AND fails & earlier = 0 THEN toxic ELSE 0 END) AS toxic_lost
+  FROM counted, steps GROUP BY part, filter_order, step, bit)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+  CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley
+FROM told"""
+
+
+@query("op12_filter_interactions", OP12_SQL)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    failed = interactions.failures(table(spark, folder, "documents"))
+    return interactions.audit(interactions.tallies(failed, table(spark, folder, "labels")))
