@@ -192,3 +192,23 @@ def covered(n: int, starts: np.ndarray, width: int) -> np.ndarray:
     np.add.at(edge, starts, 1)
     np.add.at(edge, np.minimum(starts + width, n), -1)
     return np.cumsum(edge[:-1]) > 0
+
+
+def grouped(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[tuple[tuple[int, ...], pa.Table]]:
+    """(key, rows) of each group, from batches sorted by whole-numbered ``keys``; a group may span batches."""
+    held: list[pa.RecordBatch] = []
+    now: tuple[int, ...] | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        at = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in keys])
+        cuts = [0, *(np.flatnonzero((at[:, 1:] != at[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:]):
+            key = tuple(at[:, a].tolist())
+            if key != now and held:
+                yield now, pa.Table.from_batches(held)
+                held = []
+            now = key
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield now, pa.Table.from_batches(held)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import interactions, minhash, packing, pii, quality, repeats, templates, tiling, tokens, urls, warc
+from . import interactions, minhash, packing, pii, quality, repeats, templates, tiling, tokens, urls, variants, warc
 from .common import table, with_word_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -150,3 +150,9 @@ FROM told"""
 def op12(spark: SparkSession, folder: str) -> DataFrame:
     failed = interactions.failures(table(spark, folder, "documents"))
     return interactions.audit(interactions.tallies(failed, table(spark, folder, "labels")))
+
+
+@query("op11_spelling_variants")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    words = variants.word_counts(table(spark, folder, "documents"), least_chars=5, least=3, slip=97)
+    return variants.spelling_variants(words)
