@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import interactions, minhash, packing, pii, quality, repeats, templates, tiling, tokens, urls, variants, warc
+from . import interactions, minhash, overlap, packing, pii, quality, repeats, templates, tiling, tokens, urls, variants, warc
 from .common import table, with_word_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -156,3 +156,8 @@ def op12(spark: SparkSession, folder: str) -> DataFrame:
 def op11(spark: SparkSession, folder: str) -> DataFrame:
     words = variants.word_counts(table(spark, folder, "documents"), least_chars=5, least=3, slip=97)
     return variants.spelling_variants(words)
+
+
+@query("op13_ngram_jaccard_join")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return overlap.jaccard_links(table(spark, folder, "documents"), width=4, percent=85).drop("cls")
