@@ -7,7 +7,7 @@ from wattloom.operators import models
 
 def test_sizes_are_arguments_with_the_reference_values():
     given = {k: p.default for k, p in inspect.signature(models.supervised).parameters.items()}
-    assert (given["forest_trees"], given["forest_depth"], given["rounds"], given["round_depth"], given["rate"], given["sample"]) == (200, 30, 300, 6, 0.1, 0.9)
+    assert (given["forest_trees"], given["forest_depth"], given["rounds"], given["round_depth"], given["rate"], given["sample"]) == (200, None, 300, 6, 0.1, 0.9)
 
 
 def test_both_learners_fit(spark):

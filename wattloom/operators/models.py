@@ -6,12 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from . import trees
 from .detect import domain_rules
 from .evaluate import counted, curve_areas
 from .lookup import stored
@@ -211,33 +212,21 @@ def isotonic_fit(df: DataFrame, score: str, label: str) -> DataFrame:
 
 # ---- supervised models -----------------------------------------------------
 
-# the reference's sizes; its forest has no bound of depth, and 30 is the deepest that Spark grows
-FOREST_TREES, FOREST_DEPTH, ROUNDS, ROUND_DEPTH, RATE, BOOST_SAMPLE = 200, 30, 300, 6, 0.1, 0.9
-
-
-def class_weight(df: DataFrame, label: str) -> DataFrame:
-    """Weight rows so that both classes count the same."""
-    p = df.agg(F.avg(label))
-    share = F.when(F.col(label) == 1, F.col("__p")).otherwise(1 - F.col("__p"))
-    return df.withColumn("__p", p.scalar()).withColumn("weight", F.coalesce(F.try_divide(F.lit(0.5), share), F.lit(1.0))).drop("__p")
+# the sizes of the surveyed models; the forest's trees have no bound of depth
+FOREST_TREES, FOREST_DEPTH, ROUNDS, ROUND_DEPTH, RATE, BOOST_SAMPLE = 200, None, 300, 6, 0.1, 0.9
 
 
 def supervised(train: DataFrame, test: DataFrame, features: list[str], label: str, ident: str = "event_id", forest_trees: int = FOREST_TREES,
-               forest_depth: int = FOREST_DEPTH, rounds: int = ROUNDS, round_depth: int = ROUND_DEPTH, rate: float = RATE, sample: float = BOOST_SAMPLE) -> DataFrame:
-    """Test probabilities of a random forest and of boosted trees."""
-    assemble = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep")
-    fit = assemble.transform(class_weight(train, label).withColumn("label", F.col(label).cast("double")))
-    ready = assemble.transform(test)
-    makers = {
-        "random_forest": RandomForestClassifier(numTrees=forest_trees, maxDepth=forest_depth, weightCol="weight", seed=42),
-        "boosted_trees": GBTClassifier(maxIter=rounds, maxDepth=round_depth, stepSize=rate, subsamplingRate=sample, featureSubsetStrategy=str(sample), weightCol="weight", seed=42),
-    }
-    out = None
-    for name, maker in makers.items():
-        pred = maker.fit(fit).transform(ready)
-        one = pred.select(F.lit(name).alias("model"), ident, F.col(label).alias("label"), vector_to_array("probability")[1].alias("probability"))
-        out = one if out is None else out.unionByName(one)
-    return out
+               forest_depth: int | None = FOREST_DEPTH, rounds: int = ROUNDS, round_depth: int = ROUND_DEPTH, rate: float = RATE, sample: float = BOOST_SAMPLE,
+               bag_rows: int = trees.BAG_ROWS, local_rows: int = trees.LOCAL_ROWS) -> DataFrame:
+    """(model, id, label, probability) of the test rows, by a random forest and by boosted trees; classes weigh the same."""
+    n, cuts = len(features), trees.quantile_cuts(train, features)
+    fit, ready = (stored(trees.binned(df, features, cuts, ident, label), "binned") for df in (train, test))
+    forest = stored(trees.fit_forest(fit, n, forest_trees, forest_depth, bag_rows=bag_rows), "forest")
+    boosted = trees.fit_boosting(fit, n, rounds, round_depth, rate, sample, sample, local_rows=local_rows)
+    scored = {"random_forest": trees.score_forest(ready, forest, n, ready.count(), forest_trees), "boosted_trees": trees.score_boosting(ready, *boosted)}
+    out = [df.select(F.lit(name).alias("model"), F.col("ident").alias(ident), "label", "probability") for name, df in scored.items()]
+    return out[0].unionByName(out[1])
 
 
 def permutation_importance(df: DataFrame, columns: list[str], score, label: str, ident: str, permute) -> DataFrame:
