@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 from ..functions.expr import div0, first_max_name, micros
 from .features import METER, ORDER, diff, pct_change, scaler_stats, temporal
 from .folds import Arrays, LastEmitted, emit_with_cooldown, ordered_fold
-from .profile import baseline_stats
+from .profile import grouped_baseline
 from .quantiles import percentiles, with_scalars
 from .series import ALL, HALO, SLICE, fits_one_task, islands, null_safe_join, ordinal, over_series, running, slice_series, stored
 
@@ -94,13 +94,14 @@ def with_type_stats(df: DataFrame) -> DataFrame:
 
     The statistics have one row per consumer type, a fixed enumeration, and arrive as one map value.
     """
-    stats = baseline_stats(df)
-    entry = F.struct(F.coalesce("type", F.lit("*")).alias("key"), F.struct("mean", "std", "q95").alias("value"))
-    table = stats.agg(F.map_from_entries(F.collect_list(entry)))
-    own, everyone = F.try_element_at(F.col("__t"), F.col("type")), F.try_element_at(F.col("__t"), F.lit("*"))
-    s = F.coalesce(own, everyone)
-    return df.withColumn("__t", table.scalar()).withColumns({
-        "mean_t": s["mean"], "std_t": s["std"], "q95_t": s["q95"], "mean_all": everyone["mean"]}).drop("__t")
+    stats = grouped_baseline(df)
+    values = F.struct("mean", "std", "q95")
+    known = (F.col("overall") == 0) & F.col("type").isNotNull()
+    table = stats.filter(known).agg(F.map_from_entries(F.collect_list(F.struct(F.col("type").alias("key"), values.alias("value")))))
+    everyone = stats.filter("overall = 1").select(values)
+    s = F.coalesce(F.try_element_at(F.col("__t"), F.col("type")), F.col("__all"))
+    return df.withColumns({"__t": table.scalar(), "__all": everyone.scalar()}).withColumns({
+        "mean_t": s["mean"], "std_t": s["std"], "q95_t": s["q95"], "mean_all": F.col("__all.mean")}).drop("__t", "__all")
 
 
 def rate_inputs(df: DataFrame) -> DataFrame:

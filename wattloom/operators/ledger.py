@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .folds import Arrays, ordered_fold
-from .series import ordinal, over_series, running
+from .series import null_safe_join, ordinal, over_series, running
 
 ZERO_HASH = "0" * 64
 GENESIS_ROOT = hashlib.sha256(b"GENESIS").hexdigest()
@@ -110,7 +110,7 @@ def validate(stored: DataFrame, roots: DataFrame, chain: str, authorities: list[
     """Errors of every stored block: count, root, proposer, link to the predecessor, header hash, row range."""
     linked = over_series(stored, [chain], ["block_index"], lambda w: {"__prev": F.lag("block_hash").over(w)}, back=1)
     expected = roots.select(chain, "block_index", F.col("transaction_root").alias("__root"), F.col("transaction_count").alias("__count"))
-    rows = linked.join(expected, [chain, "block_index"], "left")
+    rows = null_safe_join(linked, expected, [chain, "block_index"], "left")
     before = F.coalesce("__prev", F.lit(genesis(authorities)["block_hash"]))
     errors = F.array_compact(F.array(
         F.when(F.coalesce("__count", F.lit(0)) != F.col("transaction_count"), "transaction_count mismatch"),
@@ -133,7 +133,7 @@ def verified_rows(rows: DataFrame, sealed: DataFrame, chain: str, size: int) ->
     """Every row with the sealed block it is in; rows of open blocks get -1 and empty texts."""
     rows = rows.withColumn("__b", F.floor((F.col("row_index") - 1) / size) + 1)
     blocks = sealed.select(chain, F.col("block_index").alias("__b"), "block_index", "block_hash", "proposer")
-    out = rows.join(blocks, [chain, "__b"], "left").drop("__b")
+    out = null_safe_join(rows, blocks, [chain, "__b"], "left").drop("__b")
     return out.withColumns({"block_index": F.coalesce("block_index", F.lit(-1).cast("long")),
                             "block_hash": F.coalesce("block_hash", F.lit("")), "proposer": F.coalesce("proposer", F.lit(""))})
 

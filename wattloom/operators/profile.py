@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.expr import div0, total
 from .features import latest_per_key
 from .quantiles import percentiles, with_scalars
-from .series import over_series
+from .series import null_safe_join, over_series
 
 # fixed values: share of the grid load per bus 1..14
 BUS_WEIGHTS = [0.09, 0.08, 0.08, 0.07, 0.07, 0.07, 0.06, 0.07, 0.06, 0.06, 0.07, 0.08, 0.07, 0.07]
@@ -86,15 +86,19 @@ def log_histogram(df: DataFrame, value: str, bins: int, by: list[str] = [], floo
     return histogram(logs, "__log", bins, by)
 
 
-def baseline_stats(df: DataFrame) -> DataFrame:
-    """Mean, sample deviation and q95 of consumption, overall (type null) and per type."""
+def grouped_baseline(df: DataFrame) -> DataFrame:
+    """Mean, sample deviation and q95 of consumption per type (``overall`` 0, a null type is a type) and over all (``overall`` 1)."""
     grouped = df.groupingSets([[], ["type"]], "type").agg(
-        F.avg("consommation_kw").alias("mean"), F.stddev_samp("consommation_kw").alias("std"), F.grouping_id().alias("g"))
+        F.avg("consommation_kw").alias("mean"), F.stddev_samp("consommation_kw").alias("std"), F.grouping_id().alias("overall"))
     per_type = percentiles(df, ["type"], {"q95": ("consommation_kw", 0.95)})
     overall = percentiles(df, [], {"q95": ("consommation_kw", 0.95)})
-    joined = grouped.join(per_type.withColumnRenamed("type", "__type"), F.col("type") == F.col("__type"), "left")
-    q95 = F.when(F.col("g") == 1, overall.scalar()).otherwise(F.col("q95"))
-    return joined.select("type", "mean", "std", q95.alias("q95"))
+    q95 = F.when(F.col("overall") == 1, overall.scalar()).otherwise(F.col("q95"))
+    return null_safe_join(grouped, per_type, ["type"], "left").select("type", "mean", "std", q95.alias("q95"), "overall")
+
+
+def baseline_stats(df: DataFrame) -> DataFrame:
+    """Mean, sample deviation and q95 of consumption, overall (type null) and per type."""
+    return grouped_baseline(df).drop("overall")
 
 
 def grid_status(meters: DataFrame, alerts: DataFrame) -> DataFrame:

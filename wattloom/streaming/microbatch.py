@@ -74,14 +74,14 @@ def seal_batch(batch: DataFrame, batch_id: int, folder: str, size: int, authorit
     spark, batch = batch.sparkSession, batch.persist()
     pending, tails = _state(spark, folder, "pending", batch_id, PENDING), _state(spark, folder, "tails", batch_id, TAILS)
     waiting = pending.groupBy("meter_id").agg(F.max("row_index").alias("__last"))
-    start = tails.join(waiting, "meter_id", "left").select("meter_id", F.coalesce("__last", "rows_sealed").alias("__seen")) if batch_id else None
+    start = null_safe_join(tails, waiting, ["meter_id"], "left").select("meter_id", F.coalesce("__last", "rows_sealed").alias("__seen")) if batch_id else None
     numbered = l.ordinal(batch, ["meter_id"], ORDER, rn="row_index")
     if start is not None:
-        numbered = numbered.join(start, "meter_id", "left").withColumn("row_index", F.col("row_index") + F.coalesce("__seen", F.lit(0)))
+        numbered = null_safe_join(numbered, start, ["meter_id"], "left").withColumn("row_index", F.col("row_index") + F.coalesce("__seen", F.lit(0)))
     hashed = numbered.withColumn("row_hash", F.sha2(l.canonical_json({**payload, "row_index": F.col("row_index")}), 256))
     rows = pending.unionByName(hashed.select(*[c.split()[0] for c in PENDING.split(", ")]))
     blocks = l.ledger_blocks(rows, "meter_id", size, authorities)
-    full = blocks.filter(F.col("transaction_count") == size).join(tails.select("meter_id", "tail"), "meter_id", "left")
+    full = null_safe_join(blocks.filter(F.col("transaction_count") == size), tails.select("meter_id", "tail"), ["meter_id"], "left")
     full = full.withColumn("tail", F.coalesce("tail", F.lit(l.genesis(authorities)["block_hash"])))
     schema = l.chain_schema("meter_id")
 
@@ -93,12 +93,12 @@ def seal_batch(batch: DataFrame, batch_id: int, folder: str, size: int, authorit
     write_batch(l.ordered_fold(full, ["meter_id"], ["block_index"], LiveTail, step, schema), folder, "out", batch_id)
     sealed = spark.read.schema(schema).parquet(f"{folder}/out/batch={batch_id}")
     ends = sealed.groupBy("meter_id").agg(F.max("row_end").alias("rows_sealed"), F.max_by("block_hash", "block_index").alias("tail"))
-    open_rows = rows.join(ends.select("meter_id", "rows_sealed"), "meter_id", "left").filter(F.col("row_index") > F.coalesce("rows_sealed", F.lit(0))).drop("rows_sealed")
+    open_rows = null_safe_join(rows, ends.select("meter_id", "rows_sealed"), ["meter_id"], "left").filter(F.col("row_index") > F.coalesce("rows_sealed", F.lit(0))).drop("rows_sealed")
     write_batch(open_rows, folder, "pending", batch_id)
     first = l.genesis(authorities)["block_hash"]
-    unsealed = rows.select("meter_id").distinct().join(ends, "meter_id", "left_anti").join(tails, "meter_id", "left")
+    unsealed = null_safe_join(null_safe_join(rows.select("meter_id").distinct(), ends.select("meter_id"), ["meter_id"], "left_anti"), tails, ["meter_id"], "left")
     unsealed = unsealed.select("meter_id", F.coalesce("rows_sealed", F.lit(0)).alias("rows_sealed"), F.coalesce("tail", F.lit(first)).alias("tail"))
-    silent = tails.join(rows.select("meter_id").distinct(), "meter_id", "left_anti")
+    silent = null_safe_join(tails, rows.select("meter_id").distinct(), ["meter_id"], "left_anti")
     write_batch(ends.unionByName(unsealed).unionByName(silent), folder, "tails", batch_id)
     for table in ("pending", "tails"):
         drop_version(spark, folder, table, batch_id - 2)
