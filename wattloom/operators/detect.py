@@ -416,27 +416,52 @@ def rate_violations(df: DataFrame, client: str, ts: str, ident: str, window_s: i
     return null_safe_join(rows, in_force, [client, "us"]).filter(F.col("recent") > limit).drop("us")
 
 
+def allow(hits: deque, now: int, span: int, limit: int) -> bool:
+    """Whether a request passes; only passed ones stay in ``hits``."""
+    while hits and now - hits[0] > span:
+        hits.popleft()
+    if len(hits) >= limit:
+        return False
+    hits.append(now)
+    return True
+
+
 def rate_limit_exact(df: DataFrame, client: str, ts: str, ident: str, window_s: int, limit: int) -> DataFrame:
     """The limiter itself: rejected requests do not count against the client.
 
     A pause longer than the window empties it, so the runs between such pauses are independent.
     """
+    return rate_limit_budgets(df.withColumn("__path", F.lit("")), client, ts, ident, "__path", window_s, limit, {}).select(client, ident, "allowed")
+
+
+def with_budget(df: DataFrame, path: str, limit: int, own: dict[str, int], exempt: tuple[str, ...]) -> DataFrame:
+    """``__budget`` (a path with a limit of its own, else empty; null for exempt paths) and ``__limit`` of each request."""
+    budget, most = F.lit(""), F.lit(limit)
+    for name, n in own.items():
+        budget, most = F.when(F.col(path) == name, F.lit(name)).otherwise(budget), F.when(F.col(path) == name, F.lit(n)).otherwise(most)
+    free = F.coalesce(F.col(path).isin(*exempt), F.lit(False)) if exempt else F.lit(False)
+    return df.withColumns({"__budget": F.when(~free, budget), "__limit": most})
+
+
+def rate_limit_budgets(df: DataFrame, client: str, ts: str, ident: str, path: str, window_s: int, limit: int, own: dict[str, int],
+                       exempt: tuple[str, ...] = ()) -> DataFrame:
+    """(client, id, budget, allowed): paths in ``own`` have a limit and a window of their own, exempt paths always pass and count nowhere.
+
+    A null path counts against the common budget, a null client is a client.
+    """
     span = window_s * 1_000_000
     kind = dict(df.dtypes)
 
     def fold(hits: deque, rows: Arrays) -> Arrays:
-        allowed = np.zeros(len(rows["us"]), dtype=bool)
-        for i, now in enumerate(rows["us"].tolist()):
-            while hits and now - hits[0] > span:
-                hits.popleft()
-            if len(hits) < limit:
-                hits.append(now)
-                allowed[i] = True
-        return {client: rows[client], ident: rows[ident], "allowed": allowed}
-
-    rows = df.select(client, ident, ts, micros(ts).alias("us"))
-    runs = islands(rows, [client], [ts, ident], lambda w: F.col("us") - F.lag("us").over(w) > span, out="run").drop(ts)
-    return ordered_fold(runs, [client, "run"], ["us", ident], deque, fold, f"{client} {kind[client]}, {ident} {kind[ident]}, allowed boolean")
+        allowed = np.array([allow(hits, now, span, most) for now, most in zip(rows["us"].tolist(), rows["__limit"].tolist())], dtype=bool)
+        return {client: rows[client], ident: rows[ident], "budget": rows["__budget"], "allowed": allowed}
+
+    rows = with_budget(df.select(client, ident, ts, path, micros(ts).alias("us")), path, limit, own, exempt).drop(path)
+    runs = islands(rows.filter("__budget is not null"), [client, "__budget"], [ts, ident], lambda w: F.col("us") - F.lag("us").over(w) > span, out="run").drop(ts)
+    judged = ordered_fold(runs, [client, "__budget", "run"], ["us", ident], deque, fold, f"{client} {kind[client]}, {ident} {kind[ident]}, budget string, allowed boolean")
+    if not exempt:
+        return judged
+    return judged.unionByName(rows.filter("__budget is null").select(client, ident, F.lit(None).cast("string").alias("budget"), F.lit(True).alias("allowed")))
 
 
 # ---- explanations ----------------------------------------------------------

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.expr import div0, mix_uniform, sigmoid, total
+from ..functions.expr import div0, mix_factor, MIX_MODULUS, mix_uniform, sigmoid, total
 from .features import METER, ORDER
 from .lookup import lookup_join
 from .quantiles import many_percentiles, percentiles, with_scalars
@@ -108,7 +109,11 @@ def counted(df: DataFrame, keys: list[str], score: str, label: str) -> DataFrame
 
 def curve_areas(df: DataFrame, keys: list[str], score: str, label: str) -> DataFrame:
     """roc_auc (ties averaged; 0.5 for one class) and pr_auc (average precision) per key."""
-    c = counted(df, keys, score, label)
+    return counted_areas(counted(df, keys, score, label), keys, df)
+
+
+def counted_areas(c: DataFrame, keys: list[str], df: DataFrame) -> DataFrame:
+    """The same from ``pos`` and ``neg`` of each distinct score; ``df`` are the rows that were counted."""
     s = add_running(slice_series(c, keys, ["score"], sized_by=df), {"cum_pos": F.col("pos"), "cum_neg": F.col("neg")}).done()
     totals = c.groupBy(*keys).agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
     s = lookup_join(s, totals, keys, sized_by=df) if keys else with_scalars(s, totals)
@@ -258,6 +263,38 @@ def bootstrap_ci(df: DataFrame, label: Column | str, hit: Column | str, n_boot:
     return point.join(bounds, "metric")
 
 
+# chances of at most 0, 1, 2 ... events of a Poisson count with mean 1
+POISSON_ONE = [math.exp(-1) * sum(1 / math.factorial(k) for k in range(n + 1)) for n in range(9)]
+
+
+def bootstrap_weight(ident: Column, replicate: Column) -> Column:
+    """How often a row stands in a replicate: a Poisson count with mean 1, from its id alone.
+
+    A square between two integer mixes keeps the replicates of a row apart.
+    """
+    x = (ident.cast("long") % MIX_MODULUS * (F.lit(mix_factor(0)) + replicate * 209_458) + replicate * 104_729 + 104_729) % MIX_MODULUS
+    u = ((x * x + ident.cast("long") % MIX_MODULUS) % MIX_MODULUS * F.lit(mix_factor(3)) + 7_919) % MIX_MODULUS
+    return sum(((u >= math.ceil(p * MIX_MODULUS)).cast("int") for p in POISSON_ONE), F.lit(0))
+
+
+def bootstrap_areas(df: DataFrame, score: str, label: str, ident: str, n_boot: int = 1000, alpha: float = 0.05) -> DataFrame:
+    """(metric, point, lo, hi) for roc_auc and pr_auc: percentile intervals over Poisson bootstrap replicates.
+
+    Draws are summed by (replicate, distinct score) before anything is shuffled; the areas of all replicates then come from one pass
+    of running sums. Rows without an id or score are left out.
+    """
+    rows = df.select(F.col(score).cast("double").alias("score"), F.col(label).alias("label"), F.col(ident).alias("id")).dropna(subset=["score", "id"])
+    drawn = rows.withColumn("replicate", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_boot - 1).cast("long"))))
+    drawn = drawn.withColumn("w", bootstrap_weight(F.col("id"), F.col("replicate"))).filter("w > 0")
+    weight = lambda c: F.sum(F.when(c, F.col("w")).otherwise(0).cast("long"))
+    c = drawn.groupBy("replicate", "score").agg(weight(F.col("label") == 1).alias("pos"), weight(F.col("label") != 1).alias("neg"))
+    areas = counted_areas(c, ["replicate"], drawn)
+    long = areas.select("roc_auc", "pr_auc").unpivot([], ["roc_auc", "pr_auc"], "metric", "value")
+    bounds = percentiles(long, ["metric"], {"lo": ("value", alpha / 2), "hi": ("value", 1 - alpha / 2)})
+    point = curve_areas(rows, [], "score", "label").unpivot([], ["roc_auc", "pr_auc"], "metric", "point")
+    return point.join(bounds, "metric")
+
+
 # ---- calibration -----------------------------------------------------------
 
 def reliability_bins(df: DataFrame, keys: list[str], prob: str, label: str, bins: int = 15) -> DataFrame:

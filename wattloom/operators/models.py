@@ -9,18 +9,18 @@ import pandas as pd
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from . import trees
 from .detect import domain_rules
 from .evaluate import counted, curve_areas
-from .lookup import stored
+from .lookup import lookup_join, stored
 from .quantiles import percentiles, with_scalars
+from .series import carry_forward, over_series, running
 
 # ---- segmented isolation forest --------------------------------------------
 
-SAMPLE, TREES, MIN_SEGMENT, CONTAMINATION, MAX_SEGMENTS = 256, 100, 10, 0.1, 4096
+SAMPLE, TREES, MIN_SEGMENT, CONTAMINATION, SLICE_ROWS = 256, 100, 10, 0.1, 1 << 18
 TREE_SCHEMA = "segment string, tree int, size int, feature array<int>, threshold array<double>, left array<int>, right array<int>, depth array<double>"
 
 
@@ -112,30 +112,33 @@ def path_lengths(x: np.ndarray, forest: list[tuple]) -> np.ndarray:
 def score_forest(df: DataFrame, forest: DataFrame, features: list[str], ident: str = "event_id") -> DataFrame:
     """Anomaly score per row (larger is stranger); rows of unknown segments score 0.
 
-    The forest is a model of fixed size per segment; more segments than MAX_SEGMENTS are refused
-    before anything is collected.
+    The forest stays a table: rows are dealt by segment, large segments in slices, and every slice gets its segment's trees
+    first. A task holds the trees of one segment and one batch of rows, however many segments there are.
     """
-    n = forest.select("segment").distinct().count()
-    if n > MAX_SEGMENTS:
-        raise ValueError(f"{n} segments exceed the model bound of {MAX_SEGMENTS}")
-    models: dict[str, list[tuple]] = {}
-    norms: dict[str, float] = {}  # mean path in a sample of the segment's real size
-    for row in sorted(forest.collect(), key=lambda x: (x["segment"], x["tree"])):
-        norms[row["segment"]] = max(average_path(row["size"]), 1e-9)
-        models.setdefault(row["segment"], []).append(
-            (np.array(row["feature"]), np.array(row["threshold"]), np.array(row["left"]), np.array(row["right"]), np.array(row["depth"])))
-    shared = df.sparkSession.sparkContext.broadcast((models, norms))
+    sizes = stored(df.groupBy("segment").agg(F.ceil(F.count(F.lit(1)) / F.lit(SLICE_ROWS)).cast("int").alias("n_slices")), "segments")
+    models = forest.join(sizes, "segment").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("n_slices") - 1))).drop("n_slices")
+    rows = df.select(F.col(ident).alias("ident"), "segment", F.array(*[F.col(c).cast("double") for c in features]).alias("x"))
+    cut = rows.join(sizes, "segment").withColumn("slice", F.pmod(F.xxhash64("ident"), "n_slices").cast("int")).drop("n_slices")
+    both = models.withColumn("is_row", F.lit(0)).unionByName(cut.withColumn("is_row", F.lit(1)), allowMissingColumns=True)
+    dealt = both.repartition("segment", "slice").sortWithinPartitions("segment", "slice", "is_row", "tree")
+    parts = ("feature", "threshold", "left", "right", "depth")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, trees, norm = None, [], 0.0
         for pdf in batches:
-            score = np.zeros(len(pdf))
-            forests, norm = shared.value
-            for name, at in pdf.groupby("segment").indices.items():
-                if name in forests:
-                    score[at] = 2.0 ** (-path_lengths(pdf[features].to_numpy(dtype=float)[at], forests[name]) / norm[name])
-            yield pd.DataFrame({ident: pdf[ident], "forest_score": score})
+            for (name, cell), some in pdf.groupby(["segment", "slice"], sort=False):
+                if (name, cell) != key:
+                    key, trees, norm = (name, cell), [], 0.0
+                grown = some[some["is_row"] == 0]
+                trees += [tuple(np.asarray(tree) for tree in row) for row in zip(*[grown[c] for c in parts])]
+                if len(grown):  # mean path in a sample of the segment's real size
+                    norm = max(average_path(int(grown["size"].iloc[-1])), 1e-9)
+                own = some[some["is_row"] == 1]
+                if len(own):
+                    score = 2.0 ** (-path_lengths(np.stack(own["x"].to_list()), trees) / norm) if trees else np.zeros(len(own))
+                    yield pd.DataFrame({ident: own["ident"].astype("int64"), "forest_score": score})
 
-    return df.select(ident, "segment", *features).mapInPandas(run, f"{ident} long, forest_score double")
+    return dealt.mapInPandas(run, f"{ident} long, forest_score double")
 
 
 def segmented_detection(df: DataFrame, features: list[str], trees: int = TREES) -> DataFrame:
@@ -145,7 +148,7 @@ def segmented_detection(df: DataFrame, features: list[str], trees: int = TREES)
     forest = stored(fit_forest(df, features, trees=trees), "forest")
     scored = df.join(score_forest(df, forest, features), "event_id")
     cuts = percentiles(scored.filter("forest_score > 0"), ["segment"], {"cut": ("forest_score", 1 - CONTAMINATION)})
-    out = scored.join(F.broadcast(cuts), "segment", "left")  # one row per modelled segment, bounded above
+    out = lookup_join(scored, cuts, ["segment"], "left", sized_by=df)
     alarm = F.coalesce(F.col("forest_score") > F.col("cut"), F.lit(False))
     rules = domain_rules(F.col("tension_v"), F.col("frequency_hz"), F.col("power_factor"))
     why = F.when(F.col("cut").isNull(), F.array(F.lit("Unknown segment"))).otherwise(
@@ -199,15 +202,57 @@ def platt_fit(df: DataFrame, score: str, label: str, log: bool = True, eps: floa
     return df.sparkSession.range(1).select(F.lit(float(model.coefficients[0])).alias("a"), F.lit(float(model.intercept)).alias("b"))
 
 
+def lower_hull(points: Iterator[tuple[float, int, int]]) -> list[tuple[float, int, int]]:
+    """The corners (score, x, y) of the lower convex hull of points with ascending x; the first point is the start."""
+    hull: list[tuple[float, int, int]] = []
+    for p in points:
+        while len(hull) > 1 and (hull[-1][2] - hull[-2][2]) * (p[1] - hull[-1][1]) >= (p[2] - hull[-1][2]) * (hull[-1][1] - hull[-2][1]):
+            hull.pop()
+        hull.append(p)
+    return hull
+
+
+HULL_ROWS = 1 << 16
+
+
+def hull_round(points: DataFrame) -> DataFrame:
+    """Corners of the hull of each ``part``; only these can be corners of the whole hull."""
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("x")
+        return pd.DataFrame(lower_hull(zip(pdf["score"], pdf["x"].tolist(), pdf["y"].tolist())), columns=["score", "x", "y"])
+
+    return points.groupBy("part").applyInPandas(run, "score double, x long, y long")
+
+
 def isotonic_fit(df: DataFrame, score: str, label: str) -> DataFrame:
-    """Calibrated probability of every distinct score."""
-    c = counted(df, [], score, label)
-    rows = c.select("score", F.inline(F.array(F.struct(F.lit(1.0).alias("label"), F.col("pos").cast("double").alias("weight")),
-                                              F.struct(F.lit(0.0).alias("label"), F.col("neg").cast("double").alias("weight"))))).filter("weight > 0")
-    data = VectorAssembler(inputCols=["score"], outputCol="features").transform(rows)
-    model = IsotonicRegression(weightCol="weight").fit(data)
-    points = VectorAssembler(inputCols=["score"], outputCol="features").transform(c.select("score"))
-    return model.transform(points).select("score", F.greatest(F.lit(0.0), F.least("prediction", F.lit(1.0))).alias("probability"))
+    """Calibrated probability of every distinct score.
+
+    The fit is the slope of the greatest convex minorant of the cumulative counts (rows, positives) along the scores. Parts of about
+    ``HULL_ROWS`` neighbouring points give their own corners, which are dealt to fewer, larger stretches and reduced again until one part
+    is left or nothing falls away; counts are whole numbers, so slopes do not depend on the parts. Rows without a score are left out.
+    """
+    c = counted(df.filter(F.col(score).isNotNull()), [], score, label)
+    sums = running(c, [], ["score"], {"x": F.col("pos") + F.col("neg"), "y": F.col("pos")}, sized_by=df)
+    points = stored(sums.select("score", F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y")), "counted-scores")
+    corners, n = points, points.count()
+    while True:
+        parts = max(1, -(-n // HULL_ROWS))
+        start = points.sparkSession.createDataFrame([(None, 0, 0)], corners.schema)
+        cut = corners.repartitionByRange(parts, "x").withColumn("part", F.spark_partition_id()) if parts > 1 else corners.unionByName(start).withColumn("part", F.lit(0))
+        corners = stored(hull_round(cut), "hull")
+        left = corners.count()
+        if parts == 1 or left > 0.9 * n:
+            break
+        n = left
+    if parts > 1:  # hardly any point falls away: the corners are nearly the result, one pass finishes them in constant memory beside it
+        corners = stored(hull_round(corners.unionByName(start).withColumn("part", F.lit(0))), "hull")
+    # every score has the slope of the hull's edge that ends at or after it: carried backwards along the scores
+    edges = corners.select("x", "y", F.col("score").alias("__corner"))
+    sloped = over_series(edges, [], ["x"], lambda w: {"slope": (F.col("y") - F.lag("y").over(w)) / (F.col("x") - F.lag("x").over(w))}, back=1, sized_by=df)
+    marked = points.join(sloped.filter("slope is not null").select(F.col("__corner").alias("score"), "slope"), "score", "left").withColumn("__back", -F.col("x"))
+    out = carry_forward(marked, [], ["__back"], {"probability": F.col("slope")}, sized_by=df)
+    return out.select("score", F.greatest(F.lit(0.0), F.least("probability", F.lit(1.0))).alias("probability"))
 
 
 # ---- supervised models -----------------------------------------------------

@@ -330,3 +330,20 @@ f AS (SELECT user_id, event_id, us, rn, true AS allowed, [us] AS hits FROM o WHE
 SELECT user_id, event_id, allowed FROM f""")
 def rate_limit_exact(t: Tables):
     return d.rate_limit_exact(t.events, "user_id", "ts", "event_id", 86_400, 3)
+
+
+# the test log has event types instead of paths: purchases have a budget of their own, errors are exempt
+PATHS = {"limit": 3, "own": {"purchase": 1}, "exempt": ("error",)}
+_HELD = "[h for h in f.hits if o.us - h <= 86400000000]"
+_MOST = "CASE WHEN o.budget = 'purchase' THEN 1 ELSE 3 END"
+
+
+@query("rate_limit_budgets", f"""
+WITH RECURSIVE o AS (SELECT *, row_number() OVER (PARTITION BY user_id, budget ORDER BY ts, event_id) AS rn FROM (
+    SELECT user_id, event_id, ts, epoch_us(ts) AS us, CASE WHEN event_type = 'purchase' THEN 'purchase' ELSE '' END AS budget FROM events WHERE event_type <> 'error')),
+f AS (SELECT user_id, budget, event_id, us, rn, true AS allowed, [us] AS hits FROM o WHERE rn = 1
+  UNION ALL SELECT user_id, budget, event_id, us, rn, len(kept) < most, CASE WHEN len(kept) < most THEN list_append(kept, us) ELSE kept END FROM (
+    SELECT o.*, {_HELD} AS kept, {_MOST} AS most FROM f JOIN o ON o.user_id = f.user_id AND o.budget = f.budget AND o.rn = f.rn + 1))
+SELECT user_id, event_id, budget, allowed FROM f UNION ALL SELECT user_id, event_id, NULL, true FROM events WHERE event_type = 'error'""")
+def rate_limit_budgets(t: Tables):
+    return d.rate_limit_budgets(t.events, "user_id", "ts", "event_id", "event_type", 86_400, **PATHS)

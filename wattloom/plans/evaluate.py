@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
-from ..functions.expr import div0, r
+from ..functions.expr import MIX_MODULUS, div0, mix_factor, r
 from ..operators import evaluate as e, features as f
 from ..operators.lookup import lookup_join
 from ..operators.quantiles import percentiles, with_scalars
@@ -215,6 +217,28 @@ def bootstrap_ci(t: Tables):
     return e.bootstrap_ci(t.scored, LABEL, HIT_A)
 
 
+# the draw of ``evaluate.bootstrap_weight`` for row ``event_id`` in replicate ``b``
+_X = f"((event_id % {MIX_MODULUS} * ({mix_factor(0)} + b * 209458) + b * 104729 + 104729) % {MIX_MODULUS})"
+_U = f"((({_X} * {_X} + event_id % {MIX_MODULUS}) % {MIX_MODULUS} * {mix_factor(3)} + 7919) % {MIX_MODULUS})"
+_DRAW = " + ".join(f"CASE WHEN u >= {math.ceil(p * MIX_MODULUS)} THEN 1 ELSE 0 END" for p in e.POISSON_ONE)
+REPLICATES = 500
+
+
+@query("bootstrap_areas", f"""
+WITH w AS (SELECT b, score, label, {_DRAW} AS w FROM (SELECT b, score, label, {_U} AS u FROM scored, range({REPLICATES}) AS r(b))),
+c AS (SELECT b, score, sum(w * label)::double AS pos, sum(w * (1 - label))::double AS neg FROM w WHERE w > 0 GROUP BY b, score
+  UNION ALL SELECT -1, score, sum(label)::double, sum(1 - label)::double FROM scored GROUP BY score),
+d AS (SELECT *, sum(neg) OVER (PARTITION BY b ORDER BY score) - neg AS below, sum(pos) OVER up AS tp, sum(pos + neg) OVER up AS k, sum(pos) OVER (PARTITION BY b) AS p, sum(neg) OVER (PARTITION BY b) AS n
+  FROM c WINDOW up AS (PARTITION BY b ORDER BY score DESC)),
+areas AS (SELECT b, CASE WHEN min(p) = 0 OR min(n) = 0 THEN 0.5 ELSE sum(pos * (below + neg / 2)) / (min(p) * min(n)) END AS roc_auc,
+  CASE WHEN min(p) = 0 OR min(n) = 0 THEN min(p) / (min(p) + min(n)) ELSE sum(pos / p * tp / k) END AS pr_auc FROM d GROUP BY b),
+long AS (SELECT b, 'roc_auc' AS metric, roc_auc AS v FROM areas UNION ALL SELECT b, 'pr_auc', pr_auc FROM areas)
+SELECT metric, {R('max(CASE WHEN b = -1 THEN v END)')} AS point, {R('quantile_cont(CASE WHEN b >= 0 THEN v END, 0.025)')} AS lo, {R('quantile_cont(CASE WHEN b >= 0 THEN v END, 0.975)')} AS hi FROM long GROUP BY metric""")
+def bootstrap_areas(t: Tables):
+    out = e.bootstrap_areas(t.scored, "score", "label", "event_id", REPLICATES)
+    return out.select("metric", *[r(c).alias(c) for c in ("point", "lo", "hi")])
+
+
 @query("mcnemar", f"""WITH c AS (SELECT cast(sum(cast(({A}) = (label = 1) AND ({B}) <> (label = 1) as int)) as bigint) AS b01, cast(sum(cast(({A}) <> (label = 1) AND ({B}) = (label = 1) as int)) as bigint) AS b10 FROM scored)
 SELECT b01, b10, {R('CASE WHEN b01 + b10 = 0 THEN 0 ELSE power(abs(b01 - b10) - 1, 2)::double / (b01 + b10) END')} AS statistic, {R('(b01 + 0.5) / (b10 + 0.5)')} AS odds_ratio FROM c""")
 def mcnemar(t: Tables):

@@ -62,9 +62,14 @@ def platt_fit(t: Tables):
     return raw.unionByName(m.platt_fit(t.scored, "score", "label").select(F.lit("log").alias("form"), "a", "b"))
 
 
-@query("isotonic_fit")
+# the max-min formula: the largest, over starts up to a score, of the least mean over ends from it on
+@query("isotonic_fit", f"""
+WITH c AS (SELECT score, row_number() OVER (ORDER BY score) AS i, sum(sum(label)) OVER (ORDER BY score) AS s, sum(count(*)) OVER (ORDER BY score) AS w, sum(label) AS pos, count(*) AS n FROM scored GROUP BY score),
+means AS (SELECT a.i AS j, b.i AS k, (b.s - a.s + a.pos)::double / (b.w - a.w + a.n) AS m FROM c a JOIN c b ON b.i >= a.i),
+least_after AS (SELECT j, k, min(m) OVER (PARTITION BY j ORDER BY k DESC) AS m FROM means)
+SELECT score, {R('max(m)', 9)} AS probability FROM least_after JOIN c ON c.i = k GROUP BY score""")
 def isotonic_fit(t: Tables):
-    return m.isotonic_fit(t.scored, "score", "label")
+    return m.isotonic_fit(t.scored, "score", "label").select("score", r("probability", 9).alias("probability"))
 
 
 SUPERVISED = [*FEATURES, "consommation_kw_diff", "hour"]  # nothing that is derived from the label

@@ -9,7 +9,7 @@ from ..operators import features as f, ledger as l, perturb as p
 from ..operators.series import null_safe_join
 from ..sources.readings import Tables, alerts_from_readings, scored_from_readings
 from ..streaming import detector as dt, microbatch as m, sources as s, stateful as st
-from .detect import rounded_adaptive
+from .detect import PATHS, rounded_adaptive
 from .ledger import NODES, SIZE
 from .registry import BODIES, R, query, view
 
@@ -192,3 +192,10 @@ def stream_detection_sinks(t: Tables):
     sealed = null_safe_join(numbered, blocks, ["meter_id"]).filter("k BETWEEN row_start AND row_end")
     return alerts.select(F.lit("alerts").alias("sink"), "meter_id", "event_id", F.lit(-1).cast("long").alias("block_index")).unionByName(
         sealed.select(F.lit("ledger").alias("sink"), "meter_id", "event_id", F.col("block_index").cast("long")))
+
+
+@query("stream_rate_limit", f"SELECT cast(user_id as varchar) AS client, event_id AS id, budget, allowed FROM ({BODIES['rate_limit_budgets']})")
+def stream_rate_limit(t: Tables):
+    events = s.stream_table(t.spark, t.folder, "events")
+    t.spark.conf.set("spark.sql.streaming.stateStore.providerClass", s.ROCKSDB)
+    return s.drain_to_table(st.stream_limiter(events, "user_id", "ts", "event_id", "event_type", 86_400, **PATHS), "limiter")

@@ -6,6 +6,7 @@ bounds how many there can be. Rows older than the watermark never arrive here.
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.detect import ADAPTIVE_SCHEMA, ThresholdState, decide_rows
+from ..operators.detect import ADAPTIVE_SCHEMA, ThresholdState, allow, decide_rows, with_budget
 from ..operators.folds import LastEmitted, emit_with_cooldown
 from .sources import LATENESS
 
@@ -148,3 +149,46 @@ def stream_adaptive(scored: DataFrame, fallback: float) -> DataFrame:
     rows = scored.select("meter_id", "event_id", "score", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
     return rows.groupBy("meter_id").applyInPandasWithState(
         update, ADAPTIVE_SCHEMA, "scores array<double>", "append", GroupStateTimeout.NoTimeout)
+
+
+LIMIT_SCHEMA = "client string, id long, budget string, allowed boolean"
+
+
+class Limiter(StatefulProcessor):
+    """The passed requests of one client and budget that are still in the window; at most ``limit`` times."""
+
+    def __init__(self, span_us: int, ttl_ms: int | None) -> None:
+        self.span, self.ttl = span_us, ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.hits = handle.getValueState("hits", "us array<long>", self.ttl)
+
+    def handleInputRows(self, key, rows, timerValues):
+        pdf = in_order(rows, ["us", "id"])
+        if pdf.empty:
+            return
+        hits = deque(int(x) for x in self.hits.get()[0]) if self.hits.exists() else deque()
+        # a request older than the last passed one is judged as if it came with it
+        at = np.maximum.accumulate(np.maximum(pdf["us"].to_numpy(), hits[-1] if hits else pdf["us"].iloc[0]))
+        allowed = [allow(hits, int(now), self.span, int(most)) for now, most in zip(at, pdf["most"])]
+        self.hits.update((list(hits),))
+        yield pd.DataFrame({"client": key[0], "id": pdf["id"].to_numpy(), "budget": key[1], "allowed": allowed})
+
+    def close(self) -> None:
+        pass
+
+
+def stream_limiter(requests: DataFrame, client: str, ts: str, ident: str, path: str, window_s: int, limit: int, own: dict[str, int],
+                   exempt: tuple[str, ...] = (), ttl_days: int | None = None) -> DataFrame:
+    """Live limiter with a budget for each path in ``own``; exempt paths pass without state.
+
+    With ``ttl_days`` windows of silent clients are forgotten (for streams that run on processing-time triggers).
+    """
+    rows = with_budget(requests.select(F.col(client).cast("string").alias("client"), F.col(ident).cast("long").alias("id"), F.col(path).alias("path"),
+                                       F.unix_micros(F.col(ts).cast("timestamp")).alias("us")), "path", limit, own, exempt).drop("path")
+    rows = rows.withColumnsRenamed({"__budget": "budget", "__limit": "most"})
+    judged = rows.filter("budget is not null").groupBy("client", "budget").transformWithStateInPandas(
+        Limiter(window_s * 1_000_000, ttl_days * 86_400_000 if ttl_days else None), LIMIT_SCHEMA, "Append", "ProcessingTime" if ttl_days else "None")
+    if not exempt:
+        return judged
+    return judged.unionByName(rows.filter("budget is null").select("client", "id", F.lit(None).cast("string").alias("budget"), F.lit(True).alias("allowed")))
