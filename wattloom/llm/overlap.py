@@ -9,12 +9,12 @@ matrix (a class, known by its smallest id, the node). For sets of x and y shingl
    Shingles in less filled counters come first in the common order of columns.
 2. Row prefixes: a document keeps its first x - ceil(percent x / 100) + 1 shingles in this order. Linked documents share one of them at
    least, so only columns of prefixes need to be looked at. Columns with a single row go.
-3. Stars: in each column the row with most shared columns leads; the other rows are multiplied with it, in blocks. Overlap counts over
-   prefixes discard pairs first: beyond its prefix a document adds at most x - prefix to the overlap. The counts over whole sets
-   of the pairs left give the links, ``components`` their classes.
-4. Open columns: those in which rows of different components and fitting sizes still meet. Their blocks are multiplied
-   with each other, again over prefixes and then over the whole sets of the rows left; pairs of one component are not looked at.
-   A task gives out only links that join components, fewer than its rows, so no list of all pairs arises and no link between
+3. Stars: in each column the ``LEADERS`` rows with most shared columns lead; the column's rows are multiplied with them, in blocks. Overlap
+   counts over prefixes discard pairs first: beyond its prefix a document adds at most x - prefix to the overlap. The counts over
+   whole sets of the pairs left give the links, ``components`` their classes.
+4. Open columns: those in which rows besides the leaders, of different components and fitting sizes, still meet. Their blocks are
+   multiplied with each other, again over prefixes and then over the whole sets of the rows left; pairs of one component are not looked
+   at. A task gives out only links that join components, fewer than its rows, so no list of all pairs arises and no link between
    components is lost.
 
 Rows with a null id take no part (component null). Repeated ids are one node: the links of either row count. Texts of any length, empty
@@ -28,14 +28,14 @@ from copy import copy
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import as_bytes, chunked, grouped, map_arrow, offsets, per_row, small_batches, stored
 from .components import components
 from .minhash import class_of, full_sets, shingle_set
 
 BUCKETS = 1 << 18
-BLOCK, ROWS, CHUNK = 1 << 19, 1024, 1 << 19
+BLOCK, ROWS, CHUNK, LEADERS = 1 << 19, 1024, 1 << 19, 4
 DENSE, EXPANDED = 32, 1 << 22
 
 
@@ -249,25 +249,37 @@ def size_class(percent: int) -> Column:
     return F.floor(F.log(F.col("n").cast("double")) / F.lit(-np.log(percent / 100) + 1e-9)).cast("int")
 
 
-def open_columns(shared: DataFrame, found: DataFrame, percent: int) -> DataFrame:
-    """(gram, at, node, n, component, own) of the columns in which components meet; ``at`` is the larger size class of a pair, ``own`` a row's."""
-    placed = shared.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")).withColumn("own", size_class(percent))
+def leading(shared: DataFrame) -> DataFrame:
+    """(gram, leader, leader_n): up to ``LEADERS`` rows of each column, those with most shared columns; picked before the shuffle."""
+    wide = shared.groupBy("node").agg(F.count(F.lit(1)).alias("columns"))
+    order = Window.partitionBy("gram").orderBy(F.desc("columns"), "node")
+    ranked = shared.join(wide, "node").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= LEADERS)
+    return ranked.select("gram", F.col("node").alias("leader"), F.col("n").alias("leader_n"))
+
+
+def open_columns(shared: DataFrame, leaders: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """(gram, node, n, component): rows besides the leaders that meet one of another component and a fitting size class in a column.
+
+    Rows are looked at by (column, larger size class of a pair), so a row stands in its own class and the next.
+    """
+    rest = shared.join(leaders.select("gram", F.col("leader").alias("node")), ["gram", "node"], "left_anti")
+    placed = rest.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")).withColumn("own", size_class(percent))
     both = placed.withColumn("at", F.explode(F.array(F.col("own"), F.col("own") + 1)))
     mixed = both.groupBy("gram", "at").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("own").alias("top")).filter(
         "lo < hi and top = at").select("gram", "at")
-    return both.join(mixed, ["gram", "at"])
+    return both.join(mixed, ["gram", "at"]).select("gram", "node", "n", "component").distinct()
 
 
 def in_blocks(members: DataFrame) -> DataFrame:
-    """Members of groups (gram, at) dealt to pairs (i, j) of blocks, sorted by group."""
-    sizes = members.groupBy("gram", "at").agg(block_count().alias("n_blocks"))
-    dealt = members.join(sizes, ["gram", "at"]).withColumn("block", of_block())
+    """Members of columns dealt to pairs (i, j) of blocks, sorted by group."""
+    sizes = members.groupBy("gram").agg(block_count().alias("n_blocks"))
+    dealt = members.join(sizes, "gram").withColumn("block", of_block())
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))).drop("n_blocks")
     dealt = dealt.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other")
-    return dealt.repartition("gram", "at", "i", "j").sortWithinPartitions("gram", "at", "i", "j")
+    return dealt.repartition("gram", "i", "j").sortWithinPartitions("gram", "i", "j")
 
 
-GROUP = ("gram", "at", "i", "j")
+GROUP = ("gram", "i", "j")
 
 
 def tiles(block: Block, group: pa.Table, key: tuple[int, ...], component: np.ndarray, percent: int, whole: bool) -> Iterator[tuple]:
@@ -276,18 +288,17 @@ def tiles(block: Block, group: pa.Table, key: tuple[int, ...], component: np.nda
     ``component`` may change between two tiles; tiles of one component are left out. Within one block each pair comes up once, and so
     it does across two. Over prefixes, a pair counts in its least common column only: earlier columns are multiplied as well.
     """
-    own, of = (group.column(c).to_numpy() for c in ("own", "block"))
-    i, j = (np.flatnonzero(of == k) for k in key[2:])
+    of = group.column("block").to_numpy()
+    i, j = (np.flatnonzero(of == k) for k in key[1:])
     earlier = None if whole else block.before(key[0])
     for at in range(0, len(i), ROWS):
-        for to in range(0 if key[2] != key[3] else at, len(j), ROWS):
+        for to in range(0 if key[1] != key[2] else at, len(j), ROWS):
             a, b = i[at: at + ROWS], j[to: to + ROWS]
             apart = component[a][:, None] != component[b][None, :]
-            apart &= np.maximum(own[a][:, None], own[b][None, :]) == key[1]
             if not apart.any():
                 continue
             fit = apart & fitting(block, a, b, percent, whole)
-            if key[2] == key[3] and at == to:
+            if key[1] == key[2] and at == to:
                 fit &= np.arange(len(a))[:, None] < np.arange(len(b))[None, :]
             if earlier is not None and fit.any():
                 fit &= overlaps(earlier, a, b) == 0
@@ -295,7 +306,7 @@ def tiles(block: Block, group: pa.Table, key: tuple[int, ...], component: np.nda
 
 
 def waiting(dealt: DataFrame, percent: int) -> DataFrame:
-    """(gram, at, node) of the members whose prefixes allow a link with another component that is not looked at in another column."""
+    """(gram, node) of the members whose prefixes allow a link with another component that is not looked at in another column."""
 
     def run(batches):
         for key, group in grouped(batches, GROUP):
@@ -305,9 +316,9 @@ def waiting(dealt: DataFrame, percent: int) -> DataFrame:
                 marked[a[fit.any(axis=1)]] = True
                 marked[b[fit.any(axis=0)]] = True
             if marked.any():
-                yield from group.select(["gram", "at", "node"]).filter(pa.array(marked)).to_batches()
+                yield from group.select(["gram", "node"]).filter(pa.array(marked)).to_batches()
 
-    return small_batches(dealt).mapInArrow(run, "gram long, at int, node long").distinct()
+    return small_batches(dealt).mapInArrow(run, "gram long, node long").distinct()
 
 
 def joining(dealt: DataFrame, percent: int) -> DataFrame:
@@ -350,10 +361,9 @@ def jaccard_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     shared = stored(shared_columns(rows), "columns")
 
     # stars: prefixes first, then whole sets
-    wide = shared.groupBy("node").agg(F.count(F.lit(1)).alias("columns"))
-    leaders = shared.join(wide, "node").groupBy("gram").agg(F.max(F.struct("columns", "node", "n")).alias("top"))
-    led = shared.join(leaders, "gram").filter("node <> top.node").filter(
-        F.least("n", "top.n") * 100 >= F.greatest("n", "top.n") * percent).select(F.col("top.node").alias("leader"), "node").distinct()
+    leaders = stored(leading(shared), "leaders")
+    led = shared.join(leaders, "gram").filter("node <> leader").filter(F.least("n", "leader_n") * 100 >= F.greatest("n", "leader_n") * percent)
+    led = led.select("leader", "node").distinct()
     likely = stored(star_pairs(stored(led, "stars"), rows, percent, False), "likely")
     ends = likely.select("node").unionAll(likely.select("leader"))
     links = stored(star_pairs(likely, stored(sized_sets(docs, ends, doc_id, text, width), "sets"), percent, True), "links")
@@ -362,11 +372,11 @@ def jaccard_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     found = components(edges)
 
     # columns in which different components still meet
-    members = open_columns(shared, found, percent)
+    members = stored(open_columns(shared, leaders, found, percent), "open")
     marks = stored(waiting(in_blocks(members.join(rows, ["node", "n"])), percent), "waiting")
     if not marks.isEmpty():
         sets = sized_sets(docs, marks.select("node"), doc_id, text, width)
-        again = marks.join(members.select("gram", "at", "node", "component", "own"), ["gram", "at", "node"]).join(sets, "node")
+        again = marks.join(members.drop("n").distinct(), ["gram", "node"]).join(sets, "node")
         more = stored(joining(in_blocks(again), percent), "joining")
         if not more.isEmpty():
             found = components(edges.unionAll(more))
