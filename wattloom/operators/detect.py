@@ -15,7 +15,7 @@ from .features import METER, ORDER, diff, pct_change, scaler_stats, temporal
 from .folds import Arrays, LastEmitted, emit_with_cooldown, ordered_fold
 from .profile import grouped_baseline
 from .quantiles import percentiles, with_scalars
-from .series import ALL, HALO, SLICE, fits_one_task, islands, null_safe_join, ordinal, over_series, running, slice_series, stored
+from .series import ALL, HALO, SLICE, carry_forward, fits_one_task, islands, null_safe_join, ordinal, over_series, running, slice_series, split_rows, stored
 
 # fixed values: electrical limits
 V_NOMINAL, V_MIN, V_MAX, V_CRIT_MIN, V_CRIT_MAX = 230.0, 207.0, 253.0, 200.0, 260.0
@@ -378,19 +378,53 @@ def ensemble(first: DataFrame, second: DataFrame, key: str) -> DataFrame:
 def alert_cooldown(alerts: DataFrame, key: str, ts: str, ident: str, cooldown_s: int) -> DataFrame:
     """Which alerts pass when a key stays silent for ``cooldown_s`` after each alert it emitted.
 
-    An alert at least one cooldown after its predecessor always passes, so the runs between such gaps are
-    independent and only a run is sequential.
+    An alert at least one cooldown after its predecessor always passes, so the runs between such gaps are independent. Runs that one
+    task can hold are gone through in order; a larger run (a key that is never silent) is resolved by ``_orbit``.
     """
     step = cooldown_s * 1_000_000
     timed = alerts.select(key, ident, ts, micros(ts).alias("us"))
-    runs = islands(timed, [key], [ts, ident], lambda w: F.col("us") - F.lag("us").over(w) >= step, out="run")
+    runs = islands(timed, [key], [ts, ident], lambda w: F.col("us") - F.lag("us").over(w) >= step, out="run").select(key, "run", "us", ident)
     kind = dict(alerts.dtypes)
 
     def fold(state: LastEmitted, rows: Arrays) -> Arrays:
         return {key: rows[key], ident: rows[ident], "emitted": emit_with_cooldown(state, rows["us"], step)}
 
-    return ordered_fold(runs.select(key, "run", "us", ident), [key, "run"], ["us", ident], LastEmitted, fold,
-                        f"{key} {kind[key]}, {ident} {kind[ident]}, emitted boolean")
+    def in_order(rows: DataFrame) -> DataFrame:
+        return ordered_fold(rows, [key, "run"], ["us", ident], LastEmitted, fold, f"{key} {kind[key]}, {ident} {kind[ident]}, emitted boolean")
+
+    if fits_one_task(alerts):
+        return in_order(runs)
+    runs = stored(runs, "alert-runs")
+    large = stored(runs.groupBy(key, "run").agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > split_rows(alerts)).drop("__n"), "large-runs")
+    if large.isEmpty():
+        return in_order(runs)
+    hot = null_safe_join(runs, large, [key, "run"], "left_semi")
+    return in_order(null_safe_join(runs, large, [key, "run"], "left_anti")).unionByName(_orbit(hot, key, ident, step))
+
+
+def _orbit(runs: DataFrame, key: str, ident: str, step: int) -> DataFrame:
+    """Cooldown of runs of any size: what the first alert of a run reaches by going to the next alert out of cooldown.
+
+    Each alert points to the first one at least ``step`` later; pointers come from one pass that carries alerts back in time. They
+    are doubled each round, so the alerts that pass are found in as many rounds as the logarithm of the longest chain, by joins on the
+    alert and without any fold.
+    """
+    node = [key, ident]
+    alerts = runs.select(key, ident, (-F.col("us")).alias("__back"), F.lit(0).alias("__kind"), F.struct("us", F.col(ident).alias("id")).alias("__at"))
+    asks = runs.select(key, ident, (-F.col("us") - step).alias("__back"), F.lit(1).alias("__kind"), F.lit(None).cast(alerts.schema["__at"].dataType).alias("__at"))
+    # at one time the alerts come first, the smallest id last, so that the question meets it
+    both = alerts.unionByName(asks).withColumn("__order", -F.col(ident).cast("long"))
+    seen = carry_forward(both, [key], ["__back", "__kind", "__order"], {"__next": F.col("__at")}, sized_by=runs)
+    hops = stored(seen.filter("__kind = 1").select(*node, F.col("__next.id").alias("__to")).filter("__to is not null"), "hops")
+    first = runs.groupBy(key, "run").agg(F.min_by(ident, F.struct("us", ident)).alias(ident))
+    reached = stored(first.select(*node), "reached")
+    while not hops.isEmpty():
+        stepped = null_safe_join(reached, hops, node).select(key, F.col("__to").alias(ident))
+        reached = stored(reached.unionByName(stepped).distinct(), "reached")
+        after = hops.select(key, F.col(ident).alias("__to"), F.col("__to").alias("__then"))
+        hops = stored(null_safe_join(hops, after, [key, "__to"]).select(*node, F.col("__then").alias("__to")), "hops")
+    found = null_safe_join(runs.select(*node), reached.withColumn("emitted", F.lit(True)), node, "left")
+    return found.withColumn("emitted", F.coalesce("emitted", F.lit(False)))
 
 
 def bus_confidence(attack_type: Column) -> Column:

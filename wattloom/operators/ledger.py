@@ -157,6 +157,13 @@ def anchor_audit(submissions: DataFrame, keys: list[str], order: list[str], inde
         "reason", F.when(~filled, "empty hash").when(~rising, "index not increasing").otherwise("")).drop("__top")
 
 
+def verify_anchors(candidates: DataFrame, anchored: DataFrame, keys: list[str], hash_: str) -> DataFrame:
+    """``candidates`` with ``verified``: the accepted anchor of the same keys has the same hash, which is not empty."""
+    known = anchored.filter("accepted").select(*keys, F.col(hash_).alias("__anchored"))
+    out = null_safe_join(candidates, known, keys, "left")
+    return out.withColumn("verified", F.coalesce((F.col(hash_) == F.col("__anchored")) & (F.col("__anchored") != ""), F.lit(False))).drop("__anchored")
+
+
 def record_audit(records: DataFrame, ident: str, hash_: str, bps: str) -> DataFrame:
     """Accept a record if its confidence is in range and no accepted record before has its hash."""
     valid = F.col(bps).between(0, 10000)

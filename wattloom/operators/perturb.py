@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, WindowSpec, functions as F
 
-from ..functions.expr import MIX_MODULUS, mix_uniform
+from ..functions.expr import mix_factor, MIX_MODULUS, mix_uniform
 from .features import METER, ORDER
 from .quantiles import with_scalars
 from .series import carry_forward, ordinal, over_series, running
@@ -62,6 +62,11 @@ def sensor_failure(df: DataFrame, targets: list[str]) -> DataFrame:
     return df.withColumns({t: F.lit(0.0) for t in targets})
 
 
+def random_channel(channels: list[str], seed: int) -> str:
+    """The channel that a seed lets fail."""
+    return channels[mix_factor(seed) % MIX_MODULUS % len(channels)]
+
+
 def sensor_spike(value: Column, ident: str, magnitude: float, seed: int, share: float = 0.02) -> Column:
     return value + F.when(mix_uniform(ident, seed) < share, gaussian(ident, seed + 2) * (magnitude * 5)).otherwise(0.0)
 
@@ -108,28 +113,33 @@ def out_of_distribution(value: Column, ident: str, level: float, seed: int) -> C
 
 # ---- overlays --------------------------------------------------------------
 
+OVERLAY = "struct<start_ts:timestamp_ntz,duration_s:long,magnitude:double,attack_id:long,attack_type:string>"
+
+
 def attack_overlay(readings: DataFrame, attacks: DataFrame) -> DataFrame:
-    """Scale the readings a bus sends while its latest attack lasts.
+    """Change the readings a bus sends while its latest attack lasts: ``fdia`` scales the measures, ``dos`` only marks them.
 
     A new attack replaces the one before it, so each reading needs the latest start on its bus only: both
-    tables are laid along the bus's time and the last attack is carried forward. No pairs are formed.
+    tables are laid along the bus's time and the last attack is carried forward. No pairs are formed. Attacks of other types are
+    reported as active and change nothing.
     """
-    attack = F.struct("start_ts", "duration_s", "magnitude", "attack_id")
-    none = F.lit(None)
-    rows = readings.withColumn("__kind", F.lit(1)).withColumn("__attack", none.cast("struct<start_ts:timestamp_ntz,duration_s:long,magnitude:double,attack_id:long>"))
+    own = F.col("attack_type") if "attack_type" in readings.columns else F.lit("normal")
+    rows = readings.withColumns({"__kind": F.lit(1), "__attack": F.lit(None).cast(OVERLAY), "attack_type": own})
     marks = attacks.select("bus_id", F.col("start_ts").alias("ts"), F.col("attack_id").alias("event_id"), F.lit(0).alias("__kind"),
-                           attack.cast("struct<start_ts:timestamp_ntz,duration_s:long,magnitude:double,attack_id:long>").alias("__attack"))
+                           F.struct("start_ts", "duration_s", "magnitude", "attack_id", "attack_type").cast(OVERLAY).alias("__attack"))
     both = rows.unionByName(marks, allowMissingColumns=True)
     out = carry_forward(both, ["bus_id"], ["ts", "__kind", "event_id"], {"__last": F.col("__attack")}, sized_by=readings).filter("__kind = 1")
     last = F.col("__last")
     age = F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(last["start_ts"].cast("timestamp"))
     active = F.coalesce(age <= last["duration_s"] * 1_000_000, F.lit(False))
-    m = F.when(active, last["magnitude"]).otherwise(0.0)
+    kind = F.when(active, last["attack_type"])
+    m = F.when(kind == "fdia", last["magnitude"]).otherwise(0.0)
     return out.withColumns({
         "active_attack": F.when(active, last["attack_id"]).otherwise(F.lit(-1).cast("long")),
         "tension_v": F.col("tension_v") * (1.0 + m * 0.2),
         "consommation_kw": F.col("consommation_kw") * (1.0 + m),
         "courant_a": F.col("courant_a") * (1.0 + m),
+        "attack_type": F.when(kind.isin("fdia", "dos"), kind).otherwise(F.col("attack_type")),
     }).drop("__kind", "__attack", "__last")
 
 

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from ..functions.expr import r
 from ..operators import detect as d, features as f
 from ..operators.quantiles import percentiles
+from ..session import scratch_dir
 from ..sources.readings import Tables
-from .registry import R, query, view
+from .registry import BODIES, R, query, view
 
 WIN = "WINDOW w AS (PARTITION BY meter_id ORDER BY ts, event_id)"
 
@@ -105,6 +106,15 @@ def enhanced_detection(t: Tables):
     return detected(t).select("event_id", "meter_id", "is_anomaly", "anomaly_type", *[r(c).alias(c) for c in (*SCORES, "total_score", "confidence")])
 
 
+@query("criterion_table", BODIES["enhanced_detection"])
+def criterion_table(t: Tables):
+    """The result table of every criterion, stored by decision and read back."""
+    path = scratch_dir(t.spark, "criteria")
+    out = enhanced_detection(t)
+    out.write.partitionBy("is_anomaly").parquet(path)
+    return t.spark.read.schema(out.schema).parquet(path)
+
+
 @query("recon_criterion", f"SELECT event_id, {R('CASE WHEN score > p95 THEN 1 ELSE score / p95 END')} AS score FROM scored, (SELECT quantile_cont(score, 0.95) AS p95 FROM scored) q")
 def recon_criterion(t: Tables):
     p95 = percentiles(t.scored, [], {"p95": ("score", 0.95)})

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import ledger as l
+from ..session import scratch_dir
+from ..sources.files import export_csv
 from ..sources.readings import Tables
-from .registry import query, view
+from .registry import BODIES, query, view
 
 SIZE, NODES = 10, ["node-a", "node-b", "node-c"]
 COLS = ["event_id", "ts", "meter_id", "statut", "anomalies", "consommation_kw"]
@@ -126,6 +128,25 @@ def anchor_audit(t: Tables):
     return l.anchor_audit(sub, ["bus_id"], ["created_at", "id"], "idx", "hash").select("id", "bus_id", "idx", "accepted", "reason")
 
 
+# anchors as in ``anchor_audit``; a third of the candidates was tampered with
+@query("anchor_verify", """WITH sub AS (SELECT id, bus_id, created_at, (id * 31) % 9973 AS idx, CASE WHEN severity <> 'critical' OR NOT is_resolved THEN sha256(cast(id as varchar)) ELSE '' END AS hash FROM alerts),
+top AS (SELECT *, max(CASE WHEN hash <> '' THEN idx END) OVER (PARTITION BY bus_id ORDER BY created_at, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM sub),
+anchored AS (SELECT bus_id, idx, hash FROM top WHERE hash <> '' AND (top IS NULL OR idx > top))
+SELECT s.id, s.bus_id, s.idx, coalesce(CASE WHEN s.id % 3 = 0 THEN sha256('forged') ELSE s.hash END = a.hash, false) AS verified FROM sub s LEFT JOIN anchored a ON s.bus_id = a.bus_id AND s.idx = a.idx""")
+def anchor_verify(t: Tables):
+    filled = (F.col("severity") != "critical") | ~F.col("is_resolved")
+    sub = t.alerts.select("id", "bus_id", "created_at", ((F.col("id") * 31) % 9973).alias("idx"), F.when(filled, F.sha2(F.col("id").cast("string"), 256)).otherwise("").alias("hash"))
+    candidates = sub.withColumn("hash", F.when(F.col("id") % 3 == 0, F.sha2(F.lit("forged"), 256)).otherwise(F.col("hash")))
+    anchored = l.anchor_audit(sub, ["bus_id"], ["created_at", "id"], "idx", "hash")
+    return l.verify_anchors(candidates, anchored, ["bus_id", "idx"], "hash").select("id", "bus_id", "idx", "verified")
+
+
+@query("verified_csv", BODIES["verified_rows"])
+def verified_csv(t: Tables):
+    """The verified rows as CSV files, read back under their schema."""
+    return export_csv(verified_rows(t), scratch_dir(t.spark, "verified"))
+
+
 @query("anomaly_record_audit", """WITH r AS (SELECT id, meter_id || ':' || attack_type AS h, cast(round(confidence * 10500) as bigint) AS bps FROM alerts), v AS (SELECT h, min(id) AS first_id FROM r WHERE bps BETWEEN 0 AND 10000 GROUP BY h)
 SELECT id, bps, bps BETWEEN 0 AND 10000 AND id <= first_id AS accepted, CASE WHEN NOT bps BETWEEN 0 AND 10000 THEN 'confidence out of range' WHEN id > first_id THEN 'duplicate hash' ELSE '' END AS reason FROM (SELECT r.id, r.bps, coalesce(v.first_id, r.id) AS first_id FROM r LEFT JOIN v ON r.h = v.h)""")
 def anomaly_record_audit(t: Tables):

@@ -41,13 +41,18 @@ def pca_recon_score(t: Tables):
 
 @query("prediction_table")
 def prediction_table(t: Tables):
-    """Per-window predictions as a stored table: end index, score, label, decision, split."""
+    """Per-window predictions as a stored table: end index, score, label, decision, split.
+
+    The cut-off is the F1-optimal threshold of the validation windows; the test windows have no part in it.
+    """
     windows, names = flat_windows(t)
     scored = m.pca_reconstruction(windows, names, "label_last", 6)
     tagged = scored.join(e.temporal_split(t.readings.select("event_id", "ts", "meter_id"), 0.15, 0.15).select("event_id", "split"), "event_id")
+    tagged = stored(tagged, "scored-windows")
+    cut = e.f1_threshold(tagged.filter("split = 'val'"), "recon_error", "label_last").select("threshold")
     path = scratch_dir(t.spark, "predictions")
     tagged.select(F.col("event_id").alias("end_index"), F.col("recon_error").alias("anomaly_score"), F.col("label_last").alias("sequence_label"),
-                  (F.col("recon_error") >= 2.0).cast("int").alias("predicted"), "split").write.partitionBy("split").parquet(path)
+                  (F.col("recon_error") >= cut.scalar()).cast("int").alias("predicted"), "split").write.partitionBy("split").parquet(path)
     return t.spark.read.parquet(path)
 
 

@@ -61,6 +61,14 @@ def sensor_failure(t: Tables):
     return p.sensor_failure(t.readings.select(*MINI), [KW, V]).select("event_id", KW, V, r(A).alias(A))
 
 
+FAILED = p.random_channel([KW, V, A], 5)
+
+
+@query("random_channel_failure", "SELECT event_id, " + ", ".join("0.0::double AS " + c if c == FAILED else f"{R(c)} AS {c}" for c in (KW, V, A)) + " FROM readings")
+def random_channel_failure(t: Tables):
+    return p.sensor_failure(t.readings.select(*MINI), [FAILED]).select("event_id", *[r(c).alias(c) for c in (KW, V, A)])
+
+
 @query("packet_loss", f"""SELECT event_id, lost, {R('coalesce(last_value(CASE WHEN NOT lost THEN x END IGNORE NULLS) OVER w, 0)')} AS {KW} FROM (
   SELECT event_id, ts, meter_id, {KW} AS x, {mix(2)} < 0.1::double AS lost FROM readings) {W}""")
 def packet_loss(t: Tables):
@@ -122,13 +130,14 @@ def feature_scan(t: Tables):
     return curve_areas(long, ["feature"], "s", "is_alert").select("feature", r("roc_auc", 5).alias("roc_auc")).orderBy("roc_auc")
 
 
-@query("attack_overlay", f"""SELECT r.event_id, {R(f'{V} * (1 + m * 0.2)')} AS {V}, {R(f'{KW} * (1 + m)')} AS {KW}, {R(f'{A} * (1 + m)')} AS {A}, active_attack FROM (
-  SELECT r.*, CASE WHEN epoch_us(r.ts) - epoch_us(a.start_ts) <= a.duration_s * 1000000 THEN a.magnitude ELSE 0 END AS m,
+@query("attack_overlay", f"""SELECT r.event_id, {R(f'{V} * (1 + m * 0.2)')} AS {V}, {R(f'{KW} * (1 + m)')} AS {KW}, {R(f'{A} * (1 + m)')} AS {A}, active_attack, coalesce(kind, 'normal') AS attack_type FROM (
+  SELECT r.*, CASE WHEN epoch_us(r.ts) - epoch_us(a.start_ts) <= a.duration_s * 1000000 AND a.attack_type = 'fdia' THEN a.magnitude ELSE 0 END AS m,
+    CASE WHEN epoch_us(r.ts) - epoch_us(a.start_ts) <= a.duration_s * 1000000 THEN a.attack_type END AS kind,
     CASE WHEN epoch_us(r.ts) - epoch_us(a.start_ts) <= a.duration_s * 1000000 THEN a.attack_id ELSE -1 END AS active_attack
   FROM readings r ASOF LEFT JOIN attack_schedule a ON r.bus_id = a.bus_id AND r.ts >= a.start_ts) r""")
 def attack_overlay(t: Tables):
     out = p.attack_overlay(t.readings.select(*MINI, "bus_id"), t.attack_schedule)
-    return out.select("event_id", r(V).alias(V), r(KW).alias(KW), r(A).alias(A), "active_attack")
+    return out.select("event_id", r(V).alias(V), r(KW).alias(KW), r(A).alias(A), "active_attack", "attack_type")
 
 
 @query("interval_matches", """SELECT r.event_id, r.bus_id, count(a.attack_id) AS active FROM readings r LEFT JOIN attack_schedule a ON r.bus_id = a.bus_id AND r.ts >= a.start_ts AND epoch_us(r.ts) <= epoch_us(a.start_ts) + a.duration_s * 1000000

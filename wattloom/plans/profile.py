@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from ..functions.expr import div0, r
 from ..operators import cleaning, profile as p
 from ..operators.quantiles import percentiles
+from ..session import scratch_dir
+from ..sources.files import export_csv
 from ..sources.readings import Tables
-from .registry import R, query, view
+from .registry import BODIES, R, query, view
 
 NUM = ["consommation_kw", "tension_v", "courant_a", "frequency_hz"]
 
@@ -264,6 +266,12 @@ def ranked_results(t: Tables):
     return out.select("zone", "type", r("a").alias("accuracy"), r(F.col("a") - base.scalar()).alias("delta")).orderBy(F.desc("delta"))
 
 
+@query("exported_results", BODIES["ranked_results"])
+def exported_results(t: Tables):
+    """The comparison table as a CSV export, read back."""
+    return export_csv(ranked_results(t), scratch_dir(t.spark, "results"))
+
+
 @query("threshold_coverage", f"""WITH n AS (SELECT meter_id, count(*) AS n FROM scored WHERE label = 0 GROUP BY meter_id)
 SELECT count(*) AS meters, cast(sum(cast(n >= 30 as int)) as bigint) AS adaptive_meters, {R('(SELECT quantile_cont(score, 0.98) FROM scored WHERE label = 0)')} AS global_threshold FROM n""")
 def threshold_coverage(t: Tables):

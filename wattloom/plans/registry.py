@@ -41,7 +41,7 @@ SELECT bus_id, avg(tension_v) AS voltage, avg(courant_a) AS current_a, sum(conso
   CASE WHEN bus_id % 7 = 0 THEN 'offline' ELSE 'online' END AS status FROM readings GROUP BY bus_id""",
     "attack_schedule": """
 SELECT event_id AS attack_id, bus_id, ts AS start_ts, 3600 * (1 + event_id % 24) AS duration_s,
-  cast(1 + event_id % 10 as double) / 10 AS magnitude FROM readings WHERE is_alert = 1 AND event_id % 50 = 0""",
+  cast(1 + event_id % 10 as double) / 10 AS magnitude, CASE WHEN event_id % 100 = 0 THEN 'fdia' ELSE 'dos' END AS attack_type FROM readings WHERE is_alert = 1 AND event_id % 50 = 0""",
     "incidents": """
 SELECT * FROM (VALUES (1, 'Zone A', 8, 11), (2, 'Zone B', 13, 18), (3, 'Zone A', 10, 14), (4, 'Zone C', 22, 3))
   AS t(incident_id, zone, start_hour, end_hour)""",

@@ -85,7 +85,7 @@ def stream_attack_overlay(t: Tables):
 
     out = s.drain_batches(live(t), "overlay", overlay)
     df = t.spark.read.parquet(f"{out}/out")
-    return df.select("event_id", *[r(c).alias(c) for c in ("tension_v", "consommation_kw", "courant_a")], "active_attack")
+    return df.select("event_id", *[r(c).alias(c) for c in ("tension_v", "consommation_kw", "courant_a")], "active_attack", "attack_type")
 
 
 @query("stream_ledger", f"""WITH RECURSIVE {BODIES['ledger_summary'].split('RECURSIVE', 1)[1].split(' SELECT meter_id, count(*) + 1')[0]}
@@ -199,3 +199,15 @@ def stream_rate_limit(t: Tables):
     events = s.stream_table(t.spark, t.folder, "events")
     t.spark.conf.set("spark.sql.streaming.stateStore.providerClass", s.ROCKSDB)
     return s.drain_to_table(st.stream_limiter(events, "user_id", "ts", "event_id", "event_type", 86_400, **PATHS), "limiter")
+
+
+BATCH = 100
+
+
+@query("stream_detection_batches", DETECTION_SQL + f""", every AS (SELECT w.event_id, coalesce(d.is_anomaly, false) AS is_anomaly, 1 + (row_number() OVER (ORDER BY w.ts, w.event_id) - 1) // {BATCH} AS batch_no,
+  w.ts FROM live_windows w LEFT JOIN decided d ON w.event_id = d.event_id)
+SELECT batch_no, count(*) AS processed, count(*) FILTER (WHERE is_anomaly) AS anomalies_detected, arg_min(event_id, (ts, event_id)) AS first_event, arg_max(event_id, (ts, event_id)) AS last_event FROM every GROUP BY batch_no""")
+def stream_detection_batches(t: Tables):
+    """Results handed on in batches of at most ``BATCH`` readings, in order, with a summary of each."""
+    out = s.drain_batches(detections(t), "detections", lambda df, i, folder: m.summary_batches(df, i, folder, BATCH))
+    return t.spark.read.parquet(f"{out}/summary").select("batch_no", "processed", "anomalies_detected", "first_event", "last_event")

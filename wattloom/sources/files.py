@@ -65,3 +65,9 @@ def write_by_status(df: DataFrame, path: str) -> None:
 
 def append_log(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
+
+
+def export_csv(df: DataFrame, path: str) -> DataFrame:
+    """Write a table as CSV with header and give it back as it reads; empty texts stay empty, nulls stay null."""
+    df.write.mode("overwrite").option("header", "true").option("emptyValue", '""').option("nullValue", "\\N").csv(path)
+    return df.sparkSession.read.schema(df.schema).option("header", "true").option("emptyValue", "").option("nullValue", "\\N").csv(path)

@@ -122,6 +122,7 @@ def schedule_from_readings(readings: DataFrame) -> DataFrame:
         F.col("ts").alias("start_ts"),
         (3600 * (1 + eid % 24)).alias("duration_s"),
         ((1 + eid % 10).cast("double") / F.lit(10.0)).alias("magnitude"),
+        F.when(eid % 100 == 0, "fdia").otherwise("dos").alias("attack_type"),
     )
 
 

@@ -103,3 +103,15 @@ def seal_batch(batch: DataFrame, batch_id: int, folder: str, size: int, authorit
     for table in ("pending", "tails"):
         drop_version(spark, folder, table, batch_id - 2)
     batch.unpersist()
+
+
+def summary_batches(results: DataFrame, batch_id: int, folder: str, size: int) -> None:
+    """The results of a micro-batch cut in order of time into batches of at most ``size``, and one summary row for each."""
+    order = ["us", "event_id"]
+    numbered = l.ordinal(results, [], order, rn="place").withColumn("batch_no", F.floor((F.col("place") - 1) / size) + 1)
+    write_batch(numbered, folder, "results", batch_id)
+    stored = results.sparkSession.read.schema(numbered.schema).parquet(f"{folder}/results/batch={batch_id}")
+    summary = stored.groupBy("batch_no").agg(
+        F.count(F.lit(1)).alias("processed"), F.sum(F.col("is_anomaly").cast("long")).alias("anomalies_detected"),
+        F.min_by("event_id", "place").alias("first_event"), F.max_by("event_id", "place").alias("last_event"))
+    write_batch(summary, folder, "summary", batch_id)
