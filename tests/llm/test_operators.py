@@ -425,3 +425,17 @@ def test_oracles(spark, folder, name):
     from oracle import compare, connect
 
     assert compare(QUERIES[name](spark, folder).toPandas(), connect(folder).execute(ORACLES[name]).df()) == []
+
+
+def test_archive_of_many_small_records():
+    """Twenty thousand records in one file are read in linear time; a cut file is noticed."""
+    import gzip
+    import time
+
+    members = [gzip.compress(warc.record(i, f"http://a.example/{i}", b"x%d" % i, warc.base32_sha1(b"x%d" % i), None), 1) for i in range(20_000)]
+    data, start = b"".join(members), time.perf_counter()
+    found = [(at, warc.entry(fields, body)[2]) for at, fields, body in warc.records(data)]
+    assert [page for _, page in found] == list(range(20_000)) and found[5][0] == sum(map(len, members[:5]))
+    assert time.perf_counter() - start < 30
+    with pytest.raises((ValueError, zlib.error)):
+        list(warc.records(data[:-20]))

@@ -31,7 +31,7 @@ from .files import FILE_BYTES, make_folder, read_files, write_file
 
 EPOCH = datetime(2020, 1, 1, tzinfo=timezone.utc)
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-RANGE_ROWS = 20_000
+RANGE_ROWS, READ_BYTES = 20_000, 1 << 14
 ENTRY = ("url_key string, captured long, page_id long, run string, seq long, payload_bytes long, payload_digest string, record_type string, "
          "refers_to long, warc_offset long")
 
@@ -62,15 +62,19 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
 
 
 def records(data: bytes):
-    """(offset, headers, body) of the records of one archive."""
-    at = 0
-    while at < len(data):
-        member = zlib.decompressobj(31)
-        raw = member.decompress(data[at:] if at else data)
-        head, _, rest = raw.partition(b"\r\n\r\n")
+    """(offset, headers, body) of the records of one archive; members are fed in small pieces, so time is linear in the file."""
+    view, at = memoryview(data), 0
+    while at < len(view):
+        member, parts, to = zlib.decompressobj(31), [], at
+        while not member.eof:
+            if to >= len(view):
+                raise ValueError(f"record at {at} is cut off")
+            parts.append(member.decompress(view[to: to + READ_BYTES]))
+            to += READ_BYTES
+        head, _, rest = b"".join(parts).partition(b"\r\n\r\n")
         fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
         yield at, fields, rest[: int(fields["Content-Length"])]
-        at = len(data) - len(member.unused_data)
+        at = min(to, len(view)) - len(member.unused_data)
 
 
 def entry(fields: dict[str, str], body: bytes) -> tuple:
