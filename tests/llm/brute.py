@@ -99,33 +99,41 @@ def tiled(doc, item, least=5):
     return sum(mb)
 
 
+def line_templates(own, least):
+    """For each line of a leaf, (text, line number, masked words), its templates at all levels."""
+    counts = Counter(place for _, _, w in own for place in enumerate(w) if place[1] != "<*>")
+    counts = {place: n for place, n in counts.items() if n >= least}
+    for n, k, w in own:
+        lines = [counts.get(place, 0) for place in enumerate(w)]
+        need, found = least, set()
+        while need <= max(lines + [least]):
+            if 2 * sum(c >= need for c in lines) >= len(w):
+                found.add(" ".join(x if c >= need else "<*>" for x, c in zip(w, lines)))
+            need *= 2
+        yield n, k, found
+
+
 def recurring_lines(texts, least=10):
-    """For each text the numbers of the lines to drop."""
+    """For each text the numbers of the lines to drop: those with a template that stands in ``least`` classes of near-duplicate texts."""
     digit = lambda w: any(c in "0123456789" for c in w)
-    leaf = lambda w: (len(w), *w[:3])
-    lines = []
+    leaves = defaultdict(list)
     for n, t in enumerate(texts):
-        own = [(k, [("<*>" if digit(w) else w) for w in words(x)]) for k, x in enumerate((t or "").split("\n"))]
-        own = [(k, w) for k, w in own if w]
-        for p, (k, w) in enumerate(own):
+        for k, x in enumerate((t or "").split("\n")):
+            w = [("<*>" if digit(x) else x) for x in words(x)]
             if len(w) >= 3:
-                lines.append((n, k, w, (leaf(own[p - 1][1]) if p else 0, leaf(own[p + 1][1]) if p + 1 < len(own) else 0)))
-    leaves = defaultdict(list)
-    for line in lines:
-        leaves[leaf(line[2])].append(line)
-    found = defaultdict(list)
+                leaves[(len(w), *w[:3])].append((n, k, w))
+    placed = defaultdict(list)
     for own in leaves.values():
-        if len(own) < least or len({a for *_, a in own}) < least:
-            continue
-        counts = Counter(place for _, _, w, _ in own for place in enumerate(w))
-        for n, k, w, a in own:
-            shown = [x if x != "<*>" and counts[p, x] >= least else "<*>" for p, x in enumerate(w)]
-            if 2 * sum(x != "<*>" for x in shown) >= len(w):
-                found[" ".join(shown)].append((n, k, a))
+        if len({texts[n] for n, _, _ in own}) >= least:
+            for n, k, found in line_templates(own, least):
+                for template in found:
+                    placed[template].append((n, k))
+    wide = {template: own for template, own in placed.items() if len({texts[n] for n, _ in own}) >= least}
+    compared = sorted({texts[n] for own in wide.values() for n, _ in own})
+    classes = {compared[i]: c for i, (_, c) in near_duplicates(list(enumerate(compared)), 5, 80).items()}
     out = [set() for _ in texts]
-    for own in found.values():
-        n_docs, spots = len({n for n, _, _ in own}), len({a for *_, a in own})
-        if n_docs >= least and spots >= least and spots * 5 >= n_docs:
-            for n, k, _ in own:
+    for own in wide.values():
+        if len({classes[texts[n]] for n, _ in own}) >= least:
+            for n, k in own:
                 out[n].add(k)
     return out

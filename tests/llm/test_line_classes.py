@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import random
 
+import brute
+
 from wattloom.llm import templates
 
 
@@ -64,3 +66,30 @@ def test_rare_line_in_a_hot_leaf_goes(frame):
     plain = {1000 + i: "\n".join(own_lines(rng)) for i in range(12)}
     docs += [(i, x + "\nThis is the footer that all pages of the old site carry.") for i, x in plain.items()]
     assert left_of(frame, docs) == dict(docs) | plain
+
+
+def test_copies_and_near_copies_by_brute_force(frame):
+    """Templates at several levels, copies, near copies and unrelated documents against the rule in plain Python."""
+    rng = random.Random(8)
+    docs, base = [], own_lines(rng, 5)
+    for i in range(30):
+        docs.append((i, "\n".join([*base, "This whole page was copied without any change."])))
+    for i in range(25):
+        words = "\n".join(base).split(" ")
+        words[rng.randrange(len(words) - 1)] = f"other{'y' * i}"
+        docs.append((100 + i, " ".join(words) + f"\nThis whole page was changed by reader {i} today."))
+    for i in range(60):
+        lines = own_lines(rng, 3)
+        if i % 2:
+            lines.append(f"Seen here on {rng.choice(['monday', 'tuesday', 'sunday'])} by reader {i} of the page.")
+        if i % 3 == 0:
+            lines.insert(1, "This whole page was copied without any change.")
+        if i % 5 == 0:
+            lines.insert(0, "Rare line with words that stand in few texts only.")
+        docs.append((200 + i, "\n".join(lines)))
+    texts = [t for _, t in docs]
+    for least in (4, 10):
+        gone = brute.recurring_lines(texts, least)
+        expected = {i: "\n".join(x for k, x in enumerate(t.split("\n")) if k not in g) for (i, t), g in zip(docs, gone)}
+        assert left_of(frame, docs, min_docs=least) == expected
+        assert 0 < sum(map(len, gone)) < sum(t.count("\n") + 1 for t in texts)
