@@ -84,3 +84,17 @@ def test_latest_per_bus(spark, folder, files):
     got = s.latest_versions(spark, out, "out", ["bus_id"]).withColumn("ts", F.col("ts").cast("timestamp_ntz")).toPandas()
     assert compare(got, batch(spark, folder, "latest_per_bus")) == []
 
+
+
+def test_late_rows_are_judged_and_counted(spark, tmp_path):
+    """Rows days older than what came before: an alert gets its decision, a reading its day."""
+    from datetime import datetime as d
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", s.ROCKSDB)
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    schema = "meter_id string, id long, created_at timestamp"
+    for k, rows in enumerate([[("a", 1, d(2024, 1, 10)), (None, 2, d(2024, 1, 10))], [("a", 3, d(2024, 1, 2)), ("a", 4, d(2024, 1, 12)), (None, 5, d(2024, 1, 1))]]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    got = s.drain_to_table(st.stream_cooldown(stream, 86_400), "t-late").collect()
+    assert {r.id: r.emitted for r in got} == {1: True, 2: True, 3: False, 4: True, 5: False} and len(got) == 5

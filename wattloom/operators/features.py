@@ -57,9 +57,9 @@ def electrical() -> dict[str, Column]:
 
 
 def label_codes(df: DataFrame, column: str, out: str) -> DataFrame:
-    """Codes 0.. in lexicographic order of the distinct values, which are few by nature (a category); null has none."""
-    ranked = df.select(column).distinct().filter(F.col(column).isNotNull()).select(
-        column, (F.dense_rank().over(Window.orderBy(column)) - 1).alias(out))
+    """Codes 0.. in lexicographic order of the distinct values; null has none."""
+    values = df.select(column).distinct().filter(F.col(column).isNotNull())
+    ranked = ordinal(values, [], [column], rn="__code", sized_by=df).select(column, (F.col("__code") - 1).cast("int").alias(out))
     return lookup_join(df, ranked, [column], "left")
 
 

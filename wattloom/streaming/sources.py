@@ -10,7 +10,6 @@ from ..session import scratch_dir
 from ..sources.readings import readings_from_events
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-LATENESS = "1 day"
 
 
 def stream_table(spark: SparkSession, folder: str, name: str, bytes_per_trigger: int = 1 << 30) -> DataFrame:

@@ -1,7 +1,7 @@
 """Keyed state handlers: cooldown, rolling buffers, adaptive thresholds.
 
 A key's rows of one micro-batch are put in event-time order before they meet the state; the trigger size
-bounds how many there can be. Rows older than the watermark never arrive here.
+bounds how many there can be. No watermark drops rows on the way here.
 """
 
 from __future__ import annotations
@@ -17,7 +17,6 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.detect import ADAPTIVE_SCHEMA, ThresholdState, allow, decide_rows, with_budget
 from ..operators.folds import LastEmitted, emit_with_cooldown
-from .sources import LATENESS
 
 
 def in_order(rows: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
@@ -26,14 +25,13 @@ def in_order(rows: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
 
 
 class Cooldown(StatefulProcessor):
-    """Emits at most one alert per key and cooldown; the state disappears when the cooldown has passed."""
+    """Emits at most one alert per key and cooldown. An alert older than the last one emitted does not pass; none is lost."""
 
-    def __init__(self, cooldown_us: int) -> None:
-        self.cooldown = cooldown_us
+    def __init__(self, cooldown_us: int, ttl_ms: int | None) -> None:
+        self.cooldown, self.ttl = cooldown_us, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.last = handle.getValueState("last_emitted", "us long")
+        self.last = handle.getValueState("last_emitted", "us long", self.ttl)
 
     def handleInputRows(self, key, rows, timerValues):
         pdf = in_order(rows, ["us", "id"])
@@ -44,22 +42,21 @@ class Cooldown(StatefulProcessor):
         emitted = emit_with_cooldown(state, pdf["us"].to_numpy(), self.cooldown)
         if state.at is not None:
             self.last.update((state.at,))
-            self.handle.registerTimer((state.at + self.cooldown) // 1000 + 1)
         yield pd.DataFrame({"meter_id": key[0], "id": pdf["id"].to_numpy(), "emitted": emitted})
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        if self.last.exists() and (int(self.last.get()[0]) + self.cooldown) // 1000 < expiredTimerInfo.getExpiryTimeInMs():
-            self.last.clear()
-        yield pd.DataFrame({"meter_id": [], "id": [], "emitted": []}).astype({"meter_id": str, "id": "int64", "emitted": bool})
-
     def close(self) -> None:
         pass
 
 
-def stream_cooldown(alerts: DataFrame, cooldown_s: int) -> DataFrame:
-    rows = alerts.withWatermark("created_at", LATENESS).select("meter_id", "id", "created_at", F.unix_micros("created_at").alias("us"))
+def stream_cooldown(alerts: DataFrame, cooldown_s: int, ttl_days: int | None = None) -> DataFrame:
+    """Every alert with its decision; the state is one number for each key.
+
+    ``ttl_days`` forgets silent keys, for streams that run on processing-time triggers; it should exceed the cooldown.
+    """
+    rows = alerts.select("meter_id", "id", F.unix_micros("created_at").alias("us"))
+    processor = Cooldown(cooldown_s * 1_000_000, ttl_days * 86_400_000 if ttl_days else None)
     return rows.groupBy("meter_id").transformWithStateInPandas(
-        Cooldown(cooldown_s * 1_000_000), "meter_id string, id long, emitted boolean", "Append", "EventTime")
+        processor, "meter_id string, id long, emitted boolean", "Append", "ProcessingTime" if ttl_days else "None")
 
 
 WINDOW_SCHEMA = "event_id long, meter_id string, kw_mean double, v_min double, n_steps int, buffer_fill int"
