@@ -96,14 +96,45 @@ def base_spans(text: str) -> list[Span]:
 
 PIECE = re.compile(r"[0-9]+|[^\W\d_]+|[^\s]|\s+")
 # a stretch with some digits, or an at sign, plain or written out; the words on both sides give context
-SEEN = re.compile(r"\S*[@＠]\S*|\S+[ ]?[\[({<][ ]?(?:at|AT)[ ]?[\])}>][ ]?\S+(?:[ ]?[\[({<][ ]?(?:dot|DOT)[ ]?[\])}>][ ]?[^\s\[({<]+)*|[+(]?[0-9][0-9 ()./\[\]_-]{5,}[0-9]|[0-9]+(?:\[?\.\]?[0-9]+){3}")
+DIGITS = re.compile(r"[+(]?[0-9][0-9 ()./\[\]_-]{5,}[0-9]|[0-9]+(?:\[?\.\]?[0-9]+){3}")
+AT_SIGN = re.compile(r"[@＠]")
+AT_WORD = re.compile(r"[\[({<][ ]?(?:at|AT)[ ]?[\])}>]")
+AFTER_AT = re.compile(r"[ ]?\S+(?:[ ]?[\[({<][ ]?(?:dot|DOT)[ ]?[\])}>][ ]?[^\s\[({<]+)*")
+BLANK = re.compile(r"\s")
+
+
+def word_start(text: str, at: int, least: int) -> int:
+    """Where the word that ends before ``at`` begins, not before ``least``."""
+    while at > least and not text[at - 1].isspace():
+        at -= 1
+    return at
+
+
+def stretches(text: str) -> list[tuple[int, int]]:
+    """What may be an entity, by start. Every search begins at a sign and walks outwards, so long words are read once."""
+    out, end = [(m.start(), m.end()) for m in DIGITS.finditer(text)], 0
+    for m in AT_SIGN.finditer(text):
+        if m.start() >= end:
+            a = word_start(text, m.start(), end)
+            blank = BLANK.search(text, m.end())
+            end = blank.start() if blank else len(text)
+            out.append((a, end))
+    end = 0
+    for m in AT_WORD.finditer(text):
+        if m.start() < end:
+            continue
+        at = m.start() - (m.start() > end and text[m.start() - 1] == " ")
+        a, rest = word_start(text, at, end), AFTER_AT.match(text, m.end())
+        if a < at and rest:
+            end = rest.end()
+            out.append((a, end))
+    return sorted(out)
 
 
 def windows(text: str) -> list[tuple[int, int]]:
     """Stretches to be segmented: what may be an entity with up to three words around it, cut at line ends; overlapping ones are joined."""
     out: list[list[int]] = []
-    for m in SEEN.finditer(text):
-        a, b = m.span()
+    for a, b in stretches(text):
         for _ in range(3):
             k = text.rfind(" ", max(0, a - 40), max(0, a - 1))
             if k < 0 or "\n" in text[k:a]:
@@ -402,7 +433,7 @@ def added_spans(text: str, base: list[Span], field: Field) -> list[Span]:
                 at = max(at, y)
         free.append((at, b))
         # only stretches that a base span does not fill
-        if not any(SEEN.search(text, x, y) for x, y in free if y - x >= 6):
+        if not any(stretches(text[x:y]) for x, y in free if y - x >= 6):
             continue
         w = Window(text[a:b])
         done = 0
