@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..session import scratch_dir
@@ -87,6 +88,27 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Non
     return df.mapInArrow(run, schema)
 
 
+BITS = 1 << 24
+
+
+def bits_of(values: DataFrame, place: Column) -> Broadcast:
+    """A broadcast bit array of ``BITS`` (2 MB, whatever the data) with the bit at ``place`` (0 to BITS - 1) of every row set.
+
+    Rows elsewhere are passed over where they lie unless their bit is set, so large columns are not shuffled to find out; what passes by
+    chance is left to an exact join. Destroy it when the step is stored.
+    """
+    at = place.cast("long") + 1
+    maps = values.groupBy(F.bitmap_bucket_number(at).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).collect()
+    out = np.zeros((BITS >> 15, 1 << 12), np.uint8)
+    for r in maps:
+        out[r["part"] - 1] = np.frombuffer(r["bits"], np.uint8)
+    return values.sparkSession.sparkContext.broadcast(out.ravel())
+
+
+def has_bit(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
 def with_word_counts(df: DataFrame, text: str, out: str) -> DataFrame:
     """``df`` with the number of words of ``text`` (0 for null) in place of ``text``."""
     others = [c for c in df.columns if c != text]

@@ -23,7 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import LEFT, RIGHT, as_bytes, map_arrow, mix, offsets, stored, word_hashes
+from .common import BITS, LEFT, RIGHT, as_bytes, bits_of, has_bit, map_arrow, mix, offsets, stored, word_hashes
 from .components import components
 
 BANDS, ROWS, BLOCK, CHUNK = 40, 6, 2048, 1 << 19
@@ -116,13 +116,20 @@ def byte_rows(values: list[bytes]) -> np.ndarray:
 
 
 def full_sets(docs: DataFrame, nodes: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
-    """(node, shingles as bytes) of the documents with these ids. The ids are stored: their size decides whether texts are shuffled."""
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [shingle_set(t, width).tobytes() for t in batch.column(1).to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["node", "shingles"])
+    """(node, shingles as bytes) of the documents with these ids, stored; texts are not shuffled to find them."""
+    place = F.pmod(F.xxhash64("node"), F.lit(BITS)).cast("long")
+    nodes = stored(nodes.distinct(), "nodes")
+    bits = bits_of(nodes, place)
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("node"), as_bytes(text).alias("t"))
-    return map_arrow(rows.join(stored(nodes.distinct(), "nodes"), "node", "left_semi"), run, "node long, shingles binary", "t").distinct()
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        some = pa.array(np.flatnonzero(has_bit(bits.value, batch.column(2).to_numpy())))
+        sets = [shingle_set(t, width).tobytes() for t in batch.column(1).take(some).to_pylist()]
+        return pa.RecordBatch.from_arrays([batch.column(0).take(some), pa.array(sets, pa.binary())], names=["node", "shingles"])
+
+    rows = docs.select(F.col(doc_id).cast("long").alias("node"), as_bytes(text).alias("t")).filter("node is not null").withColumn("at", place)
+    out = stored(map_arrow(rows, run, "node long, shingles binary", "t").join(nodes, "node", "left_semi").distinct(), "sets")
+    bits.destroy()
+    return out
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

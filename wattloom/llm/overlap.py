@@ -30,9 +30,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import as_bytes, chunked, grouped, map_arrow, offsets, per_row, small_batches, stored
+from .common import BITS, as_bytes, bits_of, chunked, grouped, has_bit, map_arrow, offsets, per_row, small_batches, stored
 from .components import components
-from .minhash import class_of, full_sets, shingle_set
+from .minhash import class_of, shingle_set
 
 BUCKETS = 1 << 18
 BLOCK, ROWS, CHUNK, LEADERS = 1 << 19, 1024, 1 << 19, 4
@@ -139,7 +139,7 @@ class Block:
 
     def __init__(self, rows: pa.Table):
         self.node, self.n = rows.column("node").to_numpy(), rows.column("n").to_numpy()
-        self.sets = [np.frombuffer(g, np.uint64) for g in rows.column("grams").to_pylist()]
+        self.sets = [np.frombuffer(g, np.uint64) if isinstance(g, bytes) else np.sort(np.array(g, np.int64).view(np.uint64)) for g in rows.column("grams").to_pylist()]
 
     def __len__(self) -> int:
         return len(self.node)
@@ -270,10 +270,10 @@ def open_columns(shared: DataFrame, leaders: DataFrame, found: DataFrame, percen
     return both.join(mixed, ["gram", "at"]).select("gram", "node", "n", "component").distinct()
 
 
-def in_blocks(members: DataFrame) -> DataFrame:
-    """Members of columns dealt to pairs (i, j) of blocks, sorted by group."""
+def in_blocks(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Members of columns with their ``grams`` of ``sets`` (node, n, grams), dealt to pairs (i, j) of blocks, sorted by group."""
     sizes = members.groupBy("gram").agg(block_count().alias("n_blocks"))
-    dealt = members.join(sizes, "gram").withColumn("block", of_block())
+    dealt = members.join(sizes, "gram").withColumn("block", of_block()).join(sets, ["node", "n"])
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))).drop("n_blocks")
     dealt = dealt.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other")
     return dealt.repartition("gram", "i", "j").sortWithinPartitions("gram", "i", "j")
@@ -343,9 +343,20 @@ def joining(dealt: DataFrame, percent: int) -> DataFrame:
 
 
 def sized_sets(docs: DataFrame, nodes: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
-    """(node, n, grams): whole sets of the documents with these ids."""
-    sets = full_sets(docs, nodes, doc_id, text, width)
-    return sets.select("node", (F.octet_length("shingles") / 8).cast("long").alias("n"), F.col("shingles").alias("grams"))
+    """(node, n, grams): whole sets of the documents with these ids, stored. Ids that pass the bits by chance find no partner later."""
+    place = F.pmod(F.xxhash64("node"), F.lit(BITS)).cast("long")
+    bits = bits_of(nodes, place)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        some = pa.array(np.flatnonzero(has_bit(bits.value, batch.column(2).to_numpy())))
+        sets = [shingle_set(t, width) for t in batch.column(1).take(some).to_pylist()]
+        return pa.RecordBatch.from_arrays([batch.column(0).take(some), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())],
+                                          names=["node", "n", "grams"])
+
+    rows = docs.select(F.col(doc_id).cast("long").alias("node"), as_bytes(text).alias("t")).filter("node is not null").withColumn("at", place)
+    out = stored(map_arrow(rows, run, "node long, n long, grams binary", "t", CHUNK).filter("n > 0"), "sets")
+    bits.destroy()
+    return out
 
 
 def jaccard_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 4, percent: int = 85) -> DataFrame:
@@ -356,9 +367,11 @@ def jaccard_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     in_graph = s.filter("id is not null and cls is not null")
     nodes = stored(in_graph.groupBy("cls").agg(F.min("id").alias("node")), "nodes")
     own = prefixes(docs, doc_id, text, width, percent, weights).join(nodes.withColumnRenamed("node", "id"), ["id", "cls"], "left_semi")
-    rows = stored(own.select(F.col("id").alias("node"), "n", "grams").distinct(), "prefixes")
+    own = stored(own.select(F.col("id").alias("node"), "n", "grams"), "prefixes")
     weights.destroy()
-    shared = stored(shared_columns(rows), "columns")
+    shared = stored(shared_columns(own), "columns")
+    # only shared columns add to an overlap: rows travel with these, not with their whole prefixes
+    rows = stored(shared.groupBy("node", "n").agg(F.collect_set("gram").alias("grams")), "rows")
 
     # stars: prefixes first, then whole sets
     leaders = stored(leading(shared), "leaders")
@@ -366,18 +379,19 @@ def jaccard_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     led = led.select("leader", "node").distinct()
     likely = stored(star_pairs(stored(led, "stars"), rows, percent, False), "likely")
     ends = likely.select("node").unionAll(likely.select("leader"))
-    links = stored(star_pairs(likely, stored(sized_sets(docs, ends, doc_id, text, width), "sets"), percent, True), "links")
+    links = stored(star_pairs(likely, sized_sets(docs, ends, doc_id, text, width), percent, True), "links")
     copies = in_graph.join(nodes, "cls").filter("id <> node").select(F.col("id").alias("u"), F.col("node").alias("v"))
     edges = links.select(F.col("leader").alias("u"), F.col("node").alias("v")).unionAll(copies)
     found = components(edges)
 
     # columns in which different components still meet
     members = stored(open_columns(shared, leaders, found, percent), "open")
-    marks = stored(waiting(in_blocks(members.join(rows, ["node", "n"])), percent), "waiting")
+    # a pair to be found here shares open columns only
+    lists = members.groupBy("node", "n").agg(F.collect_set("gram").alias("grams"))
+    marks = stored(waiting(in_blocks(members, lists), percent), "waiting")
     if not marks.isEmpty():
         sets = sized_sets(docs, marks.select("node"), doc_id, text, width)
-        again = marks.join(members.drop("n").distinct(), ["gram", "node"]).join(sets, "node")
-        more = stored(joining(in_blocks(again), percent), "joining")
+        more = stored(joining(in_blocks(marks.join(members, ["gram", "node"]), sets), percent), "joining")
         if not more.isEmpty():
             found = components(edges.unionAll(more))
     return s.join(found.withColumnRenamed("node", "id"), "id", "left").select(

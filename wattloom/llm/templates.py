@@ -22,10 +22,11 @@ import re
 
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import minhash
-from .common import KEY, as_bytes, map_arrow, row_key, stored
+from .common import BITS, KEY, as_bytes, bits_of, has_bit, map_arrow, row_key, stored
 
 VARIABLE = "<*>"
 DIGIT = re.compile(rb"[0-9]")
@@ -41,16 +42,22 @@ def leaf_of(words: list[bytes], depth: int) -> int:
     return xxhash.xxh3_64_intdigest(b"%d %s" % (len(words), b" ".join(words[:depth]))) - (1 << 63)
 
 
-def tree_lines(docs: DataFrame, depth: int, min_words: int, with_words: bool) -> DataFrame:
-    """One row for each line of ``min_words`` or more: key, hash of the text, line number, leaf, and the masked words."""
+def tree_lines(docs: DataFrame, depth: int, min_words: int, bits: Broadcast | None = None) -> DataFrame:
+    """One row for each line of ``min_words`` or more: key, hash of the text, line number and leaf; with ``bits``, the masked words of
+    the lines whose leaf has its bit set."""
+    with_words = bits is not None
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         cols: tuple[list, ...] = ([], [], [], [], [])
+        marked = bits.value if with_words else None
         for key, doc, text in zip(*(batch.column(c).to_pylist() for c in (KEY, "doc", "t"))):
             for i, words in enumerate(map(masked, text.split(b"\n"))):
                 if words and len(words) >= min_words:
-                    for col, v in zip(cols, (key, doc, i, leaf_of(words, depth), b" ".join(words) if with_words else None)):
-                        col.append(v)
+                    leaf = leaf_of(words, depth)
+                    at = leaf & (BITS - 1)
+                    if not with_words or marked[at >> 3] >> (at & 7) & 1:
+                        for col, v in zip(cols, (key, doc, i, leaf, b" ".join(words) if with_words else None)):
+                            col.append(v)
         kinds = (pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
         names = [KEY, "doc", "line", "leaf", "words"]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)][: 4 + with_words], names=names[: 4 + with_words])
@@ -76,9 +83,15 @@ def in_classes(held: DataFrame, rows: DataFrame, least: int) -> DataFrame:
     """(template) of those that stand in ``least`` classes of documents; ``held`` has distinct (template, doc)."""
     wide = held.groupBy("template").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least).select("template")
     held = stored(held.join(wide, "template", "left_semi"), "held")
-    # the texts' stored hashes decide whether texts are shuffled for this
-    texts = stored(held.select("doc").distinct(), "texts")
-    near = minhash.near_duplicates(rows.join(texts, "doc", "left_semi").select("doc", F.col("t").cast("string").alias("t")), "doc", "t", CLASS_WIDTH, CLASS_PERCENT)
+    bits = bits_of(held, F.pmod("doc", F.lit(BITS)))
+
+    def marked(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return batch.filter(pa.array(has_bit(bits.value, batch.column(0).to_numpy() & (BITS - 1))))
+
+    # texts that pass the bits by chance are classes that hold no template
+    texts = stored(map_arrow(rows.select("doc", "t"), marked, "doc long, t binary", "t").select("doc", F.col("t").cast("string").alias("t")), "texts")
+    bits.destroy()
+    near = minhash.near_duplicates(texts, "doc", "t", CLASS_WIDTH, CLASS_PERCENT)
     classes = stored(near.groupBy("doc").agg(F.min("component_id").alias("class")), "text_classes")
     return (
         held.join(classes, "doc").groupBy("template", "class").agg(F.count(F.lit(1)).alias("n"))
@@ -90,13 +103,14 @@ def recurring_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                     depth: int = DEPTH, min_words: int = MIN_WORDS) -> DataFrame:
     """(key, line, template) of the lines with a template that recurs, each once; the key is ``row_key`` of id and text."""
     rows = docs.select(row_key(doc_id, text).alias(KEY), F.xxhash64(text).alias("doc"), as_bytes(text).alias("t"))
-    seen = tree_lines(rows, depth, min_words, with_words=False)
+    seen = tree_lines(rows, depth, min_words)
     leaves = stored(
         seen.groupBy("leaf", "doc").agg(F.count(F.lit(1)).alias("n")).groupBy("leaf").agg(F.count(F.lit(1)).alias("texts")).filter(F.col("texts") >= min_docs).select("leaf"), "leaves"
     )
-    # the leaves' stored size decides whether the lines are shuffled for this
-    lines = tree_lines(rows, depth, min_words, with_words=True).join(leaves, "leaf", "left_semi")
+    bits = bits_of(leaves, F.pmod("leaf", F.lit(BITS)))
+    lines = tree_lines(rows, depth, min_words, bits).join(leaves, "leaf", "left_semi")
     lines = stored(lines.withColumn("words", F.col("words").cast("string")).withColumn("form", F.xxhash64("leaf", "words")), "lines")
+    bits.destroy()
 
     forms = lines.groupBy("leaf", "form").agg(F.first("words").alias("words"), F.count(F.lit(1)).alias("n"))
     places = forms.select("leaf", "form", "n", F.posexplode(F.split("words", " ")).alias("place", "word"))
