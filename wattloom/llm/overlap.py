@@ -232,12 +232,12 @@ def star_pairs(pairs: DataFrame, rows: DataFrame, percent: int, whole: bool) ->
                 if len(hit):
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hit), leader)), pa.array(block.node[hit])], names=["leader", "node"])
 
-    mates = pairs.join(rows, "node")
     sizes = pairs.join(rows.select("node", "n"), "node").groupBy("leader").agg(block_count().alias("n_blocks"))
-    dealt = mates.join(sizes, "leader").select("leader", of_block().alias("block"), "node", "n", "grams")
-    groups = sizes.select("leader", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("block"))
-    heads = groups.join(rows.withColumnRenamed("node", "leader"), "leader").select("leader", "block", F.col("leader").alias("node"), "n", "grams")
-    both = dealt.unionAll(heads).repartition("leader", "block").sortWithinPartitions("leader", "block")
+    mates = pairs.join(sizes, "leader").select("leader", of_block().alias("block"), "node")
+    heads = sizes.select("leader", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("block"), F.col("leader").alias("node"))
+    # one join for leaders and mates: whole rows are shuffled once to be found and once to be dealt
+    both = mates.unionAll(heads).join(rows, "node").select("leader", "block", "node", "n", "grams")
+    both = both.repartition("leader", "block").sortWithinPartitions("leader", "block")
     return small_batches(both).mapInArrow(run, "leader long, node long").distinct()
 
 
