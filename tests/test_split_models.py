@@ -6,6 +6,8 @@ from collections import defaultdict, deque
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
+
 
 from wattloom.operators import detect, evaluate, models
 from wattloom.streaming import sources as s, stateful as st
@@ -103,6 +105,22 @@ def test_bootstrap_areas(spark):
         assert got[name] == pytest.approx(expected)
 
 
+def test_bootstrap_areas_of_slices(spark):
+    """Slices that cut through one score, negative ids, null labels and a replicate's draws that never leave their task."""
+    rng = random.Random(4)
+    data = [(rng.choice([-1, 1]) * i * 7_368_787, 0.5 if i % 2 else rng.random(), rng.choice([0, 1, 1, None])) for i in range(600)]
+    df = spark.createDataFrame(data, "id long, score double, label int")
+    whole, cut = (sorted(map(tuple, evaluate.bootstrap_areas(df, "score", "label", "id", 40, slice_rows=n).collect())) for n in (10_000, 50))
+    assert [c[0] for c in cut] == ["pr_auc", "roc_auc"]
+    for a, b in zip(whole, cut):
+        assert b[1:] == pytest.approx(a[1:], abs=1e-12)
+    drawn = df.select("id").crossJoin(spark.range(40).withColumnRenamed("id", "b")).select("id", "b", evaluate.bootstrap_weight(F.col("id"), F.col("b")).alias("w")).toPandas()
+    for b, own in drawn.groupby("b"):
+        ident = evaluate.below_modulus(own["id"].to_numpy())
+        assert (evaluate.bootstrap_counts(ident, int(b)) == own["w"].to_numpy()).all()
+    assert "Generate" not in evaluate.bootstrap_areas(df, "score", "label", "id", 4)._jdf.queryExecution().optimizedPlan().toString()  # rows are not written once per replicate
+
+
 def requests(rng, n):
     rows, us = [], 0
     for i in range(n):

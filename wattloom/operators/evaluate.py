@@ -13,7 +13,7 @@ from ..functions.expr import div0, mix_factor, MIX_MODULUS, mix_uniform, sigmoid
 from .features import METER, ORDER
 from .lookup import lookup_join
 from .quantiles import many_percentiles, percentiles, with_scalars
-from .series import add_running, islands, ordinal, running, slice_series
+from .series import add_running, islands, ordinal, running, slice_series, stored
 
 
 # ---- splits ----------------------------------------------------------------
@@ -123,9 +123,14 @@ def counted_areas(c: DataFrame, keys: list[str], df: DataFrame) -> DataFrame:
         F.sum(pos * (F.col("cum_neg") - neg + 0.5 * neg)).alias("wins"),
         F.sum(pos * tp / (tp + fp)).alias("gain"),
         F.max("p").cast("double").alias("p"), F.max("n").cast("double").alias("n"))
+    return areas_of(out, keys)
+
+
+def areas_of(sums: DataFrame, keys: list[str] = []) -> DataFrame:
+    """The areas from ``wins``, ``gain`` and the numbers of positives and negatives ``p`` and ``n``."""
     one = (F.col("p") == 0) | (F.col("n") == 0)
-    return out.select(*keys, F.when(one, 0.5).otherwise(F.try_divide("wins", F.col("p") * F.col("n"))).alias("roc_auc"),
-                      F.when(one, div0("p", F.col("p") + F.col("n"))).otherwise(F.try_divide("gain", "p")).alias("pr_auc"))
+    return sums.select(*keys, F.when(one, 0.5).otherwise(F.try_divide("wins", F.col("p") * F.col("n"))).alias("roc_auc"),
+                       F.when(one, div0("p", F.col("p") + F.col("n"))).otherwise(F.try_divide("gain", "p")).alias("pr_auc"))
 
 
 def percent_rank_by_order(df: DataFrame, score: str, ident: str) -> DataFrame:
@@ -277,21 +282,105 @@ def bootstrap_weight(ident: Column, replicate: Column) -> Column:
     return sum(((u >= math.ceil(p * MIX_MODULUS)).cast("int") for p in POISSON_ONE), F.lit(0))
 
 
-def bootstrap_areas(df: DataFrame, score: str, label: str, ident: str, n_boot: int = 1000, alpha: float = 0.05) -> DataFrame:
+def below_modulus(x: np.ndarray) -> np.ndarray:
+    """x % MIX_MODULUS with the sign of x; the modulus is 2 ** 31 - 1, so folding the high bits twice does for x >= 0."""
+    if len(x) and x.min() < 0:
+        return np.fmod(x, MIX_MODULUS)
+    x = (x & MIX_MODULUS) + (x >> 31)
+    x = (x & MIX_MODULUS) + (x >> 31)
+    return np.where(x >= MIX_MODULUS, x - MIX_MODULUS, x)
+
+
+def bootstrap_counts(ident: np.ndarray, replicate: int) -> np.ndarray:
+    """``bootstrap_weight`` of whole numbers below MIX_MODULUS."""
+    x = below_modulus(ident * (mix_factor(0) + replicate * 209_458) + (replicate * 104_729 + 104_729))
+    u = below_modulus(below_modulus(x * x + ident) * mix_factor(3) + 7_919)
+    out = np.zeros(len(u), np.uint8)
+    for p in POISSON_ONE:
+        out += u >= math.ceil(p * MIX_MODULUS)
+    return out
+
+
+BOOT_ROWS, BOOT_TASKS = 1 << 15, 512
+
+
+class BootSlice:
+    """Neighbouring rows along the scores, and what a replicate draws of them for each distinct score."""
+
+    def __init__(self, pdf: pd.DataFrame):
+        pdf = pdf.sort_values("score")
+        self.scores = pdf["score"].to_numpy()
+        self.ident = below_modulus(pdf["id"].to_numpy(np.int64))
+        self.ends = np.flatnonzero(np.r_[self.scores[1:] != self.scores[:-1], True])
+        # one running sum for both classes: positives in the low half, negatives in the high half
+        self.unit = np.select([pdf["sign"] == 1, pdf["sign"] == -1], [np.int64(1), np.int64(1) << 32], np.int64(0))
+
+    def drawn(self, replicate: int) -> tuple[np.ndarray, np.ndarray, bool]:
+        """Positives and negatives up to the end of each distinct score, 0 in front; whether any row was drawn."""
+        w = bootstrap_counts(self.ident, replicate)
+        cum = np.r_[0, np.cumsum(w * self.unit)[self.ends]]
+        return cum & 0xFFFFFFFF, cum >> 32, bool(w.any())
+
+
+def bootstrap_areas(df: DataFrame, score: str, label: str, ident: str, n_boot: int = 1000, alpha: float = 0.05, slice_rows: int = BOOT_ROWS) -> DataFrame:
     """(metric, point, lo, hi) for roc_auc and pr_auc: percentile intervals over Poisson bootstrap replicates.
 
-    Draws are summed by (replicate, distinct score) before anything is shuffled; the areas of all replicates then come from one pass
-    of running sums. Rows without an id or score are left out.
+    Rows are dealt once to slices along the scores; a draw is made where its row lies and is never written down. A first pass counts,
+    per slice and replicate, the first and last distinct score and what lies between, which gives every slice the counts below it and the
+    whole counts of scores that reach over its ends. A second pass adds up each slice's part of the areas. Rows without an id or score
+    are left out.
     """
     rows = df.select(F.col(score).cast("double").alias("score"), F.col(label).alias("label"), F.col(ident).alias("id")).dropna(subset=["score", "id"])
-    drawn = rows.withColumn("replicate", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_boot - 1).cast("long"))))
-    drawn = drawn.withColumn("w", bootstrap_weight(F.col("id"), F.col("replicate"))).filter("w > 0")
-    weight = lambda c: F.sum(F.when(c, F.col("w")).otherwise(0).cast("long"))
-    c = drawn.groupBy("replicate", "score").agg(weight(F.col("label") == 1).alias("pos"), weight(F.col("label") != 1).alias("neg"))
-    areas = counted_areas(c, ["replicate"], drawn)
-    long = areas.select("roc_auc", "pr_auc").unpivot([], ["roc_auc", "pr_auc"], "metric", "value")
+    sign = F.when(F.col("label") == 1, 1).when(F.col("label") != 1, -1).otherwise(0)
+    ready = stored(rows.select((F.col("score") + 0.0).alias("score"), F.col("id").cast("long").alias("id"), sign.alias("sign")), "bootstrap-rows")
+    n_slices = max(1, -(-ready.count() // slice_rows))
+    cut = ready.repartitionByRange(n_slices, "score", "id").withColumn("slice", F.spark_partition_id())
+    # the ranges come from samples: both passes must see the same ones; few bytes are much work here, so tasks are not merged by size
+    slices = stored(cut, "bootstrap-slices").repartition(min(n_slices, BOOT_TASKS), "slice")
+
+    def edges(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        own, out = BootSlice(pdf), []
+        first, last, n = own.scores[0], own.scores[-1], len(own.ends)
+        for b in range(n_boot):
+            pos, neg, some = own.drawn(b)
+            out.append((b, 0, first, pos[1], neg[1], some))
+            if n > 1:
+                out.append((b, 1, None, pos[-2] - pos[1], neg[-2] - neg[1], some))
+                out.append((b, 2, last, pos[-1] - pos[-2], neg[-1] - neg[-2], some))
+        return pd.DataFrame(out, columns=["replicate", "part", "score", "pos", "neg", "some"]).assign(slice=key[0])
+
+    parts = slices.groupBy("slice").applyInPandas(edges, "slice int, replicate int, part int, score double, pos long, neg long, some boolean")
+    parts = stored(parts, "bootstrap-edges")  # three rows per slice and replicate
+    every, same = Window.partitionBy("replicate"), Window.partitionBy("replicate", "score")
+    earlier = every.orderBy("slice", "part").rowsBetween(Window.unboundedPreceding, -1)
+    before = parts.withColumns({f"before_{c}": F.coalesce(F.sum(c).over(earlier), F.lit(0)) for c in ("pos", "neg")})
+    before = before.withColumns({"group_pos": F.min("before_pos").over(same), "group_neg": F.min("before_neg").over(same), "group": F.sum("neg").over(same),
+                                 "p": F.sum("pos").over(every), "n": F.sum("neg").over(every)})
+    at = lambda part, c: F.max(F.when(F.col("part") == part, F.col(c)))
+    starts = before.groupBy("slice", "replicate").agg(
+        at(0, "before_pos").alias("start_pos"), at(0, "before_neg").alias("start_neg"), at(0, "group_pos").alias("first_pos"), at(0, "group_neg").alias("first_neg"),
+        at(0, "group").alias("first"), F.coalesce(at(2, "group"), at(0, "group")).alias("last"), F.max("p").alias("p"), F.max("n").alias("n"), F.max("some").alias("some"))
+
+    def part_areas(pdf: pd.DataFrame, around: pd.DataFrame) -> pd.DataFrame:
+        own, out = BootSlice(pdf), []
+        for a in around.itertuples(index=False):
+            pos, neg, _ = own.drawn(a.replicate)
+            below_pos, below_neg, group = a.start_pos + pos[:-1], a.start_neg + neg[:-1], np.diff(neg)
+            below_pos[0], below_neg[0], group[0] = a.first_pos, a.first_neg, a.first
+            group[-1] = a.last
+            up = a.p - below_pos
+            here = np.diff(pos)
+            wins = (here * (below_neg + 0.5 * group)).sum()
+            gain = (here * (up / np.maximum(up + a.n - below_neg, 1))).sum()
+            out.append((a.replicate, wins, gain, a.p, a.n, a.some))
+        return pd.DataFrame(out, columns=["replicate", "wins", "gain", "p", "n", "some"])
+
+    schema = "replicate int, wins double, gain double, p double, n double, some boolean"
+    found = slices.groupBy("slice").cogroup(starts.groupBy("slice")).applyInPandas(part_areas, schema)
+    summed = found.groupBy("replicate").agg(F.sum("wins").alias("wins"), F.sum("gain").alias("gain"), F.max("p").alias("p"), F.max("n").alias("n"), F.max("some").alias("some"))
+    long = areas_of(summed.filter("some")).unpivot([], ["roc_auc", "pr_auc"], "metric", "value")
     bounds = percentiles(long, ["metric"], {"lo": ("value", alpha / 2), "hi": ("value", 1 - alpha / 2)})
-    point = curve_areas(rows, [], "score", "label").unpivot([], ["roc_auc", "pr_auc"], "metric", "point")
+    point = curve_areas(ready.withColumn("label", F.when(F.col("sign") != 0, F.col("sign"))), [], "score", "label").unpivot([], ["roc_auc", "pr_auc"], "metric", "point")
     return point.join(bounds, "metric")
 
 
