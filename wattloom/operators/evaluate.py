@@ -13,7 +13,7 @@ from ..functions.expr import div0, mix_factor, MIX_MODULUS, mix_uniform, sigmoid
 from .features import METER, ORDER
 from .lookup import lookup_join
 from .quantiles import many_percentiles, percentiles, with_scalars
-from .series import add_running, islands, ordinal, running, slice_series, stored
+from .series import add_running, fits_one_task, islands, ordinal, running, slice_series, stored
 
 
 # ---- splits ----------------------------------------------------------------
@@ -114,6 +114,8 @@ def curve_areas(df: DataFrame, keys: list[str], score: str, label: str) -> DataF
 
 def counted_areas(c: DataFrame, keys: list[str], df: DataFrame) -> DataFrame:
     """The same from ``pos`` and ``neg`` of each distinct score; ``df`` are the rows that were counted."""
+    if not fits_one_task(df, whole=not keys):
+        c = stored(c, "counted-scores")  # sized, dealt and totalled
     s = add_running(slice_series(c, keys, ["score"], sized_by=df), {"cum_pos": F.col("pos"), "cum_neg": F.col("neg")}).done()
     totals = c.groupBy(*keys).agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
     s = lookup_join(s, totals, keys, sized_by=df) if keys else with_scalars(s, totals)

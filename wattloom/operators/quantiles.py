@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from .lookup import lookup_join
-from .series import add_running, fits_one_task, null_safe_join, slice_series
+from .series import add_running, fits_one_task, null_safe_join, slice_series, stored
 
 
 def percentiles(df: DataFrame, keys: list[str], wanted: dict[str, tuple[str, float]]) -> DataFrame:
@@ -18,7 +18,7 @@ def percentiles(df: DataFrame, keys: list[str], wanted: dict[str, tuple[str, flo
     by_column: dict[str, dict[str, float]] = {}
     for alias, (column, p) in wanted.items():
         by_column.setdefault(column, {})[alias] = p
-    if fits_one_task(df):
+    if fits_one_task(df, whole=not keys):
         # one pass over a column's values for all its percentiles
         packed = df.groupBy(*keys).agg(*[F.percentile(c, F.array(*[F.lit(float(p)) for p in ps.values()])).alias(f"__p{i}")
                                          for i, (c, ps) in enumerate(by_column.items())])
@@ -37,6 +37,7 @@ def percentiles(df: DataFrame, keys: list[str], wanted: dict[str, tuple[str, flo
 
 def _ranked(df: DataFrame, keys: list[str], column: str, ps: dict[str, float]) -> DataFrame:
     counted = df.filter(F.col(column).isNotNull()).groupBy(*keys, F.col(column).alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
+    counted = stored(counted, "counted-values")  # sized, dealt and totalled
     run = add_running(slice_series(counted, keys, ["__v"]), {"__cum": F.col("__c")}).done()
     totals = counted.groupBy(*keys).agg(F.sum("__c").alias("__total"))
     if keys:
@@ -67,9 +68,10 @@ def with_scalars(df: DataFrame, one_row: DataFrame, prefix: str = "") -> DataFra
 
 def many_percentiles(df: DataFrame, column: str, ps: list[float]) -> DataFrame:
     """One row with the array ``q`` of the percentiles ``ps`` (some hundreds) of a column."""
-    if fits_one_task(df):
+    if fits_one_task(df, whole=True):
         return df.agg(F.percentile(column, F.array(*[F.lit(p) for p in ps])).alias("q"))
     counted = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
+    counted = stored(counted, "counted-values")
     run = add_running(slice_series(counted, [], ["__v"]), {"__cum": F.col("__c")}).done()
     total = counted.agg(F.sum("__c"))
     ranks = F.transform(F.array(*[F.lit(p) for p in ps]), lambda p: (F.col("__total") - 1) * p)

@@ -31,13 +31,17 @@ def plan_bytes(df: DataFrame) -> tuple[int, int] | None:
         return None
 
 
-def fits_one_task(df: DataFrame) -> bool:
+WHOLE = 16  # a series without keys is surely as large as its frame
+
+
+def fits_one_task(df: DataFrame, whole: bool = False) -> bool:
     """True only if the whole frame is below the size one task may hold, so no group of it can be larger.
 
     A join is estimated as the product of its sides; the joins here add columns, so inputs far below the
-    limit are accepted as well.
+    limit are accepted as well. Where all rows form one group (``whole``) the limit is lower: the estimates are those of
+    packed files, a task holds and sorts several times as much.
     """
-    limit = int(df.sparkSession.conf.get("wattloom.split.bytes", str(256 * 1024 * 1024)))
+    limit = int(df.sparkSession.conf.get("wattloom.split.bytes", str(256 * 1024 * 1024))) // (WHOLE if whole else 1)
     sizes = plan_bytes(df) if limit > 0 else None
     return sizes is not None and (sizes[0] <= limit or sizes[1] <= limit // 8)
 
@@ -93,7 +97,7 @@ def slice_series(df: DataFrame, keys: list[str], order: list[str], back: int = 0
     ``order`` must be a total order inside a series, ascending.
     ``back`` / ``ahead`` are the rows a frame reaches before / after the current one.
     """
-    if fits_one_task(sized_by if sized_by is not None else df):
+    if fits_one_task(sized_by if sized_by is not None else df, whole=not keys):
         return Sliced(df, list(keys), list(order), False)
     plain = Sliced(df, list(keys), list(order), False)
     keys, order = list(keys) or [ALL], list(order)
@@ -104,10 +108,16 @@ def slice_series(df: DataFrame, keys: list[str], order: list[str], back: int = 0
     if not rows:
         return plain
     # the ranges come from samples, so the slices are stored: every use must see the same ones
-    dealt = null_safe_join(df, hot, keys).repartitionByRange(-(-rows // limit) + 1, *keys, *order)
+    single = keys == [ALL]  # all rows are in the one series, and none are left besides
+    sized = df.withColumn(ROWS, F.lit(rows).cast("long")) if single else null_safe_join(df, hot, keys)
+    dealt = sized.repartitionByRange(-(-rows // limit) + 1, *keys, *order)
     large = stored(dealt.withColumn(SLICE, F.spark_partition_id().cast("long")), "slices").withColumn(HOT, F.lit(True))
-    rest = null_safe_join(df, hot, keys, "left_anti").withColumns({ROWS: F.lit(None).cast("long"), SLICE: F.lit(0).cast("long"), HOT: F.lit(False)})
-    frame = large.unionByName(rest).withColumn(HALO, F.lit(False))
+    if single:
+        frame = large
+    else:
+        rest = null_safe_join(df, hot, keys, "left_anti").withColumns({ROWS: F.lit(None).cast("long"), SLICE: F.lit(0).cast("long"), HOT: F.lit(False)})
+        frame = large.unionByName(rest)
+    frame = frame.withColumn(HALO, F.lit(False))
     out = frame
     if back:
         out = out.unionByName(_halo(frame, keys, order, back, forward=True))
