@@ -108,7 +108,10 @@ def seal_batch(batch: DataFrame, batch_id: int, folder: str, size: int, authorit
 def summary_batches(results: DataFrame, batch_id: int, folder: str, size: int) -> None:
     """The results of a micro-batch cut in order of time into batches of at most ``size``, and one summary row for each."""
     order = ["us", "event_id"]
-    numbered = l.ordinal(results, [], order, rn="place").withColumn("batch_no", F.floor((F.col("place") - 1) / size) + 1)
+    # kept first: numbering a large batch reads it several times, and its real size tells whether one task can
+    write_batch(results, folder, "incoming", batch_id)
+    incoming = results.sparkSession.read.schema(results.schema).parquet(f"{folder}/incoming/batch={batch_id}")
+    numbered = l.ordinal(incoming, [], order, rn="place").withColumn("batch_no", F.floor((F.col("place") - 1) / size) + 1)
     write_batch(numbered, folder, "results", batch_id)
     stored = results.sparkSession.read.schema(numbered.schema).parquet(f"{folder}/results/batch={batch_id}")
     summary = stored.groupBy("batch_no").agg(
