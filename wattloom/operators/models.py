@@ -146,7 +146,8 @@ def segmented_detection(df: DataFrame, features: list[str], trees: int = TREES)
     df = segment(df)
     # the fitted forest is stored once: its trees are read by the check, the scoring and any retry
     forest = stored(fit_forest(df, features, trees=trees), "forest")
-    scored = df.join(score_forest(df, forest, features), "event_id")
+    # so are the scores: the cut-offs and the output read them, and they are the long part of the work
+    scored = stored(df.join(score_forest(df, forest, features), "event_id"), "forest-scores")
     cuts = percentiles(scored.filter("forest_score > 0"), ["segment"], {"cut": ("forest_score", 1 - CONTAMINATION)})
     out = lookup_join(scored, cuts, ["segment"], "left", sized_by=df)
     alarm = F.coalesce(F.col("forest_score") > F.col("cut"), F.lit(False))
