@@ -280,6 +280,8 @@ def permutation_importance(df: DataFrame, columns: list[str], score, label: str,
     base = curve_areas(score(df), [], "score", label).select("roc_auc")
     parts = None
     for i, c in enumerate(columns):
-        one = curve_areas(score(permute(df, c, ident, 100 + 2 * i)), [], "score", label).select(F.lit(c).alias("feature"), "roc_auc")
+        # dealt out once: the score's own statistics and the counts read it again
+        dealt = stored(permute(df, c, ident, 100 + 2 * i), "dealt-column")
+        one = curve_areas(score(dealt), [], "score", label).select(F.lit(c).alias("feature"), "roc_auc")
         parts = one if parts is None else parts.unionByName(one)
     return parts.select("feature", (base.scalar() - F.col("roc_auc")).alias("importance"))
