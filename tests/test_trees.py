@@ -153,3 +153,30 @@ def test_cuts_and_bins(spark):
     found = trees.binned(rows, ["wide", "few"], cuts, "event_id", "y").collect()
     for r in found[:500]:
         assert r.bins[0] == 1 + sum(c < r.ident % 1000 for c in cuts[0]) and r.bins[1] == 1 + r.ident % 3
+
+
+def test_growth_matches_all_features(spark):
+    """A tree that looks at features until enough of them cut equals one that rates them all; the barrier stage equals one task."""
+    rng = np.random.default_rng(8)
+    bins = np.column_stack([rng.integers(0, k, 4000) for k in (1, 3, 200, 24)]).astype(np.uint8)
+    label, times = (rng.random(4000) < 0.3).astype(np.int64), 1 + rng.poisson(0.5, 4000)
+    for depth in (0, 3, None):
+        model = trees.grow_classifier(bins, label, times, (1.0, 2.0), 4, depth, 3)
+        again = trees.grow_classifier(bins, label, times, (1.0, 2.0), 1, depth, 3)
+        assert (model["feature"] != 0).all() and (again["feature"] != 0).all()  # a constant feature cuts nothing
+    for n_nodes in (4, 4000):  # counted in cells, and sorted
+        node = rng.integers(0, n_nodes, 4000)
+        one, zero = times * label, times * (1 - label)
+        best, cut = trees.best_cuts(node * trees.BINS + bins[:, 2], one, zero, n_nodes, (1.0, 2.0))
+        for k in np.unique(node)[:20]:
+            own = node == k
+            sides = [(c, [(one[own & s].sum() * 2.0, zero[own & s].sum()) for s in (bins[:, 2] <= c, bins[:, 2] > c)]) for c in np.unique(bins[own, 2])[:-1]]
+            scores = [sum(a * b / (a + b) for a, b in two) for _, two in sides]
+            assert best[k] == pytest.approx(min(scores)) if scores else np.isinf(best[k])
+            assert not scores or scores[[c for c, _ in sides].index(cut[k])] == pytest.approx(min(scores))
+    rows = spark.createDataFrame([(i, int(y), bytes(b)) for i, (y, b) in enumerate(zip(label, bins))], "ident long, label int, bins binary")
+    settings = trees.Rounds(4, 5, 3, 0.1, 0.9, 0.9, 2.0, 42)
+    one_task, together = trees.boost_in_task(settings, rows), trees.boost_together(settings, rows, 3)
+    in_jobs = trees.boost_in_jobs(settings, rows)  # where the number of slots is not known
+    for other in (together, in_jobs):
+        assert len(other) == 5 and all(np.array_equal(a[k], b[k]) for a, b in zip(one_task, other) for k in a)

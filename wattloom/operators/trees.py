@@ -7,7 +7,8 @@ Columns are cut once at up to ``BINS - 2`` quantiles; a row is then one byte for
   over the bags), so a task's memory is bounded; a smaller table gives ordinary bootstrap bags.
 * Boosting: a round's tree is grown from sums of gradients by (node, feature, bin). Gradients are whole numbers (2 ** -20 units), so sums do
   not depend on how rows are dealt. Up to ``local_rows`` rows, one task holds the binned rows and runs all rounds; beyond that
-  every level is one aggregate over all rows, and margins are stored every ``STORE_ROUNDS`` rounds. Both give the same trees.
+  the tasks of one barrier stage hold them and exchange the sums, up to ``HELD_ROWS`` rows a task. Where the number of tasks that run at the same time
+  is not known, and beyond that bound, every level is one aggregate over all rows, and margins are stored every ``STORE_ROUNDS`` rounds. All give the same trees.
 * Scoring deals rows to parts of the forest, so no task and no broadcast holds the whole model.
 
 Null labels count as negative, rows with a null id are rows like others, an empty table cannot be fitted (ValueError).
@@ -15,16 +16,20 @@ Null labels count as negative, rows with a null id are rows like others, an empt
 
 from __future__ import annotations
 
+import base64
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import BarrierTaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .lookup import stored
 
 BINS, UNIT, STORE_ROUNDS = 256, float(1 << 20), 20
 BAG_ROWS, LOCAL_ROWS, PART_TREES, SLICE_ROWS = 1 << 20, 1 << 19, 8, 1 << 18
+HELD_ROWS = 1 << 22  # rows a task may hold beside others while boosting
 LAMBDA, MIN_CHILD = 1.0, 1.0
 
 
@@ -115,8 +120,17 @@ def best_cuts(key: np.ndarray, one: np.ndarray, zero: np.ndarray, n_nodes: int,
 
     ``key`` is node * BINS + bin of each row; only bins that occur are looked at.
     """
-    found, at = np.unique(key, return_inverse=True)
-    c1, c0 = np.bincount(at, one, len(found)), np.bincount(at, zero, len(found))
+    if n_nodes * BINS <= 2 * len(key):  # few nodes: a cell for each bin
+        c1, c0 = np.bincount(key, one, n_nodes * BINS), np.bincount(key, zero, n_nodes * BINS)
+        found = np.flatnonzero(c1 + c0)
+        c1, c0 = c1[found], c0[found]
+    else:  # many small nodes: sorted together with the counts, which is faster than sorting places
+        bits = int(max(one.max(initial=0), zero.max(initial=0))).bit_length()
+        packed = np.sort((key << (2 * bits)) | (one << bits) | zero)
+        rows_key = packed >> (2 * bits)
+        at = np.flatnonzero(np.r_[True, rows_key[1:] != rows_key[:-1]])
+        found = rows_key[at]
+        c1, c0 = (np.add.reduceat((packed >> shift) & ((1 << bits) - 1), at).astype(float) for shift in (bits, 0))
     node = found // BINS
     starts = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
     ends = np.r_[starts[1:], len(found)] - 1
@@ -156,11 +170,21 @@ def grow_classifier(bins: np.ndarray, label: np.ndarray, times: np.ndarray, weig
         keep = mixed_nodes[node]
         rows, node, one, zero = rows[keep], node[keep], one[keep], zero[keep]
         scores, cuts = np.full((n_nodes, n_features), np.inf), np.zeros((n_nodes, n_features), np.int64)
-        for f in range(n_features):
-            scores[:, f], cuts[:, f] = best_cuts(node * BINS + bins[rows, f], one, zero, n_nodes, weights)
-        draw = uniform(seed, np.arange(first, first + n_nodes)[:, None], np.arange(n_features)[None, :]) + np.where(np.isfinite(scores), 0.0, 2.0)
-        rank = np.argsort(np.argsort(draw, axis=1), axis=1)
-        scores = np.where(rank < tried, scores, np.inf)
+        # a node looks at its features in the order drawn, until ``tried`` of them can cut it
+        turn = np.argsort(uniform(seed, np.arange(first, first + n_nodes)[:, None], np.arange(n_features)[None, :]), axis=1)
+        lacks = np.where(mixed_nodes, tried, 0)
+        for k in range(n_features):
+            some = np.flatnonzero(lacks > 0)
+            if not len(some):
+                break
+            place = np.full(n_nodes, -1)
+            place[some] = np.arange(len(some))
+            own = np.flatnonzero(place[node] >= 0) if len(some) < n_nodes else slice(None)
+            f = turn[some, k]
+            at = place[node[own]]
+            score, cut = best_cuts(at * BINS + bins[rows[own], f[at]], one[own], zero[own], len(some), weights)
+            scores[some, f], cuts[some, f] = score, cut
+            lacks[some] -= np.isfinite(score)
         best = np.argmin(scores, axis=1)
         split = np.isfinite(scores[np.arange(n_nodes), best])
         level["feature"][split], level["cut"][split] = best[split], cuts[np.arange(n_nodes), best][split]
@@ -285,13 +309,17 @@ class Rounds:
 
     def nodes(self, tree: dict[str, np.ndarray], bins: np.ndarray, levels: int) -> np.ndarray:
         """Node of each row after so many levels; a row that met a leaf stays there."""
-        at, every = np.zeros(len(bins), np.int64), np.arange(len(bins))
+        at = np.zeros(len(bins), np.int64)
         for _ in range(levels):
-            feature = tree["feature"][at]
-            right = bins[every, np.maximum(feature, 0)] > tree["cut"][at]
-            at = np.where(feature >= 0, 2 * at + 1 + right, at)
+            at = self.below(tree, bins, at)
         return at
 
+    def below(self, tree: dict[str, np.ndarray], bins: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Node of each row one level further down."""
+        feature = tree["feature"][at]
+        right = bins[np.arange(len(bins)), np.maximum(feature, 0)] > tree["cut"][at]
+        return np.where(feature >= 0, 2 * at + 1 + right, at)
+
     def gradients(self, margin: np.ndarray, label: np.ndarray, ident: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray]:
         """First and second derivative of the weighted log loss in whole units; zero for rows that sit the round out."""
         p = 1.0 / (1.0 + np.exp(-margin))
@@ -351,17 +379,25 @@ class Rounds:
         return out
 
 
-def boost_arrays(settings: Rounds, ident: np.ndarray, label: np.ndarray, bins: np.ndarray) -> list[dict[str, np.ndarray]]:
-    """All rounds over rows in memory."""
+def boost_arrays(settings: Rounds, ident: np.ndarray, label: np.ndarray, bins: np.ndarray,
+                 every: Callable[[np.ndarray], np.ndarray] = lambda sums: sums) -> list[dict[str, np.ndarray]]:
+    """All rounds over rows in memory; ``every`` adds the sums of rows that are held elsewhere."""
     state = {"margin": np.zeros(len(label)), "round": -1}
 
     def sums(t, tree, level):
         if state["round"] != t:
             state["round"], state["gh"] = t, settings.gradients(state["margin"], label, ident, t)
-        return settings.level_sums(settings.nodes(tree, bins, level), bins, *state["gh"], level)
+            state["at"], state["level"] = np.zeros(len(label), np.int64), 0
+        go_down(tree, level)
+        return every(settings.level_sums(state["at"], bins, *state["gh"], level))
+
+    def go_down(tree, level):
+        while state["level"] < level:
+            state["at"], state["level"] = settings.below(tree, bins, state["at"]), state["level"] + 1
 
     def add(tree):
-        state["margin"] = settings.margins([tree], bins, state["margin"])
+        go_down(tree, settings.depth)
+        state["margin"] = state["margin"] + tree["value"][state["at"]]
 
     return settings.run(sums, add)
 
@@ -369,16 +405,54 @@ def boost_arrays(settings: Rounds, ident: np.ndarray, label: np.ndarray, bins: n
 def boost_in_task(settings: Rounds, rows: DataFrame) -> list[dict[str, np.ndarray]]:
     """All rounds in one task; for tables of bounded size."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        ident, label = (np.concatenate([numbers(b.column(k)) for b in held]) for k in range(2))
-        model = boost_arrays(settings, ident, label, np.concatenate([unpacked(b.column(2), settings.n_features) for b in held]))
-        out = [pa.array([m[k].tobytes() for m in model], pa.binary()) for k in model[0]]
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(model)), pa.int32()), *out], names=["t", *model[0]])
+    return models_of(rows.coalesce(1).mapInArrow(lambda batches: iter([packed_model(boost_arrays(settings, *held_rows(batches, settings.n_features)))]), MODEL))
+
+
+MODEL = "t int, feature binary, cut binary, value binary"
+
 
+def held_rows(batches: Iterator[pa.RecordBatch], n_features: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, labels and bins of all batches."""
+    parts = [(numbers(b.column(0)), numbers(b.column(1)), unpacked(b.column(2), n_features)) for b in batches if b.num_rows]
+    parts = parts or [(np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros((0, n_features), np.uint8))]
+    return tuple(np.concatenate(p) for p in zip(*parts))
+
+
+def packed_model(model: list[dict[str, np.ndarray]]) -> pa.RecordBatch:
+    out = [pa.array([m[k].tobytes() for m in model], pa.binary()) for k in model[0]]
+    return pa.RecordBatch.from_arrays([pa.array(range(len(model)), pa.int32()), *out], names=["t", *model[0]])
+
+
+def models_of(found: DataFrame) -> list[dict[str, np.ndarray]]:
     kinds = {"feature": np.int64, "cut": np.int64, "value": np.float64}
-    found = rows.coalesce(1).mapInArrow(run, "t int, feature binary, cut binary, value binary").collect()
-    return [{k: np.frombuffer(r[k], kind) for k, kind in kinds.items()} for r in sorted(found, key=lambda r: r.t)]
+    return [{k: np.frombuffer(r[k], kind) for k, kind in kinds.items()} for r in sorted(found.collect(), key=lambda r: r.t)]
+
+
+def slots(rows: DataFrame) -> int:
+    """Tasks that surely run at the same time, or 0 where that is not known."""
+    conf = rows.sparkSession.sparkContext.getConf()
+    fixed = conf.get("spark.dynamicAllocation.enabled", "false") == "false" and conf.get("spark.task.cpus", "1") == "1" and not conf.contains("spark.default.parallelism")
+    return rows.sparkSession.sparkContext.defaultParallelism if fixed else 0
+
+
+def boost_together(settings: Rounds, rows: DataFrame, tasks: int) -> list[dict[str, np.ndarray]]:
+    """All rounds in one barrier stage: each task holds its share of the rows, a level's sums are exchanged and added by every task.
+
+    Sums are whole numbers, so all tasks grow the same tree. A message holds 2 ** depth * features * BINS sums at most, packed.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = BarrierTaskContext.get()
+
+        def every(own: np.ndarray) -> np.ndarray:
+            told = task.allGather(base64.b64encode(zlib.compress(own.tobytes(), 1)).decode())
+            return sum(np.frombuffer(zlib.decompress(base64.b64decode(x)), np.int64) for x in told).reshape(own.shape)
+
+        model = boost_arrays(settings, *held_rows(batches, settings.n_features), every)
+        if task.partitionId() == 0:
+            yield packed_model(model)
+
+    return models_of(rows.repartition(tasks).mapInArrow(run, MODEL, barrier=True))
 
 
 def boost_in_jobs(settings: Rounds, rows: DataFrame) -> list[dict[str, np.ndarray]]:
@@ -432,7 +506,12 @@ def fit_boosting(rows: DataFrame, n_features: int, rounds: int, depth: int, rate
         raise ValueError("no rows to fit")
     positive = max((total.n - total.pos) / max(total.pos, 1), 1.0)
     settings = Rounds(n_features, rounds, depth, rate, sample, columns, positive, seed)
-    return settings, (boost_in_task if total.n <= local_rows else boost_in_jobs)(settings, rows)
+    if total.n <= local_rows:
+        return settings, boost_in_task(settings, rows)
+    tasks = slots(rows)
+    if total.n <= tasks * HELD_ROWS:
+        return settings, boost_together(settings, rows, tasks)
+    return settings, boost_in_jobs(settings, rows)
 
 
 def score_boosting(rows: DataFrame, settings: Rounds, model: list[dict[str, np.ndarray]]) -> DataFrame:
