@@ -7,6 +7,8 @@ these. All hashes are 64-bit and depend on the bytes only, never on partitioning
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from weakref import WeakKeyDictionary
 
 import numpy as np
 import pyarrow as pa
@@ -32,19 +34,41 @@ def table(spark, folder: str, name: str) -> DataFrame:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+_places: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
+@contextmanager
+def cleaned(spark):
+    """Spark removes the shuffle files of queries that are put together and run inside as soon as they end."""
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """The frame as a table in the shared folder: computed once, lineage cut, real size known to the planner.
 
     Spark removes the shuffle files of this step when the table is written; nothing reads them again.
     """
     spark = df.sparkSession
-    path, before = scratch_dir(spark, label), spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
-    try:
+    path = scratch_dir(spark, label)
+    with cleaned(spark):
         df.write.parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _places[out] = path
+    return out
+
+
+def released(*tables: DataFrame) -> None:
+    """Removes stored tables; no frame that is still to be computed may read them."""
+    for t in tables:
+        if place := _places.pop(t, None):
+            spark = t.sparkSession
+            path = spark._jvm.org.apache.hadoop.fs.Path(place)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
@@ -98,7 +122,8 @@ def bits_of(values: DataFrame, place: Column) -> Broadcast:
     chance is left to an exact join. Destroy it when the step is stored.
     """
     at = place.cast("long") + 1
-    maps = values.groupBy(F.bitmap_bucket_number(at).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).collect()
+    with cleaned(values.sparkSession):
+        maps = values.groupBy(F.bitmap_bucket_number(at).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).collect()
     out = np.zeros((BITS >> 15, 1 << 12), np.uint8)
     for r in maps:
         out[r["part"] - 1] = np.frombuffer(r["bits"], np.uint8)

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import stored
+from .common import cleaned, released, stored
 
 
 def _with_least(edges: DataFrame) -> DataFrame:
@@ -20,25 +20,21 @@ def _with_least(edges: DataFrame) -> DataFrame:
 
 
 def large_star(edges: DataFrame) -> DataFrame:
-    """Every larger neighbour of a node is linked to the least of the node's neighbourhood."""
-    return _with_least(edges).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+    """Every larger neighbour of a node is linked to the least of the node's neighbourhood; links may repeat."""
+    return _with_least(edges).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
 
 
 def small_star(edges: DataFrame) -> DataFrame:
     """A node and its smaller neighbours are linked to the least of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u")
-    return (
-        moved.select(F.col("v").alias("u"), F.col("m").alias("v"))
-        .unionAll(least.select("u", F.col("m").alias("v")))
-        .filter("u <> v")
-        .distinct()
-    )
+    ends = F.array(*[F.struct(F.col(c).alias("u"), F.col("m").alias("v")) for c in ("u", "v")])
+    return down.join(least, "u").select(F.inline(ends)).filter("u <> v").distinct()
 
 
 def _fingerprint(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(u, v))"), F.sum(F.pmod(F.xxhash64("v", "u"), F.lit(1 << 20)))).first())
+    with cleaned(edges.sparkSession):
+        return tuple(edges.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(u, v))"), F.sum(F.pmod(F.xxhash64("v", "u"), F.lit(1 << 20)))).first())
 
 
 def components(edges: DataFrame, a: str = "u", b: str = "v") -> DataFrame:
@@ -52,9 +48,15 @@ def components(edges: DataFrame, a: str = "u", b: str = "v") -> DataFrame:
     )
     seen = None
     while (mark := _fingerprint(now)) != seen:
-        seen = mark
-        now = stored(small_star(large_star(now)), "edges")
+        seen, last = mark, now
+        now = stored(small_star(large_star(last)), "edges")
+        released(last)
     # a star at the end: every node points to its root, roots to themselves
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(
-        now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+    found = stored(
+        now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(
+            now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+        ),
+        "components",
     )
+    released(now)
+    return found

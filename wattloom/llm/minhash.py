@@ -23,7 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import BITS, LEFT, RIGHT, as_bytes, bits_of, has_bit, map_arrow, mix, offsets, stored, word_hashes
+from .common import BITS, LEFT, RIGHT, as_bytes, bits_of, cleaned, has_bit, map_arrow, mix, offsets, released, stored, word_hashes
 from .components import components
 
 BANDS, ROWS, BLOCK, CHUNK = 40, 6, 2048, 1 << 19
@@ -129,6 +129,7 @@ def full_sets(docs: DataFrame, nodes: DataFrame, doc_id: str, text: str, width:
     rows = docs.select(F.col(doc_id).cast("long").alias("node"), as_bytes(text).alias("t")).filter("node is not null").withColumn("at", place)
     out = stored(map_arrow(rows, run, "node long, shingles binary", "t").join(nodes, "node", "left_semi").distinct(), "sets")
     bits.destroy()
+    released(nodes)
     return out
 
 
@@ -149,9 +150,10 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def in_blocks(members: DataFrame) -> DataFrame:
-    """Members of buckets dealt to groups (band, i, j) of two blocks of about ``BLOCK`` members each, sorted by group."""
-    sizes = members.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("n_blocks"))
-    dealt = members.join(sizes, "band").withColumn("block", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int"))
+    """Members of buckets, with their number ``size`` in the bucket, dealt to groups (band, i, j) of two blocks of about ``BLOCK`` members
+    each, sorted by group."""
+    blocks = members.withColumn("n_blocks", F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")).drop("size")
+    dealt = blocks.withColumn("block", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))).drop("n_blocks")
     dealt = dealt.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other")
     return dealt.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
@@ -202,7 +204,7 @@ GROUP = ("band", "i", "j")
 
 
 def open_members(dealt: DataFrame, percent: int) -> DataFrame:
-    """(band, i, j, node) of the members that have a partner to be confirmed."""
+    """(band, i, j, node, component) of the members that have a partner to be confirmed."""
 
     def run(batches):
         for rows in by_group(batches, GROUP):
@@ -211,9 +213,9 @@ def open_members(dealt: DataFrame, percent: int) -> DataFrame:
                 for k, rest in alike(rows, component, percent):
                     marked[k] = marked[rest] = True
                 if marked.any():
-                    yield from rows.select([*GROUP, "node"]).filter(pa.array(marked)).to_batches()
+                    yield from rows.select([*GROUP, "node", "component"]).filter(pa.array(marked)).to_batches()
 
-    return dealt.mapInArrow(run, "band long, i int, j int, node long")
+    return dealt.mapInArrow(run, "band long, i int, j int, node long, component long")
 
 
 def joining_links(dealt: DataFrame, percent: int) -> DataFrame:
@@ -259,30 +261,42 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     mates = buckets.groupBy("node").agg(F.sum("size").alias("mates"))
     leaders = buckets.join(mates, "node").groupBy("band").agg(F.max(F.struct("mates", "node")).alias("top")).select("band", F.col("top.node").alias("leader"))
-    led = buckets.join(leaders, "band").filter("node <> leader").select("band", "node", "leader")
+    led = stored(buckets.join(leaders, "band").filter("node <> leader").select("band", "node", "leader"), "led")
+    released(buckets)
     pairs = led.select(F.least("leader", "node").alias("x"), F.greatest("leader", "node").alias("y")).distinct()
     likely = stored(similar_signatures(pairs, reps, percent), "pairs")
-    ends = likely.select(F.col("x").alias("node")).unionAll(likely.select("y"))
-    links = stored(confirmed(likely, full_sets(docs, ends, doc_id, text, width), percent), "links")
+    sets = full_sets(docs, likely.select(F.col("x").alias("node")).unionAll(likely.select("y")), doc_id, text, width)
+    links = stored(confirmed(likely, sets, percent), "links")
+    released(likely, sets)
 
     copies = in_graph.select("cls", "id").join(reps.select("cls", "node"), "cls").filter("id <> node").select(F.col("id").alias("u"), F.col("node").alias("v"))
-    edges = links.select(F.col("x").alias("u"), F.col("y").alias("v")).unionAll(copies)
-    found = components(edges)
+    found = components(links.select(F.col("x").alias("u"), F.col("y").alias("v")).unionAll(copies))
+    released(links)
 
     # buckets whose members, the leader aside, still lie in different components
-    placed = led.select("band", "node").join(found, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
-    mixed = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("band")
-    members = placed.join(mixed, "band").join(reps.select("node", "sig", "n_shingles", "bands"), "node")
-    waiting = stored(open_members(in_blocks(members), percent), "open")
-    if not waiting.isEmpty():
+    placed = stored(led.select("band", "node").join(found, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component")), "placed")
+    released(led)
+    mixed = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo < hi").select("band", "size")
+    own = reps.select("node", "sig", "n_shingles", "bands")
+    waiting = stored(open_members(in_blocks(placed.join(mixed, "band").join(own, "node")), percent).select("band", "node", "component").distinct(), "open")
+    released(placed)
+    with cleaned(s.sparkSession):
+        over = waiting.isEmpty()
+    if not over:
         sets = full_sets(docs, waiting.select("node"), doc_id, text, width)
-        again = waiting.select("band", "node").distinct().join(placed, ["band", "node"]).join(reps.select("node", "sig", "n_shingles", "bands"), "node").join(sets, "node")
+        sizes = waiting.groupBy("band").agg(F.count(F.lit(1)).alias("size"))
+        again = waiting.join(sizes, "band").join(own, "node").join(sets, "node")
         more = stored(joining_links(in_blocks(again), percent), "links")
-        if not more.isEmpty():
-            found = components(edges.unionAll(more.select(F.col("x").alias("u"), F.col("y").alias("v"))))
+        released(sets)
+        before = found
+        # the components so far are stars, which is shorter than their links
+        found = components(before.select(F.col("node").alias("u"), F.col("component").alias("v")).unionAll(more.select(F.col("x").alias("u"), F.col("y").alias("v"))))
+        released(before, more)
+    released(waiting, reps)
+    out = stored(s.drop("sig", "bands").join(found.withColumnRenamed("node", "id"), "id", "left"), "near")
+    released(s, found)
     return (
-        s.join(found.withColumnRenamed("node", "id"), "id", "left")
-        .select(F.col("id").alias(doc_id), "n_shingles", "cls", F.coalesce("component", "id").alias("component_id"))
+        out.select(F.col("id").alias(doc_id), "n_shingles", "cls", F.coalesce("component", "id").alias("component_id"))
         .withColumn("kept", F.coalesce(F.col(doc_id) == F.col("component_id"), F.lit(True)))
     )
 

@@ -26,7 +26,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import minhash
-from .common import BITS, KEY, as_bytes, bits_of, has_bit, map_arrow, row_key, stored
+from .common import BITS, KEY, as_bytes, bits_of, has_bit, map_arrow, released, row_key, stored
 
 VARIABLE = "<*>"
 DIGIT = re.compile(rb"[0-9]")
@@ -80,7 +80,7 @@ def levels(words: Column, least: int) -> Column:
 
 
 def in_classes(held: DataFrame, rows: DataFrame, least: int) -> DataFrame:
-    """(template) of those that stand in ``least`` classes of documents; ``held`` has distinct (template, doc)."""
+    """(template) of those that stand in ``least`` classes of documents, stored; ``held`` has distinct (template, doc)."""
     wide = held.groupBy("template").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least).select("template")
     held = stored(held.join(wide, "template", "left_semi"), "held")
     bits = bits_of(held, F.pmod("doc", F.lit(BITS)))
@@ -92,11 +92,15 @@ def in_classes(held: DataFrame, rows: DataFrame, least: int) -> DataFrame:
     texts = stored(map_arrow(rows.select("doc", "t"), marked, "doc long, t binary", "t").select("doc", F.col("t").cast("string").alias("t")), "texts")
     bits.destroy()
     near = minhash.near_duplicates(texts, "doc", "t", CLASS_WIDTH, CLASS_PERCENT)
-    classes = stored(near.groupBy("doc").agg(F.min("component_id").alias("class")), "text_classes")
-    return (
+    released(texts)
+    classes = near.groupBy("doc").agg(F.min("component_id").alias("class"))
+    out = stored(
         held.join(classes, "doc").groupBy("template", "class").agg(F.count(F.lit(1)).alias("n"))
-        .groupBy("template").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least).select("template")
+        .groupBy("template").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least).select("template"),
+        "recurring",
     )
+    released(held)
+    return out
 
 
 def recurring_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS,
@@ -111,6 +115,7 @@ def recurring_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     lines = tree_lines(rows, depth, min_words, bits).join(leaves, "leaf", "left_semi")
     lines = stored(lines.withColumn("words", F.col("words").cast("string")).withColumn("form", F.xxhash64("leaf", "words")), "lines")
     bits.destroy()
+    released(leaves)
 
     forms = lines.groupBy("leaf", "form").agg(F.first("words").alias("words"), F.count(F.lit(1)).alias("n"))
     places = forms.select("leaf", "form", "n", F.posexplode(F.split("words", " ")).alias("place", "word"))
@@ -122,8 +127,11 @@ def recurring_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         .select("leaf", "form", F.explode(levels(F.col("words"), min_docs)).alias("template"))
     )
     placed = stored(lines.select(KEY, "doc", "line", "leaf", "form").join(templates, ["leaf", "form"]).select(KEY, "doc", "line", "template"), "templates")
+    released(lines)
     recurring = in_classes(placed.select("template", "doc").distinct(), rows, min_docs)
-    return placed.join(recurring, "template", "left_semi").groupBy(KEY, "line").agg(F.min("template").alias("template"))
+    out = stored(placed.join(recurring, "template", "left_semi").groupBy(KEY, "line").agg(F.min("template").alias("template")), "recurring_lines")
+    released(placed, recurring)
+    return out
 
 
 def without_recurring(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_lines: str | None = None, n_dropped: str | None = None,
