@@ -104,6 +104,40 @@ class Reader:
         return flat[start - lo * BLOCK: end - lo * BLOCK]
 
 
+SPACES, LETTERS, SIGNS, OTHERS = range(4)
+KINDS = np.full(256, OTHERS, np.uint8)
+KINDS[[32, *range(9, 14)]] = SPACES
+KINDS[[*range(97, 123), *range(65, 91)]] = LETTERS
+KINDS[[c for c in range(33, 127) if KINDS[c] == OTHERS and c != 39 and not 48 <= c < 58]] = SIGNS
+
+
+def kinds_of(data: np.ndarray) -> np.ndarray:
+    """The kind of every byte of UTF-8; of the letters beyond ASCII, those from U+00C0 to U+00FF are plain."""
+    kinds = KINDS[data]
+    lead = np.flatnonzero(data[:-1] == 0xC3)
+    tail = data[lead + 1]
+    lead = lead[(tail != 0x97) & (tail != 0xB7)]  # signs for times and division
+    kinds[lead] = kinds[lead + 1] = LETTERS
+    return kinds
+
+
+def cut_pieces(texts: list[bytes]) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """The pieces of all texts in order, and how many each text has: runs of letters, runs of signs, and whole words with anything else."""
+    data = np.frombuffer(b" ".join([b"", *texts, b""]).lower(), np.uint8)
+    kinds = kinds_of(data)
+    inside = kinds != SPACES
+    word = np.cumsum(inside[1:] & ~inside[:-1], dtype=np.int32)  # of the bytes from the second on
+    odd = np.zeros(int(word[-1]) + 1, bool) if len(word) else np.zeros(1, bool)
+    odd[word[kinds[1:] == OTHERS]] = True
+    kinds[1:][odd[word] & inside[1:]] = OTHERS
+    starts = np.flatnonzero(inside[1:] & (kinds[1:] != kinds[:-1])) + 1
+    place = np.cumsum(inside, dtype=np.int32)
+    ends = np.append(place[starts] - 1, place[-1]).astype(np.int32)
+    flat = pa.BinaryArray.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(data[inside])])
+    first = 1 + offsets([len(t) + 1 for t in texts])
+    return flat.dictionary_encode(), np.diff(np.searchsorted(starts, first))
+
+
 class Encoder:
     """Whole texts to ids with a ``tokenizers`` file; what it gives for a piece of text is kept for the next time.
 
@@ -112,38 +146,70 @@ class Encoder:
     what may be a special token are encoded in one go.
     """
 
-    PLAIN, SIGNS = "a-zÀ-ÖØ-öø-ÿ", "!-&(-/:-@\\[-`{-~"
-    RUN = re.compile(f"[{PLAIN}]+|[{SIGNS}]+")
-    OTHER = re.compile(f"[^{PLAIN}{SIGNS}\\x20\\x09-\\x0D]")
-    PIECE = re.compile(f"[{PLAIN}{SIGNS}]*+{OTHER.pattern}[^\\x20\\x09-\\x0D]*|{RUN.pattern}")
-    CACHED = 800_000
+    LETTERS = re.compile("[a-zÀ-ÖØ-öø-ÿ]+")
+    CACHED, TOGETHER = 400_000, 200
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}  # ids as little-endian unsigned 32-bit integers
-
-    def pieces(self, text: bytes) -> list[str]:
-        if b"<|" in text:
-            return [text.decode()]
-        low = text.lower().decode()
-        return (self.PIECE if self.OTHER.search(low) else self.RUN).findall(low)
+        self.known: dict[bytes, bytes] = {}  # ids as little-endian unsigned 32-bit integers
+
+    def single(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of each piece."""
+        out = self.tokenizer.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)
+        return [struct.pack(f"<{len(ids := e.ids)}I", *ids) for e in out]
+
+    def together(self, runs: list[bytes]) -> list[bytes]:
+        """The ids of each run of letters, from one text of them; the tokenizer tells to which word an id belongs."""
+        e = self.tokenizer.encode(b" ".join(runs).decode(), add_special_tokens=False)
+        words = np.array(e.word_ids, np.int64)
+        cuts = np.flatnonzero(words[1:] != words[:-1]) + 1
+        if len(cuts) + 1 != len(runs) or words[0] != 0 or words[-1] != len(runs) - 1:
+            return self.single(runs)
+        ids = np.array(e.ids, "<u4").tobytes()
+        at = [0, *(4 * cuts).tolist(), len(ids)]
+        return [ids[a:b] for a, b in zip(at, at[1:])]
+
+    def learn(self, new: list[bytes]) -> None:
+        runs, rest = [], []
+        for p in new:
+            (runs if p.isalpha() or self.LETTERS.fullmatch(p.decode()) else rest).append(p)
+        for some, step, how in ((runs, self.TOGETHER, self.together), (rest, 4096, self.single)):
+            for i in range(0, len(some), step):
+                self.known.update(zip(some[i: i + step], how(some[i: i + step])))
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """The ids of whole texts."""
-        cut = list(map(self.pieces, texts))
-        new = list(set().union(*cut).difference(self.known))
-        for i in range(0, len(new), 4096):
-            batch = new[i: i + 4096]
-            for p, e in zip(batch, self.tokenizer.encode_batch_fast(batch, add_special_tokens=False)):
-                self.known[p] = struct.pack(f"<{len(ids := e.ids)}I", *ids)
-        out = [np.frombuffer(b"".join(map(self.known.__getitem__, pieces)), "<u4") for pieces in cut]
+        plain = [t if b"<|" not in t else b"" for t in texts]
+        pieces, counts = cut_pieces(plain)
+        distinct = pieces.dictionary.to_pylist()
+        new = [p for p in distinct if p not in self.known]
+        self.learn(new)
+        ids = list(map(self.known.__getitem__, distinct))
+        sizes = np.array([len(b) for b in ids], np.int64) // 4
+        flat, first = np.frombuffer(b"".join(ids), "<u4"), offsets(sizes)
+        which = pieces.indices.to_numpy()
+        own = sizes[which]
+        ends = offsets(own)
+        out = flat[np.repeat(first[which] - ends[:-1], own) + np.arange(ends[-1])]
+        cuts = ends[offsets(counts)]
         if len(self.known) > self.CACHED:  # what came first is met most often and stays
             for p in new:
                 del self.known[p]
-        return out
+        return [np.frombuffer(self.single([t])[0], "<u4") if b"<|" in t else out[a:b] for t, a, b in zip(texts, cuts[:-1], cuts[1:])]
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    """The worker's encoder: later tasks of the same worker find its pieces known."""
+    if path not in _encoders:
+        _encoders.clear()
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
 def write_tokens(docs: DataFrame, path: str, folder: str, doc_id: str = "doc_id", text: str = "text", end_id: int = END) -> None:
@@ -153,7 +219,7 @@ def write_tokens(docs: DataFrame, path: str, folder: str, doc_id: str = "doc_id"
     tokenizer = path
 
     def run(batches):
-        encoder, part = Encoder(tokenizer), TaskContext.get().partitionId()
+        encoder, part = encoder_of(tokenizer), TaskContext.get().partitionId()
         names, counts, ids, held, number = [], [], [], 0, 0
 
         def flush():
