@@ -161,13 +161,17 @@ def cumulative_rank(df: DataFrame, score: str) -> DataFrame:
 def sweep(df: DataFrame, score: str, label: str, candidates: DataFrame) -> DataFrame:
     """tp, fp, fn, tn at every threshold of a one-row array frame (ascending, a few hundred entries).
 
-    Each counted score finds how many thresholds it reaches; the thresholds' totals are then suffix sums
-    over as many rows as there are thresholds, whatever the data size.
+    Each counted score finds how many thresholds it reaches, by a join with the ranges between them; the thresholds' totals
+    are then suffix sums over as many rows as there are thresholds, whatever the data size.
     """
     grid = candidates.toDF("c")
-    c = counted(df, [], score, label).withColumn("__c", grid.scalar())
-    bucket = F.size(F.filter("__c", lambda x: x <= F.col("score")))
-    hits = c.groupBy(bucket.alias("j")).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    if not fits_one_task(df, whole=True):
+        grid = stored(grid, "thresholds")  # read twice
+    ranges = grid.select(F.array_sort("c").alias("c")).select("c", F.posexplode("c").alias("i", "lo")).select(
+        (F.col("i") + 1).alias("j"), "lo", F.get("c", F.col("i") + 1).alias("hi"))
+    reached = (F.col("lo") <= F.col("score")) & (F.col("hi").isNull() | (F.col("score") < F.col("hi")))
+    placed = counted(df, [], score, label).join(F.broadcast(ranges), reached, "left")
+    hits = placed.groupBy(F.coalesce("j", F.lit(0)).alias("j")).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     points = grid.select(F.posexplode("c").alias("i", "threshold")).select((F.col("i") + 1).alias("j"), "threshold")
     none = F.lit(None).cast("double")
     rows = hits.select("j", none.alias("threshold"), "pos", "neg").unionByName(

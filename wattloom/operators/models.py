@@ -6,16 +6,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import PCA, VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from . import trees
 from .detect import domain_rules
 from .evaluate import counted, curve_areas
 from .lookup import lookup_join, stored
-from .quantiles import percentiles, with_scalars
+from .quantiles import percentiles
 from .series import carry_forward, over_series, running
 
 # ---- segmented isolation forest --------------------------------------------
@@ -159,21 +160,55 @@ def segmented_detection(df: DataFrame, features: list[str], trees: int = TREES)
 
 # ---- linear autoencoder ----------------------------------------------------
 
+def standardised(batch: pa.RecordBatch, cells: list[str], mean: list[float | None], scale: list[float]) -> np.ndarray:
+    """One row per cell and one column per window; a cell without a value stands at its mean."""
+    z = np.zeros((len(cells), batch.num_rows))
+    for i, c in enumerate(cells):
+        if mean[i] is not None:
+            z[i] = (batch.column(c).fill_null(mean[i]).to_numpy(zero_copy_only=False) - mean[i]) / scale[i]
+    if np.isnan(z).any():
+        raise ValueError("a window holds a value that is not a number")
+    return z
+
+
 def pca_reconstruction(windows: DataFrame, cells: list[str], label: str, k: int) -> DataFrame:
     """Squared reconstruction error per cell of standardised windows, components fitted on normal ones.
 
-    The components are orthonormal, so the error is what the projection leaves of the squared length.
+    The components are orthonormal, so the error is what the projection leaves of the squared length. Tasks multiply whole
+    batches of windows; their product matrices, as large as the number of cells squared, are added up by Spark.
     """
-    stats = windows.filter(F.col(label) == 0).agg(*[F.avg(c).alias(f"{c}_m") for c in cells], *[F.stddev_pop(c).alias(f"{c}_s") for c in cells])
-    z = with_scalars(windows, stats, "__")
-    z = z.withColumns({c: F.coalesce(F.try_divide(F.col(c) - F.col(f"__{c}_m"), F.greatest(F.col(f"__{c}_s"), F.lit(1e-8))), F.lit(0.0)) for c in cells})
-    z = z.drop(*[f"__{c}_{s}" for c in cells for s in ("m", "s")])
-    vec = VectorAssembler(inputCols=cells, outputCol="x").transform(z)
-    model = PCA(k=k, inputCol="x", outputCol="p").fit(vec.filter(F.col(label) == 0))
-    square = lambda a: F.aggregate(a, F.lit(0.0), lambda acc, v: acc + v * v)
-    out = model.transform(vec)
-    error = (square(vector_to_array("x")) - square(vector_to_array("p"))) / len(cells)
-    return out.withColumn("recon_error", F.greatest(error, F.lit(0.0))).drop("x", "p", *cells)
+    windows = windows.withColumns({c: F.col(c).cast("double") for c in cells})
+    normal = windows.filter(F.col(label) == 0).select(*cells)
+    stats = normal.agg(*[F.avg(c) for c in cells], *[F.stddev_pop(c) for c in cells]).first()
+    mean, scale = list(stats[:len(cells)]), [max(s or 0.0, 1e-8) for s in stats[len(cells):]]
+    side = len(cells) + 1
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((side, side))
+        for batch in batches:  # a last row of ones adds the sums of the cells and the number of windows
+            z = np.vstack([standardised(batch, cells, mean, scale), np.ones(batch.num_rows)])
+            total += z @ z.T
+        yield pa.record_batch({"place": pa.array(range(side * side), pa.int32()), "v": total.ravel()})
+
+    sums = normal.mapInArrow(products, "place int, v double").groupBy("place").agg(F.sum("v")).collect()
+    gram = np.zeros(side * side)
+    for place, v in sums:
+        gram[place] = v
+    gram = gram.reshape(side, side)
+    n, total = gram[-1, -1], gram[:-1, -1]
+    if n < 2:
+        raise ValueError("components need two normal windows")
+    covariance = (gram[:-1, :-1] - np.outer(total, total) / n) / (n - 1)
+    components = np.linalg.svd(covariance)[0][:, :k]
+    keep = [f for f in windows.schema if f.name not in cells]
+
+    def errors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            z = standardised(batch, cells, mean, scale)
+            error = ((z * z).sum(axis=0) - ((components.T @ z) ** 2).sum(axis=0)) / len(cells)
+            yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in keep], pa.array(np.maximum(error, 0.0))], [*[f.name for f in keep], "recon_error"])
+
+    return windows.mapInArrow(errors, StructType([*keep, StructField("recon_error", DoubleType())]))
 
 
 def intrinsic_dimension(df: DataFrame, columns: list[str], share: float = 0.95) -> DataFrame:

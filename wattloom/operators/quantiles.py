@@ -73,13 +73,12 @@ def many_percentiles(df: DataFrame, column: str, ps: list[float]) -> DataFrame:
     counted = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
     counted = stored(counted, "counted-values")
     run = add_running(slice_series(counted, [], ["__v"]), {"__cum": F.col("__c")}).done()
-    total = counted.agg(F.sum("__c"))
     ranks = F.transform(F.array(*[F.lit(p) for p in ps]), lambda p: (F.col("__total") - 1) * p)
     wanted = F.array_distinct(F.flatten(F.array(F.transform(ranks, lambda k: F.floor(k)),
                                                 F.transform(ranks, lambda k: F.least(F.floor(k) + 1, F.col("__total") - 1)))))
-    run = run.withColumn("__total", total.scalar()).withColumn("__wanted", wanted)
-    hits = run.select("__total", "__v", F.explode(F.filter(
-        "__wanted", lambda i: (F.col("__cum") - F.col("__c") <= i) & (i < F.col("__cum")))).alias("__i"))
+    # the wanted places are worked out once, as a small table that the rows are joined with
+    places = counted.agg(F.sum("__c").alias("__total")).select("__total", F.explode(wanted).alias("__i"))
+    hits = run.join(F.broadcast(places), (F.col("__cum") - F.col("__c") <= F.col("__i")) & (F.col("__i") < F.col("__cum"))).select("__total", "__v", "__i")
     # two order statistics per percentile at most
     table = hits.groupBy("__total").agg(F.map_from_entries(F.collect_list(F.struct("__i", "__v"))).alias("__m"))
 
