@@ -299,11 +299,11 @@ FOREST_TREES, FOREST_DEPTH, ROUNDS, ROUND_DEPTH, RATE, BOOST_SAMPLE = 200, None,
 
 def supervised(train: DataFrame, test: DataFrame, features: list[str], label: str, ident: str = "event_id", forest_trees: int = FOREST_TREES,
                forest_depth: int | None = FOREST_DEPTH, rounds: int = ROUNDS, round_depth: int = ROUND_DEPTH, rate: float = RATE, sample: float = BOOST_SAMPLE,
-               bag_rows: int = trees.BAG_ROWS, local_rows: int = trees.LOCAL_ROWS) -> DataFrame:
+               local_rows: int = trees.LOCAL_ROWS) -> DataFrame:
     """(model, id, label, probability) of the test rows, by a random forest and by boosted trees; classes weigh the same."""
     n, cuts = len(features), trees.quantile_cuts(train, features)
     fit, ready = (stored(trees.binned(df, features, cuts, ident, label), "binned") for df in (train, test))
-    forest = stored(trees.fit_forest(fit, n, forest_trees, forest_depth, bag_rows=bag_rows), "forest")
+    forest = stored(trees.fit_forest(fit, n, forest_trees, forest_depth), "forest")
     boosted = trees.fit_boosting(fit, n, rounds, round_depth, rate, sample, sample, local_rows=local_rows)
     scored = {"random_forest": trees.score_forest(ready, forest, n, ready.count(), forest_trees), "boosted_trees": trees.score_boosting(ready, *boosted)}
     out = [df.select(F.lit(name).alias("model"), F.col("ident").alias(ident), "label", "probability") for name, df in scored.items()]

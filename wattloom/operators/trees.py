@@ -2,14 +2,14 @@
 
 Columns are cut once at up to ``BINS - 2`` quantiles; a row is then one byte for each feature, 0 for missing values, which go left.
 
-* Forest: every row draws how often it stands in each tree's bag from a hash of its id. One shuffle deals the rows to the trees, each
-  grown by one task level by level from sorted bins. A bag holds about ``bag_rows`` rows at most (the rows of a larger table are spread
-  over the bags), so a task's memory is bounded; a smaller table gives ordinary bootstrap bags.
+* Forest: every row draws how often it stands in each tree's bag from a hash of its id. One shuffle deals the draws to the trees, each
+  grown by one task level by level from counted bins. A bag has as many draws as the table has rows, whatever its size. A task reads a level in
+  chunks and holds the rows in a file without a name where they are many; beside the rows it keeps a few numbers for each node.
 * Boosting: a round's tree is grown from sums of gradients by (node, feature, bin). Gradients are whole numbers (2 ** -20 units), so sums do
   not depend on how rows are dealt. Up to ``local_rows`` rows, one task holds the binned rows and runs all rounds; beyond that
   the tasks of one barrier stage hold them and exchange the sums, up to ``HELD_ROWS`` rows a task. Where the number of tasks that run at the same time
   is not known, and beyond that bound, every level is one aggregate over all rows, and margins are stored every ``STORE_ROUNDS`` rounds. All give the same trees.
-* Scoring deals rows to parts of the forest, so no task and no broadcast holds the whole model.
+* Scoring deals packed rows to parts of the forest, where trees come in pieces and one is held at a time; sums of a batch come back packed.
 
 Null labels count as negative, rows with a null id are rows like others, an empty table cannot be fitted (ValueError).
 """
@@ -17,19 +17,21 @@ Null labels count as negative, rows with a null id are rows like others, an empt
 from __future__ import annotations
 
 import base64
+import tempfile
 import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import BarrierTaskContext
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from .lookup import stored
 
 BINS, UNIT, STORE_ROUNDS = 256, float(1 << 20), 20
-BAG_ROWS, LOCAL_ROWS, PART_TREES, SLICE_ROWS = 1 << 20, 1 << 19, 8, 1 << 18
+LOCAL_ROWS, PART_TREES, SLICE_ROWS = 1 << 19, 8, 1 << 20
 HELD_ROWS = 1 << 22  # rows a task may hold beside others while boosting
+CHUNK_ROWS, HELD_BYTES, PIECE_NODES = 1 << 17, 1 << 26, 1 << 18  # rows looked at together, bytes of a bag in memory, nodes stored together
 LAMBDA, MIN_CHILD = 1.0, 1.0
 
 
@@ -94,19 +96,19 @@ def bag_cdf(rate: float) -> np.ndarray:
 
 
 def bags(rows: DataFrame, n_features: int, trees: int, rate: float, seed: int) -> DataFrame:
-    """(tree, rows): what some rows add to each tree's bag, about 1,000 packed as (times, label, bins) bytes each."""
-    cdf, step = bag_cdf(rate), int(1024 / rate)
+    """(tree, rows): what some rows add to each tree's bag, as ``packed_rows``. Every row is drawn for every tree, ``rate`` times on average."""
+    cdf, step = bag_cdf(rate), int(16384 / rate)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(at, step) for b in batches for at in range(0, b.num_rows, step)):
-            packed = np.concatenate([np.zeros((batch.num_rows, 1), np.uint8), numbers(batch.column(1)).astype(np.uint8)[:, None], unpacked(batch.column(2), n_features)], axis=1)
+            packed = packed_rows(numbers(batch.column(1)), unpacked(batch.column(2), n_features))
             ident, tree, out = numbers(batch.column(0)), [], []
             for t in range(trees):
                 times = np.searchsorted(cdf, uniform(seed, t, ident), "right")
                 some = np.flatnonzero(times)
                 if len(some):
                     own = packed[some]
-                    own[:, 0] = times[some]
+                    own.view(np.uint8)[:, 0] += (2 * times[some]).astype(np.uint8)
                     tree.append(t)
                     out.append(own.tobytes())
             if tree:
@@ -115,178 +117,407 @@ def bags(rows: DataFrame, n_features: int, trees: int, rate: float, seed: int) -
     return rows.mapInArrow(run, "tree int, rows binary")
 
 
-def best_cuts(key: np.ndarray, one: np.ndarray, zero: np.ndarray, n_nodes: int, weights: tuple[float, float]) -> tuple[np.ndarray, np.ndarray]:
-    """For one feature: least weighted Gini of the two sides, and the bin after which to cut, by node (infinite where there is no cut).
+class Bag:
+    """The packed rows of one tree, in memory or, beyond ``HELD_BYTES``, in a file without a name."""
+
+    def __init__(self) -> None:
+        self.parts, self.held, self.file = [], 0, None
+
+    def add(self, part: bytes) -> None:
+        self.parts.append(part)
+        self.held += len(part)
+        if self.held > HELD_BYTES:
+            self.file = self.file or tempfile.TemporaryFile()
+            self.file.writelines(self.parts)
+            self.parts, self.held = [], 0
+
+    def rows(self, words: int) -> np.ndarray:
+        if self.file is None:
+            return np.frombuffer(bytearray().join(self.parts), np.uint64).reshape(-1, words)
+        self.file.writelines(self.parts)
+        self.file.flush()
+        self.parts = []
+        return np.memmap(self.file, np.uint64).reshape(-1, words)
+
+
+LOW = (1 << 32) - 1  # two counts in one number: positives above, negatives below
+
+
+def packed_rows(code: np.ndarray, bins: np.ndarray) -> np.ndarray:
+    """One row of whole words each: a byte ``times * 2 + label``, the bins, and zeros up to the next word."""
+    out = np.zeros((len(bins), row_words(bins.shape[1]) * 8), np.uint8)
+    out[:, 0], out[:, 1: bins.shape[1] + 1] = code, bins
+    return out.view(np.uint64)
+
+
+def row_words(n_features: int) -> int:
+    return n_features // 8 + 1
 
-    ``key`` is node * BINS + bin of each row; only bins that occur are looked at.
+
+def best_cells(cell: np.ndarray, run: np.ndarray, weights: tuple[float, float]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(node, least weighted Gini of the two sides, bin after which to cut, what goes left) of the nodes that can be cut.
+
+    ``cell`` is node * BINS + bin of the bins that occur, ascending; ``run`` has the counts up to and with each cell.
     """
-    if n_nodes * BINS <= 2 * len(key):  # few nodes: a cell for each bin
-        c1, c0 = np.bincount(key, one, n_nodes * BINS), np.bincount(key, zero, n_nodes * BINS)
-        found = np.flatnonzero(c1 + c0)
-        c1, c0 = c1[found], c0[found]
-    else:  # many small nodes: sorted together with the counts, which is faster than sorting places
-        bits = int(max(one.max(initial=0), zero.max(initial=0))).bit_length()
-        packed = np.sort((key << (2 * bits)) | (one << bits) | zero)
-        rows_key = packed >> (2 * bits)
-        at = np.flatnonzero(np.r_[True, rows_key[1:] != rows_key[:-1]])
-        found = rows_key[at]
-        c1, c0 = (np.add.reduceat((packed >> shift) & ((1 << bits) - 1), at).astype(float) for shift in (bits, 0))
-    node = found // BINS
-    starts = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
-    ends = np.r_[starts[1:], len(found)] - 1
-    run1, run0 = np.cumsum(c1), np.cumsum(c0)
-    size = np.diff(np.r_[starts, len(found)])
-    l1, l0 = (run - np.repeat(run[starts] - c[starts], size) for run, c in ((run1, c1), (run0, c0)))
-    t1, t0 = (np.repeat(left[ends], size) for left in (l1, l0))
+    node = cell >> 8
+    last = np.empty(len(cell), bool)
+    last[-1:] = True
+    np.not_equal(node[1:], node[:-1], out=last[:-1])
+    ends = np.flatnonzero(last)
+    size = np.diff(ends, prepend=-1)
+    before = np.r_[0, run[ends[:-1]]]
+    every = run[ends] - before
+    can = size > 1
+    size, before, every = size[can] - 1, before[can], every[can]
+    inner = np.flatnonzero(~last)  # no cut after a node's last bin
+    if not len(inner):
+        return np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    left = run[inner] - np.repeat(before, size)
+    right = np.repeat(every, size) - left
     w0, w1 = weights
-    a1, a0, b1, b0 = w1 * l1, w0 * l0, w1 * (t1 - l1), w0 * (t0 - l0)
-    with np.errstate(invalid="ignore", divide="ignore"):
-        score = a1 * a0 / (a1 + a0) + b1 * b0 / (b1 + b0)
-    score[ends] = np.inf
-    best, cut = np.full(n_nodes, np.inf), np.zeros(n_nodes, np.int64)
+    a1, a0, b1, b0 = w1 * (left >> 32), w0 * (left & LOW), w1 * (right >> 32), w0 * (right & LOW)
+    score = a1 * a0
+    score /= a1 + a0
+    a1, a0 = b1 * b0, b1 + b0
+    a1 /= a0
+    score += a1
+    starts = np.cumsum(size) - size
     least = np.minimum.reduceat(score, starts)
     first = np.flatnonzero(score == np.repeat(least, size))
-    first = first[np.unique(node[first], return_index=True)[1]]
-    best[node[starts]], cut[node[first]] = least, found[first] % BINS
+    own = np.searchsorted(starts, first, "right")
+    first = first[np.flatnonzero(np.diff(own, prepend=0))]
+    at = cell[inner[first]]
+    return at >> 8, least, at & 255, left[first]
+
+
+def cells_of(key: np.ndarray, code: np.ndarray, counts: np.ndarray, n_nodes: int) -> tuple[np.ndarray, np.ndarray]:
+    """The (node, bin) cells that occur and the counts up to each; ``key`` is node * BINS + bin, ``counts`` what a row of each code adds."""
+    if n_nodes * BINS <= 2 * len(key):  # few nodes: a cell for each bin; both counts in one float, exact up to 2 ** 26 draws
+        sums = np.bincount(key, ((counts >> 32 << 26) | (counts & LOW)).astype(float)[code], n_nodes * BINS)
+        cell = np.flatnonzero(sums)
+        sums = sums[cell].astype(np.int64)
+        return cell, np.cumsum((sums >> 26 << 32) | (sums & ((1 << 26) - 1)))
+    # many small nodes: sorted together with the codes, which is faster than sorting places
+    bits = max(int(len(counts) - 1).bit_length(), 1)
+    kind = np.uint32 if (n_nodes * BINS) << bits <= 1 << 32 else np.uint64
+    both = key.astype(kind)
+    both <<= kind(bits)
+    both |= code
+    both.sort()
+    cell = both >> kind(bits)
+    ends = np.flatnonzero(np.r_[cell[1:] != cell[:-1], True])
+    both &= kind((1 << bits) - 1)
+    return cell[ends].astype(np.int64), np.cumsum(counts[both])[ends]
+
+
+def best_cuts(key: np.ndarray, one: np.ndarray, zero: np.ndarray, n_nodes: int, weights: tuple[float, float]) -> tuple[np.ndarray, np.ndarray]:
+    """For one feature: least weighted Gini of the two sides, and the bin after which to cut, by node (infinite where there is no cut).
+
+    ``key`` is node * BINS + bin of each row, which counts as ``one`` positives and ``zero`` negatives.
+    """
+    counts, code = np.unique((one.astype(np.int64) << 32) | zero.astype(np.int64), return_inverse=True)
+    best, cut = np.full(n_nodes, np.inf), np.zeros(n_nodes, np.int64)
+    node, least, at, _ = best_cells(*cells_of(key, code.astype(np.uint8 if len(counts) <= 256 else np.uint32), counts, n_nodes), weights)
+    best[node], cut[node] = least, at
     return best, cut
 
 
+def level_cuts(piece: np.ndarray, sizes: np.ndarray, turn: np.ndarray, tried: int, counts: np.ndarray, weights: tuple[float, float]) -> tuple[np.ndarray, ...]:
+    """(feature or -1, cut, what goes left) of nodes whose rows stand one after another in ``piece``.
+
+    A node looks at its features in the order ``turn``, until ``tried`` of them can cut it; of equal cuts it takes the one of the least feature.
+    """
+    k, n_features = turn.shape
+    best, feature, cut, left = np.full(k, np.inf), np.full(k, -1, np.int64), np.zeros(k, np.int64), np.zeros(k, np.int64)
+    lacks = np.full(k, tried)
+    some, at = np.arange(k), 0
+    while len(some) and at < n_features:
+        here = min(tried, n_features - at) if at == 0 else 1
+        own = turn[some, at: at + here]
+        node, least, cuts, lefts = best_of_turns(piece, sizes, some, own, counts, weights)
+        by, j = node // here, node % here
+        lacks[some] -= np.bincount(by, minlength=len(some))
+        for turned in range(here):
+            mine = j == turned
+            n, s, f = some[by[mine]], least[mine], own[by[mine], turned]
+            better = (s < best[n]) | ((s == best[n]) & (f < feature[n]))
+            n = n[better]
+            best[n], feature[n], cut[n], left[n] = s[better], f[better], cuts[mine][better], lefts[mine][better]
+        at += here
+        some = np.flatnonzero(lacks > 0)
+    return feature, cut, left
+
+
+def best_of_turns(piece: np.ndarray, sizes: np.ndarray, some: np.ndarray, turn: np.ndarray, counts: np.ndarray, weights: tuple[float, float]) -> tuple[np.ndarray, ...]:
+    """``best_cells`` of the nodes ``some`` for each feature of theirs in ``turn``; a node's number there is place in ``some`` * turns + turn."""
+    k, here = turn.shape
+    width = piece.shape[1] * 8
+    if len(sizes) == 1 and len(piece) > CHUNK_ROWS:  # the one node that is larger than a chunk: its cells are added up
+        sums = np.zeros((here, BINS), np.int64)
+        for a in range(0, len(piece), CHUNK_ROWS):
+            part = np.asarray(piece[a: a + CHUNK_ROWS]).view(np.uint8)
+            code = part[:, 0]
+            for j in range(here):
+                found = np.bincount(part[:, 1 + turn[0, j]], ((counts >> 32 << 26) | (counts & LOW)).astype(float)[code], BINS).astype(np.int64)
+                sums[j] += (found >> 26 << 32) | (found & ((1 << 26) - 1))
+        cell = np.flatnonzero(sums)
+        return best_cells(cell, np.cumsum(sums.ravel()[cell]), weights)
+    flat = piece.view(np.uint8).ravel()
+    if k < len(sizes):
+        wanted = np.zeros(len(sizes), bool)
+        wanted[some] = True
+        base = np.flatnonzero(np.repeat(wanted, sizes))
+        sizes = sizes[some]
+        base *= width
+    else:
+        base = np.arange(len(piece)) * width
+    code = flat.take(base)
+    keys = np.empty((here, len(base)), np.int64)
+    node = np.repeat(np.arange(0, k * here * BINS, here * BINS), sizes)
+    for j in range(here):
+        np.add(node, flat.take(base + np.repeat(turn[:, j].astype(np.int64) + 1, sizes)), out=keys[j])
+        if j:
+            keys[j] += j * BINS
+    return best_cells(*cells_of(keys.ravel(), np.tile(code, here) if here > 1 else code, counts, k * here), weights)
+
+
+def chunked(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Stretches of nodes with ``CHUNK_ROWS`` rows at most together, or one larger node."""
+    ends, a = np.cumsum(sizes), 0
+    while a < len(sizes):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + CHUNK_ROWS, "right")))
+        yield a, b
+        a = b
+
+
+def room(n: int, words: int) -> np.ndarray:
+    """Space for packed rows: memory, or a file without a name beyond ``HELD_BYTES``."""
+    if n * words * 8 <= HELD_BYTES:
+        return np.empty((n, words), np.uint64)
+    with tempfile.TemporaryFile() as f:
+        f.truncate(n * words * 8)
+        return np.memmap(f, np.uint64, shape=(n, words))
+
+
 def grow_classifier(bins: np.ndarray, label: np.ndarray, times: np.ndarray, weights: tuple[float, float], tried: int, max_depth: int | None, seed: int) -> dict[str, np.ndarray]:
+    """``grow_packed`` of rows that stand ``times`` times (127 at most) in the bag."""
+    return grow_packed(packed_rows(times * 2 + label, bins), bins.shape[1], weights, tried, max_depth, seed)
+
+
+def grow_packed(rows: np.ndarray, n_features: int, weights: tuple[float, float], tried: int, max_depth: int | None, seed: int) -> dict[str, np.ndarray]:
     """A tree grown until its leaves are pure or cannot be cut: feature (-1: leaf), cut (left if bin <= cut), left child (right is next), value.
 
-    Every node looks at ``tried`` random features among those it can be cut by.
+    Every node looks at ``tried`` random features among those it can be cut by. The rows of a node stand one after another. A level of ``rows`` is
+    read in chunks that fit the processor's cache, and the rows that are left are written in the order of the next nodes, over ``rows`` in the end.
     """
-    n_features, rows, node = bins.shape[1], np.arange(len(bins)), np.zeros(len(bins), np.int64)
+    most = max((int(rows[a: a + CHUNK_ROWS].view(np.uint8)[:, 0].max()) for a in range(0, len(rows), CHUNK_ROWS)), default=1)
+    counts = np.arange(most + 1)
+    counts = np.where(counts & 1, counts >> 1 << 32, counts >> 1)
+    found = sum((np.bincount(np.asarray(rows[a: a + CHUNK_ROWS]).view(np.uint8)[:, 0], minlength=most + 1) for a in range(0, len(rows), CHUNK_ROWS)), np.zeros(most + 1, np.int64))
+    mixed_counts = lambda c: ((c >> 32) > 0) & ((c & LOW) > 0)
     done: list[dict[str, np.ndarray]] = []
-    first, n_nodes, depth = 0, 1, 0
-    while n_nodes:
-        one, zero = times[rows] * label[rows], times[rows] * (1 - label[rows])
-        c1, c0 = np.bincount(node, one, n_nodes), np.bincount(node, zero, n_nodes)
-        level = {"feature": np.full(n_nodes, -1), "cut": np.zeros(n_nodes, np.int64), "left": np.full(n_nodes, -1), "value": weights[1] * c1 / (weights[1] * c1 + weights[0] * c0)}
+    count, sizes, place = np.array([int((found * counts).sum())]), np.array([len(rows)]), np.array([0])
+    first, depth, spare = 0, 0, None
+    while len(count):
+        c1, c0 = count >> 32, count & LOW
+        level = {"feature": np.full(len(count), -1, np.int16), "cut": np.zeros(len(count), np.uint8), "left": np.full(len(count), -1, np.int32),
+                 "value": (weights[1] * c1 / (weights[1] * c1 + weights[0] * c0)).astype(np.float32)}
         done.append(level)
-        mixed_nodes = (c1 > 0) & (c0 > 0)
-        if not mixed_nodes.any() or (max_depth is not None and depth >= max_depth):
+        if not depth and not mixed_counts(count).any():
             break
-        keep = mixed_nodes[node]
-        rows, node, one, zero = rows[keep], node[keep], one[keep], zero[keep]
-        scores, cuts = np.full((n_nodes, n_features), np.inf), np.zeros((n_nodes, n_features), np.int64)
-        # a node looks at its features in the order drawn, until ``tried`` of them can cut it
-        turn = np.argsort(uniform(seed, np.arange(first, first + n_nodes)[:, None], np.arange(n_features)[None, :]), axis=1)
-        lacks = np.where(mixed_nodes, tried, 0)
-        for k in range(n_features):
-            some = np.flatnonzero(lacks > 0)
-            if not len(some):
-                break
-            place = np.full(n_nodes, -1)
-            place[some] = np.arange(len(some))
-            own = np.flatnonzero(place[node] >= 0) if len(some) < n_nodes else slice(None)
-            f = turn[some, k]
-            at = place[node[own]]
-            score, cut = best_cuts(at * BINS + bins[rows[own], f[at]], one[own], zero[own], len(some), weights)
-            scores[some, f], cuts[some, f] = score, cut
-            lacks[some] -= np.isfinite(score)
-        best = np.argmin(scores, axis=1)
-        split = np.isfinite(scores[np.arange(n_nodes), best])
-        level["feature"][split], level["cut"][split] = best[split], cuts[np.arange(n_nodes), best][split]
-        level["left"][split] = first + n_nodes + 2 * np.arange(int(split.sum()))
-        keep = split[node]
-        rows, node = rows[keep], node[keep]
-        right = bins[rows, level["feature"][node]] > level["cut"][node]
-        node = level["left"][node] - (first + n_nodes) + right
-        first, n_nodes, depth = first + n_nodes, 2 * int(split.sum()), depth + 1
+        deeper = max_depth is None or depth + 1 < max_depth
+        if not len(sizes) or (max_depth is not None and depth >= max_depth):
+            break
+        if spare is None or len(spare) > 4 * sizes.sum():
+            spare = room(int(sizes.sum()), rows.shape[1])
+        feature, cut, left, kids = [], [], [], []
+        start = end = 0
+        for a, b in chunked(sizes):
+            piece, own = rows[start: start + int(sizes[a:b].sum())], sizes[a:b]
+            start += len(piece)
+            turn = np.argsort(uniform(seed, (first + place[a:b])[:, None], np.arange(n_features)[None, :]), axis=1)
+            f, c, go = level_cuts(piece, own, turn, tried, counts, weights)
+            stay = count[place[a:b]] - go
+            alive = [(f >= 0) & mixed_counts(x) if deeper else np.zeros(b - a, bool) for x in (go, stay)]
+            moved = dealt_rows(piece, own, f, c, alive, spare, end)
+            for side in (0, 1):
+                some = np.flatnonzero(alive[side])
+                kids.append((a + some, np.full(len(some), side), moved[side][some]))
+                end += int(moved[side][some].sum())
+            feature.append(f), cut.append(c), left.append(go)
+        feature, cut, left = (np.concatenate(x) for x in (feature, cut, left))
+        split = feature >= 0
+        level["feature"][place[split]], level["cut"][place[split]] = feature[split], cut[split]
+        inner = level["feature"] >= 0
+        rank = np.cumsum(inner) - 1
+        level["left"][inner] = first + len(count) + 2 * rank[inner]
+        below = np.zeros(2 * int(inner.sum()), np.int64)
+        at = 2 * rank[place[split]]
+        below[at], below[at + 1] = left[split], count[place[split]] - left[split]
+        parent, side, sizes = (np.concatenate(x) for x in zip(*kids))
+        first, count, place, depth = first + len(count), below, 2 * rank[place[parent]] + side, depth + 1
+        rows, spare = spare[:end], rows
     return {k: np.concatenate([level[k] for level in done]) for k in done[0]}
 
 
-TREE = "tree int, feature binary, cut binary, left binary, value binary"
+def dealt_rows(piece: np.ndarray, sizes: np.ndarray, feature: np.ndarray, cut: np.ndarray, alive: list[np.ndarray], out: np.ndarray, at: int) -> tuple[np.ndarray, np.ndarray]:
+    """Writes what goes on from ``piece`` into ``out``, the rows of all living left children and then those of all right ones; rows by node and side."""
+    width, total = piece.shape[1] * 8, []
+    if len(sizes) == 1:  # it may be larger than a chunk
+        parts = range(0, len(piece), CHUNK_ROWS)
+        right = lambda part: part.view(np.uint8)[:, 1 + max(int(feature[0]), 0)] > cut[0]
+        n_right = sum(int(np.count_nonzero(right(piece[a: a + CHUNK_ROWS]))) for a in parts)
+        to = [at, at + (len(piece) - n_right) * bool(alive[0][0])]
+        for part in (piece[a: a + CHUNK_ROWS] for a in parts):
+            high = right(part)
+            for side, own in enumerate((~high, high)):
+                if alive[side][0]:
+                    some = part[own]
+                    out[to[side]: to[side] + len(some)] = some
+                    to[side] += len(some)
+        return np.array([len(piece) - n_right]), np.array([n_right])
+    flat = piece.view(np.uint8).ravel()
+    bin_at = np.repeat(np.maximum(feature, 0) + 1, sizes)
+    bin_at += np.arange(0, len(piece) * width, width)
+    high = flat.take(bin_at) > np.repeat(cut.astype(np.uint8), sizes)
+    n_right = np.add.reduceat(high, np.cumsum(sizes) - sizes, dtype=np.int64)
+    for own, live in ((~high, alive[0]), (high, alive[1])):
+        own &= np.repeat(live, sizes)
+        some = np.flatnonzero(own)
+        np.take(piece, some, axis=0, out=out[at: at + len(some)])
+        at += len(some)
+    return sizes - n_right, n_right
+
+
+TREE = "tree int, piece int, feature binary, cut binary, left binary, value binary"
 KINDS = {"feature": np.int16, "cut": np.uint8, "left": np.int32, "value": np.float32}
 
 
-def fit_forest(rows: DataFrame, n_features: int, trees: int, max_depth: int | None = None, seed: int = 42, bag_rows: int = BAG_ROWS) -> DataFrame:
-    """One row of packed arrays for each tree; classes weigh the same in sum over all of ``rows`` (ident, label, bins)."""
+def fit_forest(rows: DataFrame, n_features: int, trees: int, max_depth: int | None = None, seed: int = 42, bag_rows: int | None = None) -> DataFrame:
+    """Packed arrays for each tree, ``PIECE_NODES`` nodes a row; classes weigh the same in sum over all of ``rows`` (ident, label, bins).
+
+    A bag has as many draws as there are rows. Only who gives ``bag_rows`` gets smaller ones.
+    """
     total = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("pos")).first()
     if not total.n:
         raise ValueError("no rows to fit")
     weights = (total.n / (2 * max(total.n - total.pos, 1)), total.n / (2 * max(total.pos, 1)))
-    rate, tried = min(1.0, bag_rows / total.n), max(1, int(np.sqrt(n_features)))
+    rate, tried = min(1.0, (bag_rows or total.n) / total.n), max(1, int(np.sqrt(n_features)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[bytes] = []
-        tree = None
-
-        def grown() -> pa.RecordBatch:
-            # the order of rows does not matter: all sums are counts
-            own = np.frombuffer(b"".join(held), np.uint8).reshape(-1, 2 + n_features)
-            model = grow_classifier(own[:, 2:], own[:, 1].astype(np.int64), own[:, 0].astype(np.int64), weights, tried, max_depth, int(mixed(seed, tree) >> np.uint64(1)))
-            return pa.RecordBatch.from_arrays([pa.array([tree], pa.int32()), *[pa.array([model[k].astype(t).tobytes()], pa.binary()) for k, t in KINDS.items()]], names=["tree", *KINDS])
-
+        held: dict[int, Bag] = {}
         for batch in batches:
             for t, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if t != tree and held:
-                    yield grown()
-                    held.clear()
-                tree = t
-                held.append(part)
-        if held:
-            yield grown()
+                held.setdefault(t, Bag()).add(part)
+        for t in list(held):
+            # the order of rows does not matter: all sums are counts
+            model = grow_packed(held.pop(t).rows(row_words(n_features)), n_features, weights, tried, max_depth, int(mixed(seed, t) >> np.uint64(1)))
+            for k, a in enumerate(range(0, len(model["feature"]), PIECE_NODES)):
+                packed = [pa.array([model[c][a: a + PIECE_NODES].astype(kind).tobytes()], pa.binary()) for c, kind in KINDS.items()]
+                yield pa.RecordBatch.from_arrays([pa.array([t], pa.int32()), pa.array([k], pa.int32()), *packed], names=["tree", "piece", *KINDS])
 
-    dealt = bags(rows, n_features, trees, rate, seed).repartition(trees, "tree").sortWithinPartitions("tree")
-    return dealt.mapInArrow(run, TREE)
+    return bags(rows, n_features, trees, rate, seed).repartitionById(trees, "tree").mapInArrow(run, TREE)
 
 
 def walk(model: dict[str, np.ndarray], bins: np.ndarray) -> np.ndarray:
     """The value of the leaf each row ends in."""
-    at, every = np.zeros(len(bins), np.int64), np.arange(len(bins))
-    while True:
-        feature = model["feature"][at]
-        inner = feature >= 0
-        if not inner.any():
-            return model["value"][at].astype(np.float64)
-        right = bins[every, np.maximum(feature, 0)] > model["cut"][at]
-        at = np.where(inner, model["left"][at] + right, at)
+    # left child, feature and cut in one number, negative for a leaf
+    nodes = (model["left"].astype(np.int64) << 24) | (np.maximum(model["feature"], 0).astype(np.int64) << 8) | model["cut"]
+    out, flat, width = np.empty(len(bins)), np.ascontiguousarray(bins).ravel(), bins.shape[1]
+    for a in range(0, len(bins), CHUNK_ROWS):
+        rows = np.arange(a, min(a + CHUNK_ROWS, len(bins)))
+        base, at = rows * width, np.zeros(len(rows), np.int64)
+        while len(rows):
+            node = nodes[at]
+            inner = node >= 0
+            if not inner.all():
+                out[rows[~inner]] = model["value"][at[~inner]]
+                rows, base, node = rows[inner], base[inner], node[inner]
+            at = (node >> 24) + (flat.take(base + ((node >> 8) & 0xFFFF)) > (node & 255))
+    return out
 
 
-def dealt_to_models(rows: DataFrame, models: DataFrame, slices: Column | int, key: list[str]) -> DataFrame:
-    """Rows and models of a ``key`` brought together: (key, slice, is_row, model columns, row columns), models first.
+def score_forest(rows: DataFrame, forest: DataFrame, n_features: int, n_rows: int, trees: int) -> DataFrame:
+    """(ident, label, bins, probability): mean over all trees.
 
-    Every slice of a key's rows gets the key's models once; ``slices`` is the number of slices (a column of both frames, or a constant).
+    Rows are packed, batch by batch, and dealt to ``PART_TREES`` trees at a time; a task holds the bins of about ``SLICE_ROWS`` rows and one tree.
     """
-    n = slices if isinstance(slices, Column) else F.lit(slices)
-    own = models.withColumn("slice", F.explode(F.sequence(F.lit(0), n - 1))).withColumn("is_row", F.lit(0))
-    cut = rows.withColumn("slice", F.pmod(F.xxhash64("ident", "bins"), n).cast("int")).withColumn("is_row", F.lit(1))
-    both = own.unionByName(cut, allowMissingColumns=True)
-    return both.repartition(*key, "slice").sortWithinPartitions(*key, "slice", "is_row")
-
+    parts, slices = -(-trees // PART_TREES), max(1, -(-n_rows // SLICE_ROWS))
 
-def score_forest(rows: DataFrame, forest: DataFrame, n_features: int, n_rows: int, trees: int) -> DataFrame:
-    """(ident, label, bins, probability): mean over all trees. ``rows`` are distinct by (ident, bins) or get equal results."""
-    parts = -(-trees // PART_TREES)
-    models = forest.withColumn("part", F.col("tree") % parts)
-    dealt = dealt_to_models(rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))), models, max(1, -(-n_rows // SLICE_ROWS)), ["part"])
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                whole = pa.array([0, batch.num_rows], pa.int32())
+                ident, label, bins = (batch.column(c) for c in ("ident", "label", "bins"))
+                flat = pa.array([unpacked(bins, n_features).tobytes()], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(whole, ident), pa.ListArray.from_arrays(whole, label), flat], names=["ident", "label", "bins"])
+
+    packed = rows.select(F.col("ident").cast("long"), F.col("label").cast("int"), "bins").mapInArrow(pack, "ident array<long>, label array<int>, bins binary")
+    # stored, so that a batch keeps its number
+    packed = stored(packed.withColumn("chunk", F.monotonically_increasing_id()), "packed-rows")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = packed.select("chunk", "bins", F.pmod(F.xxhash64("chunk"), F.lit(slices)).cast("int").alias("slice"), F.lit(-1).alias("tree")).withColumn("part", every(parts))
+    models = forest.withColumn("part", F.col("tree") % parts).withColumn("slice", every(slices))
+    both = dealt.unionByName(models, allowMissingColumns=True).withColumn("to", F.col("part") * slices + F.col("slice"))
+    both = both.repartitionById(parts * slices, "to").sortWithinPartitions("to", "tree", "piece")  # rows before trees
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, own = None, []
+        to, chunks, bins, total, tree, own = None, [], None, None, None, []
+
+        def add() -> None:
+            if own and chunks:
+                model = {k: np.concatenate([np.frombuffer(piece[i], kind) for piece in own]) for i, (k, kind) in enumerate(KINDS.items())}
+                total[:] += walk(model, bins)
+            own.clear()
+
+        def sums() -> Iterator[pa.RecordBatch]:
+            add()
+            at = 0
+            for chunk, held in chunks:
+                n = held // n_features
+                yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([to], pa.int32()), pa.array([total[at: at + n].tobytes()], pa.binary())], names=["chunk", "to", "total"])
+                at += n
+
+        for batch in batches:
+            columns = [batch.column(c) for c in ("to", "tree", "chunk", "bins", *KINDS)]
+            for i in range(batch.num_rows):
+                now, t, chunk, held, *piece = (c[i].as_py() for c in columns)
+                if now != to:
+                    if total is not None:
+                        yield from sums()
+                    to, chunks, total, tree = now, [], None, None
+                    own.clear()
+                if t < 0:
+                    chunks.append((chunk, held))
+                    continue
+                if total is None:
+                    bins = np.frombuffer(b"".join(held for _, held in chunks), np.uint8).reshape(-1, n_features)
+                    chunks, total = [(c, len(b)) for c, b in chunks], np.zeros(len(bins))
+                if t != tree:
+                    add()
+                    tree = t
+                own.append(piece)
+        if total is not None:
+            yield from sums()
+
+    def mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = 0.0
         for batch in batches:
-            at = np.stack([numbers(batch.column(c)).astype(np.int64) for c in ("part", "slice", "is_row")])
-            cuts = [0, *(np.flatnonzero((at[:, 1:] != at[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
-            for a, b in zip(cuts, cuts[1:]):
-                if a == b:
+            for i in range(batch.num_rows):
+                some = batch.column("total")[i].as_py()
+                if some is not None:  # the rows themselves come last
+                    total = total + np.frombuffer(some)
                     continue
-                if key != (now := tuple(at[:2, a])):
-                    key, own = now, []
-                some = batch.slice(a, b - a)
-                if at[2, a] == 0:
-                    packed = [some.column(k).to_pylist() for k in KINDS]
-                    own += [(t, {k: np.frombuffer(x, kind) for x, (k, kind) in zip(model, KINDS.items())}) for t, *model in zip(some.column("tree").to_pylist(), *packed)]
-                    own.sort(key=lambda m: m[0])
-                else:
-                    bins = unpacked(some.column("bins"), n_features)
-                    total = sum((walk(model, bins) for _, model in own), np.zeros(len(bins)))
-                    yield pa.RecordBatch.from_arrays([some.column("ident"), some.column("label"), some.column("bins"), pa.array(total)], names=["ident", "label", "bins", "total"])
-
-    summed = dealt.mapInArrow(run, "ident long, label int, bins binary, total double")
-    # equal rows are scored alike in each part; the count brings them back
-    return summed.groupBy("ident", "label", "bins").agg(F.sum("total").alias("total"), (F.count(F.lit(1)) / parts).cast("int").alias("copies")).select(
-        F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"), "ident", "label", (F.col("total") / F.col("copies") / trees).alias("probability")).drop("copy")
+                ident, label = (batch.column(c)[i].values for c in ("ident", "label"))
+                flat = batch.column("bins")[i].as_py()
+                own = pa.FixedSizeBinaryArray.from_buffers(pa.binary(n_features), len(ident), [None, pa.py_buffer(flat)]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([ident, label, own, pa.array(np.broadcast_to(total / trees, len(ident)))], names=["ident", "label", "bins", "probability"])
+                total = 0.0
+
+    summed = both.mapInArrow(run, "chunk long, to int, total binary").unionByName(packed.withColumn("to", F.lit(parts * slices)), allowMissingColumns=True)
+    tasks = max(1, -(-n_rows * parts // (1 << 23)))  # 64 MB of sums each
+    summed = summed.repartition(tasks, "chunk").sortWithinPartitions("chunk", "to")
+    return summed.mapInArrow(mean, "ident long, label int, bins binary, probability double")
 
 
 # ---- gradient boosting -----------------------------------------------------------------------------------------------------
