@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -303,8 +305,11 @@ def supervised(train: DataFrame, test: DataFrame, features: list[str], label: st
     """(model, id, label, probability) of the test rows, by a random forest and by boosted trees; classes weigh the same."""
     n, cuts = len(features), trees.quantile_cuts(train, features)
     fit, ready = (stored(trees.binned(df, features, cuts, ident, label), "binned") for df in (train, test))
-    forest = stored(trees.fit_forest(fit, n, forest_trees, forest_depth), "forest")
-    boosted = trees.fit_boosting(fit, n, rounds, round_depth, rate, sample, sample, local_rows=local_rows)
+    # the boosted trees grow in one task of their own as long as a task can hold the rows: beside the forest's tasks, and before them in the queue
+    with ThreadPoolExecutor(1) as beside:
+        boosting = beside.submit(inheritable_thread_target(train.sparkSession)(trees.fit_boosting), fit, n, rounds, round_depth, rate, sample, sample, local_rows=local_rows)
+        forest = stored(trees.fit_forest(fit, n, forest_trees, forest_depth), "forest")
+        boosted = boosting.result()
     scored = {"random_forest": trees.score_forest(ready, forest, n, ready.count(), forest_trees), "boosted_trees": trees.score_boosting(ready, *boosted)}
     out = [df.select(F.lit(name).alias("model"), F.col("ident").alias(ident), "label", "probability") for name, df in scored.items()]
     return out[0].unionByName(out[1])

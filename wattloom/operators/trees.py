@@ -5,10 +5,12 @@ Columns are cut once at up to ``BINS - 2`` quantiles; a row is then one byte for
 * Forest: every row draws how often it stands in each tree's bag from a hash of its id. One shuffle deals the draws to the trees, each
   grown by one task level by level from counted bins. A bag has as many draws as the table has rows, whatever its size. A task reads a level in
   chunks and holds the rows in a file without a name where they are many; beside the rows it keeps a few numbers for each node.
-* Boosting: a round's tree is grown from sums of gradients by (node, feature, bin). Gradients are whole numbers (2 ** -20 units), so sums do
-  not depend on how rows are dealt. Up to ``local_rows`` rows, one task holds the binned rows and runs all rounds; beyond that
-  the tasks of one barrier stage hold them and exchange the sums, up to ``HELD_ROWS`` rows a task. Where the number of tasks that run at the same time
-  is not known, and beyond that bound, every level is one aggregate over all rows, and margins are stored every ``STORE_ROUNDS`` rounds. All give the same trees.
+* Boosting: a round's tree is grown from sums of gradients by (node, feature, bin), taken of the lighter child of each pair and by subtraction of
+  the other. Gradients are whole numbers (2 ** -20 units), so sums do not depend on how rows are dealt. Up to ``local_rows`` rows, one task holds the
+  binned rows and runs all rounds; beyond that the tasks of one barrier stage hold them and exchange the sums, up to ``HELD_ROWS`` rows a task. Spark
+  takes a second for each exchange, whatever its size, so a level of such a table takes that second at least. Where the number of tasks that run at the
+  same time is not known, and beyond that bound, every level is one aggregate over all rows, and margins are stored every ``STORE_ROUNDS`` rounds. All
+  give the same trees.
 * Scoring deals packed rows to parts of the forest, where trees come in pieces and one is held at a time; sums of a batch come back packed.
 
 Null labels count as negative, rows with a null id are rows like others, an empty table cannot be fitted (ValueError).
@@ -18,7 +20,6 @@ from __future__ import annotations
 
 import base64
 import tempfile
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame, functions as F
 from .lookup import stored
 
 BINS, UNIT, STORE_ROUNDS = 256, float(1 << 20), 20
-LOCAL_ROWS, PART_TREES, SLICE_ROWS = 1 << 19, 8, 1 << 20
+LOCAL_ROWS, PART_TREES, SLICE_ROWS, BOOST_CHUNK = 3 << 21, 8, 1 << 20, 1 << 15
 HELD_ROWS = 1 << 22  # rows a task may hold beside others while boosting
 CHUNK_ROWS, HELD_BYTES, PIECE_NODES = 1 << 17, 1 << 26, 1 << 18  # rows looked at together, bytes of a bag in memory, nodes stored together
 LAMBDA, MIN_CHILD = 1.0, 1.0
@@ -540,16 +541,21 @@ class Rounds:
 
     def nodes(self, tree: dict[str, np.ndarray], bins: np.ndarray, levels: int) -> np.ndarray:
         """Node of each row after so many levels; a row that met a leaf stays there."""
+        steps, flat, base = self.steps(tree), np.ascontiguousarray(bins).ravel(), np.arange(0, bins.size, self.n_features)
         at = np.zeros(len(bins), np.int64)
         for _ in range(levels):
-            at = self.below(tree, bins, at)
+            at = self.below(steps, flat, base, at)
         return at
 
-    def below(self, tree: dict[str, np.ndarray], bins: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Node of each row one level further down."""
-        feature = tree["feature"][at]
-        right = bins[np.arange(len(bins)), np.maximum(feature, 0)] > tree["cut"][at]
-        return np.where(feature >= 0, 2 * at + 1 + right, at)
+    def steps(self, tree: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Feature, cut and left child by node; nothing lies beyond the cut of a leaf, which is its own left child."""
+        inner, every = tree["feature"] >= 0, np.arange(len(tree["feature"]))
+        return np.maximum(tree["feature"], 0), np.where(inner, tree["cut"], BINS - 1).astype(np.uint8), np.where(inner, 2 * every + 1, every)
+
+    def below(self, steps: tuple[np.ndarray, np.ndarray, np.ndarray], flat: np.ndarray, base: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Node of each row one level further down; ``base`` is where its bins begin in ``flat``."""
+        feature, cut, left = steps
+        return left.take(at) + (flat.take(base + feature.take(at)) > cut.take(at))
 
     def gradients(self, margin: np.ndarray, label: np.ndarray, ident: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray]:
         """First and second derivative of the weighted log loss in whole units; zero for rows that sit the round out."""
@@ -557,19 +563,28 @@ class Rounds:
         w = np.where(label == 1, self.positive, 1.0) * (uniform(self.seed, 11, t, ident) < self.sample)
         return np.rint(w * (p - label) * UNIT), np.rint(w * p * (1.0 - p) * UNIT)
 
-    def level_sums(self, at: np.ndarray, bins: np.ndarray, g: np.ndarray, h: np.ndarray, level: int) -> np.ndarray:
-        """Sums of g and h by (node of the level, feature, bin)."""
-        first, width = (1 << level) - 1, 1 << level
-        here = at >= first
-        out = np.zeros((width, self.n_features, BINS, 2), np.int64)
-        key = (at[here] - first) * BINS
-        for f in range(self.n_features):
-            for k, x in enumerate((g, h)):
-                out[:, f, :, k] = np.rint(np.bincount(key + bins[here, f], x[here], width * BINS)).astype(np.int64).reshape(width, BINS)
+    def level_sums(self, at: np.ndarray, by_column: np.ndarray, g: np.ndarray, h: np.ndarray, wanted: np.ndarray, columns: np.ndarray) -> np.ndarray:
+        """Sums of g and h by (wanted node, column, bin): whole numbers; ``by_column`` has a row of bins for each feature."""
+        slot = np.full((1 << (self.depth + 1)) - 1, -1)
+        slot[wanted] = np.arange(0, len(wanted) * BINS, BINS)
+        key = slot.take(at)
+        some = np.flatnonzero((key >= 0) & ((g != 0) | (h != 0)))
+        key, g, h = key.take(some), g.take(some), h.take(some)
+        out = np.empty((2, len(columns), len(wanted) * BINS))
+        for k, f in enumerate(columns):
+            place = key + by_column[f].take(some)
+            out[0, k], out[1, k] = np.bincount(place, g, len(wanted) * BINS), np.bincount(place, h, len(wanted) * BINS)
+        return out.reshape(2, len(columns), len(wanted), BINS).transpose(2, 1, 3, 0)
+
+    def with_siblings(self, part: np.ndarray, wanted: np.ndarray, above: np.ndarray, level: int) -> np.ndarray:
+        """The sums of a whole level from those of one child of each pair and the sums of the level above."""
+        out = np.zeros((1 << level, *part.shape[1:]), np.int64)
+        at = wanted - ((1 << level) - 1)
+        out[at], out[at ^ 1] = part, above[at >> 1] - part
         return out
 
-    def split_level(self, tree: dict[str, np.ndarray], sums: np.ndarray, level: int, columns: np.ndarray) -> bool:
-        """Set the splits of a level and the values of the nodes below; whether there is any split."""
+    def split_level(self, tree: dict[str, np.ndarray], sums: np.ndarray, level: int, columns: np.ndarray) -> np.ndarray:
+        """Set the splits of a level and the values of the nodes below; the lighter child of each pair below."""
         first = (1 << level) - 1
         left = np.cumsum(sums, axis=2) / UNIT
         total = left[:, :, -1:, :]
@@ -577,27 +592,32 @@ class Rounds:
         score = lambda s: s[..., 0] ** 2 / (s[..., 1] + LAMBDA)
         gain = score(left) + score(right) - score(total)
         gain = np.where((left[..., 1] >= MIN_CHILD) & (right[..., 1] >= MIN_CHILD), gain, -np.inf)
-        gain[:, np.setdiff1d(np.arange(self.n_features), columns)] = -np.inf
         flat = gain.reshape(len(gain), -1)
         best = np.argmax(flat, axis=1)
         value = lambda s: -self.rate * s[..., 0] / (s[..., 1] + LAMBDA)
         if level == 0:
             tree["value"][0] = value(total[0, 0, 0])
         # a leaf met above has no rows here and gains nothing
+        lighter = []
         for k in np.flatnonzero(flat[np.arange(len(flat)), best] > 1e-6):
             f, cut = divmod(int(best[k]), BINS)
             node = first + int(k)
-            tree["feature"][node], tree["cut"][node] = f, cut
+            tree["feature"][node], tree["cut"][node] = columns[f], cut
             tree["value"][2 * node + 1], tree["value"][2 * node + 2] = value(left[k, f, cut]), value(right[k, f, cut])
-        return bool((tree["feature"][first: first + len(flat)] >= 0).any())
+            lighter.append(2 * node + 1 + int(right[k, f, cut, 1] < left[k, f, cut, 1]))
+        return np.array(lighter, np.int64)
 
-    def run(self, sums: Callable[[int, dict, int], np.ndarray], add: Callable[[dict], None]) -> list[dict[str, np.ndarray]]:
-        """All rounds; ``sums(t, tree, level)`` gives the sums of a level, ``add(tree)`` adds a finished tree to the margins."""
+    def run(self, sums: Callable[[int, dict, int, np.ndarray, np.ndarray], np.ndarray], add: Callable[[dict], None]) -> list[dict[str, np.ndarray]]:
+        """All rounds; ``sums(t, tree, level, wanted, columns)`` gives the sums of wanted nodes of a level, ``add(tree)`` adds a finished tree to the margins."""
         model = []
         for t in range(self.rounds):
             tree, columns = self.empty_tree(), self.columns(t)
+            wanted, held = np.zeros(1, np.int64), None
             for level in range(self.depth):
-                if not self.split_level(tree, sums(t, tree, level), level, columns):
+                part = sums(t, tree, level, wanted, columns)
+                held = self.with_siblings(part, wanted, held, level) if level else part
+                wanted = self.split_level(tree, held, level, columns)
+                if not len(wanted):
                     break
             model.append(tree)
             add(tree)
@@ -613,22 +633,31 @@ class Rounds:
 def boost_arrays(settings: Rounds, ident: np.ndarray, label: np.ndarray, bins: np.ndarray,
                  every: Callable[[np.ndarray], np.ndarray] = lambda sums: sums) -> list[dict[str, np.ndarray]]:
     """All rounds over rows in memory; ``every`` adds the sums of rows that are held elsewhere."""
-    state = {"margin": np.zeros(len(label)), "round": -1}
-
-    def sums(t, tree, level):
-        if state["round"] != t:
-            state["round"], state["gh"] = t, settings.gradients(state["margin"], label, ident, t)
-            state["at"], state["level"] = np.zeros(len(label), np.int64), 0
-        go_down(tree, level)
-        return every(settings.level_sums(state["at"], bins, *state["gh"], level))
-
-    def go_down(tree, level):
-        while state["level"] < level:
-            state["at"], state["level"] = settings.below(tree, bins, state["at"]), state["level"] + 1
+    n, flat, by_column = len(label), np.ascontiguousarray(bins).ravel(), np.ascontiguousarray(bins.T)
+    margin, g, h, at = np.zeros(n), np.zeros(n), np.zeros(n), np.zeros(n, np.int64)
+    parts = [slice(a, min(a + BOOST_CHUNK, n)) for a in range(0, n, BOOST_CHUNK)]
+    base = np.arange(0, min(BOOST_CHUNK, n) * settings.n_features, settings.n_features)
+
+    def go_down(steps: tuple, own: slice) -> None:
+        some = flat[own.start * settings.n_features: own.stop * settings.n_features]
+        at[own] = settings.below(steps, some, base[: own.stop - own.start], at[own])
+
+    def sums(t, tree, level, wanted, columns):
+        total, steps = np.zeros((len(wanted), len(columns), BINS, 2)), settings.steps(tree)
+        for own in parts:
+            if level:
+                go_down(steps, own)
+            else:
+                g[own], h[own] = settings.gradients(margin[own], label[own], ident[own], t)
+                at[own] = 0
+            total += settings.level_sums(at[own], by_column[:, own], g[own], h[own], wanted, columns)
+        return every(np.rint(total).astype(np.int64))
 
     def add(tree):
-        go_down(tree, settings.depth)
-        state["margin"] = state["margin"] + tree["value"][state["at"]]
+        steps = settings.steps(tree)
+        for own in parts:
+            go_down(steps, own)
+            margin[own] += tree["value"].take(at[own])
 
     return settings.run(sums, add)
 
@@ -666,18 +695,32 @@ def slots(rows: DataFrame) -> int:
     return rows.sparkSession.sparkContext.defaultParallelism if fixed else 0
 
 
+def shortened(sums: np.ndarray) -> str:
+    """Whole numbers as text: of each as many low bytes as the largest needs, and how many that are."""
+    most = max(int(sums.max()), -int(sums.min()) - 1, 0)
+    size = most.bit_length() // 8 + 1
+    return str(size) + base64.b64encode(sums.astype("<i8").ravel().view(np.uint8).reshape(-1, 8)[:, :size].tobytes()).decode()
+
+
+def short_numbers(text: str) -> np.ndarray:
+    size = int(text[0])
+    low = np.frombuffer(base64.b64decode(text[1:]), np.uint8).reshape(-1, size)
+    out = np.zeros((len(low), 8), np.uint8)
+    out[:, 8 - size:] = low
+    return out.view("<i8").ravel() >> (64 - 8 * size)
+
+
 def boost_together(settings: Rounds, rows: DataFrame, tasks: int) -> list[dict[str, np.ndarray]]:
     """All rounds in one barrier stage: each task holds its share of the rows, a level's sums are exchanged and added by every task.
 
-    Sums are whole numbers, so all tasks grow the same tree. A message holds 2 ** depth * features * BINS sums at most, packed.
+    Sums are whole numbers, so all tasks grow the same tree. A message holds 2 ** (depth - 2) * features * BINS pairs of sums at most, as few bytes as they need.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = BarrierTaskContext.get()
 
         def every(own: np.ndarray) -> np.ndarray:
-            told = task.allGather(base64.b64encode(zlib.compress(own.tobytes(), 1)).decode())
-            return sum(np.frombuffer(zlib.decompress(base64.b64decode(x)), np.int64) for x in told).reshape(own.shape)
+            return sum(short_numbers(x) for x in task.allGather(shortened(own))).reshape(own.shape)
 
         model = boost_arrays(settings, *held_rows(batches, settings.n_features), every)
         if task.partitionId() == 0:
@@ -694,16 +737,17 @@ def boost_in_jobs(settings: Rounds, rows: DataFrame) -> list[dict[str, np.ndarra
         bins = unpacked(batch.column("bins"), settings.n_features)
         return bins, settings.margins(late, bins, numbers(batch.column("margin")))
 
-    def sums(t, tree, level):
+    def sums(t, tree, level, wanted, columns):
         late = list(state["late"])
-        shape = (1 << level, settings.n_features, BINS, 2)
+        shape = (len(wanted), len(columns), BINS, 2)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros(shape, np.int64)
             for batch in batches:
                 bins, margin = with_margin(batch, late)
                 g, h = settings.gradients(margin, numbers(batch.column("label")), numbers(batch.column("ident")), t)
-                total += settings.level_sums(settings.nodes(tree, bins, level), bins, g, h, level)
+                at = settings.nodes(tree, bins, level)
+                total += np.rint(settings.level_sums(at, np.ascontiguousarray(bins.T), g, h, wanted, columns)).astype(np.int64)
             flat = total.reshape(-1, 2)
             cell = np.flatnonzero(flat.any(axis=1))
             yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(flat[cell, 0]), pa.array(flat[cell, 1])], names=["cell", "g", "h"])

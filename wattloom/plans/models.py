@@ -85,7 +85,8 @@ def supervised_models(t: Tables):
     rows = f.over_series(t.readings, f.METER, f.ORDER, lambda w: {"consommation_kw_diff": f.diff(w, "consommation_kw")}, back=1, sized_by=t.readings)
     tagged = e.temporal_split(rows.withColumn("hour", F.hour("ts")), 0.15, 0.15).select("event_id", "split", "is_alert", *SUPERVISED)
     rows = stored(tagged, "training-rows")  # both learners pass over these rows many times
-    pred = m.supervised(rows.filter("split = 'train'"), rows.filter("split = 'test'"), SUPERVISED, "is_alert")
+    # both summaries read the predictions
+    pred = stored(m.supervised(rows.filter("split = 'train'"), rows.filter("split = 'test'"), SUPERVISED, "is_alert"), "predictions")
     quality = e.metrics(pred, ["model"], "label", "probability >= 0.5D")
     areas = e.curve_areas(pred, ["model"], "probability", "label")
     return quality.join(areas, "model").select("model", *[r(c).alias(c) for c in (*e.METRICS, "roc_auc", "pr_auc")])
